@@ -84,3 +84,21 @@ def union_tables(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=False), tables)
 
 
+
+
+def common_columns(a: DataFrame, b: DataFrame) -> DataFrame:
+    """SO-04: the columns two tables share: whether their types agree, and how many values both hold together."""
+    types = {f.name: f.dataType for f in b.schema}
+    shared = [f for f in a.schema if f.name in types]
+    counts = union_tables([
+        df.agg(*(F.count(f.name).alias(f.name) for f in shared)) for df in (a, b)
+    ])
+    pairs = F.array(*(
+        F.struct(
+            F.lit(f.name).alias("column_name"), F.lit(f.dataType == types[f.name]).alias("same_type"),
+            F.col(f.name).alias("filled"),
+        )
+        for f in shared
+    ))
+    rows = counts.select(F.explode(pairs).alias("p")).select("p.*")
+    return rows.groupBy("column_name", "same_type").agg(F.sum("filled").alias("filled"))

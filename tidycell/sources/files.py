@@ -87,7 +87,7 @@ def write_code_list_csv(codes: DataFrame, path: str, bom: bool = True) -> None:
 def write_cells(cells: DataFrame, path: str, dataset_id: str, chunk: str, mode: str = "error") -> None:
     """SK-05: raw cells as JSON lines under ``dataset_id=…/chunk=…``."""
     tagged = cells.withColumnsRenamed({chunk: "chunk"}).withColumn("dataset_id", F.lit(dataset_id))
-    tagged.write.mode(mode).partitionBy("dataset_id", "chunk").json(path)
+    tagged.hint("rebalance", "chunk").write.mode(mode).partitionBy("dataset_id", "chunk").json(path)
 
 
 def read_cells(spark: SparkSession, path: str, categories: int = 5) -> DataFrame:

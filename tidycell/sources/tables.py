@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,6 +90,11 @@ def exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
+def count_rows(spark: SparkSession, path: str) -> int:
+    """Rows of a Parquet table; answered from file footers, no column is read."""
+    return spark.read.schema("value double").parquet(path).count()
+
+
 def check_schema(df: DataFrame, domain: str) -> DataFrame:
     """Columns by name in registry order; a missing, extra or differently typed column is an error."""
     want = schemas.schema(domain)
@@ -116,10 +121,14 @@ def append(spark: SparkSession, df: DataFrame, path: str, domain: str) -> None:
 
 @dataclass(frozen=True)
 class Load:
-    """Distinct cells offered to a load, and those that were new."""
+    """Rows of the table before and after a load."""
+
+    before: int
+    after: int
 
-    offered: int
-    loaded: int
+    @property
+    def loaded(self) -> int:
+        return self.after - self.before
 
 
 def load_new(
@@ -136,19 +145,21 @@ def load_new(
     """
     keys = keys or schemas.dimension_names(domain)
     df = check_schema(df, domain)
-    offered, loaded = Observation(), Observation()
-    rows = F.count(F.lit(1)).alias("n")
-    batch = first_per_key(df, keys, order or [F.desc_nulls_last("value"), "updated_at"]).observe(offered, rows)
+    present = None
     if exists(spark, path):
         present = read_domain(spark, path, domain)
         if years is None:
             years = [r.year for r in df.select("year").distinct().limit(PRUNABLE_YEARS + 1).collect()]
         if len(years) <= PRUNABLE_YEARS and None not in years:
             present = present.filter(F.col("year").isin(*years))
+    batch = first_per_key(df, keys, order or [F.desc_nulls_last("value"), "updated_at"])
+    before = 0
+    if present is not None:
+        before = count_rows(spark, path)
         there = present.select(*(F.col(k).alias(f"_{k}") for k in keys))
         batch = batch.join(there, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti")
-    append(spark, batch.observe(loaded, rows), path, domain)
-    return Load(offered.get["n"], loaded.get["n"])
+    append(spark, batch, path, domain)
+    return Load(before, count_rows(spark, path))
 
 
 def replace_partitions(spark: SparkSession, df: DataFrame, path: str, domain: str) -> None:
