@@ -6,7 +6,7 @@ import importlib
 
 from workloads.registry import QUERIES, SQL
 
-for _module in ("scalars", "scans", "sinks", "selection", "joins", "statistics", "checks"):
+for _module in ("scalars", "scans", "sinks", "selection", "joins", "statistics", "checks", "catalogue", "ingestion"):
     importlib.import_module(f"workloads.{_module}")
 
 __all__ = ["QUERIES", "SQL"]

@@ -103,9 +103,14 @@ SELECT stats_data_id, year, category, value, z_score FROM (
 WHERE z_score > {t} ORDER BY z_score DESC, seq LIMIT 10"""
 
 
-@query("ag14_outliers", _OUTLIERS.replace("{t}", "2"))
+view("lengths", "SELECT doc_id AS seq, source AS stats_data_id, 2020 AS year, lang AS category, CAST(n_chars AS DOUBLE) AS value FROM documents")
+
+
+@query("ag14_outliers", _OUTLIERS.replace("{t}", "2").replace("sales", "lengths"))
 def ag14(spark, sf):
-    return A.outliers(V.sales(spark, sf), ["seq"], 2.0).select("stats_data_id", "year", "category", "value", "z_score")
+    lengths = V.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("seq"), F.col("source").alias("stats_data_id"), F.lit(2020).alias("year"), F.col("lang").alias("category"), F.col("n_chars").cast("double").alias("value"))
+    return A.outliers(lengths, ["seq"], 2.0).select("stats_data_id", "year", "category", "value", "z_score")
 
 
 @query("ag14_outliers_wide", _OUTLIERS.replace("{t}", "1.5"))
