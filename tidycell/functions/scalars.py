@@ -23,9 +23,9 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def ascii_digits(c) -> Column:
-    """Full-width digits become ASCII ones."""
-    return F.translate(_col(c), "０１２３４５６７８９", "0123456789")
+def ascii_digits(c, drop: str = "") -> Column:
+    """Full-width digits become ASCII ones; the characters of ``drop`` disappear in the same pass."""
+    return F.translate(_col(c), "０１２３４５６７８９" + drop, "0123456789")
 
 
 def _extract(c: Column, pattern: str) -> Column:
@@ -38,9 +38,9 @@ def dataset_id_from_path(path) -> Column:
     return F.substring_index(F.substring_index(_col(path), "/", -1), "_", 1)
 
 
-def to_number(c) -> Column:
-    """Double for plain decimal or scientific notation, NULL for anything else."""
-    text = F.btrim(ascii_digits(c), F.lit(WHITESPACE))
+def to_number(c, drop: str = "") -> Column:
+    """Double for plain decimal or scientific notation, NULL for anything else; ``drop`` is removed first."""
+    text = F.btrim(ascii_digits(c, drop), F.lit(WHITESPACE))
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
@@ -53,7 +53,7 @@ def measure(c, on_bad: str = "zero") -> Column:
     """
     c = _col(c)
     if on_bad == "zero":
-        return F.coalesce(to_number(F.translate(c, ",", "")), F.lit(0.0))
+        return F.coalesce(to_number(c, ","), F.lit(0.0))
     if on_bad == "null":
         return F.when(c.isNull(), F.lit(0.0)).otherwise(to_number(c))
     raise ValueError(f"on_bad must be 'zero' or 'null', not {on_bad!r}")

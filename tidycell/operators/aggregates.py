@@ -148,12 +148,12 @@ def yearly_trend(df: DataFrame, digits=DIGITS) -> DataFrame:
 def outliers(df: DataFrame, order: list[str], threshold: float = 2.0, n: int = 10) -> DataFrame:
     """AG-14 / JN-06: values more than ``threshold`` standard deviations from the mean, farthest first.
 
-    Mean and deviation are two scalar subqueries over the same one-row
-    aggregate, which Spark computes once; there is no join.
+    Mean and deviation come as one scalar subquery over a one-row aggregate;
+    there is no join.
     """
     valued = _with_value(df)
-    moments = valued.agg(F.avg(VALUE).alias("m"), F.stddev_samp(VALUE).alias("s"))
-    score = F.try_divide(F.abs(F.col(VALUE) - moments.select("m").scalar()), moments.select("s").scalar())
+    moments = valued.agg(F.struct(F.avg(VALUE).alias("m"), F.stddev_samp(VALUE).alias("s"))).scalar()
+    score = F.try_divide(F.abs(F.col(VALUE) - moments["m"]), moments["s"])
     scored = valued.withColumn("z_score", F.round(score, 6))
     return top(scored.filter(F.col("z_score") > threshold), n, *_desc("z_score"), *_asc(*order))
 

@@ -60,7 +60,7 @@ def latest(log: DataFrame, key: str, order: list) -> DataFrame:
     return log.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def transitions(log: DataFrame, key: str, time: str, tie: str, span: str = "month") -> DataFrame:
+def transitions(log: DataFrame, key: str, time: str, tie: str, span: str = "hour") -> DataFrame:
     """WN-04: every event with the status before it.
 
     The log of one dataset can be huge, so it is cut into calendar spans: the

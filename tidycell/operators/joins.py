@@ -68,9 +68,9 @@ def inventory_counts(inventory: DataFrame, facts: DataFrame, table_name: str) ->
 
 
 def with_statistics(df: DataFrame, column: str = "value") -> DataFrame:
-    """JN-06: every row with the mean and the deviation of its table, from scalar subqueries."""
-    moments = df.agg(F.avg(column).alias("m"), F.stddev_samp(column).alias("s"))
-    return df.withColumns({"mean_val": moments.select("m").scalar(), "std_val": moments.select("s").scalar()})
+    """JN-06: every row with the mean and the deviation of its table, from one scalar subquery."""
+    moments = df.agg(F.struct(F.avg(column).alias("m"), F.stddev_samp(column).alias("s"))).scalar()
+    return df.withColumns({"mean_val": moments["m"], "std_val": moments["s"]})
 
 
 def concatenate(chunks: list[DataFrame], label: str = "chunk_num") -> DataFrame:

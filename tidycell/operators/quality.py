@@ -92,6 +92,18 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*map(_name, keys)).agg(F.count(F.lit(1)).alias("count")).filter("count > 1")
 
 
+def duplicate_texts(df: DataFrame, column: str) -> DataFrame:
+    """DQ-04 for a key of long text: every text that occurs more than once, with its ``count``.
+
+    Only 64-bit digests are shuffled for all rows; the texts themselves travel
+    only where a digest repeats, and are then compared in full.
+    """
+    hashed = df.select(_name(column), F.xxhash64(_name(column)).alias("_h"))
+    repeated = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_h")
+    suspects = hashed.join(repeated, "_h", "left_semi")
+    return duplicate_keys(suspects, [column])
+
+
 def duplicate_summary(df: DataFrame, keys: list[str]) -> DataFrame:
     """DQ-04: ``(duplicate_count, total_duplicate_records, total_records, has_duplicates)``."""
     counts = df.groupBy(*map(_name, keys)).agg(F.count(F.lit(1)).alias("n"))
@@ -127,7 +139,10 @@ def with_reasons(df: DataFrame, rules: dict[str, Column], unique: list[str] | No
 
 
 def quarantine(df: DataFrame, rules: dict[str, Column], unique: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """DQ-05: ``(valid, invalid)``; together they hold exactly the input rows, invalid ones with ``reasons``."""
+    """DQ-05: ``(valid, invalid)``; together they hold exactly the input rows, invalid ones with ``reasons``.
+
+    Two lazy views of one annotated table: stage it first when both are written.
+    """
     reasoned = with_reasons(df, rules, unique)
     return reasoned.filter(F.size("reasons") == 0).drop("reasons"), reasoned.filter(F.size("reasons") > 0)
 

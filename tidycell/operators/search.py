@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidycell.session import scratch
+
 # Score weights, trusted publishers, freshness and size curves.
 W_TITLE, W_CATEGORY, W_DESCRIPTION = 0.25, 0.15, 0.10
 W_FRESH, W_UNREADABLE_DATE, W_TRUSTED, W_COMPLETE = 0.15, 0.075, 0.10, 0.05
@@ -195,16 +197,21 @@ def search(
 ) -> DataFrame:
     """SR-09: the best rows by basic score, re-ranked with their metadata.
 
-    ``metadata`` is ``(id, total_records, categories)``.  Only the stage-one rows
-    of each query meet it, so the join's other side is at most
-    ``STAGE_ONE`` rows per query.
+    ``metadata`` is ``(id, total_records, categories)``.  The first stage is written
+    to the scratch folder: STAGE_ONE rows per query at most.  The catalogue is thus
+    scanned once, and the metadata table is cut to those rows by a semi-join
+    before the outer join, so it is not shuffled while they are few.
     """
-    first = top_per_query(basic_scores(catalogue, queries, as_of), STAGE_ONE, "basic_score", "basic_rank")
-    joined = first.join(metadata, "id", "left")
+    spark = catalogue.sparkSession
+    path = scratch(spark, "search")
+    top_per_query(basic_scores(catalogue, queries, as_of), STAGE_ONE, "basic_score", "basic_rank").write.parquet(path)
+    first = spark.read.parquet(path)
+    known = metadata.join(first.select("id"), "id", "left_semi")
+    joined = first.join(known, "id", "left")
     if method == "enhanced":
+        none = F.array().cast(metadata.schema["categories"].dataType)
         final = enhanced_score(
-            F.col("basic_score"), F.col("query"), F.coalesce("categories", F.array().cast(metadata.schema["categories"].dataType)),
-            F.col("total_records"),
+            F.col("basic_score"), F.col("query"), F.coalesce("categories", none), F.col("total_records")
         )
     else:
         final = F.col("basic_score")

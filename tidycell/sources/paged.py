@@ -1,8 +1,8 @@
 """Paged fetch of large datasets (SC-11 .. SC-16).
 
 ``paged_cells`` is a Python data source: each page of a dataset is one input
-partition, so pages are fetched by as many tasks as there are, and a page that
-fails is retried by Spark.  A task only moves the page's text; decoding happens
+partition, so pages are fetched side by side, and a page that fails is retried
+by Spark.  A task only moves the page's text; decoding happens
 in the JVM with :mod:`tidycell.sources.wire`.
 """
 
@@ -21,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputP
 
 CHUNK = 100_000
 MAX_RECORDS = 1_000_000
+MAX_TASKS = 20_000
 
 
 def landed_page(root: str, dataset_id: str, chunk_num: int, start: int, limit: int) -> str:
@@ -39,9 +40,11 @@ def url_page(root: str, dataset_id: str, chunk_num: int, start: int, limit: int)
         return answer.read().decode("utf-8")
 
 
-class Page(InputPartition):
-    def __init__(self, dataset_id: str, chunk_num: int, start: int, limit: int):
-        self.dataset_id, self.chunk_num, self.start, self.limit = dataset_id, chunk_num, start, limit
+class PageRun(InputPartition):
+    """Pages ``first`` .. ``last`` of one dataset."""
+
+    def __init__(self, dataset_id: str, first: int, last: int, total: int):
+        self.dataset_id, self.first, self.last, self.total = dataset_id, first, last, total
 
 
 def _fetcher(name: str):
@@ -55,31 +58,42 @@ class PagedReader(DataSourceReader):
     def __init__(self, options):
         self.root = options["root"]
         self.fetch = _fetcher(options.get("fetcher", "landed"))
-        chunk = int(options.get("chunk", CHUNK))
+        self.chunk = int(options.get("chunk", CHUNK))
         cap = int(options.get("max_records", MAX_RECORDS))
         # "id:total,id:total": the sizes the catalogue states.
-        sizes = [pair.rsplit(":", 1) for pair in options["datasets"].split(",") if pair]
-        self.pages = [
-            Page(dataset, n, n * chunk + 1, min(chunk, min(int(total), cap) - n * chunk))
-            for dataset, total in sizes
-            for n in range(-(-min(int(total), cap) // chunk))
-        ]
+        pairs = [pair.rsplit(":", 1) for pair in options["datasets"].split(",") if pair]
+        self.wanted = {dataset: min(int(total), cap) for dataset, total in pairs}
+        self.only: dict[str, object] = {}
 
     def pushFilters(self, filters):
         """Equality on the dataset or the chunk drops pages before anything is fetched."""
         for f in filters:
             if isinstance(f, EqualTo) and f.attribute in (("dataset_id",), ("chunk_num",)):
-                self.pages = [p for p in self.pages if getattr(p, f.attribute[0]) == f.value]
-            else:
-                yield f
+                name = f.attribute[0]
+                if self.only.setdefault(name, f.value) == f.value:
+                    continue
+            yield f
 
     def partitions(self):
-        return self.pages or [Page("", -1, 0, 0)]
-
-    def read(self, page):
-        if page.chunk_num >= 0:
-            text = self.fetch(self.root, page.dataset_id, page.chunk_num, page.start, page.limit)
-            yield page.dataset_id, page.chunk_num, page.start, page.limit, text
+        """One page per task, or short runs of pages once there are more than MAX_TASKS of them."""
+        counts = {
+            d: -(-n // self.chunk) for d, n in self.wanted.items() if n > 0 and self.only.get("dataset_id", d) == d
+        }
+        if "chunk_num" in self.only:
+            k = self.only["chunk_num"]
+            runs = [PageRun(d, k, k, self.wanted[d]) for d, n in counts.items() if 0 <= k < n]
+        else:
+            step = max(1, -(-sum(counts.values()) // MAX_TASKS))
+            runs = [
+                PageRun(d, i, min(i + step, n) - 1, self.wanted[d]) for d, n in counts.items() for i in range(0, n, step)
+            ]
+        return runs or [PageRun("", 0, -1, 0)]
+
+    def read(self, run):
+        for n in range(run.first, run.last + 1):
+            start = n * self.chunk + 1
+            limit = min(self.chunk, run.total - n * self.chunk)
+            yield run.dataset_id, n, start, limit, self.fetch(self.root, run.dataset_id, n, start, limit)
 
 
 class PagedCells(DataSource):
@@ -145,7 +159,7 @@ def split_plan(codes: DataFrame) -> DataFrame:
 
 def label_year(label: Column) -> Column:
     """SC-14: the year of a period label such as ``1960年`` or ``（概算）_2022年``."""
-    return F.regexp_extract(label, "(?:^|_)([0-9]+)年$", 1)
+    return F.regexp_extract(label, "(?:^|_)([0-9]+)年(?:_|$)", 1)
 
 
 TIME_WORDS = "年|時間|期間|時系列"

@@ -79,22 +79,16 @@ def read_domain(spark: SparkSession, path, domain: str) -> DataFrame:
     ))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is anything to read at a path."""
+def read_existing(spark: SparkSession, path: str, domain: str) -> DataFrame | None:
+    """The table at a path, or None when nothing was written there yet."""
     try:
-        spark.read.schema("value string").text(path)
-        return True
+        return read_domain(spark, path, domain)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
-            return False
+            return None
         raise
 
 
-def count_rows(spark: SparkSession, path: str) -> int:
-    """Rows of a Parquet table; answered from file footers, no column is read."""
-    return spark.read.schema("value double").parquet(path).count()
-
-
 def check_schema(df: DataFrame, domain: str) -> DataFrame:
     """Columns by name in registry order; a missing, extra or differently typed column is an error."""
     want = schemas.schema(domain)
@@ -121,7 +115,7 @@ def append(spark: SparkSession, df: DataFrame, path: str, domain: str) -> None:
 
 @dataclass(frozen=True)
 class Load:
-    """Rows of the table before and after a load."""
+    """Rows of the touched years before and after a load."""
 
     before: int
     after: int
@@ -138,28 +132,35 @@ def load_new(
     """SK-12: append only cells the table does not have; running it again changes nothing.
 
     Copies within the batch are reduced to one, then an anti-join on the cell
-    key removes what is there, all in the job that writes.  Only the years the
-    batch touches are compared; pass ``years`` when they are known, or ``df`` staged, as
-    they are looked up by a pass of their own otherwise.  A rerun after a crash
-    between the data and any later step appends nothing.
+    key removes what is there, all in the job that writes.  Only the partitions of
+    the years the batch touches are read, and of those only the key columns of
+    rows the batch also has: with a small batch that semi-join is a broadcast, so
+    the table is never shuffled.  A rerun after a crash between the data and any
+    later step appends nothing.
+
+    Pass ``df`` staged, or the ``years`` it holds: they are looked up by a pass of
+    their own otherwise.
     """
     keys = keys or schemas.dimension_names(domain)
     df = check_schema(df, domain)
-    present = None
-    if exists(spark, path):
-        present = read_domain(spark, path, domain)
-        if years is None:
-            years = [r.year for r in df.select("year").distinct().limit(PRUNABLE_YEARS + 1).collect()]
-        if len(years) <= PRUNABLE_YEARS and None not in years:
-            present = present.filter(F.col("year").isin(*years))
+    if years is None:
+        years = [r.year for r in df.select("year").distinct().limit(PRUNABLE_YEARS + 1).collect()]
+    prunable = len(years) <= PRUNABLE_YEARS and None not in years
+
+    def touched():
+        table = read_existing(spark, path, domain)
+        return table.filter(F.col("year").isin(*years)) if table is not None and prunable else table
+
     batch = first_per_key(df, keys, order or [F.desc_nulls_last("value"), "updated_at"])
-    before = 0
+    present, before = touched(), 0
     if present is not None:
-        before = count_rows(spark, path)
+        before = present.count()
         there = present.select(*(F.col(k).alias(f"_{k}") for k in keys))
-        batch = batch.join(there, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti")
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        there = there.join(df.select(*keys), same, "left_semi")
+        batch = batch.join(there, same, "left_anti")
     append(spark, batch, path, domain)
-    return Load(before, count_rows(spark, path))
+    return Load(before, touched().count())
 
 
 def replace_partitions(spark: SparkSession, df: DataFrame, path: str, domain: str) -> None:

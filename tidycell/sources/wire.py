@@ -151,7 +151,9 @@ def catalogue(df: DataFrame, text: str = "value", keep: tuple[str, ...] = ()) ->
     )
 
 
-def dimension_sizes(codes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Number of codes per category, collected per dataset for PR-18."""
-    sizes = codes.groupBy(*keys, "category_pos").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.groupBy(*keys).agg(F.collect_list("n").alias("sizes"))
+def category_sizes(df: DataFrame, text: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """For PR-18: the number of codes of every category of a metadata document, within the row."""
+    raw = F.from_json(text, _META_ENVELOPE)["GET_META_INFO"]["METADATA_INF"]["CLASS_INF"]["CLASS_OBJ"]
+    objects = F.from_json(as_list(raw), _CLASS_OBJ)
+    size = lambda o: F.size(F.from_json(as_list(o["CLASS"]), "array<string>")).cast("bigint")
+    return df.select(*keep, F.coalesce(F.transform(objects, size), F.array().cast("array<bigint>")).alias("sizes"))

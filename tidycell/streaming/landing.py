@@ -24,8 +24,8 @@ def documents(spark: SparkSession, path: str, whole: bool = True, files_per_batc
     return reader.load(path)
 
 
-def load_batch(batch: DataFrame, domain: str, dataset_id: str | None, table: str, bad: str | None, updated_at=None,
-               on_bad: str = "null") -> None:
+def load_batch(batch: DataFrame, batch_id: int, domain: str, dataset_id: str | None, table: str,
+               bad: str | None = None, updated_at=None, on_bad: str = "null") -> None:
     """One micro-batch: decode, map, set bad rows aside, load what is new."""
     spark = batch.sparkSession
     cells = wire.cells(batch)
@@ -34,20 +34,16 @@ def load_batch(batch: DataFrame, domain: str, dataset_id: str | None, table: str
     good = reasoned.filter(F.size("reasons") == 0).drop("reasons")
     tables.load_new(spark, good, table, domain)
     if bad:
+        # A replayed batch overwrites its own folder instead of adding to it.
         rejected = reasoned.filter(F.size("reasons") > 0)
-        keys = [c for c in rejected.columns if c not in ("updated_at", "reasons")]
-        once = quality.first_per_key(rejected, keys, ["updated_at"])
-        if tables.exists(spark, bad):
-            known = spark.read.schema(once.schema).parquet(bad).select(*(F.col(k).alias(f"_{k}") for k in keys))
-            once = once.join(known, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti")
-        tables.stage(spark, once, "bad-batch").write.mode("append").parquet(bad)
+        rejected.write.mode("overwrite").parquet(f"{bad.rstrip('/')}/batch={batch_id}")
 
 
 def run(stream: DataFrame, checkpoint: str, domain: str, dataset_id: str | None, table: str, bad: str | None = None,
         updated_at=None, on_bad: str = "null"):
     """Start the pickup for everything available now; returns the query."""
     def each(batch, batch_id):
-        load_batch(batch, domain, dataset_id, table, bad, updated_at, on_bad)
+        load_batch(batch, batch_id, domain, dataset_id, table, bad, updated_at, on_bad)
 
     return (
         stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

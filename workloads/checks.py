@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidycell import schemas
 
 from tidycell.operators import quality as Q
+from tidycell.sources import tables
 from workloads import views as V
 from workloads.registry import query, view
 
@@ -73,8 +74,7 @@ def dq04_details(spark, sf):
 
 @query("dq04_duplicate_texts", "SELECT text, count(*) AS count FROM documents GROUP BY text HAVING count(*) > 1")
 def dq04_texts(spark, sf):
-    # Exact copies of whole texts: a hot text is counted per task before the shuffle.
-    return Q.duplicate_keys(V.table(spark, sf, "documents"), ["text"])
+    return Q.duplicate_texts(V.table(spark, sf, "documents"), "text")
 
 
 def _rules():
@@ -90,9 +90,15 @@ _UNIQUE = ["dataset_id", "stats_data_id", "year", "region_code", "category", "va
 @query("dq05_quarantine", """
 SELECT seq, reasons = '' AS accepted, reasons FROM annotated""")
 def dq05(spark, sf):
-    good, bad = Q.quarantine(V.sales(spark, sf), _rules(), _UNIQUE)
-    kept = good.select("seq", F.lit(True).alias("accepted"), F.lit("").alias("reasons"))
-    return kept.unionByName(bad.select("seq", F.lit(False).alias("accepted"), F.array_join("reasons", ",").alias("reasons")))
+    annotated = Q.with_reasons(V.sales(spark, sf), _rules(), _UNIQUE)
+    return annotated.select("seq", (F.size("reasons") == 0).alias("accepted"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("dq05_quarantine_split", "SELECT year, reasons = '' AS accepted, count(*) AS n FROM annotated GROUP BY ALL")
+def dq05_split(spark, sf):
+    good, bad = Q.quarantine(tables.stage(spark, V.sales(spark, sf), "dq05"), _rules(), _UNIQUE)
+    count = lambda df, ok: df.groupBy("year").agg(F.count(F.lit(1)).alias("n")).select("year", F.lit(ok).alias("accepted"), "n")
+    return count(good, True).unionByName(count(bad, False))
 
 
 @query("dq06_gate", """

@@ -239,10 +239,10 @@ def pr17(spark, sf):
 
 def _totals(spark, sf):
     docs = part_metadata(spark, sf)
-    sizes = wire.dimension_sizes(wire.code_list(docs, keep=("dataset_id",)), ("dataset_id",))
-    stated = wire.table_info(docs, keep=("dataset_id",)).select(
-        "dataset_id", F.col("OVERALL_TOTAL_NUMBER").try_cast("bigint").alias("stated"))
-    return stated.join(sizes, "dataset_id").select("dataset_id", M.record_total(F.col("stated"), F.col("sizes")).alias("total"))
+    sized = wire.category_sizes(docs, keep=("dataset_id", "value"))
+    info = wire.table_info(sized, keep=("dataset_id", "sizes"))
+    stated = F.col("OVERALL_TOTAL_NUMBER").try_cast("bigint")
+    return info.select("dataset_id", M.record_total(stated, F.col("sizes")).alias("total"))
 
 
 _TOTAL = "SELECT lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS dataset_id, CAST(CASE WHEN p_size > 40 THEN 250000 ELSE p_size * 12 END AS BIGINT) AS total FROM part"
