@@ -64,9 +64,9 @@ def requires_filtering(total: Column) -> Column:
 
 def fetch_mode(total: Column) -> Column:
     """SC-15: ``single`` up to the request limit, ``chunked`` above."""
-    return F.when(total <= SINGLE_REQUEST_LIMIT, "single").otherwise("chunked")
+    return F.when(F.coalesce(total, F.lit(0)) <= SINGLE_REQUEST_LIMIT, "single").otherwise("chunked")
 
 
 def fetch_records(total: Column) -> Column:
     """SC-15: the records a fetch will ask for."""
-    return F.least(total, F.lit(CHUNKED_CAP).cast("bigint"))
+    return F.when(total.isNotNull(), F.least(total, F.lit(CHUNKED_CAP).cast("bigint")))

@@ -24,8 +24,15 @@ def _col(c) -> Column:
 
 
 def ascii_digits(c, drop: str = "") -> Column:
-    """Full-width digits become ASCII ones; the characters of ``drop`` disappear in the same pass."""
-    return F.translate(_col(c), "０１２３４５６７８９" + drop, "0123456789")
+    """Full-width digits become ASCII ones; the characters of ``drop`` disappear in the same pass.
+
+    Text of single-byte characters without any of those, as nearly all of it is, is left alone.
+    """
+    c = _col(c)
+    plain = F.octet_length(c) == F.length(c)
+    for char in drop:
+        plain = plain & ~c.contains(char)
+    return F.when(plain, c).otherwise(F.translate(c, "０１２３４５６７８９" + drop, "0123456789"))
 
 
 def _extract(c: Column, pattern: str) -> Column:
@@ -67,13 +74,17 @@ def year(time, default: int | None = DEFAULT_YEAR) -> Column:
 
 def quarter(time) -> Column:
     """PR-05: 1..4 from a ``Qn`` marker in any case, else 0."""
-    return F.coalesce(_extract(ascii_digits(time), QUARTER).cast("int"), F.lit(0))
+    t = ascii_digits(time)
+    return F.coalesce(F.when(F.length(t) >= 2, _extract(t, QUARTER).cast("int")), F.lit(0))
 
 
 def month(time) -> Column:
     """PR-06: month digits of ``yyyy-mm``, ``yyyymmdd`` or ``yyyymm``, in that order, else 0. Not range checked."""
     t = ascii_digits(time)
-    return F.coalesce(*(_extract(t, p).cast("int") for p in MONTHS), F.lit(0))
+    dashed, long, short = (_extract(t, p).cast("int") for p in MONTHS)
+    # A pattern is only tried on text that can hold it.
+    tries = F.coalesce(F.when(t.contains("-"), dashed), F.when(F.length(t) >= 8, long), short)
+    return F.coalesce(F.when(F.length(t) >= 6, tries), F.lit(0))
 
 
 def legacy_year(time) -> Column:
@@ -124,10 +135,15 @@ def text_type(c) -> Column:
     )
 
 
+def json_text(raw) -> Column:
+    """JSON text without leading blanks, line ends or byte order mark, so its first character tells its kind."""
+    return F.ltrim(_col(raw), F.lit(" \t\r\n\ufeff"))
+
+
 def string_or_object(raw, default: str | None = None) -> Column:
     """PR-16: the text itself, or the ``$`` member when the field holds an object."""
     raw = _col(raw)
-    text = F.when(F.ltrim(raw).startswith("{"), F.get_json_object(raw, "$['$']")).otherwise(raw)
+    text = F.when(json_text(raw).startswith("{"), F.get_json_object(raw, "$['$']")).otherwise(raw)
     return text if default is None else F.coalesce(text, F.lit(default))
 
 

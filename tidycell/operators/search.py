@@ -166,7 +166,8 @@ def category_match(query: Column, categories: Column) -> Column:
     hits = F.aggregate(
         texts, F.lit(0), lambda acc, text: acc + F.size(F.filter(toks, lambda t: F.contains(text, t)))
     )
-    return F.coalesce(F.least(F.try_divide(hits, F.size(toks)), F.lit(1.0)), F.lit(0.0))
+    # least() passes over NULL, so no tokens and no categories must be 0 before it.
+    return F.least(F.coalesce(F.try_divide(hits, F.size(toks)), F.lit(0.0)), F.lit(1.0))
 
 
 def size_score(total_records: Column) -> Column:

@@ -36,7 +36,7 @@ _TABLE = (
 
 def as_list(raw: Column) -> Column:
     """SC-05: JSON text of a list; a lone object is wrapped, absent or scalar content is NULL."""
-    text = F.ltrim(raw)
+    text = S.json_text(raw)
     return F.when(text.startswith("["), text).when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]")))
 
 
@@ -48,9 +48,9 @@ def read_documents(spark: SparkSession, path, whole: bool = True) -> DataFrame:
 
 def envelope(df: DataFrame, text: str = "value") -> DataFrame:
     """SC-01 / SC-02 / SC-16: add ``form, status, error_message, total_number, rows_json`` to documents."""
-    is_list = F.ltrim(F.col(text)).startswith("[")
-    doc = F.when(~is_list, F.from_json(text, _DATA_ENVELOPE))
-    df = df.withColumn("_doc", doc)
+    content = S.json_text(text)
+    is_list = content.startswith("[")
+    df = df.withColumn("_doc", F.when(~is_list, F.from_json(content, _DATA_ENVELOPE)))
     body = F.col("_doc.GET_STATS_DATA")
     return df.select(
         *[c for c in df.columns if c != "_doc"],
@@ -80,7 +80,7 @@ def _decode(rows_json: Column, row_type: str) -> Column:
     # A stray non-object makes the typed decode NULL as a whole; only such
     # lists pay for the second decode element by element.
     strings = F.from_json(rows_json, "array<string>")
-    objects = F.filter(strings, lambda e: F.ltrim(e).startswith("{"))
+    objects = F.filter(strings, lambda e: S.json_text(e).startswith("{"))
     return F.coalesce(
         F.from_json(rows_json, f"array<{row_type}>"),
         F.transform(objects, lambda e: F.from_json(e, row_type)),
@@ -92,7 +92,6 @@ def cells(df: DataFrame, text: str = "value", categories: int = 5, keep: tuple[s
 
     ``keep`` names document columns to carry along (path, chunk number ...).
     """
-    row_type = cell_schema(categories).simpleString()
     row_type = "struct<" + ",".join(f"`{f.name}`:string" for f in cell_schema(categories)) + ">"
     env = envelope(df, text).filter(~rejected())
     exploded = env.select(*keep, F.posexplode(_decode(F.col("rows_json"), row_type)).alias("pos", "cell"))
@@ -106,7 +105,7 @@ def read_cell_lists(spark: SparkSession, path, categories: int = 5) -> DataFrame
 
 def code_list(df: DataFrame, text: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """SC-06: the classes of a metadata document, one row per code, in document order."""
-    raw = F.from_json(text, _META_ENVELOPE)["GET_META_INFO"]["METADATA_INF"]["CLASS_INF"]["CLASS_OBJ"]
+    raw = F.from_json(S.json_text(text), _META_ENVELOPE)["GET_META_INFO"]["METADATA_INF"]["CLASS_INF"]["CLASS_OBJ"]
     objects = df.select(*keep, F.posexplode(F.from_json(as_list(raw), _CLASS_OBJ)).alias("category_pos", "o"))
     members = objects.select(
         *keep,
@@ -134,13 +133,13 @@ def code_list(df: DataFrame, text: str = "value", keep: tuple[str, ...] = ()) ->
 
 def table_info(df: DataFrame, text: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """PR-17: the flat table description of a metadata document."""
-    raw = F.from_json(text, _META_ENVELOPE)["GET_META_INFO"]["METADATA_INF"]["TABLE_INF"]
+    raw = F.from_json(S.json_text(text), _META_ENVELOPE)["GET_META_INFO"]["METADATA_INF"]["TABLE_INF"]
     return df.select(*keep, raw.alias("_raw")).select(*keep, *M.table_info("_raw"))
 
 
 def catalogue(df: DataFrame, text: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """SC-07: the tables of a catalogue answer with their position in it."""
-    raw = F.from_json(text, _LIST_ENVELOPE)["GET_STATS_LIST"]["DATALIST_INF"]["TABLE_INF"]
+    raw = F.from_json(S.json_text(text), _LIST_ENVELOPE)["GET_STATS_LIST"]["DATALIST_INF"]["TABLE_INF"]
     rows = df.select(*keep, F.posexplode(F.from_json(as_list(raw), _TABLE)).alias("position", "t"))
     plain = ("STATISTICS_NAME", "TITLE_SPEC", "DESCRIPTION", "SURVEY_DATE", "OPEN_DATE", "UPDATED_DATE")
     labelled = ("TITLE", "GOV_ORG", "STAT_NAME", "MAIN_CATEGORY", "SUB_CATEGORY")
@@ -153,7 +152,8 @@ def catalogue(df: DataFrame, text: str = "value", keep: tuple[str, ...] = ()) ->
 
 def category_sizes(df: DataFrame, text: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """For PR-18: the number of codes of every category of a metadata document, within the row."""
-    raw = F.from_json(text, _META_ENVELOPE)["GET_META_INFO"]["METADATA_INF"]["CLASS_INF"]["CLASS_OBJ"]
+    raw = F.from_json(S.json_text(text), _META_ENVELOPE)["GET_META_INFO"]["METADATA_INF"]["CLASS_INF"]["CLASS_OBJ"]
     objects = F.from_json(as_list(raw), _CLASS_OBJ)
-    size = lambda o: F.size(F.from_json(as_list(o["CLASS"]), "array<string>")).cast("bigint")
+    codes = lambda o: F.from_json(as_list(o["CLASS"]), "array<string>")
+    size = lambda o: F.coalesce(F.size(codes(o)).cast("bigint"), F.lit(0).cast("bigint"))
     return df.select(*keep, F.coalesce(F.transform(objects, size), F.array().cast("array<bigint>")).alias("sizes"))

@@ -94,7 +94,7 @@ def metadata(spark, sf):
 view("metadata", """
 SELECT id, CASE WHEN n_chars % 5 <> 0 THEN n_chars END AS total_records, sub_category || ' ' || main_category AS text1,
        title || ' ' || statistics_name || ' ' || main_category || ' ' || sub_category || ' ' || gov_org || ' ' || id AS text2 FROM catalogue""")
-MATCH = f"COALESCE(least(({_HIT.replace('{c}', 'text1')} + {_HIT.replace('{c}', 'text2')}) / NULLIF(len(tokens), 0), 1.0), 0)"
+MATCH = f"least(COALESCE(({_HIT.replace('{c}', 'text1')} + {_HIT.replace('{c}', 'text2')}) / NULLIF(len(tokens), 0), 0), 1.0)"
 SIZE = "CASE WHEN total_records IS NULL THEN 0.5::DOUBLE WHEN total_records >= 10000 THEN 1.0 WHEN total_records >= 1000 THEN 0.9 WHEN total_records >= 100 THEN 0.7 WHEN total_records >= 10 THEN 0.5 ELSE 0.3 END"
 
 
