@@ -18,7 +18,7 @@ def test_register(rows):
     schema = "dataset_id string, dataset_name string, domain string, ingestion_status string, ingestion_timestamp timestamp, table_name string, survey_date string"
     df = rows(schema, ("1", "n", "economy", "pending", NOW, "economy_data", "2020-01-02"), ("2", None, "economy", "pending", NOW, "economy_data", None))
     got = I.register(df, NOW)
-    assert got.schema == schemas.INVENTORY
+    assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in schemas.INVENTORY]
     row = got.first()
     assert (row.survey_date, row.total_records, row.organization, row.error_message, row.created_at) == (dt.date(2020, 1, 2), 0, "", None, NOW)
     assert got.count() == 1 and values(I.refused(df), "dataset_id") == [("2",)]

@@ -11,7 +11,7 @@ from tidycell.plans import ingest as P
 from tidycell.session import scratch
 from tidycell.sources import files, tables
 from tidycell.streaming import landing
-from workloads import scans, views as V
+from workloads import views as V
 from workloads.registry import query, view
 
 
@@ -148,14 +148,12 @@ def in12_report(spark, sf):
     return report.as_row(spark)
 
 
-@query("in13_missing_chunks", f"""
-SELECT CAST(seq // {scans.CHUNK} AS INTEGER) AS chunk_num FROM cells_sales GROUP BY 1
-HAVING count(*) FILTER (WHERE "@cat02" = 'F' AND "@cat01" = '1-URGENT' AND "@area" = '01000' AND "@time" = '1996Q1') = 0""")
+@query("in13_missing_chunks", """
+SELECT o_orderkey // 20 AS chunk_num FROM orders GROUP BY 1 HAVING count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') = 0""")
 def in13(spark, sf):
-    cells = V.cells_sales(spark, sf).withColumn("chunk_num", F.floor(F.col("seq") / scans.CHUNK).cast("int"))
-    plan = cells.select("chunk_num").distinct()
-    landed = cells.filter("`@cat02` = 'F' AND `@cat01` = '1-URGENT' AND `@area` = '01000' AND `@time` = '1996Q1'").select("chunk_num").distinct()
-    return I.missing_chunks(plan, landed, ["chunk_num"])
+    o = V.table(spark, sf, "orders").withColumn("chunk_num", F.floor(F.col("o_orderkey") / 20).cast("bigint"))
+    landed = o.filter("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'").select("chunk_num").distinct()
+    return I.missing_chunks(o.select("chunk_num").distinct(), landed, ["chunk_num"])
 
 
 @query("in14_early_stop", """
