@@ -49,8 +49,7 @@ def duck(sf: str):
     return con
 
 
-KINDS = {"int": "i", "bigint": "i", "smallint": "i", "double": "f", "string": "s", "boolean": "b", "date": "d", "timestamp_ntz": "t", "timestamp": "t"}
-DUCK_KINDS = {"INTEGER": "i", "BIGINT": "i", "DOUBLE": "f", "VARCHAR": "s", "BOOLEAN": "b", "DATE": "d", "TIMESTAMP": "t"}
+SAME = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
 
 
 def check(spark, con, name, fn, sql, sf) -> tuple[str, int]:
@@ -63,9 +62,9 @@ def check(spark, con, name, fn, sql, sf) -> tuple[str, int]:
     want_names, want = table(columns, cur.fetchall())
     if got_names != want_names:
         return f"COLUMNS {got_names} != {want_names}", len(got)
-    types = {f.name: KINDS.get(f.dataType.simpleString(), "?") for f in df.schema}
-    duck_types = {d[0]: DUCK_KINDS.get(str(d[1]), "?" + str(d[1])) for d in cur.description}
-    off = [(c, types[c], duck_types[c]) for c in got_names if types[c] != duck_types[c] and "?" not in types[c]]
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    duck_types = {d[0]: str(d[1]) for d in cur.description}
+    off = [(c, types[c], duck_types[c]) for c in got_names if SAME.get(types[c]) != duck_types[c]]
     if off:
         return f"TYPES {off}", len(got)
     if len(got) != len(want):

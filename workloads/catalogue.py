@@ -126,12 +126,12 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY basic
 
 
 @query("sr09_rerank", """
-SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, basic_rank) AS rank FROM top20) WHERE rank <= 5""")
+SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, basic_rank) AS rank FROM top20) WHERE rank <= 5""")
 def sr09(spark, sf):
     return R.search(V.catalogue(spark, sf), metadata(spark, sf), list(QUERIES), V.AS_OF).select("query_id", "id", "score", "rank")
 
 
-@query("sr09_basic_only", "SELECT query_id, id, basic_score AS score, basic_rank AS rank FROM top20 WHERE basic_rank <= 10")
+@query("sr09_basic_only", "SELECT query_id, id, basic_score AS score, CAST(basic_rank AS INTEGER) AS rank FROM top20 WHERE basic_rank <= 10")
 def sr09_basic(spark, sf):
     found = R.search(V.catalogue(spark, sf), metadata(spark, sf), list(QUERIES), V.AS_OF, results=10, method="basic")
     return found.select("query_id", "id", "score", "rank")

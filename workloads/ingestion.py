@@ -16,8 +16,8 @@ from workloads.registry import query, view
 
 
 @query("in01_register", """
-SELECT CAST(c_custkey AS VARCHAR) AS dataset_id, c_name AS dataset_name, 'generic' AS domain, '' AS organization, CAST(NULL AS DATE) AS survey_date,
-       CAST(c_nationkey AS BIGINT) AS total_records, 'pending' AS ingestion_status, 'generic_data' AS table_name, CAST(NULL AS VARCHAR) AS error_message
+SELECT CAST(c_custkey AS VARCHAR) AS dataset_id, c_name AS dataset_name, 'generic' AS domain, '' AS organization, TRUE AS no_survey_date,
+       CAST(c_nationkey AS BIGINT) AS total_records, 'pending' AS ingestion_status, 'generic_data' AS table_name, TRUE AS no_error
 FROM customer WHERE c_mktsegment <> 'FURNITURE'""")
 def in01(spark, sf):
     offered = V.table(spark, sf, "customer").select(
@@ -25,7 +25,8 @@ def in01(spark, sf):
         F.lit("generic").alias("domain"), F.lit("pending").alias("ingestion_status"), F.lit(V.STAMP).alias("ingestion_timestamp"),
         F.lit("generic_data").alias("table_name"), F.col("c_nationkey").alias("total_records"))
     rows = I.register(offered, V.STAMP)
-    return rows.select("dataset_id", "dataset_name", "domain", "organization", "survey_date", "total_records", "ingestion_status", "table_name", "error_message")
+    return rows.select("dataset_id", "dataset_name", "domain", "organization", F.col("survey_date").isNull().alias("no_survey_date"), "total_records",
+                       "ingestion_status", "table_name", F.col("error_message").isNull().alias("no_error"))
 
 
 @query("in02_status_log", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidycell import schemas
 from tidycell.functions import metadata as M
 from tidycell.functions import scalars as S
-from tidycell.operators import domains, labels
+from tidycell.operators import domains, joins, labels
 from tidycell.sources import wire
 from workloads import views as V
 from workloads.registry import query, view
@@ -43,11 +43,11 @@ def pr03(spark, sf):
 
 @query("pr04_year", f"""
 SELECT seq, {V.sql_year(T)} AS year, {V.sql_year("substr(" + T + ", 1, 2)")} AS defaulted,
-       {V.sql_year("substr(" + T + ", 1, 2)", "NULL")} AS unknown FROM cells_orders""")
+       {V.sql_year("substr(" + T + ", 1, 2)", "NULL")} IS NULL AS is_unknown FROM cells_orders""")
 def pr04(spark, sf):
     short = F.substring("`@time`", 1, 2)
     return V.cells_orders(spark, sf).select(
-        "seq", S.year("`@time`").alias("year"), S.year(short).alias("defaulted"), S.year(short, None).alias("unknown")
+        "seq", S.year("`@time`").alias("year"), S.year(short).alias("defaulted"), S.year(short, None).isNull().alias("is_unknown")
     )
 
 
@@ -273,11 +273,11 @@ def pr21(spark, sf):
 
 
 @query("pr22_digits_only", """
-SELECT p_partkey, CASE WHEN regexp_matches(code, '^[0-9]+$') THEN CAST(code AS INTEGER) END AS age
+SELECT p_partkey, COALESCE(CASE WHEN regexp_matches(code, '^[0-9]+$') THEN CAST(code AS INTEGER) END, -1) AS age
 FROM (SELECT p_partkey, CASE WHEN p_size = 50 THEN 'T01' ELSE lpad(CAST(p_size AS VARCHAR), 3, '0') END AS code FROM part)""")
 def pr22(spark, sf):
     code = F.when(F.col("p_size") == 50, "T01").otherwise(F.lpad(F.col("p_size").cast("string"), 3, "0"))
-    return V.table(spark, sf, "part").select("p_partkey", S.digits_only(code).alias("age"))
+    return V.table(spark, sf, "part").select("p_partkey", F.coalesce(S.digits_only(code), F.lit(-1)).alias("age"))
 
 
 @query("pr23_percent_of", """
@@ -311,28 +311,29 @@ for _n, _d, _c, _i in (
     _domain_query(_n, _d, _c, _i)
 
 
-@query("dm12_legacy", f"""
-SELECT 'population' AS kind, 'OLD' AS stats_data_id, {V.sql_measure(chr(34) + "$" + chr(34), "null")} AS value, "@unit" AS unit,
-       TRY_CAST("@time" AS BIGINT) AS year, "@cat01" AS region_code, '' AS region_name, "@cat02" AS category, CAST(NULL AS INTEGER) AS quarter,
-       CAST(NULL AS VARCHAR) AS indicator, CAST(NULL AS VARCHAR) AS school_type, CAST(NULL AS VARCHAR) AS metric FROM cells_customer
-UNION ALL SELECT 'economy', 'OLD', {V.sql_measure(chr(34) + "$" + chr(34), "null")}, "@unit", TRY_CAST("@time" AS BIGINT), "@area", NULL, NULL, 1, "@cat01", NULL, NULL FROM cells_customer
-UNION ALL SELECT 'education', 'OLD', {V.sql_measure(chr(34) + "$" + chr(34), "null")}, "@unit", TRY_CAST("@time" AS BIGINT), "@area", NULL, NULL, NULL, NULL, "@cat01", "@cat02" FROM cells_customer
-UNION ALL SELECT 'other', 'OLD', {V.sql_measure(chr(34) + "$" + chr(34), "null")}, "@unit", TRY_CAST("@time" AS BIGINT), "@area", NULL, "@cat01", NULL, NULL, NULL, NULL FROM cells_customer""")
+_OLD = f"""SELECT '{{kind}}' AS kind, 'OLD' AS stats_data_id, {V.sql_measure(chr(34) + "$" + chr(34), "null")} AS value, "@unit" AS unit,
+  TRY_CAST("@time" AS BIGINT) AS year, {{region}} AS region_code, {{dims}} AS dims FROM cells_customer"""
+
+
+@query("dm12_legacy", " UNION ALL ".join((
+    _OLD.format(kind="population", region='"@cat01"', dims="""'region_name=,category=' || "@cat02\""""),
+    _OLD.format(kind="economy", region='"@area"', dims="""'quarter=1,indicator=' || "@cat01\""""),
+    _OLD.format(kind="education", region='"@area"', dims="""'school_type=' || "@cat01" || ',metric=' || "@cat02\""""),
+    _OLD.format(kind="other", region='"@area"', dims="""'category=' || "@cat01\""""),
+)))
 def dm12(spark, sf):
-    cells = V.cells_customer(spark, sf)
-    parts = [
-        V.bare(domains.to_legacy(cells, kind, "OLD", V.STAMP)).withColumn("kind", F.lit(kind))
-        for kind in ("population", "economy", "education", "other")
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    cells, parts = V.cells_customer(spark, sf), []
+    for kind in ("population", "economy", "education", "other"):
+        old = domains.to_legacy(cells, kind, "OLD", V.STAMP)
+        extra = [c for c in old.columns if c not in ("stats_data_id", "value", "unit", "year", "region_code", "updated_at")]
+        dims = F.concat_ws(",", *(F.concat(F.lit(f"{c}="), F.col(c)) for c in extra))
+        parts.append(old.select(F.lit(kind).alias("kind"), "stats_data_id", "value", "unit", "year", "region_code", dims.alias("dims")))
+    return joins.union_tables(parts)
 
 
 @query("d04_period_bounds", """
-SELECT seq, CASE WHEN regexp_matches(t, '^[0-9]{10}$') THEN CAST(substr(t, 7, 2) AS INTEGER) END AS period_from,
-       CASE WHEN regexp_matches(t, '^[0-9]{10}$') THEN CAST(substr(t, 9, 2) AS INTEGER) END AS period_to
+SELECT seq, CASE WHEN regexp_matches(t, '^[0-9]{10}$') THEN CAST(substr(t, 7, 2) AS INTEGER) ELSE 0 END AS period_from,
+       CASE WHEN regexp_matches(t, '^[0-9]{10}$') THEN CAST(substr(t, 9, 2) AS INTEGER) ELSE 0 END AS period_to
 FROM (SELECT o_orderkey AS seq, strftime(o_orderdate, '%Y') || '00' || lpad(CAST(quarter(o_orderdate) * 3 - 2 AS VARCHAR), 2, '0') || CASE WHEN o_orderstatus = 'P' THEN '' ELSE lpad(CAST(quarter(o_orderdate) * 3 AS VARCHAR), 2, '0') END AS t FROM orders)""")
 def d04(spark, sf):
     q = F.quarter("o_orderdate")
@@ -340,4 +341,4 @@ def d04(spark, sf):
     t = F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("00"), two(q * 3 - 2), F.when(F.col("o_orderstatus") == "P", "").otherwise(two(q * 3)))
     first, last = S.period_bounds(F.col("t"))
     return V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), t.alias("t")).select(
-        "seq", first.alias("period_from"), last.alias("period_to"))
+        "seq", F.coalesce(first, F.lit(0)).alias("period_from"), F.coalesce(last, F.lit(0)).alias("period_to"))

@@ -155,7 +155,7 @@ def wn01(spark, sf):
 
 
 @query("wn02_rank_per_query", """
-SELECT query_id, seq, rank FROM (SELECT l_suppkey AS query_id, l_orderkey * 100 + l_linenumber AS seq, l_extendedprice,
+SELECT query_id, seq, CAST(rank AS INTEGER) AS rank FROM (SELECT l_suppkey AS query_id, l_orderkey * 100 + l_linenumber AS seq, l_extendedprice,
   row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey * 100 + l_linenumber) AS rank FROM lineitem) WHERE rank <= 5""")
 def wn02(spark, sf):
     scored = V.table(spark, sf, "lineitem").select(

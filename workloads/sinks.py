@@ -57,11 +57,11 @@ def sk03(spark, sf):
 
 @query("sk04_code_list_csv", """
 SELECT category_id AS "カテゴリID", category_name AS "カテゴリ名", CAST(category_count AS VARCHAR) AS "カテゴリ数", code AS "コード", name AS "名称",
-       NULLIF(level, '') AS "レベル", NULLIF(parent_code, '') AS "親コード", CAST(NULL AS VARCHAR) AS "単位" FROM part_classes""")
+       level AS "レベル", parent_code AS "親コード", unit AS "単位" FROM part_classes""")
 def sk04(spark, sf):
     path = scratch(spark, "sk04")
     files.write_code_list_csv(wire.code_list(scalars.part_metadata(spark, sf)), path)
-    return files.read_csv(spark, path, list(files.CODE_LIST_HEADER))
+    return files.read_csv(spark, path, list(files.CODE_LIST_HEADER)).na.fill("")
 
 
 @query("sk05_raw_chunks", """
