@@ -75,6 +75,12 @@ def test_labels_unknown_and_duplicate(rows):
     assert values(df) == [("1", "second"), ("2", ""), (None, "")]
 
 
+def test_labels_of_several_columns(cell, rows):
+    codes = rows("category_id string, code string, name string", ("cat01", "A", "Alpha"), ("area", "13000", "Tokyo"))
+    row = labels.with_labels(cell, codes, {"@cat01": "cat01", "@area": "area", "@cat02": "cat02"}).first()
+    assert (row["@cat01"], row.cat01_name, row.area_name, row.cat02_name) == ("A", "Alpha", "Tokyo", "")
+
+
 def test_legacy(cell):
     old = cell.withColumns({"@time": F.lit("1991000000"), "$": F.lit("-")})
     row = domains.to_legacy(old, "population", "OLD", NOW).first()

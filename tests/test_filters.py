@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.errors import ParseException
 from pyspark.sql import functions as F
 
 from tests.conftest import values
@@ -77,10 +78,11 @@ def test_updated_since_is_strict(rows):
 
 
 def test_custom_sql_is_read_only(spark, rows):
-    df = rows("a int", (1,), (2,))
-    assert X.custom_sql(spark, " with q as (select a from t1) select sum(a) s from q", {"t1": df}).first().s == 3
-    for statement in ("DROP TABLE x", "insert into t values (1)", "CREATE TABLE z (a int)", "set a=b"):
-        with pytest.raises(ValueError):
+    df = rows("a int", (3,), (1,), (2,))
+    assert X.custom_sql(spark, " with q as (select a from t1) select sum(a) s from q;", {"t1": df}).first().s == 6
+    assert [r.a for r in X.custom_sql(spark, "select a from t1 order by a desc -- newest first", {"t1": df}).collect()] == [3, 2, 1]
+    for statement in ("DROP TABLE x", "insert into t1 values (1)", "CREATE TABLE z (a int)", "set a=b", "with q as (select 1 a) insert into t1 select a from q", "from t1 insert into t1 select a"):
+        with pytest.raises(ParseException):
             X.custom_sql(spark, statement, {})
 
 

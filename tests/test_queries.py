@@ -1,4 +1,4 @@
-"""Every registered query against its SQL, on the smallest data set."""
+"""Every registered query against its SQL, on the smallest data set, and its plan."""
 
 import pytest
 
@@ -8,6 +8,9 @@ from workloads import QUERIES, SQL
 
 # Only SQL that has no exact counterpart may be missing.
 ROWS_ONLY = {"ag25_distinct_approximate"}
+MAY_BE_EMPTY = {"dq04_duplicate_texts", "fl10_cross_tab_cell"}
+# Joins that pair rows, and Python that works row by row.
+UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas")
 
 
 @pytest.fixture(scope="module")
@@ -17,11 +20,16 @@ def con(sf):
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, sf, con, name):
-    result, n = check(spark, con, name, QUERIES[name], SQL.get(name), sf)
-    assert result.startswith("ok") or (result == "EMPTY" and name in MAY_BE_EMPTY), result
+    plans = []
 
+    def run(spark, sf):
+        df = QUERIES[name](spark, sf)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
 
-MAY_BE_EMPTY = {"dq04_duplicate_texts", "fl10_cross_tab_cell"}
+    result, _ = check(spark, con, name, run, SQL.get(name), sf)
+    assert result.startswith("ok") or (result == "EMPTY" and name in MAY_BE_EMPTY), result
+    assert not [operator for operator in UNWANTED if operator in plans[0]]
 
 
 def test_only_inexact_queries_lack_sql():
@@ -32,12 +40,3 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns[:3] == ["year", "region_code", "record_count"] and df.count() > 0
     assert entry.queries().keys() == QUERIES.keys() and entry.oracle_sql() == SQL
-
-
-@pytest.mark.parametrize("name", list(QUERIES))
-def test_no_pairing_joins_and_no_row_python(spark, sf, name):
-    if name.startswith(("sk", "st", "in12")):
-        pytest.skip("loads run eagerly; their plans are tested with the tables")
-    text = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
-    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
-        assert operator not in text, operator

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import values
 from tidycell import schemas
+from tidycell.operators import inventory as I
 from tidycell.plans import ingest as P
 from tidycell.schemas import cell_schema
 from tidycell.session import scratch
@@ -147,6 +148,26 @@ def test_ingest_is_complete_and_repeatable(spark, tmp_path):
     assert P.ingest(spark, cells.filter("`@time` = '2020'"), "labor", "L", str(tmp_path), updated_at=NOW).as_row(spark).first().valid
 
 
+def test_batch_goes_on_after_a_failure(spark, tmp_path):
+    cell = ("S", None, "c", None, None, None, None, "01000", "2020", "u", "1")
+    datasets = spark.createDataFrame(
+        [("a", "labor", 5, "pending", 0), ("b", "trade", 9, "pending", 1), ("c", "labor", 1, "pending", 2), ("d", "labor", 10, "completed", 3)],
+        "id string, domain string, priority int, status string, added_pos int")
+
+    def cells_of(dataset):
+        if dataset == "b":
+            raise RuntimeError("Connection refused")
+        return spark.createDataFrame([cell], cell_schema())
+
+    out = P.ingest_batch(spark, datasets, cells_of, str(tmp_path), n=5, threshold=2, updated_at=NOW)
+    assert values(out, "dataset_id", "status", "error_type") == [("a", "completed", None), ("b", "failed", "network_error")]
+    log = spark.read.parquet(str(tmp_path / "logs" / "status"))
+    assert values(I.latest(log, "dataset_id", [F.desc("ts")]), "dataset_id", "status") == [("a", "completed"), ("b", "failed")]
+    assert log.count() == 4
+    loads = I.throughput(spark.read.parquet(str(tmp_path / "logs" / "loads"))).first()
+    assert (loads.dataset_id, loads.record_count) == ("a", 1) and loads.storage_bytes > 0 and loads.records_per_second > 0
+
+
 def test_location():
     assert tables.location("s3://b/", "labor") == "s3://b/iceberg-tables/labor/labor_data/"
 

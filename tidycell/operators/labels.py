@@ -26,6 +26,13 @@ def with_label(df: DataFrame, codes: DataFrame, category_id: str, column: str, l
     return joined.withColumn(label, F.coalesce("_name", F.lit(""))).drop("_code", "_name")
 
 
+def with_labels(df: DataFrame, codes: DataFrame, columns: dict[str, str], suffix: str = "_name") -> DataFrame:
+    """PR-10: labels of several code columns, ``{column: category}``, each next to its code."""
+    for column, category_id in columns.items():
+        df = with_label(df, codes, category_id, column, f"{column.lstrip('@')}{suffix}")
+    return df
+
+
 def with_parent(codes: DataFrame) -> DataFrame:
     """JN-09: every code next to its parent within the same category; NULL parent name at the top."""
     parent = codes.select(

@@ -1,15 +1,18 @@
-"""End-to-end ingest of a dataset (IN-12): map, check, split, load, log."""
+"""End-to-end ingest of a dataset (IN-12) and of a batch of them (IN-06): map, check, split, load, log."""
 
 from __future__ import annotations
 
+import datetime as dt
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidycell import schemas
-from tidycell.operators import domains, quality
-from tidycell.sources import tables
+from tidycell.operators import domains, errors, inventory, quality
+from tidycell.sources import files, tables
 
 
 @dataclass(frozen=True)
@@ -23,6 +26,7 @@ class Report:
     quarantined: int
     table_path: str
     quarantine_path: str
+    seconds: float = 0.0
 
     @property
     def valid(self) -> bool:
@@ -50,6 +54,7 @@ def ingest(
     Good rows go through the idempotent load: rerunning an ingest adds nothing.
     """
     mapped = domains.to_domain(cells, domain, dataset_id, codes, on_bad=on_bad, updated_at=updated_at)
+    start = time.monotonic()
     reasoned = tables.stage(
         spark, quality.with_reasons(mapped, rules if rules is not None else default_rules()), f"ingest-{dataset_id}"
     )
@@ -66,4 +71,54 @@ def ingest(
             bad.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("quarantined_dataset").parquet(quarantine_path)
         )
-    return Report(dataset_id, domain, counts.n, load.loaded, counts.bad, table_path, quarantine_path)
+    return Report(
+        dataset_id, domain, counts.n, load.loaded, counts.bad, table_path, quarantine_path, time.monotonic() - start
+    )
+
+
+# Columns of the load log, the status log and the error log.
+LOAD_LOG = "dataset_id string, domain string, ts timestamp, record_count bigint, duration_seconds double, storage_bytes bigint"
+STATUS_LOG = "dataset_id string, status string, ts timestamp, error_message string"
+
+
+def log_load(spark: SparkSession, report: Report, path: str, at: dt.datetime) -> None:
+    """IN-10: append what an ingest loaded, how long it took and how large its table is now."""
+    held = files.file_inventory(tables.read_domain(spark, report.table_path, report.domain))
+    size = held.agg(F.coalesce(F.sum("file_size"), F.lit(0)).cast("bigint").alias("n")).first().n
+    row = (report.dataset_id, report.domain, at, report.loaded, report.seconds, size)
+    spark.createDataFrame([row], LOAD_LOG).write.mode("append").parquet(path)
+
+
+def log_status(spark: SparkSession, dataset_id: str, status: str, path: str, at: dt.datetime, error: str | None = None) -> None:
+    """IN-02: append one status event."""
+    event = spark.createDataFrame([(dataset_id, status, at, error)], STATUS_LOG)
+    inventory.status_events(event).write.mode("append").parquet(path)
+
+
+def ingest_batch(
+    spark: SparkSession, datasets: DataFrame, cells_of: Callable[[str], DataFrame], root: str,
+    n: int = 5, threshold: int = 0, now: Callable[[], dt.datetime] = dt.datetime.now, **options,
+) -> DataFrame:
+    """IN-06 / IN-12: ingest the next pending datasets of an inventory, highest priority first.
+
+    ``cells_of`` gives the cells of a dataset by id.  Every step is recorded in the
+    status and load logs below ``root/logs``; a dataset that fails is marked so, with
+    its message, and the others go on.  Returns the final status events of this
+    batch with the type of each error.
+    """
+    chosen = inventory.next_batch(datasets, n, threshold).select("id", "domain").collect()
+    status_log, load_log = f"{root.rstrip('/')}/logs/status", f"{root.rstrip('/')}/logs/loads"
+    final = []
+    for dataset in chosen:
+        log_status(spark, dataset.id, "processing", status_log, now())
+        try:
+            report = ingest(spark, cells_of(dataset.id), dataset.domain, dataset.id, root, **options)
+            log_load(spark, report, load_log, now())
+            final.append((dataset.id, "completed", now(), None))
+        except Exception as e:  # one dataset must not stop the others
+            final.append((dataset.id, "failed", now(), f"{type(e).__name__}: {e}"))
+        log_status(spark, *final[-1][:2], status_log, *final[-1][2:])
+    outcome = spark.createDataFrame(final, STATUS_LOG)
+    return outcome.withColumn(
+        "error_type", F.when(F.col("status") == "failed", errors.error_type(F.col("error_message")))
+    )
