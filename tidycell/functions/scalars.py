@@ -7,11 +7,15 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Text patterns of the wire format.
+# Text patterns of the wire format. Digits may be full-width.
+DIGIT = "[0-9０-９]"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-YEAR = "([0-9]{4})"
-QUARTER = "(?i)Q([1-4])"
-MONTHS = ("[0-9]{4}-([0-9]{2})", "[0-9]{4}([0-9]{2})[0-9]{2}", "[0-9]{4}([0-9]{2})")
+YEAR = f"({DIGIT}{{4}})"
+QUARTER = "(?i)Q([1-4１-４])"
+# yyyy-mm anywhere, else yyyymmdd anywhere, else yyyymm anywhere.
+MONTH = (
+    f"(?s)^(?:.*?{DIGIT}{{4}}-(?={DIGIT}{{2}})|.*?{DIGIT}{{4}}(?={DIGIT}{{4}})|.*?{DIGIT}{{4}}(?={DIGIT}{{2}}))({DIGIT}{{2}})"
+)
 INT_TEXT = "^-?[0-9]+$"
 DOUBLE_TEXT = r"^-?[0-9]+\.[0-9]+$"
 DATE_TEXT = "^[0-9]{4}-[0-9]{2}-[0-9]{2}"
@@ -23,21 +27,18 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def ascii_digits(c, drop: str = "") -> Column:
-    """Full-width digits become ASCII ones; the characters of ``drop`` disappear in the same pass.
+# Every function below refers to its input once.  Catalyst copies an expression to each
+# place that refers to it when it pushes a filter through a projection, so an input
+# referred to five times would be computed five times, and nested ones many more.
 
-    Text of single-byte characters without any of those, as nearly all of it is, is left alone.
-    """
-    c = _col(c)
-    plain = F.octet_length(c) == F.length(c)
-    for char in drop:
-        plain = plain & ~c.contains(char)
-    return F.when(plain, c).otherwise(F.translate(c, "０１２３４５６７８９" + drop, "0123456789"))
+def ascii_digits(c, drop: str = "") -> Column:
+    """Full-width digits become ASCII ones; the characters of ``drop`` disappear in the same pass."""
+    return F.translate(_col(c), "０１２３４５６７８９" + drop, "0123456789")
 
 
-def _extract(c: Column, pattern: str) -> Column:
-    """First capture group, NULL when the pattern does not occur."""
-    return F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
+def _number_in(c, pattern: str) -> Column:
+    """First capture group as INT, NULL when the pattern does not occur."""
+    return ascii_digits(F.regexp_extract(_col(c), pattern, 1)).try_cast("int")
 
 
 def dataset_id_from_path(path) -> Column:
@@ -48,7 +49,7 @@ def dataset_id_from_path(path) -> Column:
 def to_number(c, drop: str = "") -> Column:
     """Double for plain decimal or scientific notation, NULL for anything else; ``drop`` is removed first."""
     text = F.btrim(ascii_digits(c, drop), F.lit(WHITESPACE))
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.regexp_extract(text, NUMBER, 0).try_cast("double")
 
 
 def measure(c, on_bad: str = "zero") -> Column:
@@ -68,29 +69,24 @@ def measure(c, on_bad: str = "zero") -> Column:
 
 def year(time, default: int | None = DEFAULT_YEAR) -> Column:
     """PR-04: the first run of four digits; ``default`` (may be None) when there is none."""
-    found = _extract(ascii_digits(time), YEAR).cast("int")
+    found = _number_in(time, YEAR)
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def quarter(time) -> Column:
     """PR-05: 1..4 from a ``Qn`` marker in any case, else 0."""
-    t = ascii_digits(time)
-    return F.coalesce(F.when(F.length(t) >= 2, _extract(t, QUARTER).cast("int")), F.lit(0))
+    return F.coalesce(_number_in(time, QUARTER), F.lit(0))
 
 
 def month(time) -> Column:
     """PR-06: month digits of ``yyyy-mm``, ``yyyymmdd`` or ``yyyymm``, in that order, else 0. Not range checked."""
-    t = ascii_digits(time)
-    dashed, long, short = (_extract(t, p).cast("int") for p in MONTHS)
-    # A pattern is only tried on text that can hold it.
-    tries = F.coalesce(F.when(t.contains("-"), dashed), F.when(F.length(t) >= 8, long), short)
-    return F.coalesce(F.when(F.length(t) >= 6, tries), F.lit(0))
+    return F.coalesce(_number_in(time, MONTH), F.lit(0))
 
 
 def legacy_year(time) -> Column:
     """PR-07: the whole time code as a number, 2020 when absent, NULL when not numeric."""
-    t = F.coalesce(_col(time), F.lit(str(DEFAULT_YEAR)))
-    return F.when(ascii_digits(t).rlike(r"^\s*[+-]?[0-9]+\s*$"), F.btrim(ascii_digits(t), F.lit(WHITESPACE)).try_cast("bigint"))
+    text = F.btrim(ascii_digits(F.coalesce(_col(time), F.lit(str(DEFAULT_YEAR)))), F.lit(WHITESPACE))
+    return F.regexp_extract(text, "^[+-]?[0-9]+$", 0).try_cast("bigint")
 
 
 def period_bounds(time) -> tuple[Column, Column]:

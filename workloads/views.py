@@ -29,17 +29,9 @@ def area(nationkey) -> Column:
     return F.concat(F.lpad((F.col(nationkey) + 1).cast("string"), 2, "0"), F.lit("000"))
 
 
-def cents(x) -> Column:
-    return F.round(F.col(x) * 100).cast("bigint")
-
-
 def money(x, grouped: bool = False) -> Column:
-    c = F.abs(cents(x))
-    whole = F.floor(c / 100).cast("bigint")
-    text = F.format_number(whole, 0) if grouped else whole.cast("string")
-    return F.concat(
-        F.when(cents(x) < 0, "-").otherwise(""), text, F.lit("."), F.lpad((c % 100).cast("string"), 2, "0")
-    )
+    """Two decimals, with thousands separators on request."""
+    return F.format_number(x, 2) if grouped else F.col(x).cast("decimal(18,2)").cast("string")
 
 
 AREA = "lpad(CAST({k} + 1 AS VARCHAR), 2, '0') || '000'"
@@ -50,11 +42,7 @@ def sql_area(k: str) -> str:
 
 
 def sql_money(x: str, grouped: bool = False) -> str:
-    c = f"abs(CAST(round({x} * 100) AS BIGINT))"
-    whole = f"format('{{:,}}', {c} // 100)" if grouped else f"CAST({c} // 100 AS VARCHAR)"
-    return (
-        f"CASE WHEN round({x} * 100) < 0 THEN '-' ELSE '' END || {whole} || '.' || lpad(CAST({c} % 100 AS VARCHAR), 2, '0')"
-    )
+    return f"format('{{:,.2f}}', {x})" if grouped else f"CAST(CAST({x} AS DECIMAL(18, 2)) AS VARCHAR)"
 
 
 def _suppressed(text: Column) -> Column:
