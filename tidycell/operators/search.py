@@ -96,38 +96,36 @@ def standing_score(as_of: dt.date) -> Column:
     )
 
 
-def _query_array(queries: list[str], first_id: int) -> Column:
-    return F.array(*(
-        F.struct(F.lit(first_id + i).alias("query_id"), F.lit(q).alias("query"), tokens(F.lit(q)).alias("tokens"))
-        for i, q in enumerate(queries)
-    ))
-
-
-def _hits(text: Column, query: Column) -> Column:
-    return F.size(F.filter(query["tokens"], lambda t: F.contains(text, t)))
+def _literals(texts) -> Column:
+    return F.array(*map(F.lit, texts)).cast("array<string>")
 
 
 def _score_batch(catalogue: DataFrame, queries: list[str], first_id: int, as_of: dt.date) -> DataFrame:
+    tokenised = [[w for w in q.split() if len(w) > 1] for q in queries]
+    asked = F.array(*(
+        F.struct(
+            F.lit(first_id + i).alias("query_id"), F.lit(q).alias("query"), _literals(toks).alias("tokens"),
+            F.lit(len(toks)).alias("k"),
+        )
+        for i, (q, toks) in enumerate(zip(queries, tokenised))
+    ))
+    # Each text is searched once per distinct token, however many queries share it.
+    distinct = _literals(sorted({t for toks in tokenised for t in toks}))
+    found = lambda text: F.filter(distinct, lambda t: F.contains(text, t))
     names = F.concat_ws(" ", _text("statistics_name"), _text("main_category"), _text("sub_category"))
     base = catalogue.select(
-        "id", "position", _text("title").alias("title"), names.alias("_names"),
-        _text("description").alias("_description"), standing_score(as_of).alias("_standing"),
+        "id", "position", _text("title").alias("title"), standing_score(as_of).alias("_standing"),
+        found(_text("title")).alias("_t"), found(names).alias("_c"), found(_text("description")).alias("_d"),
     )
-
-    def matched(q):
-        return F.struct(
-            q["query_id"].alias("query_id"), q["query"].alias("query"), F.size(q["tokens"]).alias("k"),
-            _hits(F.col("title"), q).alias("t"), _hits(F.col("_names"), q).alias("c"),
-            _hits(F.col("_description"), q).alias("d"),
-        )
-
+    hits = lambda q, part: F.size(F.filter(q["tokens"], lambda t: F.array_contains(F.col(part), t)))
+    matches = F.transform(asked, lambda q: F.struct(
+        q["query_id"].alias("query_id"), q["query"].alias("query"), q["k"].alias("k"),
+        hits(q, "_t").alias("t"), hits(q, "_c").alias("c"), hits(q, "_d").alias("d"),
+    ))
     # A query without tokens matches every row, as it carries no keyword condition.
-    relevant = F.filter(
-        F.transform(_query_array(queries, first_id), matched),
-        lambda m: (m["k"] == 0) | (m["t"] + m["c"] + m["d"] > 0),
-    )
+    relevant = F.filter(matches, lambda m: (m["k"] == 0) | (m["t"] + m["c"] + m["d"] > 0))
     rows = base.select("id", "position", "title", "_standing", F.explode(relevant).alias("m"))
-    part = lambda weight, hits: F.coalesce(weight * F.try_divide(hits, F.col("m.k")), F.lit(0.0))
+    part = lambda weight, n: F.coalesce(weight * F.try_divide(n, F.col("m.k")), F.lit(0.0))
     score = (
         part(W_TITLE, F.col("m.t")) + part(W_CATEGORY, F.col("m.c")) + part(W_DESCRIPTION, F.col("m.d"))
         + F.col("_standing")
