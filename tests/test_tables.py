@@ -82,6 +82,30 @@ def test_rebuild_is_all_or_nothing(spark, tmp_path):
     spark.sql("DROP TABLE rebuilt")
 
 
+def test_conform(spark):
+    rows = spark.createDataFrame([("D", "S", 2020, 1, "01000", "i", 1.5, "u", NOW)], schemas.schema("economy"))
+    long = tables.conform(rows, schemas.LONG_ECONOMY_COLUMNS)
+    assert dict(long.dtypes)["year"] == "bigint" and values(long, "year", "quarter", "indicator") == [(2020, 1, "i")]
+    assert tables.conform(rows, schemas.LOAD_TABLE_COLUMNS, {"indicator": "category"}).first().category == "i"
+    with pytest.raises(ValueError):
+        tables.conform(rows, schemas.LOAD_TABLE_COLUMNS)
+
+
+def test_small_load_never_shuffles_the_table(spark, tmp_path, monkeypatch):
+    path, seen = str(tmp_path / "t"), []
+    tables.load_new(spark, batch(spark, *((2000 + y, str(r), "c", 1.0) for y in range(4) for r in range(50))), path, "generic")
+    staged = tables.stage(spark, batch(spark, (2001, "1", "c", 1.0), (2001, "x", "c", 1.0)), "small")
+
+    def capture(df, *args, **kwargs):
+        df.collect()
+        seen.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+
+    monkeypatch.setattr(files, "write_parquet", capture)
+    tables.load_new(spark, staged, path, "generic")
+    assert "SortMergeJoin" not in seen[0] and seen[0].count("Exchange hashpartitioning") == 1  # the batch's own
+    assert "year#" in seen[0].split("PartitionFilters: [")[-1] or "2001" in seen[0]
+
+
 def test_create_and_describe(spark, tmp_path):
     for domain in schemas.DOMAINS:
         name = f"described_{domain}"

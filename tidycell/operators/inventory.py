@@ -66,6 +66,8 @@ def transitions(log: DataFrame, key: str, time: str, tie: str, span: str = "hour
     The log of one dataset can be huge, so it is cut into calendar spans: the
     window runs within ``(dataset, span)``, and the first event of a span takes
     its predecessor from the last event of the dataset's previous non-empty span.
+    Choose the span so that one span of the busiest dataset is a modest task;
+    the result does not depend on it.
     """
     bucket = F.date_trunc(span, F.col(time).cast("timestamp"))
     spanned = log.withColumn("_span", bucket)

@@ -85,6 +85,26 @@ INVENTORY_COLUMNS = (
 INVENTORY_REQUIRED = (
     "dataset_id", "dataset_name", "domain", "ingestion_status", "ingestion_timestamp", "table_name",
 )
+# The older seven-column load table and the economy table with long integers.
+LOAD_TABLE_COLUMNS = (
+    ("stats_data_id", "STRING"),
+    ("year", "INT"),
+    ("region_code", "STRING"),
+    ("category", "STRING"),
+    ("value", "DOUBLE"),
+    ("unit", "STRING"),
+    ("updated_at", "TIMESTAMP"),
+)
+LONG_ECONOMY_COLUMNS = (
+    ("stats_data_id", "STRING"),
+    ("year", "BIGINT"),
+    ("quarter", "BIGINT"),
+    ("region_code", "STRING"),
+    ("indicator", "STRING"),
+    ("value", "DOUBLE"),
+    ("unit", "STRING"),
+    ("updated_at", "TIMESTAMP"),
+)
 CODE_LIST_COLUMNS = (
     ("category_id", "STRING"),
     ("category_name", "STRING"),

@@ -99,6 +99,18 @@ def check_schema(df: DataFrame, domain: str) -> DataFrame:
     return df.select(*want.names)
 
 
+def conform(df: DataFrame, pairs, renamed: dict[str, str] | None = None) -> DataFrame:
+    """SK-11: the columns of another table layout by name, widened or converted to its types.
+
+    A value that does not fit its new type is an error, not a silent NULL.
+    """
+    df = df.withColumnsRenamed(renamed or {})
+    missing = [n for n, _ in pairs if n not in df.columns]
+    if missing:
+        raise ValueError(f"no columns {', '.join(missing)}")
+    return df.select(*(F.col(n).cast(f.dataType).alias(n) for (n, _), f in zip(pairs, schemas.struct(pairs))))
+
+
 def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write a batch below the scratch folder and read the copy."""
     path = scratch(spark, name)

@@ -123,6 +123,13 @@ def sk09(spark, sf):
     return tables.read_domain(spark, path, "population").groupBy("year", "region_code").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@query("sk09_load_table", "SELECT stats_data_id, year, region_code, category, value, unit FROM (SELECT *, indicator AS category FROM economy)")
+def sk09_load_table(spark, sf):
+    path = scratch(spark, "sk09l")
+    tables.conform(V.economy(spark, sf), schemas.LOAD_TABLE_COLUMNS, {"indicator": "category"}).write.parquet(path)
+    return V.bare(spark.read.schema(schemas.struct(schemas.LOAD_TABLE_COLUMNS)).parquet(path))
+
+
 @query("sk10_plain_parquet_table", "SELECT category, count(*) AS n, count(value) AS filled FROM sales GROUP BY category")
 def sk10(spark, sf):
     name, path = _name("generic_data"), scratch(spark, "sk10")
@@ -154,6 +161,13 @@ def sk11(spark, sf):
     return _rebuilt(spark, sf, 1).groupBy("stats_data_id", "year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@query("sk11_right_types", "SELECT stats_data_id, CAST(year AS BIGINT) AS year, CAST(quarter AS BIGINT) AS quarter, region_code, indicator, value, unit FROM economy")
+def sk11_types(spark, sf):
+    path = scratch(spark, "sk11t")
+    tables.conform(V.economy(spark, sf), schemas.LONG_ECONOMY_COLUMNS).write.parquet(path)
+    return V.bare(spark.read.schema(schemas.struct(schemas.LONG_ECONOMY_COLUMNS)).parquet(path))
+
+
 @query("sk12_idempotent_load", """
 SELECT dataset_id, stats_data_id, year, region_code, category, value, unit FROM (
   SELECT *, row_number() OVER (PARTITION BY dataset_id, stats_data_id, year, region_code, category, unit ORDER BY value DESC NULLS LAST) AS rn FROM sales) WHERE rn = 1""")
