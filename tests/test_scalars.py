@@ -102,7 +102,7 @@ def test_fetch_mode(spark):
     assert apply(spark, M.fetch_records, [5, 2000000], "t bigint") == [5, 1000000]
 
 
-@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.one_of(st.floats(allow_nan=False, allow_infinity=False).map(str), st.integers().map("{:,}".format), st.text(alphabet="0123456789.,-+eE Q年x", max_size=12)), min_size=1, max_size=40))
 def test_measure_against_python(spark, texts):
     import re
@@ -114,7 +114,7 @@ def test_measure_against_python(spark, texts):
     assert apply(spark, S.measure, texts) == [expected(t) for t in texts]
 
 
-@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="0123456789-Qq x", max_size=14), min_size=1, max_size=40))
 def test_time_parts_against_python(spark, texts):
     import re
