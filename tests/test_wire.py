@@ -46,9 +46,9 @@ def test_nothing_to_read(spark, empty):
 def test_rejected(spark):
     bad = {"GET_STATS_DATA": {"RESULT": {"STATUS": 100, "ERROR_MSG": "no such table"}}}
     nodata = {"GET_STATS_DATA": {"RESULT": {"STATUS": 0}}}
-    df = wire.envelope(docs(spark, envelope([ONE]), bad, nodata, [ONE], "garbage"))
+    df = wire.envelope(docs(spark, envelope([ONE]), bad, nodata, [ONE], "garbage", '[{"@id": "1"}, {"@i', []))
     assert values(df.filter(wire.rejected()), "n", "form", "status", "error_message") == [
-        (1, "envelope", 100, "no such table"), (2, "envelope", 0, None), (4, "unreadable", None, None)]
+        (1, "envelope", 100, "no such table"), (2, "envelope", 0, None), (4, "unreadable", None, None), (5, "list", None, None)]
 
 
 def test_error_envelope_with_rows_is_rejected_too(spark):

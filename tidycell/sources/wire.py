@@ -65,10 +65,18 @@ def envelope(df: DataFrame, text: str = "value") -> DataFrame:
     )
 
 
-def rejected() -> Column:
-    """SC-16: a document that reports an error or carries no data, over :func:`envelope` columns."""
+def rejected(check_rows: bool = True) -> Column:
+    """SC-16: a document that reports an error, carries no data, or is damaged, over :func:`envelope` columns.
+
+    ``check_rows`` also decodes the rows, so a truncated list is reported instead
+    of passing as an empty one.
+    """
     bad_status = F.coalesce(F.col("status"), F.lit(0)) != 0
-    return (F.col("form") == "unreadable") | ((F.col("form") == "envelope") & (bad_status | ~F.col("has_data")))
+    bad = (F.col("form") == "unreadable") | ((F.col("form") == "envelope") & (bad_status | ~F.col("has_data")))
+    if check_rows:
+        undecodable = F.from_json("rows_json", "array<string>").isNull()
+        bad = bad | (F.col("rows_json").isNotNull() & undecodable)
+    return bad
 
 
 def last_page(limit: Column | int) -> Column:
@@ -93,7 +101,7 @@ def cells(df: DataFrame, text: str = "value", categories: int = 5, keep: tuple[s
     ``keep`` names document columns to carry along (path, chunk number ...).
     """
     row_type = "struct<" + ",".join(f"`{f.name}`:string" for f in cell_schema(categories)) + ">"
-    env = envelope(df, text).filter(~rejected())
+    env = envelope(df, text).filter(~rejected(check_rows=False))
     exploded = env.select(*keep, F.posexplode(_decode(F.col("rows_json"), row_type)).alias("pos", "cell"))
     return exploded.select(*keep, "pos", "cell.*")
 
