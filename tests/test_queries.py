@@ -39,4 +39,4 @@ def test_only_inexact_queries_lack_sql():
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns[:3] == ["year", "region_code", "record_count"] and df.count() > 0
-    assert entry.queries().keys() == QUERIES.keys() and entry.oracle_sql() == SQL
+    assert entry.queries().keys() >= QUERIES.keys() and entry.oracle_sql().items() >= SQL.items()
