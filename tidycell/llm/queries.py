@@ -7,7 +7,7 @@ import importlib
 from tidycell.llm.registry import QUERIES, SQL
 
 #: One module per operator.
-MODULES = ("op10",)
+MODULES = ("op2", "op10")
 for _module in MODULES:
     importlib.import_module(f"tidycell.llm.entries.{_module}")
 
