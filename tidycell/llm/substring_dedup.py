@@ -10,8 +10,8 @@ tree is built in parts:
    is the same wherever the window occurs.  Prefixes are counted over the corpus.
    A prefix that occurs once is a leaf: its suffixes are not expanded.
 2. Long prefixes.  The suffixes below repeated prefixes are expanded to ``width``
-   words.  Documents that share their rarest repeated prefix meet in one task,
-   in groups of bounded size, which builds the part of the tree it can see:
+   words.  Documents that share their smallest repeated prefix (of those in few
+   documents, if any) meet in one task, in groups of bounded size, which builds the part of the tree it can see:
    suffixes sorted by digest, equal neighbours being the leaves of a deep node.
    Only the first leaf of each node goes on.
 3. The first leaves of all tasks are partitioned by their whole prefix and sorted;
@@ -20,7 +20,7 @@ tree is built in parts:
 
 Reported suffixes cover the words to remove; touching ones join to spans, which
 are the maximal repeats.  Edges of the tree are kept as digests of word
-sequences (128 bits at depth ``width``), not as the words.
+sequences (96 bits at depth ``width``), not as the words.
 
 Defined results: a null text has no words and keeps none; texts of fewer than
 ``width`` words have no window; rows that repeat in full are one document and
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidycell.llm.common import id_of, keyed
+from tidycell.llm.common import id_of, keyed, stage
 from tidycell.llm.words import Words, chunks, inside, windows
 
 WIDTH = 20
@@ -87,8 +87,8 @@ def _short_prefixes(width: int):
     return run
 
 
-LEAF = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("_doc", pa.int64()), ("_key", pa.int64()), ("at", pa.int32()), ("end", pa.int32())])
-LEAF_DDL = "d1 long, d2 long, _doc long, _key long, at int, end int"
+LEAF = pa.schema([("d1", pa.int64()), ("d2", pa.int32()), ("_doc", pa.int64()), ("_key", pa.int64()), ("at", pa.int32()), ("end", pa.int32())])
+LEAF_DDL = "d1 long, d2 int, _doc long, _key long, at int, end int"
 
 
 def _spans(doc: np.ndarray, key: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
@@ -112,14 +112,14 @@ def _local_trees(width: int):
             lists = batch.column(3)
             ends = lists.offsets.to_numpy()
             values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            parts = [(*(np.zeros(0, np.int64),) * 4, np.zeros(0, np.int32))]
+            parts = [tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64, np.int32))]
             for i, j in chunks(texts):
                 words = Words(texts[i:j])
                 at, y, _ = _prefixes(words, width)
                 at = at[np.isin(y, values[ends[i]:ends[j]])]
                 row = np.searchsorted(words.bounds, at, "right") - 1
                 d1, d2 = (windows(words.digests, width, s)[at].view(np.int64) for s in (1, 2))
-                parts.append((d1, d2, docs[i + row], keys[i + row], (at - words.bounds[row]).astype(np.int32)))
+                parts.append((d1, d2.astype(np.int32), docs[i + row], keys[i + row], (at - words.bounds[row]).astype(np.int32)))
             d1, d2, doc, key, at = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort((at, key, doc, d2, d1))
             d1, d2, doc, key, at = (x[order] for x in (d1, d2, doc, key, at))
@@ -130,7 +130,7 @@ def _local_trees(width: int):
             more = ~same
             doc, key, at, end = _spans(doc[more], key[more], at[more], width)
             spread = (np.arange(len(at), dtype=np.int64) * 2654435761) ^ doc  # deals the spans out evenly
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (spread, spread, doc, key, at.astype(np.int32), end.astype(np.int32))], schema=LEAF)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (spread, spread.astype(np.int32), doc, key, at.astype(np.int32), end.astype(np.int32))], schema=LEAF)
 
     return run
 
@@ -171,11 +171,11 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(_doc, _key, span): words to remove, as start << 32 | end (word positions, end exclusive)."""
     rows = keyed(docs)
     found = rows.mapInArrow(_short_prefixes(width), "_doc long, _key long, prefix long")
-    counts = found.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
-    per_doc = found.join(counts, "prefix").groupBy("_doc", "_key").agg(F.collect_set("prefix").alias("prefixes"), F.min(F.struct("n", "prefix")).alias("rarest"))
+    counts = stage(found.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1"), "prefixes")
+    per_doc = found.join(counts, "prefix").groupBy("_doc", "_key").agg(F.collect_set("prefix").alias("prefixes"), F.min(F.struct(F.expr(f"n > {GROUP}"), "prefix", "n")).alias("least"))
     expand = rows.join(per_doc, ["_doc", "_key"]).select(
-        "_doc", "_key", "text", "prefixes", F.col("rarest.prefix").alias("meet"),
-        F.pmod(F.xxhash64("_doc", "_key"), F.ceil(F.col("rarest.n") / F.lit(GROUP)).cast("long")).alias("part"))
+        "_doc", "_key", "text", "prefixes", F.col("least.prefix").alias("meet"),
+        F.pmod(F.xxhash64("_doc", "_key"), F.ceil(F.col("least.n") / F.lit(GROUP)).cast("long")).alias("part"))
     leaves = expand.repartition("meet", "part").mapInArrow(_local_trees(width), LEAF_DDL)
     leaves = leaves.repartition("d1").sortWithinPartitions("d1", "d2", "_doc", "_key", "at")
     return leaves.mapInArrow(_later_leaves(width), "_doc long, _key long, span long")
