@@ -86,16 +86,17 @@ def hosts(counted: DataFrame, suspect: float = SUSPECT) -> DataFrame:
     rate = F.col("failures") / F.col("docs")
     prior = by_host.agg(F.avg(rate).alias("mean"), F.var_samp(rate).alias("var"))
     strength = F.col("mean") * (1 - F.col("mean")) / F.when(F.col("var") > 0, F.col("var")) - 1
-    prior = prior.select("mean", F.greatest(F.coalesce(strength, F.lit(1e9)), F.lit(1e-3)).alias("strength"))
-    out = by_host.crossJoin(F.broadcast(prior))  # one row
-    shrunk = (F.col("failures") + F.col("mean") * F.col("strength")) / (F.col("docs") + F.col("strength"))
-    return out.select("host", "docs", "failures", shrunk.alias("rate"), (shrunk > suspect).alias("suspect"))
+    prior = prior.select(F.struct("mean", F.greatest(F.coalesce(strength, F.lit(1e9)), F.lit(1e-3)).alias("strength"))).scalar()
+    shrunk = (F.col("failures") + prior["mean"] * prior["strength"]) / (F.col("docs") + prior["strength"])
+    return by_host.select("host", "docs", "failures", shrunk.alias("rate"), (shrunk > suspect).alias("suspect"))
 
 
 def verdicts(counted: DataFrame, known: DataFrame) -> DataFrame:
     """``counted`` with __base_failed, __suspect and __kept."""
     rows = counted.join(known.select(F.col("host").alias("__host"), F.col("suspect").alias("__suspect")), F.col("source").eqNullSafe(F.col("__host"))).drop("__host")
-    return rows.withColumn("__base_failed", base_failed()).withColumn("__kept", ~F.col("__base_failed") & ~(F.col("__suspect") & doubtful()))
+    # One condition over both sides of the join: split, a part would be pushed below the counts and take them again.
+    kept = F.when(base_failed(), False).when(F.col("__suspect"), ~doubtful()).otherwise(True)
+    return rows.withColumns({"__base_failed": base_failed(), "__kept": kept})
 
 
 def keep(docs: DataFrame) -> DataFrame:
