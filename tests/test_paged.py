@@ -37,9 +37,20 @@ def test_filters_drop_pages_before_the_fetch(spark, tmp_path):
     assert pages.filter("chunk_num = 7").count() == 0
 
 
-def test_cap_and_runs_of_pages(monkeypatch):
-    monkeypatch.setattr(paged, "MAX_TASKS", 3)
-    reader = paged.PagedReader({"root": "r", "datasets": "A:100,B:7,C:0", "chunk": "10", "max_records": "45"})
+def test_everything_is_planned_by_default():
+    reader = paged.PagedReader({"root": "r", "datasets": "A:3500000", "chunk": "100000"})
+    assert len(reader.partitions()) == 35 and reader.partitions()[-1].first == 34
+
+
+def test_absent_page_fails(tmp_path):
+    with pytest.raises(FileNotFoundError):
+        paged.landed_page(str(tmp_path), "A", 0, 1, 10)
+    with pytest.raises(FileNotFoundError):
+        paged.landed_page("hdfs://host/raw", "A", 0, 1, 10)
+
+
+def test_cap_and_runs_of_pages():
+    reader = paged.PagedReader({"root": "r", "datasets": "A:100,B:7,C:0", "chunk": "10", "max_records": "45", "pages_per_task": "2"})
     runs = [(r.dataset_id, r.first, r.last) for r in reader.partitions()]
     assert runs == [("A", 0, 1), ("A", 2, 3), ("A", 4, 4), ("B", 0, 0)]
     reader.fetch = lambda root, d, n, start, limit: f"{start}+{limit}"
@@ -64,9 +75,8 @@ def test_missing_page_fails_loudly(spark, tmp_path):
 @pytest.mark.parametrize("total", [0, 1, 99999, 100000, 100001, 5000000])
 def test_chunk_plan(rows, total):
     plan = paged.chunk_plan(rows("dataset_id string, total_records bigint", ("d", total))).orderBy("chunk_num").collect()
-    wanted = min(total, 1000000)
-    assert len(plan) == math.ceil(wanted / 100000)
-    assert sum(r.chunk_limit for r in plan) == wanted
+    assert len(plan) == math.ceil(total / 100000)
+    assert sum(r.chunk_limit for r in plan) == total
     assert [r.start_position for r in plan] == [i * 100000 + 1 for i in range(len(plan))]
 
 

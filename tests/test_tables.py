@@ -96,16 +96,55 @@ def test_small_load_never_shuffles_the_table(spark, tmp_path, monkeypatch):
     tables.load_new(spark, batch(spark, *((2000 + y, str(r), "c", 1.0) for y in range(4) for r in range(50))), path, "generic")
     staged = tables.stage(spark, batch(spark, (2001, "1", "c", 1.0), (2001, "x", "c", 1.0)), "small")
 
-    def capture(df, *args, **kwargs):
+    def capture(spark, df, name, write=tables.stage):
         df.collect()
         seen.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return write(spark, df, name)
 
-    monkeypatch.setattr(files, "write_parquet", capture)
-    tables.load_new(spark, staged, path, "generic")
-    assert "SortMergeJoin" not in seen[0] and seen[0].count("Exchange hashpartitioning") == 1  # the batch's own
+    monkeypatch.setattr(tables, "stage", capture)
+    assert tables.load_new(spark, staged, path, "generic").loaded == 1
+    # Shuffled are the batch's own rows and, of the table, those of its cells.
+    assert "SortMergeJoin" not in seen[0] and seen[0].count("Exchange hashpartitioning") == 2 and "LeftSemi" in seen[0]
     assert "year#" in seen[0].split("PartitionFilters: [")[-1] or "2001" in seen[0]
 
 
+def keyed(spark, *rows, dataset="W"):
+    """Cells by month, whose key the yearly table does not show."""
+    made = batch(spark, *((2020, "1", "a", v) for _, v in rows)) if rows else batch(spark, (2020, "1", "a", 0.0)).limit(0)
+    keys = spark.createDataFrame([(i, f"2020{m:02d}") for i, (m, _) in enumerate(rows)], "i int, cell_key string")
+    numbered = spark.createDataFrame([(2020, "1", "a", v, i) for i, (_, v) in enumerate(rows)], "y int, r string, c string, v double, i int")
+    first = made.limit(1).drop("value")
+    return first.crossJoin(numbered.join(keys, "i").select(F.col("v").alias("value"), "cell_key")).select(*schemas.column_names("generic"), "cell_key").withColumn("dataset_id", F.lit(dataset))
+
+
+def test_monthly_cells_of_a_yearly_table_all_stay(spark, tmp_path):
+    path = str(tmp_path / "t")
+    months = keyed(spark, *((m, float(m)) for m in range(1, 13)))
+    first = tables.load_new(spark, months, path, "generic")
+    assert (first.loaded, first.present, first.conflicts) == (12, 0, 0)
+    again = tables.load_new(spark, months.unionByName(months), path, "generic")
+    assert (again.loaded, again.present, again.copies) == (0, 12, 12)
+    assert tables.read_domain(spark, path, "generic").count() == 12
+
+
+def test_revision_takes_the_place_of_the_old_value_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.load_new(spark, keyed(spark, (1, 1.0), (2, 2.0)), path, "generic")
+    tables.load_new(spark, keyed(spark, (1, 7.0), dataset="OTHER"), path, "generic")
+    load = tables.load_new(spark, keyed(spark, (2, 9.0), (3, 3.0)), path, "generic")
+    assert (load.loaded, load.revised, load.present) == (1, 1, 0)
+    assert values(tables.read_domain(spark, path, "generic"), "dataset_id", "value") == [("OTHER", 7.0), ("W", 1.0), ("W", 3.0), ("W", 9.0)]
+    assert tables.load_new(spark, keyed(spark, (2, 9.0)), path, "generic").present == 1
+
+
+def test_conflicting_copies_are_handed_back(spark, tmp_path):
+    path = str(tmp_path / "t")
+    load = tables.load_new(spark, keyed(spark, (1, 1.0), (2, 2.0), (2, 3.0), (3, None), (3, None)), path, "generic")
+    assert (load.loaded, load.copies, load.conflicts) == (2, 1, 2)
+    assert values(load.conflicting, "value") == [(2.0,), (3.0,)]
+    assert values(tables.read_domain(spark, path, "generic"), "value") == [(1.0,), (None,)]
+
+
 def test_create_and_describe(spark, tmp_path):
     for domain in schemas.DOMAINS:
         name = f"described_{domain}"

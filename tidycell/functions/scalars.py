@@ -52,18 +52,18 @@ def to_number(c, drop: str = "") -> Column:
     return F.regexp_extract(text, NUMBER, 0).try_cast("double")
 
 
-def measure(c, on_bad: str = "zero") -> Column:
+def measure(c, on_bad: str = "zero", separators: bool = False) -> Column:
     """PR-02 / PR-03: a measure as DOUBLE.
 
     ``zero``: thousands separators are removed; blank or unreadable text is 0.
-    ``null``: separators are not removed; blank, ``-`` or unreadable text is
+    ``null``: separators are not removed unless ``separators`` says so; blank, ``-`` or unreadable text is
     NULL, while a measure that is absent altogether is 0.
     """
     c = _col(c)
     if on_bad == "zero":
         return F.coalesce(to_number(c, ","), F.lit(0.0))
     if on_bad == "null":
-        return F.when(c.isNull(), F.lit(0.0)).otherwise(to_number(c))
+        return F.when(c.isNull(), F.lit(0.0)).otherwise(to_number(c, "," if separators else ""))
     raise ValueError(f"on_bad must be 'zero' or 'null', not {on_bad!r}")
 
 

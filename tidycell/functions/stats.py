@@ -1,9 +1,10 @@
 """Aggregate expressions whose result does not depend on the order rows arrive in.
 
-Summing doubles in a different order changes the last bits.  Statistical
-measures carry a known number of decimals, so the sum is rounded to
-``digits`` before it is used: a rerun, a retry of a lost executor or another
-partitioning then gives the same figure.  ``digits=None`` leaves the sum raw.
+Summing doubles in a different order changes the last bits.  Measures are decimal
+figures, so they are summed as decimals of ``SCALE`` places, exactly: a rerun, a retry of a
+lost executor or another partitioning gives the same sum.  If some value has
+more places or is too large for that, the sum is the plain one of doubles.
+Nothing is rounded before it is used; ``digits`` rounds a finished sum.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DIGITS = 2
+DIGITS = None
+SCALE = 12
 
 
 def _col(c) -> Column:
@@ -19,7 +21,11 @@ def _col(c) -> Column:
 
 
 def total(c, digits: int | None = DIGITS) -> Column:
-    s = F.sum(_col(c))
+    c = _col(c)
+    exact = c.try_cast(f"decimal(38,{SCALE})")
+    fits = F.bool_and(c.isNull() | F.coalesce(exact.cast("double") == c, F.lit(False)))
+    # At most 38 digits; a sum beyond them is NULL, and then the plain one counts.
+    s = F.coalesce(F.when(fits, F.try_sum(exact).cast("double")), F.sum(c))
     return s if digits is None else F.round(s, digits)
 
 

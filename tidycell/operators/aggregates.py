@@ -154,8 +154,8 @@ def outliers(df: DataFrame, order: list[str], threshold: float = 2.0, n: int = 1
     valued = _with_value(df)
     moments = valued.agg(F.struct(F.avg(VALUE).alias("m"), F.stddev_samp(VALUE).alias("s"))).scalar()
     score = F.try_divide(F.abs(F.col(VALUE) - moments["m"]), moments["s"])
-    scored = valued.withColumn("z_score", F.round(score, 6))
-    return top(scored.filter(F.col("z_score") > threshold), n, *_desc("z_score"), *_asc(*order))
+    scored = valued.withColumn("z_score", score).filter(F.col("z_score") > threshold).withColumn("z_score", F.round("z_score", 6))
+    return top(scored, n, *_desc("z_score"), *_asc(*order))
 
 
 def dataset_profile(df: DataFrame, digits=DIGITS) -> DataFrame:

@@ -40,6 +40,14 @@ def _stamp(updated_at) -> Column:
     return F.current_timestamp() if updated_at is None else F.lit(updated_at).cast("timestamp")
 
 
+def with_identity(cells: DataFrame) -> DataFrame:
+    """Cells with ``cell_key``: a digest of every dimension as it came, also of those that the table of a
+    domain leaves out or shortens.  Two cells are the same if all their dimensions are."""
+    dims = sorted(c for c in cells.columns if c.startswith("@"))
+    parts = [F.concat(F.lit(f"{d}="), F.to_json(F.struct(F.coalesce(F.col(f"`{d}`"), F.lit("")).alias("v")))) for d in dims]
+    return cells.withColumn("cell_key", F.sha2(F.concat_ws("|", *parts), 256))
+
+
 def to_domain(
     cells: DataFrame,
     domain: str,
@@ -79,7 +87,7 @@ def to_domain(
         cell_id.alias("stats_data_id"),
         S.year(time, default_year).alias("year"),
         *(source(d).alias(d.name) for d in schemas.DOMAINS[schemas.resolve(domain)]),
-        S.measure(value, on_bad).alias("value"),
+        S.measure(value, on_bad, separators=True).alias("value"),
         _text(cells, "@unit").alias("unit"),
         _stamp(updated_at).alias("updated_at"),
         *keep,

@@ -6,6 +6,7 @@ import datetime as dt
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,10 @@ from tidycell.sources import files, tables
 
 @dataclass(frozen=True)
 class Report:
-    """What one ingest did; ``valid`` says whether no row had to be set aside."""
+    """What one ingest did; ``valid`` says whether no row had to be set aside.
+
+    rows = loaded + revised + present + copies + quarantined.
+    """
 
     dataset_id: str
     domain: str
@@ -27,6 +31,9 @@ class Report:
     table_path: str
     quarantine_path: str
     seconds: float = 0.0
+    revised: int = 0
+    present: int = 0
+    copies: int = 0
 
     @property
     def valid(self) -> bool:
@@ -34,8 +41,9 @@ class Report:
 
     def as_row(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(
-            [(self.dataset_id, self.domain, self.rows, self.loaded, self.quarantined, self.valid)],
-            "dataset_id string, domain string, rows bigint, loaded bigint, quarantined bigint, valid boolean",
+            [(self.dataset_id, self.domain, self.rows, self.loaded, self.revised, self.present, self.copies, self.quarantined, self.valid)],
+            "dataset_id string, domain string, rows bigint, loaded bigint, revised bigint, present bigint, copies bigint, "
+            "quarantined bigint, valid boolean",
         )
 
 
@@ -46,14 +54,17 @@ def default_rules() -> dict:
 
 def ingest(
     spark: SparkSession, cells: DataFrame, domain: str, dataset_id: str, root: str,
-    codes: DataFrame | None = None, rules: dict | None = None, updated_at=None, on_bad: str = "null",
+    codes: DataFrame | None = None, rules: dict | None = None, updated_at=None, on_bad: str = "null", batch: str = "all",
 ) -> Report:
     """Parse once, annotate once, write twice: good rows to the table, bad ones to quarantine.
 
     The annotated rows are staged, so both writes and all counts read one copy.
     Good rows go through the idempotent load: rerunning an ingest adds nothing.
+    The quarantine is kept per dataset and ``batch`` (name a chunk to ingest in chunks): a
+    rerun of a batch puts its outcome in the place of the last one, also if nothing is set aside any more.
     """
-    mapped = domains.to_domain(cells, domain, dataset_id, codes, on_bad=on_bad, updated_at=updated_at)
+    mapped = domains.to_domain(
+        domains.with_identity(cells), domain, dataset_id, codes, on_bad=on_bad, updated_at=updated_at, keep=(tables.CELL_KEY,))
     start = time.monotonic()
     reasoned = tables.stage(
         spark, quality.with_reasons(mapped, rules if rules is not None else default_rules()), f"ingest-{dataset_id}"
@@ -64,16 +75,23 @@ def ingest(
     table_path = tables.location(root, schemas.resolve(domain))
     quarantine_path = f"{root.rstrip('/')}/quarantine/{schemas.resolve(domain)}"
     load = tables.load_new(spark, reasoned.filter(F.size("reasons") == 0).drop("reasons"), table_path, domain)
-    if counts.bad:
-        bad = reasoned.filter(F.size("reasons") > 0).withColumn("quarantined_dataset", F.col("dataset_id"))
-        # Overwriting this dataset's partition keeps the quarantine idempotent too.
-        (
-            bad.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("quarantined_dataset").parquet(quarantine_path)
-        )
-    return Report(
-        dataset_id, domain, counts.n, load.loaded, counts.bad, table_path, quarantine_path, time.monotonic() - start
+    bad = reasoned.filter(F.size("reasons") > 0)
+    if load.conflicting is not None:
+        bad = bad.unionByName(load.conflicting.withColumn("reasons", F.array(F.lit("conflicting_value"))))
+    set_aside(bad, quarantine_path, dataset_id, batch)
+    report = Report(
+        dataset_id, domain, counts.n, load.loaded, counts.bad + load.conflicts, table_path, quarantine_path,
+        time.monotonic() - start, load.revised, load.present, load.copies,
     )
+    if report.rows != report.loaded + report.revised + report.present + report.copies + report.quarantined:
+        raise RuntimeError(f"rows of {dataset_id} are unaccounted for: {report}")
+    return report
+
+
+def set_aside(bad: DataFrame, path: str, dataset_id: str, batch: str) -> None:
+    """Write a batch's quarantine in the place of its last one."""
+    folder = f"quarantined_dataset={quote(dataset_id, safe='')}/batch={quote(batch, safe='')}"
+    bad.drop(tables.CELL_KEY).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{folder}")
 
 
 # Columns of the load log, the status log and the error log.

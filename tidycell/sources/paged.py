@@ -20,14 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
 CHUNK = 100_000
-MAX_RECORDS = 1_000_000
-MAX_TASKS = 20_000
 
 
 def landed_page(root: str, dataset_id: str, chunk_num: int, start: int, limit: int) -> str:
     """A page kept as JSON lines under ``dataset_id=…/chunk=…``, as a bare list."""
     lines: list[str] = []
-    for name in sorted(glob.glob(os.path.join(root, f"dataset_id={dataset_id}", f"chunk={chunk_num}", "part-*"))):
+    names = sorted(glob.glob(os.path.join(root, f"dataset_id={dataset_id}", f"chunk={chunk_num}", "part-*")))
+    if not names:  # a planned page that is absent, or a store that is no local folder, is no empty page
+        raise FileNotFoundError(f"no landed page {chunk_num} of {dataset_id} in {root}")
+    for name in names:
         with open(name, encoding="utf-8") as part:
             lines.extend(line.strip() for line in part if line.strip())
     return "[" + ",".join(lines) + "]"
@@ -59,10 +60,11 @@ class PagedReader(DataSourceReader):
         self.root = options["root"]
         self.fetch = _fetcher(options.get("fetcher", "landed"))
         self.chunk = int(options.get("chunk", CHUNK))
-        cap = int(options.get("max_records", MAX_RECORDS))
+        cap = int(options["max_records"]) if "max_records" in options else None
+        self.pages_per_task = int(options.get("pages_per_task", 1))
         # "id:total,id:total": the sizes the catalogue states.
         pairs = [pair.rsplit(":", 1) for pair in options["datasets"].split(",") if pair]
-        self.wanted = {dataset: min(int(total), cap) for dataset, total in pairs}
+        self.wanted = {dataset: int(total) if cap is None else min(int(total), cap) for dataset, total in pairs}
         self.only: dict[str, object] = {}
 
     def pushFilters(self, filters):
@@ -75,7 +77,7 @@ class PagedReader(DataSourceReader):
             yield f
 
     def partitions(self):
-        """One page per task, or short runs of pages once there are more than MAX_TASKS of them."""
+        """One page per task, or runs of ``pages_per_task``."""
         counts = {
             d: -(-n // self.chunk) for d, n in self.wanted.items() if n > 0 and self.only.get("dataset_id", d) == d
         }
@@ -83,7 +85,7 @@ class PagedReader(DataSourceReader):
             k = self.only["chunk_num"]
             runs = [PageRun(d, k, k, self.wanted[d]) for d, n in counts.items() if 0 <= k < n]
         else:
-            step = max(1, -(-sum(counts.values()) // MAX_TASKS))
+            step = self.pages_per_task
             runs = [
                 PageRun(d, i, min(i + step, n) - 1, self.wanted[d]) for d, n in counts.items() for i in range(0, n, step)
             ]
@@ -109,25 +111,26 @@ class PagedCells(DataSource):
 
 
 def pages(spark: SparkSession, root: str, sizes: dict[str, int], fetcher: str = "landed", chunk: int = CHUNK,
-          max_records: int = MAX_RECORDS) -> DataFrame:
+          max_records: int | None = None, pages_per_task: int = 1) -> DataFrame:
     """SC-11: one row per page with its raw text; decode with :func:`tidycell.sources.wire.cells`.
 
-    ``fetcher`` is ``landed``, ``url`` or ``module:function``.
+    ``fetcher`` is ``landed``, ``url`` or ``module:function``.  All records are read unless
+    ``max_records`` says otherwise; ``pages_per_task`` is the unit of retry.
     """
     # Workers get this module's code with the reader, wherever they start.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PagedCells)
+    reader = spark.read.format("paged_cells") if max_records is None else spark.read.format("paged_cells").option("max_records", max_records)
     return (
-        spark.read.format("paged_cells").option("root", root).option("fetcher", fetcher)
-        .option("chunk", chunk).option("max_records", max_records)
+        reader.option("root", root).option("fetcher", fetcher).option("chunk", chunk).option("pages_per_task", pages_per_task)
         .option("datasets", ",".join(f"{d}:{n}" for d, n in sizes.items())).load()
     )
 
 
-def chunk_plan(datasets: DataFrame, chunk: int = CHUNK, max_records: int = MAX_RECORDS) -> DataFrame:
+def chunk_plan(datasets: DataFrame, chunk: int = CHUNK, max_records: int | None = None) -> DataFrame:
     """SC-12: ``(dataset_id, chunk_num, start_position, chunk_limit)`` for datasets with ``total_records``."""
-    wanted = F.least(F.col("total_records"), F.lit(max_records).cast("bigint"))
+    wanted = F.col("total_records") if max_records is None else F.least(F.col("total_records"), F.lit(max_records).cast("bigint"))
     numbers = F.sequence(F.lit(0).cast("bigint"), F.ceil(wanted / chunk) - 1)
     plan = datasets.filter("total_records > 0").select("dataset_id", wanted.alias("wanted"), F.explode(numbers).alias("chunk_num"))
     return plan.select(

@@ -16,12 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidycell import schemas
-from tidycell.operators.quality import first_per_key
 from tidycell.session import scratch
 from tidycell.sources import files
 
-# Above this number of distinct years a load compares with the whole table.
-PRUNABLE_YEARS = 1000
+# Identity of a cell; kept in the files beside the columns of the table, which readers see without it.
+CELL_KEY = "cell_key"
 
 
 def location(root: str, domain: str) -> str:
@@ -67,22 +66,24 @@ def table_columns(spark: SparkSession, name: str) -> list[tuple[str, str, bool]]
     return [(c.name, c.dataType, c.isPartition) for c in spark.catalog.listColumns(name)]
 
 
-def read_domain(spark: SparkSession, path, domain: str) -> DataFrame:
+def read_domain(spark: SparkSession, path, domain: str, identity: bool = False) -> DataFrame:
     """A domain table by path, in registry order and types.
 
     The schema is given, so ``region_code=01000`` stays text; an empty region
     is stored as the default partition and comes back as NULL, hence the coalesce.
+    ``identity`` adds the cells' key, NULL in files that were written without it.
     """
-    df = spark.read.schema(schemas.schema(domain)).parquet(path)
-    return df.select(*(
-        F.coalesce(n, F.lit("")).alias(n) if n == "region_code" else F.col(n) for n in schemas.column_names(domain)
-    ))
+    want = schemas.schema(domain)
+    if identity:
+        want = T.StructType([*want.fields, T.StructField(CELL_KEY, T.StringType())])
+    df = spark.read.schema(want).parquet(path)
+    return df.select(*(F.coalesce(n, F.lit("")).alias(n) if n == "region_code" else F.col(n) for n in want.names))
 
 
-def read_existing(spark: SparkSession, path: str, domain: str) -> DataFrame | None:
+def read_existing(spark: SparkSession, path: str, domain: str, identity: bool = False) -> DataFrame | None:
     """The table at a path, or None when nothing was written there yet."""
     try:
-        return read_domain(spark, path, domain)
+        return read_domain(spark, path, domain, identity)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -93,10 +94,10 @@ def check_schema(df: DataFrame, domain: str) -> DataFrame:
     """Columns by name in registry order; a missing, extra or differently typed column is an error."""
     want = schemas.schema(domain)
     have = {f.name: f.dataType for f in df.schema}
-    wrong = [f.name for f in want if have.get(f.name) != f.dataType] + [n for n in have if n not in want.names]
+    wrong = [f.name for f in want if have.get(f.name) != f.dataType] + [n for n in have if n not in (*want.names, CELL_KEY)]
     if wrong:
         raise ValueError(f"columns do not match the {domain} table: {', '.join(wrong)}")
-    return df.select(*want.names)
+    return df.select(*want.names, *(n for n in have if n == CELL_KEY))
 
 
 def conform(df: DataFrame, pairs, renamed: dict[str, str] | None = None) -> DataFrame:
@@ -127,62 +128,101 @@ def append(spark: SparkSession, df: DataFrame, path: str, domain: str) -> None:
 
 @dataclass(frozen=True)
 class Load:
-    """Rows of the touched years before and after a load."""
+    """What became of the rows of a load; the figures add up to the rows given."""
+
+    loaded: int
+    revised: int
+    present: int
+    copies: int
+    conflicts: int
+    #: Rows of cells that the batch itself gives several values; None if there are none.
+    conflicting: DataFrame | None = None
+
 
-    before: int
-    after: int
+def _same(left: list[str], right: list[str]):
+    return [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)]
 
-    @property
-    def loaded(self) -> int:
-        return self.after - self.before
+
+def _overwrite(df: DataFrame, path: str, domain: str) -> None:
+    columns = schemas.partition_columns(domain)
+    df.hint("rebalance", *columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
 
 
-def load_new(
-    spark: SparkSession, df: DataFrame, path: str, domain: str, keys: list[str] | None = None,
-    order: list | None = None, years: list[int] | None = None,
-) -> Load:
-    """SK-12: append only cells the table does not have; running it again changes nothing.
+def load_new(spark: SparkSession, df: DataFrame, path: str, domain: str, keys: list[str] | None = None) -> Load:
+    """SK-12: load what the table does not have; running it again changes nothing.
 
-    Copies within the batch are reduced to one, then an anti-join on the cell
-    key removes what is there, all in the job that writes.  Only the partitions of
-    the years the batch touches are read, and of those only the key columns of
-    rows the batch also has: with a small batch that semi-join is a broadcast, so
-    the table is never shuffled.  A rerun after a crash between the data and any
-    later step appends nothing.
+    A cell is known by its dataset and ``cell_key`` (all dimensions as they came); a
+    batch without that column by the dimension columns of the table.  Equal copies in the batch
+    count once.  A cell with several values in one batch is a conflict: its rows are handed
+    back and none is loaded.  A known cell with another value is a revision: the
+    partitions with revisions are written anew with all their other rows, of this
+    and other datasets.  All else is appended.
 
-    Pass ``df`` staged, or the ``years`` it holds: they are looked up by a pass of
-    their own otherwise.
+    Of the table only the years within the batch's range are read, and of those only keys and values of
+    cells the batch also has.  The batch is judged once and staged, so the counts, the
+    rewrite and the append see the same rows.  Two loads of one table must not run at once.
     """
-    keys = keys or schemas.dimension_names(domain)
     df = check_schema(df, domain)
-    if years is None:
-        years = [r.year for r in df.select("year").distinct().limit(PRUNABLE_YEARS + 1).collect()]
-    prunable = len(years) <= PRUNABLE_YEARS and None not in years
+    keys = keys or (["dataset_id", CELL_KEY] if CELL_KEY in df.columns else schemas.dimension_names(domain))
+    each = df.groupBy(*keys).agg(
+        F.min(F.struct("updated_at", *(c for c in df.columns if c != "updated_at"))).alias("r"),
+        F.count("*").alias("_n"), F.count("value").alias("_v"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    conflict = ~F.col("_v").isin(0) & ((F.col("_v") != F.col("_n")) | (F.col("_lo") != F.col("_hi")))
+    batch = each.select("r.*", "_n", conflict.alias("_conflict"))
+    span = df.agg(F.min("year").alias("a"), F.max("year").alias("b")).first()
 
     def touched():
-        table = read_existing(spark, path, domain)
-        return table.filter(F.col("year").isin(*years)) if table is not None and prunable else table
-
-    batch = first_per_key(df, keys, order or [F.desc_nulls_last("value"), "updated_at"])
-    present, before = touched(), 0
-    if present is not None:
-        before = present.count()
-        there = present.select(*(F.col(k).alias(f"_{k}") for k in keys))
-        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-        there = there.join(df.select(*keys), same, "left_semi")
-        batch = batch.join(there, same, "left_anti")
-    append(spark, batch, path, domain)
-    return Load(before, touched().count())
+        table = read_existing(spark, path, domain, CELL_KEY in df.columns)
+        if table is None or span.a is None:
+            return table
+        return table.filter(F.col("year").between(span.a, span.b) | F.col("year").isNull())
+
+    present = touched()
+    status = F.when(F.col("_conflict"), "conflict")
+    if present is None:
+        batch = batch.withColumn("_status", status.otherwise("new"))
+    else:
+        known = [f"_{k}" for k in keys]
+        there = present.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("value").alias("_value"))
+        there = there.join(df.select(*keys), _same(keys, known), "left_semi").groupBy(*known).agg(
+            F.count("*").alias("_rows"), F.count("_value").alias("_valued"), F.min("_value").alias("_least"), F.max("_value").alias("_most"))
+        equal = F.when(F.col("value").isNull(), F.col("_valued") == 0).otherwise(
+            (F.col("_valued") == F.col("_rows")) & (F.col("_least") == F.col("value")) & (F.col("_most") == F.col("value")))
+        batch = batch.join(there, _same(keys, known), "left").withColumn(
+            "_status", status.when(F.col("_rows").isNull(), "new").when(equal, "present").otherwise("revised"))
+        batch = batch.drop(*known, "_rows", "_valued", "_least", "_most")
+    batch = stage(spark, batch, f"load-{schemas.resolve(domain)}")
+    found = {r._status: r for r in batch.groupBy("_status").agg(F.count("*").alias("cells"), F.sum("_n").alias("rows")).collect()}
+    cells = {k: found[k].cells if k in found else 0 for k in ("new", "present", "revised")}
+    if cells["revised"]:
+        parts = schemas.partition_columns(domain)
+        revised = batch.where("_status = 'revised'").drop("_n", "_conflict", "_status")
+        where = revised.select(*(F.col(p).alias(f"_{p}") for p in parts)).distinct()
+        gone = revised.select(*(F.col(k).alias(f"_{k}") for k in keys))
+        stay = touched().join(where, _same(parts, [f"_{p}" for p in parts]), "left_semi").join(gone, _same(keys, [f"_{k}" for k in keys]), "left_anti")
+        _overwrite(stage(spark, stay.unionByName(revised), f"revise-{schemas.resolve(domain)}"), path, domain)
+    append(spark, batch.where("_status = 'new'").drop("_n", "_conflict", "_status"), path, domain)
+    conflicts = found["conflict"].rows if "conflict" in found else 0
+    conflicting = None
+    if conflicts:
+        keys_of = batch.where("_conflict").select(*(F.col(k).alias(f"_{k}") for k in keys))
+        conflicting = df.join(keys_of, _same(keys, [f"_{k}" for k in keys]), "left_semi")
+    copies = sum(r["rows"] - r.cells for k, r in found.items() if k != "conflict")
+    return Load(cells["new"], cells["revised"], cells["present"], copies, conflicts, conflicting)
 
 
 def replace_partitions(spark: SparkSession, df: DataFrame, path: str, domain: str) -> None:
-    """SK-12: the other idempotent load: overwrite exactly the partitions the batch holds."""
-    staged = stage(spark, check_schema(df, domain), f"replace-{domain}")
-    columns = schemas.partition_columns(domain)
-    (
-        staged.hint("rebalance", *columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*columns).parquet(path)
-    )
+    """SK-12: the other idempotent load: the batch takes the place of its datasets' rows in the partitions
+    it holds; rows of other datasets there are written back."""
+    rows = check_schema(df, domain)
+    present = read_existing(spark, path, domain, CELL_KEY in rows.columns)
+    if present is not None:
+        parts = schemas.partition_columns(domain)
+        where = rows.select(*(F.col(p).alias(f"_{p}") for p in parts)).distinct()
+        own = rows.select(F.col("dataset_id").alias("_dataset_id")).distinct()
+        others = present.join(where, _same(parts, [f"_{p}" for p in parts]), "left_semi").join(own, _same(["dataset_id"], ["_dataset_id"]), "left_anti")
+        rows = rows.unionByName(others)
+    _overwrite(stage(spark, rows, f"replace-{schemas.resolve(domain)}"), path, domain)
 
 
 def rebuild(spark: SparkSession, sources: list[str], path: str, domain: str, name: str) -> int:

@@ -29,13 +29,16 @@ def load_batch(batch: DataFrame, batch_id: int, domain: str, dataset_id: str | N
     """One micro-batch: decode, map, set bad rows aside, load what is new."""
     spark = batch.sparkSession
     cells = wire.cells(batch)
-    mapped = domains.to_domain(cells, domain, dataset_id, on_bad=on_bad, updated_at=updated_at)
+    mapped = domains.to_domain(
+        domains.with_identity(cells), domain, dataset_id, on_bad=on_bad, updated_at=updated_at, keep=(tables.CELL_KEY,))
     reasoned = tables.stage(spark, quality.with_reasons(mapped, default_rules()), "micro-batch")
     good = reasoned.filter(F.size("reasons") == 0).drop("reasons")
-    tables.load_new(spark, good, table, domain)
+    load = tables.load_new(spark, good, table, domain)
     if bad:
         # A replayed batch overwrites its own folder instead of adding to it.
         rejected = reasoned.filter(F.size("reasons") > 0)
+        if load.conflicting is not None:
+            rejected = rejected.unionByName(load.conflicting.withColumn("reasons", F.array(F.lit("conflicting_value"))))
         rejected.write.mode("overwrite").parquet(f"{bad.rstrip('/')}/batch={batch_id}")
 
 

@@ -128,13 +128,12 @@ _ING = ", ".join(c for c in schemas.column_names("generic") if c != "updated_at"
 
 
 @query("in12_end_to_end", f"""
-SELECT {_ING}, 'table' AS place FROM (SELECT 'I1' AS dataset_id, * EXCLUDE (dataset_id, seq),
-   row_number() OVER (PARTITION BY stats_data_id, year, region_code, category, unit ORDER BY value DESC) AS rn FROM sales WHERE value IS NOT NULL) WHERE rn = 1
+SELECT {_ING}, 'table' AS place FROM (SELECT 'I1' AS dataset_id, * EXCLUDE (dataset_id, seq) FROM sales WHERE value IS NOT NULL)
 UNION ALL SELECT {_ING.replace('dataset_id', "'I1' AS dataset_id", 1)}, 'quarantine' FROM sales WHERE value IS NULL""")
 def in12(spark, sf):
     root = scratch(spark, "in12")
     for _ in range(2):  # the second ingest of the same cells changes nothing
-        report = P.ingest(spark, V.cells_sales(spark, sf), "generic", "I1", root, updated_at=V.STAMP)
+        report = P.ingest(spark, V.cells_orders(spark, sf), "generic", "I1", root, updated_at=V.STAMP)
     cols = [c for c in schemas.column_names("generic") if c != "updated_at"]
     good = tables.read_domain(spark, report.table_path, "generic").select(*cols, F.lit("table").alias("place"))
     bad = spark.read.parquet(report.quarantine_path).select(*cols, F.lit("quarantine").alias("place"))
@@ -142,10 +141,10 @@ def in12(spark, sf):
 
 
 @query("in12_step_report", """
-SELECT 'I2' AS dataset_id, 'generic' AS domain, count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT stats_data_id, year, region_code, category FROM sales WHERE value IS NOT NULL)) AS loaded,
+SELECT 'I2' AS dataset_id, 'generic' AS domain, count(*) AS rows, count(value) AS loaded, 0::BIGINT AS revised, 0::BIGINT AS present, 0::BIGINT AS copies,
        count(*) - count(value) AS quarantined, count(*) = count(value) AS valid FROM sales""")
 def in12_report(spark, sf):
-    report = P.ingest(spark, V.cells_sales(spark, sf), "generic", "I2", scratch(spark, "in12r"), updated_at=V.STAMP)
+    report = P.ingest(spark, V.cells_orders(spark, sf), "generic", "I2", scratch(spark, "in12r"), updated_at=V.STAMP)
     return report.as_row(spark)
 
 
@@ -212,13 +211,12 @@ def el03_recent(spark, sf):
 # --- streaming -----------------------------------------------------------------------------
 
 _ONCE = f"""
-SELECT {_ING} FROM (SELECT 'ST' AS dataset_id, 'CUS' AS stats_data_id, year, region_code, category, value, unit,
-  row_number() OVER (PARTITION BY year, region_code, category, unit ORDER BY value DESC) AS rn FROM population) WHERE rn = 1"""
+SELECT {_ING} FROM (SELECT 'ST' AS dataset_id, 'CUS' AS stats_data_id, year, region_code, category, value, unit FROM population)"""
 
 
 def _land(spark, df, path, name):
     """Customer cells as landed JSON lists, one per line."""
-    cell = F.struct(*(F.col(f"`{c}`") for c in ("@id", "@cat01", "@area", "@time", "@unit", "$")))
+    cell = F.struct(*(F.col(f"`{c}`") for c in ("@id", "@tab", "@cat01", "@area", "@time", "@unit", "$")))
     df.select(F.to_json(F.array(cell)).alias("value")).write.text(f"{path}/{name}")
 
 

@@ -9,9 +9,9 @@ from tidycell.operators import labels
 from workloads import views as V
 from workloads.registry import query, view
 
-view("pop_series", "SELECT year, region_code, round(sum(value), 2) AS population FROM population GROUP BY ALL")
-view("eco_series", "SELECT year, region_code, round(sum(value), 2) AS gdp FROM economy GROUP BY ALL")
-view("lab_series", "SELECT year, region_code, round(sum(value), 2) AS labor_force FROM labor GROUP BY ALL")
+view("pop_series", "SELECT year, region_code, round(fsum(value), 4) AS population FROM population GROUP BY ALL")
+view("eco_series", "SELECT year, region_code, round(fsum(value), 4) AS gdp FROM economy GROUP BY ALL")
+view("lab_series", "SELECT year, region_code, round(fsum(value), 4) AS labor_force FROM labor GROUP BY ALL")
 
 
 def _pop(spark, sf):
@@ -19,24 +19,23 @@ def _pop(spark, sf):
 
 
 @query("jn01_inner", """
-SELECT e.year, e.region_code, e.indicator, e.quarter, p.population, e.value AS gdp FROM economy e JOIN pop_series p ON p.year = e.year AND p.region_code = e.region_code WHERE p.year >= 1998""")
+SELECT e.year, e.region_code, e.indicator, e.quarter, p.population, e.value AS gdp FROM economy e JOIN pop_series p ON p.year = e.year AND p.region_code = e.region_code WHERE p.year >= 1998""", fine=True)
 def jn01(spark, sf):
     eco = V.economy(spark, sf).filter("year >= 1998").select("year", "region_code", "indicator", "quarter", F.col("value").alias("gdp"))
     return J.join_series(eco, _pop(spark, sf))
 
 
 @query("jn02_left", """
-SELECT e.year, e.region_code, e.indicator, e.value AS gdp, p.population FROM economy e LEFT JOIN (SELECT * FROM pop_series WHERE population > 50000) p
-  ON p.year = e.year AND p.region_code = e.region_code""")
+SELECT p.year, p.region_code, p.category, p.value AS population, e.gdp FROM population p LEFT JOIN eco_series e ON p.year = e.year AND p.region_code = e.region_code""", fine=True)
 def jn02(spark, sf):
-    eco = V.economy(spark, sf).select("year", "region_code", "indicator", F.col("value").alias("gdp"))
-    return J.join_series(eco, _pop(spark, sf).filter("population > 50000"), "left")
+    pop = V.population(spark, sf).select("year", "region_code", "category", F.col("value").alias("population"))
+    return J.join_series(pop, J.series(V.economy(spark, sf), "gdp"), "left")
 
 
 @query("jn03_join_and_aggregate", """
-SELECT p.year, count(DISTINCT p.region_code) AS region_count, round(sum(p.value), 2) AS total_population,
-       round(sum(e.value), 2) / count(e.value) AS avg_gdp
-FROM population p JOIN economy e ON p.year = e.year AND p.region_code = e.region_code GROUP BY p.year""")
+SELECT p.year, count(DISTINCT p.region_code) AS region_count, round(fsum(p.value), 4) AS total_population,
+       round(favg(e.value), 4) AS avg_gdp
+FROM population p JOIN economy e ON p.year = e.year AND p.region_code = e.region_code GROUP BY p.year""", fine=True)
 def jn03(spark, sf):
     joined = J.joined_statistics(V.population(spark, sf), V.economy(spark, sf))
     return joined.withColumnsRenamed({"left_total": "total_population", "right_avg": "avg_gdp"})
@@ -44,7 +43,7 @@ def jn03(spark, sf):
 
 @query("jn04_three_way", """
 SELECT p.year, p.region_code, p.population, e.gdp, l.labor_force FROM pop_series p JOIN eco_series e ON p.year = e.year AND p.region_code = e.region_code
-JOIN lab_series l ON p.year = l.year AND p.region_code = l.region_code WHERE p.year >= 1996""")
+JOIN lab_series l ON p.year = l.year AND p.region_code = l.region_code WHERE p.year >= 1996""", fine=True)
 def jn04(spark, sf):
     parts = [
         J.series(df.filter("year >= 1996"), name)
@@ -54,7 +53,7 @@ def jn04(spark, sf):
 
 
 @query("jn05_inventory_counts", """
-SELECT id AS dataset_id, name AS dataset_name, domain, (SELECT count(*) FROM sales) AS record_count FROM inventory WHERE domain || '_data' = 'population_data'""")
+SELECT id AS dataset_id, name AS dataset_name, domain, (SELECT count(*) FROM sales) AS record_count FROM inventory WHERE domain || '_data' = 'population_data'""", fine=True)
 def jn05(spark, sf):
     inv = V.inventory(spark, sf).select(F.col("id").alias("dataset_id"), F.col("name").alias("dataset_name"), "domain", F.concat("domain", F.lit("_data")).alias("table_name"))
     return J.inventory_counts(inv, V.sales(spark, sf), "population_data")
@@ -68,14 +67,14 @@ def jn06(spark, sf):
 
 
 @query("jn07_code_dimension", """
-SELECT l_orderkey, l_linenumber, l_quantity, COALESCE(c.name, '') AS part_name FROM lineitem LEFT JOIN part_codes c ON lpad(CAST(l_partkey AS VARCHAR), 9, '0') = c.code""")
+SELECT l_orderkey, l_linenumber, l_quantity, COALESCE(c.name, '') AS part_name FROM lineitem LEFT JOIN part_codes c ON lpad(CAST(l_partkey AS VARCHAR), 9, '0') = c.code""", fine=True)
 def jn07(spark, sf):
     li = V.table(spark, sf, "lineitem").withColumn("item", F.lpad(F.col("l_partkey").cast("string"), 9, "0"))
     return labels.with_label(li, V.part_codes(spark, sf), "item", "item", "part_name").select("l_orderkey", "l_linenumber", "l_quantity", "part_name")
 
 
 @query("jn08_semi_and_anti", """
-SELECT o_orderkey, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50) AS selected FROM orders""")
+SELECT o_orderkey, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50) AS selected FROM orders""", fine=True)
 def jn08(spark, sf):
     o = V.table(spark, sf, "orders").select("o_orderkey")
     ids = V.table(spark, sf, "lineitem").filter("l_quantity = 50").select(F.col("l_orderkey").alias("o_orderkey"))
@@ -85,7 +84,7 @@ def jn08(spark, sf):
 
 @query("jn09_hierarchy", """
 SELECT c.code, c.name, c.level, p.name AS parent_name, COALESCE(k.n, 0) AS children FROM part_codes c LEFT JOIN part_codes p ON c.parent_code = p.code
-LEFT JOIN (SELECT parent_code, count(*) AS n FROM part_codes WHERE parent_code <> '' GROUP BY 1) k ON c.code = k.parent_code""")
+LEFT JOIN (SELECT parent_code, count(*) AS n FROM part_codes WHERE parent_code <> '' GROUP BY 1) k ON c.code = k.parent_code""", fine=True)
 def jn09(spark, sf):
     codes = V.part_codes(spark, sf)
     counted = labels.children_per_parent(codes).select("code", "children")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,12 +41,26 @@ def compose(sql: str) -> str:
     return f"WITH {parts}\n{body}"
 
 
-def query(name: str, sql: str | None = None):
+PLACES = 4
+
+
+def finely(fn):
+    """The query with its finished doubles rounded to ``PLACES``, as its SQL rounds them: two engines'
+    sums of the same figures differ in the last bits."""
+    @wraps(fn)
+    def run(spark, sf):
+        df = fn(spark, sf)
+        return df.select(*(F.round(c, PLACES).alias(c) if t == "double" else c for c, t in df.dtypes))
+
+    return run
+
+
+def query(name: str, sql: str | None = None, fine: bool = False):
     """Register a Spark query and, where plain SQL can say the same, that SQL."""
     def wrap(fn):
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = fn
+        QUERIES[name] = finely(fn) if fine else fn
         if sql is not None:
             SQL[name] = compose(sql)
         return fn

@@ -165,7 +165,7 @@ def landed_chunks(spark, sf, name):
 SELECT CAST(seq // {CHUNK} AS INTEGER) AS chunk_num, "@id" AS id, "@area" AS area, "@time" AS period, "$" AS measure FROM cells_sales""")
 def sc11(spark, sf):
     root, total = landed_chunks(spark, sf, "sc11")
-    fetched = paged.pages(spark, root, {"ORD": total}, chunk=CHUNK, max_records=1 << 40)
+    fetched = paged.pages(spark, root, {"ORD": total}, chunk=CHUNK)
     return wire.cells(fetched, keep=("chunk_num",)).select(
         "chunk_num", F.col("`@id`").alias("id"), F.col("`@area`").alias("area"), F.col("`@time`").alias("period"), F.col("`$`").alias("measure"))
 
@@ -173,10 +173,10 @@ def sc11(spark, sf):
 @query("sc12_chunk_plan", """
 SELECT dataset_id, i AS chunk_num, i * 100000 + 1 AS start_position, least(100000, wanted - i * 100000) AS chunk_limit FROM (
   SELECT dataset_id, wanted, unnest(range(CAST(ceil(wanted / 100000.0) AS BIGINT))) AS i FROM (
-    SELECT CAST(o_orderkey AS VARCHAR) AS dataset_id, least(CAST(floor(o_totalprice * 5) AS BIGINT), 1000000) AS wanted FROM orders) WHERE wanted > 0)""")
+    SELECT CAST(o_orderkey AS VARCHAR) AS dataset_id, CAST(floor(o_totalprice * 25) AS BIGINT) AS wanted FROM orders) WHERE wanted > 0)""")
 def sc12(spark, sf):
     sizes = V.table(spark, sf, "orders").select(
-        F.col("o_orderkey").cast("string").alias("dataset_id"), F.floor(F.col("o_totalprice") * 5).cast("bigint").alias("total_records"))
+        F.col("o_orderkey").cast("string").alias("dataset_id"), F.floor(F.col("o_totalprice") * 25).cast("bigint").alias("total_records"))
     return paged.chunk_plan(sizes)
 
 
@@ -194,10 +194,10 @@ def sc14(spark, sf):
 
 
 @query("sc15_fetch_mode", """
-SELECT o_orderkey, CASE WHEN t <= 100000 THEN 'single' ELSE 'chunked' END AS mode, least(t, 1000000) AS records
-FROM (SELECT o_orderkey, CAST(floor(o_totalprice * 4) AS BIGINT) AS t FROM orders)""")
+SELECT o_orderkey, CASE WHEN t <= 100000 THEN 'single' ELSE 'chunked' END AS mode, t AS records
+FROM (SELECT o_orderkey, CAST(floor(o_totalprice * 25) AS BIGINT) AS t FROM orders)""")
 def sc15(spark, sf):
-    total = F.floor(F.col("o_totalprice") * 4).cast("bigint")
+    total = F.floor(F.col("o_totalprice") * 25).cast("bigint")
     return V.table(spark, sf, "orders").select("o_orderkey", M.fetch_mode(total).alias("mode"), M.fetch_records(total).alias("records"))
 
 

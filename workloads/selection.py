@@ -202,7 +202,7 @@ def sl04(spark, sf):
     return A.top(V.cells_orders(spark, sf), 5, F.asc("seq")).select("seq", F.col("`@area`").alias("area"), F.col("`$`").alias("measure"))
 
 
-@query("sl05_top_areas", "SELECT region_code, round(sum(value), 2) AS total_value FROM population GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+@query("sl05_top_areas", "SELECT region_code, round(fsum(value), 4) AS total_value FROM population GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", fine=True)
 def sl05(spark, sf):
     totals = J.series(V.population(spark, sf), "total_value", ["region_code"])
     return A.top(totals, 10, F.desc("total_value"), F.asc("region_code"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidycell import schemas
+from tidycell.operators import domains
 
 from tidycell.session import scratch
 from tidycell.sources import files, tables, wire
@@ -169,24 +170,26 @@ def sk11_types(spark, sf):
 
 
 @query("sk12_idempotent_load", """
-SELECT dataset_id, stats_data_id, year, region_code, category, value, unit FROM (
-  SELECT *, row_number() OVER (PARTITION BY dataset_id, stats_data_id, year, region_code, category, unit ORDER BY value DESC NULLS LAST) AS rn FROM sales) WHERE rn = 1""")
+SELECT dataset_id, stats_data_id, year, region_code, category, value + CASE WHEN category = '2-HIGH' THEN 1 ELSE 0 END AS value, unit FROM sales""")
 def sk12(spark, sf):
     path = scratch(spark, "sk12")
-    rows = V.sales(spark, sf).drop("seq")
+    rows = domains.to_domain(domains.with_identity(V.cells_sales(spark, sf)), "generic", "S1", on_bad="null", updated_at=V.STAMP, keep=("cell_key",))
     tables.load_new(spark, rows, path, "generic")
     tables.load_new(spark, rows.filter("category = '1-URGENT'"), path, "generic")
-    tables.load_new(spark, rows, path, "generic")
+    revised = rows.filter("category = '2-HIGH'").withColumn("value", F.col("value") + 1)
+    tables.load_new(spark, revised, path, "generic")
+    tables.load_new(spark, revised, path, "generic")
     return V.bare(tables.read_domain(spark, path, "generic"))
 
 
-@query("sk12_replace_partitions", "SELECT year, region_code, count(*) AS n, round(sum(value), 2) AS total FROM population GROUP BY ALL")
+@query("sk12_replace_partitions", "SELECT dataset_id, year, region_code, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT * FROM population UNION ALL SELECT * REPLACE ('CUS2' AS dataset_id) FROM population WHERE year >= 1998) GROUP BY ALL")
 def sk12b(spark, sf):
     path = scratch(spark, "sk12b")
     rows = V.population(spark, sf)
     tables.replace_partitions(spark, rows, path, "population")
+    tables.replace_partitions(spark, rows.filter("year >= 1998").withColumn("dataset_id", F.lit("CUS2")), path, "population")
     tables.replace_partitions(spark, rows.filter("year >= 1998"), path, "population")
-    return tables.read_domain(spark, path, "population").groupBy("year", "region_code").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return tables.read_domain(spark, path, "population").groupBy("dataset_id", "year", "region_code").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
 @query("sk13_add_column", """

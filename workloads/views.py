@@ -59,7 +59,7 @@ def cells_orders(spark: SparkSession, sf: str, grouped: bool = True) -> DataFram
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
     time = F.concat(F.year("o_orderdate"), F.lit("Q"), F.quarter("o_orderdate"))
     return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.concat(F.lit("ORD"), "o_orderstatus").alias("@id"),
+        F.concat(F.lit("ORD"), "o_orderstatus").alias("@id"), F.col("o_orderkey").cast("string").alias("@tab"),
         F.col("o_orderpriority").alias("@cat01"), F.col("o_orderstatus").alias("@cat02"),
         F.col("c_mktsegment").alias("@cat03"),
         area("c_nationkey").alias("@area"), time.alias("@time"), F.lit("yen").alias("@unit"),
@@ -69,7 +69,7 @@ def cells_orders(spark: SparkSession, sf: str, grouped: bool = True) -> DataFram
 
 def _sql_orders(grouped: bool) -> str:
     return f"""
-SELECT 'ORD' || o_orderstatus AS "@id", o_orderpriority AS "@cat01", o_orderstatus AS "@cat02", c_mktsegment AS "@cat03",
+SELECT 'ORD' || o_orderstatus AS "@id", CAST(o_orderkey AS VARCHAR) AS "@tab", o_orderpriority AS "@cat01", o_orderstatus AS "@cat02", c_mktsegment AS "@cat03",
        {sql_area('c_nationkey')} AS "@area",
        CAST(year(o_orderdate) AS VARCHAR) || 'Q' || CAST(quarter(o_orderdate) AS VARCHAR) AS "@time", 'yen' AS "@unit",
        {_sql_suppressed(sql_money('o_totalprice', grouped))} AS "$", o_orderkey AS seq
@@ -105,7 +105,7 @@ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""")
 
 def cells_customer(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select(
-        F.lit("CUS").alias("@id"), F.col("c_mktsegment").alias("@cat01"),
+        F.lit("CUS").alias("@id"), F.col("c_custkey").cast("string").alias("@tab"), F.col("c_mktsegment").alias("@cat01"),
         F.substring("c_name", 1, 8).alias("@cat02"), F.lit("balance").alias("@cat03"),
         area("c_nationkey").alias("@area"), (F.lit(1995) + F.col("c_custkey") % 7).cast("string").alias("@time"),
         F.lit("yen").alias("@unit"), money("c_acctbal").alias("$"), F.col("c_custkey").alias("seq"),
@@ -113,7 +113,7 @@ def cells_customer(spark: SparkSession, sf: str) -> DataFrame:
 
 
 view("cells_customer", f"""
-SELECT 'CUS' AS "@id", c_mktsegment AS "@cat01", substr(c_name, 1, 8) AS "@cat02", 'balance' AS "@cat03",
+SELECT 'CUS' AS "@id", CAST(c_custkey AS VARCHAR) AS "@tab", c_mktsegment AS "@cat01", substr(c_name, 1, 8) AS "@cat02", 'balance' AS "@cat03",
        {sql_area('c_nationkey')} AS "@area", CAST(1995 + c_custkey % 7 AS VARCHAR) AS "@time", 'yen' AS "@unit",
        {sql_money('c_acctbal')} AS "$", c_custkey AS seq
 FROM customer""")
