@@ -169,8 +169,8 @@ def _features(text: str, links: int) -> list[str]:
 class Field:
     """A linear-chain conditional random field with the labels 0 (other) and 1 (text)."""
 
-    def __init__(self, names: dict[str, int], weights: np.ndarray, chain: np.ndarray, ends: np.ndarray):
-        self.chain, self.ends = chain, ends
+    def __init__(self, names: dict[str, int], weights: np.ndarray, chain: np.ndarray):
+        self.chain = chain
         self.bias = tuple(weights[0].tolist())
         self.weights = {f: tuple(weights[i].tolist()) for f, i in names.items()}
         self._paths: dict[frozenset[str], tuple[float, float]] = {}
@@ -197,13 +197,13 @@ class Field:
             return []
         score = self.scores(page)
         (c00, c01), (c10, c11) = self.chain.tolist()
-        a, b = score[0][0] + self.ends[0], score[0][1] + self.ends[1]
+        a, b = score[0]
         back = []
         for s0, s1 in score[1:]:
             f0, f1 = b + c10 > a + c00, b + c11 > a + c01
             back.append((f0, f1))
             a, b = (b + c10 if f0 else a + c00) + s0, (b + c11 if f1 else a + c01) + s1
-        label = int(b + self.ends[3] > a + self.ends[2])
+        label = int(b > a)
         labels = [label]
         for f in reversed(back):
             label = int(f[label])
@@ -231,34 +231,31 @@ def fit(pages: list[tuple[list[Block], list[int]]], steps: int = STEPS, ridge: f
     on = np.arange(most)[None, :] < length[:, None]
     gold = np.eye(2)[y] * on[..., None]
     gold_chain = np.einsum("nta,ntb->ab", gold[:, :-1], gold[:, 1:])
-    last = gold[np.arange(len(pages)), length - 1] if len(pages) else np.zeros((0, 2))
-    weights, chain, ends = np.zeros((len(names) + 1, 2)), np.zeros((2, 2)), np.zeros(4)
-    moments = [[np.zeros_like(w), np.zeros_like(w)] for w in (weights, chain, ends)]
+    weights, chain = np.zeros((len(names) + 1, 2)), np.zeros((2, 2))
+    moments = [[np.zeros_like(w), np.zeros_like(w)] for w in (weights, chain)]
     for step in range(steps if len(pages) else 0):
         s = np.zeros((len(pages), most, 2))
         s[on] = x @ weights.astype(np.float32)
         fwd, bwd = np.zeros(s.shape), np.zeros(s.shape)
-        fwd[:, 0] = s[:, 0] + ends[:2]
+        fwd[:, 0] = s[:, 0]
         for t in range(1, most):
             fwd[:, t] = s[:, t] + np.logaddexp.reduce(fwd[:, t - 1, :, None] + chain, axis=1)
-        bwd[:, most - 1] = ends[2:]
         for t in range(most - 2, -1, -1):
             after = np.logaddexp.reduce((s[:, t + 1] + bwd[:, t + 1])[:, None, :] + chain, axis=2)
-            bwd[:, t] = np.where((t == length - 1)[:, None], ends[2:], after)
-        total = np.logaddexp.reduce(fwd[np.arange(len(pages)), length - 1] + ends[2:], axis=1)
+            bwd[:, t] = np.where((t == length - 1)[:, None], 0.0, after)
+        total = np.logaddexp.reduce(fwd[np.arange(len(pages)), length - 1], axis=1)
         prob = np.exp(fwd + bwd - total[:, None, None]) * on[..., None]
         pair = np.exp(fwd[:, :-1, :, None] + chain + (s[:, 1:] + bwd[:, 1:])[:, :, None, :] - total[:, None, None, None]) * on[:, 1:, None, None]
         blocks_n = on.sum()
         grads = (
             x.T @ (gold - prob)[on].astype(np.float32) / blocks_n - ridge * weights,
             (gold_chain - pair.sum((0, 1))) / blocks_n - ridge * chain,
-            np.concatenate([(gold[:, 0] - prob[:, 0]).sum(0), (last - prob[np.arange(len(pages)), length - 1]).sum(0)]) / blocks_n - ridge * ends,
         )
-        for w, g, m in zip((weights, chain, ends), grads, moments):
+        for w, g, m in zip((weights, chain), grads, moments):
             m[0] = 0.9 * m[0] + 0.1 * g
             m[1] = 0.99 * m[1] + 0.01 * g * g
             w += 0.15 * (m[0] / (1 - 0.9 ** (step + 1))) / (np.sqrt(m[1] / (1 - 0.99 ** (step + 1))) + 1e-8)
-    return Field(names, weights, chain, ends)
+    return Field(names, weights, chain)
 
 
 # Names that pages commonly give to the parts whose labels are known.
