@@ -7,7 +7,7 @@ from tests.compare import check, duck
 from workloads import QUERIES, SQL
 
 # Only SQL that has no exact counterpart may be missing.
-ROWS_ONLY = {"ag25_distinct_approximate"}
+ROWS_ONLY = set()
 MAY_BE_EMPTY = {"dq04_duplicate_texts", "fl10_cross_tab_cell"}
 # Joins that pair rows, and Python that works row by row.
 UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas")

@@ -57,3 +57,12 @@ def test_replayed_batch(spark, tmp_path):
         landing.load_batch(docs, 7, "generic", "DS", str(tmp_path / "table"), str(tmp_path / "bad"), NOW)
     assert tables.read_domain(spark, str(tmp_path / "table"), "generic").count() == 1
     assert spark.read.parquet(str(tmp_path / "bad")).count() == 1
+
+
+def test_labels_and_rejected_documents(spark, tmp_path):
+    docs = spark.createDataFrame(
+        [(json.dumps([cell("1", "1")]),), (json.dumps({"GET_STATS_DATA": {"RESULT": {"STATUS": 100, "ERROR_MSG": "quota"}}}),), ('[{"@id": "S"',), ("<html>",)], "value string")
+    codes = spark.createDataFrame([("area", "1", "North")], "category_id string, code string, name string")
+    landing.load_batch(docs, 1, "population", "DS", str(tmp_path / "table"), str(tmp_path / "bad"), NOW, codes=codes, rejects=str(tmp_path / "rejects"))
+    assert values(tables.read_domain(spark, str(tmp_path / "table"), "population"), "region_code", "region_name") == [("1", "North")]
+    assert values(spark.read.parquet(str(tmp_path / "rejects")), "reason") == [("damaged rows",), ("status 100: quota",), ("unreadable",)]

@@ -239,3 +239,31 @@ def test_scratch_is_below_the_shared_folder(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     a, b = scratch(spark, "x"), scratch(spark, "x")
     assert a != b and a.startswith(base) and b.startswith(base)
+
+
+def test_rebuild_refuses_a_file_without_a_dimension(spark, tmp_path):
+    rows = batch(spark, (2020, "01000", "a", 1.0))
+    rows.write.parquet(str(tmp_path / "good"))
+    rows.drop("category").write.parquet(str(tmp_path / "bad"))
+    sources = [f for n in ("good", "bad") for f in spark.read.parquet(str(tmp_path / n)).inputFiles()]
+    with pytest.raises(ValueError, match="category"):
+        tables.rebuild(spark, sources, str(tmp_path / "t"), "generic", "rebuilt_lacking")
+    assert not spark.catalog.tableExists("rebuilt_lacking")
+
+
+def test_rebuild_reads_all_files_in_one_scan(spark, tmp_path):
+    batch(spark, *((2000 + y, str(r), "c", 1.0) for y in range(4) for r in range(50))).repartition(40).write.parquet(str(tmp_path / "many"))
+    sources = spark.read.parquet(str(tmp_path / "many")).inputFiles()
+    rows, n = tables._checked_files(spark, sources, "generic")
+    assert n == 200 and len(sources) == 40
+    assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_written_bytes_are_those_of_the_load(spark, tmp_path):
+    path = str(tmp_path / "t")
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "t").rglob("*.parquet"))
+    first = tables.load_new(spark, batch(spark, (2020, "01000", "a", 1.0)), path, "generic")
+    assert first.written_bytes == size()
+    second = tables.load_new(spark, batch(spark, (2021, "01000", "a", 1.0)), path, "generic")
+    assert first.written_bytes + second.written_bytes == size()
+    assert tables.load_new(spark, batch(spark, (2021, "01000", "a", 1.0)), path, "generic").written_bytes == 0

@@ -23,14 +23,20 @@ def series(df: DataFrame, name: str, keys: list[str] = KEYS, digits=DIGITS) -> D
     return df.groupBy(*keys).agg(total("value", digits).alias(name))
 
 
+def one_row_per_key(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """The same rows; a repeated key is an error.  Grouped by the join's keys, it adds no shuffle to a join."""
+    only = lambda c: F.when(F.count("*") == 1, F.first(c)).otherwise(F.raise_error(F.lit(f"several rows for one {', '.join(keys)}")))
+    return df.groupBy(*keys).agg(*(only(c).alias(c) for c in df.columns if c not in keys))
+
+
 def join_series(left: DataFrame, right: DataFrame, how: str = "inner", keys: list[str] = KEYS) -> DataFrame:
-    """JN-01 / JN-02: rows of ``left`` with the matching value of the series ``right``."""
-    return left.join(right, keys, how)
+    """JN-01 / JN-02: rows of ``left`` with the matching value of the series ``right``, in which a key may not repeat."""
+    return left.join(one_row_per_key(right, keys), keys, how)
 
 
 def join_all(parts: list[DataFrame], keys: list[str] = KEYS) -> DataFrame:
     """JN-04: several series side by side; all are partitioned by the same keys, so each is shuffled once."""
-    return reduce(lambda a, b: a.join(b, keys, "inner"), parts)
+    return reduce(lambda a, b: a.join(one_row_per_key(b, keys), keys, "inner"), parts)
 
 
 def joined_statistics(left: DataFrame, right: DataFrame, digits=DIGITS) -> DataFrame:

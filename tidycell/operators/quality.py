@@ -207,6 +207,14 @@ def registry(spark: SparkSession) -> DataFrame:
     )
 
 
+def schema_verdicts(registered: DataFrame, held: DataFrame) -> DataFrame:
+    """DQ-10: every registered column with what a table holds, ``(domain, column_name, held, filled)``:
+    ``ok``, ``missing`` or ``type`` for another type than registered."""
+    both = registered.join(held, ["domain", "column_name"], "left")
+    verdict = F.when(F.col("held").isNull(), "missing").when(F.lower("type") != F.col("held"), "type").otherwise("ok")
+    return both.withColumn("verdict", verdict)
+
+
 def schema_conflicts(registered: DataFrame) -> DataFrame:
     """SO-04: columns that carry different types in different domains."""
     return registered.groupBy("column_name").agg(F.countDistinct("type").alias("types")).filter("types > 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidycell import schemas
 from tidycell.operators import domains, errors, inventory, quality
-from tidycell.sources import files, tables
+from tidycell.sources import tables, wire
 
 
 @dataclass(frozen=True)
@@ -34,6 +34,8 @@ class Report:
     revised: int = 0
     present: int = 0
     copies: int = 0
+    written_bytes: int = 0
+    rejected: int = 0
 
     @property
     def valid(self) -> bool:
@@ -81,17 +83,32 @@ def ingest(
     set_aside(bad, quarantine_path, dataset_id, batch)
     report = Report(
         dataset_id, domain, counts.n, load.loaded, counts.bad + load.conflicts, table_path, quarantine_path,
-        time.monotonic() - start, load.revised, load.present, load.copies,
+        time.monotonic() - start, load.revised, load.present, load.copies, load.written_bytes,
     )
     if report.rows != report.loaded + report.revised + report.present + report.copies + report.quarantined:
         raise RuntimeError(f"rows of {dataset_id} are unaccounted for: {report}")
     return report
 
 
+def ingest_documents(
+    spark: SparkSession, documents: DataFrame, domain: str, dataset_id: str, root: str, batch: str = "all", text: str = "value", **options,
+) -> Report:
+    """SC-16 / IN-12: ingest landed documents; those that report an error, carry no data or are damaged are
+    kept with a reason below ``rejected`` and counted in the report, instead of passing as documents without cells."""
+    bad = wire.rejected_documents(documents, text)
+    folder = _folder(f"{root.rstrip('/')}/rejected/{schemas.resolve(domain)}", dataset_id, batch)
+    bad.write.mode("overwrite").parquet(folder)
+    report = ingest(spark, wire.cells(wire.accepted_documents(documents, text), text), domain, dataset_id, root, batch=batch, **options)
+    return replace(report, rejected=spark.read.schema(bad.schema).parquet(folder).count())
+
+
+def _folder(path: str, dataset_id: str, batch: str) -> str:
+    return f"{path.rstrip('/')}/quarantined_dataset={quote(dataset_id, safe='')}/batch={quote(batch, safe='')}"
+
+
 def set_aside(bad: DataFrame, path: str, dataset_id: str, batch: str) -> None:
     """Write a batch's quarantine in the place of its last one."""
-    folder = f"quarantined_dataset={quote(dataset_id, safe='')}/batch={quote(batch, safe='')}"
-    bad.drop(tables.CELL_KEY).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{folder}")
+    bad.drop(tables.CELL_KEY).write.mode("overwrite").parquet(_folder(path, dataset_id, batch))
 
 
 # Columns of the load log, the status log and the error log.
@@ -100,10 +117,8 @@ STATUS_LOG = "dataset_id string, status string, ts timestamp, error_message stri
 
 
 def log_load(spark: SparkSession, report: Report, path: str, at: dt.datetime) -> None:
-    """IN-10: append what an ingest loaded, how long it took and how large its table is now."""
-    held = files.file_inventory(tables.read_domain(spark, report.table_path, report.domain))
-    size = held.agg(F.coalesce(F.sum("file_size"), F.lit(0)).cast("bigint").alias("n")).first().n
-    row = (report.dataset_id, report.domain, at, report.loaded, report.seconds, size)
+    """IN-10: append what an ingest loaded, how long it took and how many bytes it wrote."""
+    row = (report.dataset_id, report.domain, at, report.loaded, report.seconds, report.written_bytes)
     spark.createDataFrame([row], LOAD_LOG).write.mode("append").parquet(path)
 
 

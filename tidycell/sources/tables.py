@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -137,6 +138,8 @@ class Load:
     conflicts: int
     #: Rows of cells that the batch itself gives several values; None if there are none.
     conflicting: DataFrame | None = None
+    #: Bytes of the files this load wrote, revised partitions included.
+    written_bytes: int = 0
 
 
 def _same(left: list[str], right: list[str]):
@@ -202,13 +205,27 @@ def load_new(spark: SparkSession, df: DataFrame, path: str, domain: str, keys: l
         stay = touched().join(where, _same(parts, [f"_{p}" for p in parts]), "left_semi").join(gone, _same(keys, [f"_{k}" for k in keys]), "left_anti")
         _overwrite(stage(spark, stay.unionByName(revised), f"revise-{schemas.resolve(domain)}"), path, domain)
     append(spark, batch.where("_status = 'new'").drop("_n", "_conflict", "_status"), path, domain)
+    size = written_since(spark, batch, path, domain)
     conflicts = found["conflict"].rows if "conflict" in found else 0
     conflicting = None
     if conflicts:
         keys_of = batch.where("_conflict").select(*(F.col(k).alias(f"_{k}") for k in keys))
         conflicting = df.join(keys_of, _same(keys, [f"_{k}" for k in keys]), "left_semi")
     copies = sum(r["rows"] - r.cells for k, r in found.items() if k != "conflict")
-    return Load(cells["new"], cells["revised"], cells["present"], copies, conflicts, conflicting)
+    return Load(cells["new"], cells["revised"], cells["present"], copies, conflicts, conflicting, size)
+
+
+def written_since(spark: SparkSession, staged: DataFrame, path: str, domain: str) -> int:
+    """Bytes of the table's files that are newer than a staged batch, which is written just before them.
+
+    The condition on the files' times selects files before any is opened, so the size of
+    the table does not matter; the staged files give the time, so no clock but the store's does.
+    """
+    since = staged.agg(F.max("_metadata.file_modification_time").alias("t")).first().t
+    if since is None:
+        return 0
+    new = read_domain(spark, path, domain).where(F.col("_metadata.file_modification_time") >= F.lit(since))
+    return files.file_inventory(new).agg(F.coalesce(F.sum("file_size"), F.lit(0)).cast("bigint").alias("n")).first().n
 
 
 def replace_partitions(spark: SparkSession, df: DataFrame, path: str, domain: str) -> None:
@@ -225,26 +242,58 @@ def replace_partitions(spark: SparkSession, df: DataFrame, path: str, domain: st
     _overwrite(stage(spark, rows, f"replace-{schemas.resolve(domain)}"), path, domain)
 
 
+def _checked_files(spark: SparkSession, sources: list[str], domain: str) -> tuple[DataFrame, int]:
+    """The rows of the named files as one read, and their number; a file with other columns is an error.
+
+    The footers are compared by a Spark job, not one by one on the driver.  A file that lacks a
+    column reads as NULL there, so a dimension without any value in a file counts as missing.
+    """
+    try:
+        merged = spark.read.option("mergeSchema", True).parquet(*sources)
+    except (PySparkException, Py4JError) as e:  # which of them depends on where Spark notices it
+        if "CANNOT_MERGE" in str(e):
+            raise ValueError(f"the files do not agree on the columns of the {domain} table") from e
+        raise
+    rows = check_schema(merged, domain)
+    needed = [n for n in schemas.dimension_names(domain) if n not in ("unit", "region_code")]
+    each = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"), *(F.count(c).alias(c) for c in needed))
+    lacks = F.concat_ws(", ", *(F.when(F.col(c) == 0, F.lit(c)) for c in needed))
+    found = each.select("file", "n", lacks.alias("lacks")).agg(
+        F.sum("n").alias("n"), F.min(F.when(F.col("lacks") != "", F.struct("file", "lacks"))).alias("bad")).first()
+    if found.bad is not None:
+        raise ValueError(f"{found.bad.file} has no {found.bad.lacks}")
+    return rows, found.n or 0
+
+
 def rebuild(spark: SparkSession, sources: list[str], path: str, domain: str, name: str) -> int:
     """SK-11 / SK-16 / SC-10: replace a table by the rows of the named files, all or nothing.
 
-    Every file is checked against the registry before anything is dropped, the
-    rows are staged and counted, and the new table goes to a location of its own
-    below ``path``.  Only then does the catalogue entry move; until that moment
-    readers see the old rows, and a failure leaves them in place.
+    Every file is checked against the registry first and the new table goes to a location of its own
+    below ``path``, where it gets an entry of its own with all its partitions.  Only when its
+    rows are counted does that entry take the name, so readers see the old rows until
+    then and a failure leaves them in place.  The files of the old version stay for those who are reading them.
     """
-    parts = [check_schema(files.read_parquet(spark, s), domain) for s in sources]
-    rows = parts[0]
-    for other in parts[1:]:
-        rows = rows.unionByName(other)
-    target = f"{path.rstrip('/')}/v-{scratch(spark, 'v').rsplit('-', 1)[1]}"
+    rows, expected = _checked_files(spark, sources, domain)
+    version = scratch(spark, "v").rsplit("-", 1)[1]
+    target = f"{path.rstrip('/')}/v-{version}"
     files.write_parquet(rows, target, partition_by=schemas.partition_columns(domain))
-    expected, written = rows.count(), read_domain(spark, target, domain).count()
+    written = read_domain(spark, target, domain).count()
     if expected != written:
         raise RuntimeError(f"staged {written} of {expected} rows; the table was left as it was")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    create_domain_table(spark, name, domain, target)
-    spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+    new, old = f"{name}_new_{version}", f"{name}_old_{version}"
+    create_domain_table(spark, new, domain, target)
+    spark.sql(f"ALTER TABLE {new} RECOVER PARTITIONS")
+    replaced = spark.catalog.tableExists(name)
+    if replaced:
+        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
+    try:
+        spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
+    except Exception:
+        if replaced:
+            spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
+        raise
+    if replaced:
+        spark.sql(f"DROP TABLE {old}")
     return written
 
 

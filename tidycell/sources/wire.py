@@ -79,6 +79,23 @@ def rejected(check_rows: bool = True) -> Column:
     return bad
 
 
+def rejected_documents(df: DataFrame, text: str = "value") -> DataFrame:
+    """SC-16: the documents that :func:`rejected` names, damaged row lists included, each with a reason."""
+    bad = envelope(df, text).filter(rejected())
+    reason = (
+        F.when(F.col("form") == "unreadable", "unreadable")
+        .when((F.col("form") == "envelope") & (F.coalesce("status", F.lit(0)) != 0), F.concat_ws(": ", F.concat(F.lit("status "), "status"), "error_message"))
+        .when((F.col("form") == "envelope") & ~F.col("has_data"), "no data")
+        .otherwise("damaged rows")
+    )
+    return bad.select(*df.columns, reason.alias("reason"))
+
+
+def accepted_documents(df: DataFrame, text: str = "value") -> DataFrame:
+    """SC-16: the other documents."""
+    return envelope(df, text).filter(~F.coalesce(rejected(), F.lit(False))).select(*df.columns)
+
+
 def last_page(limit: Column | int) -> Column:
     """SC-16: an empty or short page ends the paging."""
     return F.coalesce(F.size(F.from_json("rows_json", "array<string>")), F.lit(0)) < limit

@@ -25,12 +25,18 @@ def documents(spark: SparkSession, path: str, whole: bool = True, files_per_batc
 
 
 def load_batch(batch: DataFrame, batch_id: int, domain: str, dataset_id: str | None, table: str,
-               bad: str | None = None, updated_at=None, on_bad: str = "null") -> None:
-    """One micro-batch: decode, map, set bad rows aside, load what is new."""
+               bad: str | None = None, updated_at=None, on_bad: str = "null",
+               codes: DataFrame | None = None, rejects: str | None = None) -> None:
+    """One micro-batch: decode, map with the labels of ``codes``, set bad rows aside, load what is new.
+
+    ``rejects`` is where documents that could not be read go, with a reason, a folder per batch.
+    """
     spark = batch.sparkSession
-    cells = wire.cells(batch)
+    if rejects:
+        wire.rejected_documents(batch).write.mode("overwrite").parquet(f"{rejects.rstrip('/')}/batch={batch_id}")
+    cells = wire.cells(wire.accepted_documents(batch))
     mapped = domains.to_domain(
-        domains.with_identity(cells), domain, dataset_id, on_bad=on_bad, updated_at=updated_at, keep=(tables.CELL_KEY,))
+        domains.with_identity(cells), domain, dataset_id, codes, on_bad=on_bad, updated_at=updated_at, keep=(tables.CELL_KEY,))
     reasoned = tables.stage(spark, quality.with_reasons(mapped, default_rules()), "micro-batch")
     good = reasoned.filter(F.size("reasons") == 0).drop("reasons")
     load = tables.load_new(spark, good, table, domain)
@@ -43,10 +49,10 @@ def load_batch(batch: DataFrame, batch_id: int, domain: str, dataset_id: str | N
 
 
 def run(stream: DataFrame, checkpoint: str, domain: str, dataset_id: str | None, table: str, bad: str | None = None,
-        updated_at=None, on_bad: str = "null"):
+        updated_at=None, on_bad: str = "null", codes: DataFrame | None = None, rejects: str | None = None):
     """Start the pickup for everything available now; returns the query."""
     def each(batch, batch_id):
-        load_batch(batch, batch_id, domain, dataset_id, table, bad, updated_at, on_bad)
+        load_batch(batch, batch_id, domain, dataset_id, table, bad, updated_at, on_bad, codes, rejects)
 
     return (
         stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

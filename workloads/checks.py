@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tidycell import schemas
@@ -138,13 +140,45 @@ def dq09(spark, sf):
     return Q.summary(V.sales(spark, sf), _rules())
 
 
-@query("dq10_schema_checks", """
-SELECT column_name, role, CASE column_name WHEN 'value' THEN v ELSE n END AS filled FROM (SELECT count(*) AS n, count(value) AS v FROM economy),
-(VALUES ('dataset_id', 'dimension'), ('stats_data_id', 'dimension'), ('year', 'dimension'), ('quarter', 'dimension'), ('region_code', 'dimension'),
-        ('indicator', 'dimension'), ('value', 'measure'), ('unit', 'dimension'), ('updated_at', 'dimension')) AS r(column_name, role)""")
-def dq10(spark, sf):
+# Of every domain's table, as mapped from the same cells: what it should hold, and whether it does.
+_REGISTERED = [(d, c, t, "measure" if c == "value" else "dimension") for d in schemas.DOMAINS for c, t in schemas.columns(d)]
+
+
+def _profiles(spark, sf, change=lambda domain, df: df):
     from tidycell.sources.files import parquet_profile
-    registered = Q.registry(spark).filter("domain = 'economy'")
-    held = parquet_profile(V.economy(spark, sf)).select("column_name", F.col("type").alias("held"), F.col("non_null").alias("filled"))
-    joined = registered.join(held, "column_name")
-    return joined.filter(F.lower("type") == F.col("held")).select("column_name", "role", "filled")
+    held = [
+        parquet_profile(change(d, V.mapped(spark, sf, d, "cells_sales", "X", "null"))).select(F.lit(d).alias("domain"), "column_name", F.col("type").alias("held"), F.col("non_null").alias("filled"))
+        for d in schemas.DOMAINS]
+    return reduce(lambda a, b: a.unionByName(b), held)
+
+
+def _dq10_sql(verdict="'ok'", filled="CASE column_name WHEN 'value' THEN v ELSE n END"):
+    rows = ", ".join(str(r) for r in _REGISTERED)
+    return f"""
+SELECT domain, column_name, role, {verdict} AS verdict, {filled} AS filled FROM (SELECT count(*) AS n, count(value) AS v FROM sales),
+(VALUES {rows}) AS r(domain, column_name, type, role)"""
+
+
+@query("dq10_schema_checks", _dq10_sql())
+def dq10(spark, sf):
+    return Q.schema_verdicts(Q.registry(spark), _profiles(spark, sf)).select("domain", "column_name", "role", "verdict", "filled")
+
+
+@query("dq10_schema_faults", _dq10_sql(
+    "CASE WHEN domain = 'labor' AND column_name = 'industry_code' THEN 'missing' WHEN domain = 'trade' AND column_name = 'year' THEN 'type' ELSE 'ok' END",
+    "CASE WHEN domain = 'labor' AND column_name = 'industry_code' THEN NULL WHEN column_name = 'value' THEN v ELSE n END"))
+def dq10_faults(spark, sf):
+    def change(domain, df):
+        if domain == "labor":
+            return df.drop("industry_code")
+        return df.withColumn("year", F.col("year").cast("bigint")) if domain == "trade" else df
+
+    return Q.schema_verdicts(Q.registry(spark), _profiles(spark, sf, change)).select("domain", "column_name", "role", "verdict", "filled")
+
+
+@query("dq10_type_conflicts", "SELECT column_name, types FROM (SELECT column_name, count(DISTINCT type) AS types FROM (VALUES " + ", ".join(
+    str(r) for r in _REGISTERED) + ") AS r(domain, column_name, type, role), (SELECT count(*) AS n FROM sales) GROUP BY 1) WHERE types = 1")
+def dq10_conflicts(spark, sf):
+    """Columns whose types agree over the tables of all domains: the ones that are not in conflict."""
+    held = _profiles(spark, sf).withColumnRenamed("held", "type")
+    return held.join(Q.schema_conflicts(held), "column_name", "left_anti").groupBy("column_name").agg(F.countDistinct("type").alias("types"))

@@ -148,6 +148,32 @@ def in12_report(spark, sf):
     return report.as_row(spark)
 
 
+@query("in10_written_bytes", "SELECT 'I3' AS dataset_id, count(value) AS record_count, TRUE AS has_bytes, TRUE AS rerun_writes_none FROM sales")
+def in10_written(spark, sf):
+    root, log = scratch(spark, "in10w"), scratch(spark, "in10w-log")
+    for _ in range(2):  # the second ingest finds all its cells there
+        report = P.ingest(spark, V.cells_orders(spark, sf), "generic", "I3", root, updated_at=V.STAMP)
+        P.log_load(spark, report, log, V.STAMP)
+    kept = files.file_inventory(tables.read_domain(spark, report.table_path, "generic")).agg(F.sum("file_size").alias("n")).scalar()
+    logged = spark.read.schema(P.LOAD_LOG).parquet(log)
+    return logged.groupBy("dataset_id").agg(
+        F.sum("record_count").alias("record_count"), (F.max("storage_bytes") == kept).alias("has_bytes"), (F.min("storage_bytes") == 0).alias("rerun_writes_none"))
+
+
+@query("in12_rejected_documents", """
+SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'status 100: quota' WHEN '2-HIGH' THEN 'damaged rows' ELSE 'unreadable' END AS reason
+FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')""")
+def in12_rejected(spark, sf):
+    """Documents of an ingest that report an error, break off within their rows, or are no JSON."""
+    cell = F.to_json(F.array(F.struct(F.col("o_orderkey").cast("string").alias("@cat01"), F.lit("2020").alias("@time"), F.col("o_totalprice").cast("string").alias("$"))))
+    value = (F.when(F.col("o_orderpriority") == "1-URGENT", F.lit('{"GET_STATS_DATA": {"RESULT": {"STATUS": 100, "ERROR_MSG": "quota"}}}'))
+             .when(F.col("o_orderpriority") == "2-HIGH", F.expr("substring(c, 1, length(c) - 4)")).when(F.col("o_orderpriority") == "3-MEDIUM", F.lit("<html>")).otherwise(F.col("c")))
+    docs = V.table(spark, sf, "orders").withColumn("c", cell).select("o_orderkey", value.alias("value"))
+    root = scratch(spark, "in12d")
+    P.ingest_documents(spark, docs, "generic", "I4", root, updated_at=V.STAMP)
+    return spark.read.parquet(f"{root}/rejected/generic").select("o_orderkey", "reason")
+
+
 @query("in13_missing_chunks", """
 SELECT o_orderkey // 20 AS chunk_num FROM orders GROUP BY 1 HAVING count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') = 0""")
 def in13(spark, sf):

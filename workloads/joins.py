@@ -9,13 +9,17 @@ from tidycell.operators import labels
 from workloads import views as V
 from workloads.registry import query, view
 
-view("pop_series", "SELECT year, region_code, round(fsum(value), 4) AS population FROM population GROUP BY ALL")
-view("eco_series", "SELECT year, region_code, round(fsum(value), 4) AS gdp FROM economy GROUP BY ALL")
+view("pop_series", "SELECT year, region_code, round(fsum(value), 4) AS population FROM population WHERE category = 'BUILDING' GROUP BY ALL")
+view("eco_series", "SELECT year, region_code, round(fsum(value), 4) AS gdp FROM economy WHERE indicator = '1-URGENT' GROUP BY ALL")
 view("lab_series", "SELECT year, region_code, round(fsum(value), 4) AS labor_force FROM labor GROUP BY ALL")
 
 
 def _pop(spark, sf):
-    return J.series(V.population(spark, sf), "population")
+    return J.series(V.population(spark, sf).filter("category = 'BUILDING'"), "population")
+
+
+def _eco(spark, sf):
+    return J.series(V.economy(spark, sf).filter("indicator = '1-URGENT'"), "gdp")
 
 
 @query("jn01_inner", """
@@ -29,7 +33,7 @@ def jn01(spark, sf):
 SELECT p.year, p.region_code, p.category, p.value AS population, e.gdp FROM population p LEFT JOIN eco_series e ON p.year = e.year AND p.region_code = e.region_code""", fine=True)
 def jn02(spark, sf):
     pop = V.population(spark, sf).select("year", "region_code", "category", F.col("value").alias("population"))
-    return J.join_series(pop, J.series(V.economy(spark, sf), "gdp"), "left")
+    return J.join_series(pop, _eco(spark, sf), "left")
 
 
 @query("jn03_join_and_aggregate", """
@@ -46,8 +50,8 @@ SELECT p.year, p.region_code, p.population, e.gdp, l.labor_force FROM pop_series
 JOIN lab_series l ON p.year = l.year AND p.region_code = l.region_code WHERE p.year >= 1996""", fine=True)
 def jn04(spark, sf):
     parts = [
-        J.series(df.filter("year >= 1996"), name)
-        for df, name in ((V.population(spark, sf), "population"), (V.economy(spark, sf), "gdp"), (V.labor(spark, sf), "labor_force"))
+        df.filter("year >= 1996")
+        for df in (_pop(spark, sf), _eco(spark, sf), J.series(V.labor(spark, sf), "labor_force"))
     ]
     return J.join_all(parts)
 

@@ -71,11 +71,11 @@ def sc02(spark, sf):
 SELECT o_orderkey AS k, CAST(o_totalprice AS VARCHAR) AS v, (SELECT count(*) FROM orders) AS record_count FROM orders ORDER BY o_orderkey LIMIT 3""")
 def sc03(spark, sf):
     path = scratch(spark, "sc03")
-    rows = V.table(spark, sf, "orders").select(
-        F.array(F.struct(F.col("o_orderkey").cast("string").alias("@id"), F.col("o_totalprice").cast("string").alias("$"))).alias("c"))
-    rows.select(F.to_json("c").alias("value")).write.text(path)
-    # One list per line here; a file that holds a single list over many lines reads the same way.
-    cells = spark.read.schema(wire.cell_schema()).json(path)
+    cell = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("@id"), F.col("o_totalprice").cast("string").alias("$")))
+    # A file holds one list over many lines, of at most a thousand cells.
+    lists = V.table(spark, sf, "orders").groupBy(F.floor(F.col("o_orderkey") / 1000).alias("file")).agg(F.collect_list(cell).alias("cells"))
+    lists.select("file", F.concat(F.lit("[\n"), F.array_join("cells", ",\n"), F.lit("\n]")).alias("value")).write.partitionBy("file").text(path)
+    cells = wire.read_cell_lists(spark, path)
     count = cells.agg(F.count(F.lit(1))).scalar()
     first = cells.select(F.col("`@id`").cast("bigint").alias("k"), F.col("`$`").alias("v")).orderBy("k").limit(3)
     return first.withColumn("record_count", count)
