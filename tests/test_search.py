@@ -51,17 +51,20 @@ def brute(query, t):
     return (not toks or sum(hits) > 0), score
 
 
-@pytest.mark.parametrize("batch", [200, 2])
-def test_basic_scores_against_brute_force(catalogue, batch):
-    got = {(r.query, r.id): r.basic_score for r in R.basic_scores(catalogue, QUERIES, AS_OF, batch).collect()}
-    want = {(q, t[0]): s for q in QUERIES for t in TABLES for matched, s in [brute(q, t)] if matched}
+def table_of(catalogue, queries):
+    return catalogue.sparkSession.createDataFrame(list(enumerate(queries)), "query_id int, query string")
+
+
+def test_basic_scores_against_brute_force(catalogue):
+    got = {(r.query, r.id): r.basic_score for r in R.basic_scores(catalogue, table_of(catalogue, QUERIES), AS_OF).collect()}
+    want = {(q, t[0]): s for q in QUERIES if q != "x" for t in TABLES for matched, s in [brute(q, t)] if matched}
     assert set(got) == set(want)
     for key, score in want.items():
         assert got[key] == pytest.approx(score, abs=1e-8), key
 
 
 def test_ties_keep_catalogue_order(catalogue):
-    top = R.top_per_query(R.basic_scores(catalogue, ["人口 推計"], AS_OF), 2, "basic_score").orderBy("rank").collect()
+    top = R.top_per_query(R.basic_scores(catalogue, table_of(catalogue, ["人口 推計"]), AS_OF), 2, "basic_score").orderBy("rank").collect()
     assert [r.id for r in top] == ["1", "7"]
 
 
@@ -94,16 +97,41 @@ def test_category_match(rows):
 def test_search_reranks_with_metadata(spark, catalogue):
     metadata = spark.createDataFrame(
         [("5", 20000, [("cat01", "C", ["人口"])]), ("1", 5, []), ("4", None, [])], "id string, total_records bigint, categories array<struct<id: string, name: string, values: array<string>>>")
-    got = R.search(catalogue, metadata, ["人口"], AS_OF, results=10).orderBy("rank").collect()
+    got = R.search(catalogue, metadata, table_of(catalogue, ["人口"]), AS_OF, results=10).orderBy("rank").collect()
     basic = {t[0]: s for t in TABLES for m, s in [brute("人口", t)] if m}
     size = {"5": 1.0, "1": 0.3}
     want = {i: 0.8 * s + (0.15 if i == "5" else 0) + 0.05 * size.get(i, 0.5) for i, s in basic.items()}
     assert {r.id: pytest.approx(r.score, abs=1e-8) for r in got} == want
     assert [r.score for r in got] == sorted((r.score for r in got), reverse=True)
-    plain = R.search(catalogue, metadata, ["人口"], AS_OF, results=1, method="basic").first()
+    plain = R.search(catalogue, metadata, table_of(catalogue, ["人口"]), AS_OF, results=1, method="basic").first()
     assert (plain.id, plain.rank) == ("1", 1)
 
 
 def test_enriched(rows):
     df = rows("c array<struct<id: string, name: string, values: array<string>>>", ([("a", "A", list("abcdefg"))],))
     assert df.select(R.enriched(F.col("c"))).first()[0] == [("a", "A", 7, list("abcde"))]
+
+
+def test_given_pairs_keep_rows_that_do_not_match(catalogue):
+    for query in QUERIES:
+        got = {r.id: r.s for r in catalogue.select("id", R.basic_score(F.lit(query), AS_OF).alias("s")).collect()}
+        assert got == {t[0]: pytest.approx(brute(query, t)[1], abs=1e-8) for t in TABLES}
+
+
+def test_queries_without_tokens_share_one_list(catalogue):
+    got = R.standing_list(catalogue, table_of(catalogue, ["x", "人口", ""]), AS_OF, 3).collect()
+    best = sorted(((-round(brute("x", t)[1], 9), i, t[0]) for i, t in enumerate(TABLES)))[:3]
+    assert sorted((r.query_id, r.id) for r in got) == sorted((q, i) for q in (0, 2) for _, _, i in best)
+
+
+def test_long_tokens_and_characters_beyond_the_basic_plane(spark):
+    rows = spark.createDataFrame([(0, "a", "x𠮷野家牛丼 abcdefgh", "", "", "", "", "", "", "")], "position int, id string, " + ", ".join(f"{f} string" for f in FIELDS[1:]))
+    queries = spark.createDataFrame([(1, "𠮷野家牛"), (2, "bcdefgh zz"), (3, "abcdx"), (4, "bcde bcde")], "query_id int, query string")
+    got = {r.query_id: r.basic_score for r in R.basic_scores(rows, queries, AS_OF).collect()}
+    assert got == {1: 0.25, 2: 0.125, 4: 0.25}
+
+
+def test_accepted_words_per_query(rows):
+    queries = rows("query_id int, query string", (1, "a b a"), (2, "a b"), (3, " "))
+    accepted = rows("query_id int, term string, suggested string", (1, "a", "z"), (1, "a", "y"), (2, "b", "c"), (2, "q", "r"))
+    assert values(R.apply_accepted(queries, accepted), "query_id", "query") == [(1, "y b y"), (2, "a c"), (3, "")]

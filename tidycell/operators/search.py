@@ -1,12 +1,12 @@
 """Catalogue search (SR-01 .. SR-11, WN-02).
 
-A batch of queries is answered in one scan of the catalogue.  The queries are
-part of the expression (an array literal), so nothing is joined; a catalogue
-row yields a score only for the queries it matches, and the top lists are cut
-per task before the only shuffle.  Longer batches run as several scans.
+Queries are a table ``(query_id, query)``, so planning takes the same time for one and for a million.
+Their distinct tokens meet the catalogue's distinct words by an equi-join on fragments (a word that
+contains a token contains its first ``GRAM`` characters) and are checked with ``contains``; the rows with
+such words are then counted per query, and top lists are cut per task before their shuffle.
 
 The catalogue has ``position, id, title, statistics_name, main_category,
-sub_category, description, gov_org, open_date, title_spec``.
+sub_category, description, gov_org, open_date, title_spec``; ``(id, position)`` names a row.
 """
 
 from __future__ import annotations
@@ -29,13 +29,14 @@ SIZE_STEPS = ((10000, 1.0), (1000, 0.9), (100, 0.7), (10, 0.5))
 SIZE_SMALLEST, SIZE_UNKNOWN = 0.3, 0.5
 STAGE_ONE, RESULTS, LISTED, SAMPLE = 20, 5, 10, 5
 
-BATCH = 200
+GRAM = 4
+SPACES = r"[\s　]+"
 DIGITS = 9
 
 
 def words(query: Column) -> Column:
     """The words of a query."""
-    return F.filter(F.split(query, r"[\s　]+"), lambda w: w != "")
+    return F.filter(F.split(query, SPACES), lambda w: w != "")
 
 
 def tokens(query: Column) -> Column:
@@ -58,6 +59,18 @@ def apply_replacements(query: Column, accepted: dict[str, str]) -> Column:
     return F.array_join(F.transform(words(query), lambda w: F.coalesce(F.try_element_at(pairs, w), w)), " ")
 
 
+def apply_accepted(queries: DataFrame, accepted: DataFrame) -> DataFrame:
+    """SR-03 with each query's own accepted words, ``(query_id, term, suggested)``.
+
+    Of several suggestions for a word the first by code point counts; a query without words becomes empty.
+    """
+    each = queries.select("query_id", F.posexplode_outer(words(F.col("query"))).alias("at", "term"))
+    chosen = accepted.groupBy("query_id", "term").agg(F.min("suggested").alias("suggested"))
+    word = F.struct("at", F.coalesce("suggested", "term").alias("word"))
+    put = each.join(chosen, ["query_id", "term"], "left").groupBy("query_id").agg(F.sort_array(F.collect_list(word)).alias("w"))
+    return put.select("query_id", F.array_join(F.col("w")["word"], " ").alias("query"))
+
+
 def freshness(open_date: Column, as_of: dt.date) -> Column:
     """SR-05: 1 for a year, then falling to 0 at ten years; NULL for an unreadable date."""
     day = F.when(open_date.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), open_date.try_cast("date"))
@@ -96,56 +109,66 @@ def standing_score(as_of: dt.date) -> Column:
     )
 
 
-def _literals(texts) -> Column:
-    return F.array(*map(F.lit, texts)).cast("array<string>")
+def _texts() -> dict[str, Column]:
+    """The searched texts of a catalogue row."""
+    names = F.concat_ws(" ", _text("statistics_name"), _text("main_category"), _text("sub_category"))
+    return {"_t": _text("title"), "_c": names, "_d": _text("description")}
 
 
-def _score_batch(catalogue: DataFrame, queries: list[str], first_id: int, as_of: dt.date) -> DataFrame:
-    tokenised = [[w for w in q.split() if len(w) > 1] for q in queries]
-    asked = F.array(*(
-        F.struct(
-            F.lit(first_id + i).alias("query_id"), F.lit(q).alias("query"), _literals(toks).alias("tokens"),
-            F.lit(len(toks)).alias("k"),
-        )
-        for i, (q, toks) in enumerate(zip(queries, tokenised))
-    ))
-    # Each text is searched once per distinct token, however many queries share it.
-    distinct = _literals(sorted({t for toks in tokenised for t in toks}))
-    found = lambda text: F.filter(distinct, lambda t: F.contains(text, t))
-    names = F.concat_ws(" ", _text("statistics_name"), _text("main_category"), _text("sub_category"))
-    base = catalogue.select(
-        "id", "position", _text("title").alias("title"), standing_score(as_of).alias("_standing"),
-        found(_text("title")).alias("_t"), found(names).alias("_c"), found(_text("description")).alias("_d"),
-    )
-    hits = lambda q, part: F.size(F.filter(q["tokens"], lambda t: F.array_contains(F.col(part), t)))
-    matches = F.transform(asked, lambda q: F.struct(
-        q["query_id"].alias("query_id"), q["query"].alias("query"), q["k"].alias("k"),
-        hits(q, "_t").alias("t"), hits(q, "_c").alias("c"), hits(q, "_d").alias("d"),
-    ))
-    # A query without tokens matches every row, as it carries no keyword condition.
-    relevant = F.filter(matches, lambda m: (m["k"] == 0) | (m["t"] + m["c"] + m["d"] > 0))
-    rows = base.select("id", "position", "title", "_standing", F.explode(relevant).alias("m"))
-    part = lambda weight, n: F.coalesce(weight * F.try_divide(n, F.col("m.k")), F.lit(0.0))
-    score = (
-        part(W_TITLE, F.col("m.t")) + part(W_CATEGORY, F.col("m.c")) + part(W_DESCRIPTION, F.col("m.d"))
-        + F.col("_standing")
-    )
-    return rows.select(
-        "m.query_id", "m.query", "id", "position", "title",
-        F.least(F.round(score, DIGITS), F.lit(1.0)).alias("basic_score"),
-    )
+def _basic(t: Column, c: Column, d: Column, k: Column, standing: Column) -> Column:
+    part = lambda weight, n: F.coalesce(weight * F.try_divide(n, k), F.lit(0.0))
+    score = part(W_TITLE, t) + part(W_CATEGORY, c) + part(W_DESCRIPTION, d) + standing
+    return F.least(F.round(score, DIGITS), F.lit(1.0))
 
 
-def basic_scores(catalogue: DataFrame, queries: list[str], as_of: dt.date, batch: int = BATCH) -> DataFrame:
-    """SR-04: the basic score of every catalogue row for every query it matches.
+def basic_score(query: Column, as_of: dt.date) -> Column:
+    """SR-04 of a catalogue row and a query beside it, whether they match or not."""
+    toks = tokens(query)
+    hits = lambda text: F.size(F.filter(toks, lambda t: F.contains(text, t)))
+    return _basic(*map(hits, _texts().values()), F.size(toks), standing_score(as_of))
+
 
-    A row matches when a token of the query occurs in its title, names or
-    description; that is the candidate set the ranking works on.
+def matches(catalogue: DataFrame, queries: DataFrame) -> DataFrame:
+    """(token, id, position, field): where in the catalogue the tokens of the queries occur.
+
+    A token has no white space, so it lies within one word of a text.  Tokens are therefore looked for in the
+    distinct words of the catalogue, and only the rows of the words that have one are read off.
+    """
+    fields = [
+        catalogue.select("id", "position", F.lit(n).alias("field"), F.explode(F.array_distinct(F.split(c, SPACES))).alias("word"))
+        for n, c in _texts().items()]
+    held = reduce(lambda a, b: a.union(b), fields)
+    asked = queries.select(F.explode(tokens(F.col("query"))).alias("token")).distinct()
+    asked = asked.withColumn("fragment", F.substring("token", 1, GRAM))
+    runs = [F.regexp_extract_all("word", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(2, GRAM + 1)]
+    parts = held.select("word").distinct().select("word", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("fragment"))
+    fit = parts.join(asked, "fragment").filter(F.contains("word", "token")).select("token", "word")
+    return held.join(fit, "word").select("token", "id", "position", "field").distinct()
+
+
+def basic_scores(catalogue: DataFrame, queries: DataFrame, as_of: dt.date) -> DataFrame:
+    """SR-04 for a table of queries: ``(query_id, query, id, position, basic_score)`` of every query and every row it matches.
+
+    Matching is the candidate selection of the search: a token occurs in title, names or description.  A query without
+    tokens names no rows here (all would be the same list for each such query; see :func:`standing_list`).
+    :func:`basic_score` scores given pairs, matching or not.
     """
-    parts = [
-        _score_batch(catalogue, queries[i:i + batch], i, as_of) for i in range(0, len(queries), batch)
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    each = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    hit = matches(catalogue, queries).join(each, "token")
+    counts = hit.groupBy("query_id", "id", "position").agg(*(F.sum(F.when(F.col("field") == n, F.col("times")).otherwise(0)).alias(n) for n in _texts()))
+    standing = catalogue.select("id", "position", standing_score(as_of).alias("_standing"))
+    known = queries.select("query_id", "query", F.size(tokens(F.col("query"))).alias("_k"))
+    scored = counts.join(standing, ["id", "position"]).join(known, "query_id")
+    return scored.select("query_id", "query", "id", "position", _basic(*(F.col(c) for c in ("_t", "_c", "_d", "_k", "_standing"))).alias("basic_score"))
+
+
+def standing_list(catalogue: DataFrame, queries: DataFrame, as_of: dt.date, n: int = STAGE_ONE) -> DataFrame:
+    """The ``n`` best rows for queries without tokens: those of the highest score no query takes part in, found once for all."""
+    none = F.lit(0)
+    row = F.struct(F.negate(_basic(none, none, none, none, standing_score(as_of))).alias("s"), F.col("position").alias("position"), F.col("id").alias("id"))
+    best = catalogue.select(row.alias("r")).orderBy("r").limit(n).agg(F.sort_array(F.collect_list("r"))).scalar()
+    rows = queries.filter(F.size(tokens(F.col("query"))) == 0).select("query_id", "query", F.explode(best).alias("r"))
+    return rows.select("query_id", "query", "r.id", "r.position", F.negate(F.col("r.s")).alias("basic_score"))
 
 
 def top_per_query(scored: DataFrame, n: int, score: str, rank: str = "rank") -> DataFrame:
@@ -191,20 +214,22 @@ def enriched(categories: Column) -> Column:
 
 
 def search(
-    catalogue: DataFrame, metadata: DataFrame, queries: list[str], as_of: dt.date,
+    catalogue: DataFrame, metadata: DataFrame, queries: DataFrame, as_of: dt.date,
     results: int = RESULTS, method: str = "enhanced",
 ) -> DataFrame:
-    """SR-09: the best rows by basic score, re-ranked with their metadata.
+    """SR-09: for each of the queries ``(query_id, query)`` the best rows by basic score, re-ranked with their metadata.
 
-    ``metadata`` is ``(id, total_records, categories)``.  The first stage is written
-    to the scratch folder: STAGE_ONE rows per query at most.  The catalogue is thus
-    scanned once, and the metadata table is cut to those rows by a semi-join
-    before the outer join, so it is not shuffled while they are few.
+    ``metadata`` is ``(id, total_records, categories)``.  The first stage is written to the scratch
+    folder: STAGE_ONE rows per query at most.  The catalogue is thus searched once, and
+    titles and metadata are cut to those rows by semi-joins before they are joined.
     """
     spark = catalogue.sparkSession
     path = scratch(spark, "search")
-    top_per_query(basic_scores(catalogue, queries, as_of), STAGE_ONE, "basic_score", "basic_rank").write.parquet(path)
+    scored = basic_scores(catalogue, queries, as_of).unionByName(standing_list(catalogue, queries, as_of))
+    top_per_query(scored, STAGE_ONE, "basic_score", "basic_rank").write.parquet(path)
     first = spark.read.parquet(path)
+    titles = catalogue.select("id", "position", _text("title").alias("title")).join(first.select("id", "position"), ["id", "position"], "left_semi")
+    first = first.join(titles, ["id", "position"])
     known = metadata.join(first.select("id"), "id", "left_semi")
     joined = first.join(known, "id", "left")
     if method == "enhanced":

@@ -36,6 +36,10 @@ SELECT query_id, query, tokens, id, position, title,
 FROM hits WHERE k = 0 OR t + c + d > 0""")
 
 
+def _queries(spark):
+    return spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, query string")
+
+
 @query("sr01_tokens", r"""
 SELECT conv_id, turn, len(list_filter(string_split_regex(trim(text), '\s+'), lambda w: length(w) > 1)) AS tokens,
        array_to_string(list_filter(string_split_regex(trim(text), '\s+'), lambda w: length(w) > 1), ' ') AS joined FROM conversations""")
@@ -72,9 +76,30 @@ def sr03(spark, sf):
     return V.table(spark, sf, "part").select("p_partkey", R.apply_replacements(spaced, {"red": "crimson", "widget": "device"}).alias("query"))
 
 
-@query("sr04_basic_score", "SELECT query_id, id, basic_score FROM basic")
+@query("sr03_accepted_per_query", r"""
+SELECT p_partkey AS query_id, array_to_string(list_transform(list_filter(string_split_regex(p_name, '\s+'), lambda w: w <> ''),
+       lambda w: CASE WHEN p_size % 2 = 0 AND w = 'red' THEN 'crimson' WHEN p_size % 3 = 0 AND w = 'widget' THEN 'device' ELSE w END), ' ') AS query FROM part""")
+def sr03_accepted(spark, sf):
+    """Each query accepts replacements of its own."""
+    p = V.table(spark, sf, "part")
+    one = lambda every, term, suggested: p.filter(F.col("p_size") % every == 0).select(F.col("p_partkey").alias("query_id"), F.lit(term).alias("term"), F.lit(suggested).alias("suggested"))
+    accepted = one(2, "red", "crimson").unionByName(one(3, "widget", "device"))
+    return R.apply_accepted(p.select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query")), accepted)
+
+
+@query("sr04_basic_score", "SELECT query_id, id, basic_score FROM basic WHERE len(tokens) > 0")
 def sr04(spark, sf):
-    return R.basic_scores(V.catalogue(spark, sf), list(QUERIES), V.AS_OF).select("query_id", "id", "basic_score")
+    return R.basic_scores(V.catalogue(spark, sf), _queries(spark), V.AS_OF).select("query_id", "id", "basic_score")
+
+
+@query("sr04_given_pairs", f"""
+SELECT id, query_id, least(round(COALESCE(0.25::DOUBLE * (t / NULLIF(k, 0)), 0) + COALESCE(0.15::DOUBLE * (c / NULLIF(k, 0)), 0) + COALESCE(0.1::DOUBLE * (d / NULLIF(k, 0)), 0) + standing, 9), 1.0::DOUBLE) AS basic_score
+FROM hits WHERE query_id = position % {len(QUERIES)}""")
+def sr04_given(spark, sf):
+    """One query for every row, matching or not."""
+    rows = V.catalogue(spark, sf).withColumn("query_id", (F.col("position") % len(QUERIES)).cast("int"))
+    query = F.element_at(F.array(*map(F.lit, QUERIES)), F.col("query_id") + 1)
+    return rows.select("id", "query_id", R.basic_score(query, V.AS_OF).alias("basic_score"))
 
 
 @query("sr05_freshness", f"SELECT id, round({FRESH}, 9) AS freshness, round(CASE WHEN open_date = '' THEN 0 ELSE COALESCE(0.15::DOUBLE * ({FRESH}), 0.075::DOUBLE) END, 9) AS score FROM catalogue")
@@ -114,9 +139,9 @@ SELECT b.*, m.total_records, m.text1, m.text2, least(round(0.8::DOUBLE * basic_s
 FROM basic b JOIN metadata m ON b.id = m.id""")
 
 
-@query("sr08_enhanced_score", "SELECT query_id, id, score FROM ranked")
+@query("sr08_enhanced_score", "SELECT query_id, id, score FROM ranked WHERE len(tokens) > 0")
 def sr08(spark, sf):
-    basic = R.basic_scores(V.catalogue(spark, sf), list(QUERIES), V.AS_OF)
+    basic = R.basic_scores(V.catalogue(spark, sf), _queries(spark), V.AS_OF)
     return basic.join(metadata(spark, sf), "id").select(
         "query_id", "id", R.enhanced_score(F.col("basic_score"), F.col("query"), F.col("categories"), F.col("total_records")).alias("score"))
 
@@ -128,12 +153,34 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY basic
 @query("sr09_rerank", """
 SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, basic_rank) AS rank FROM top20) WHERE rank <= 5""")
 def sr09(spark, sf):
-    return R.search(V.catalogue(spark, sf), metadata(spark, sf), list(QUERIES), V.AS_OF).select("query_id", "id", "score", "rank")
+    return R.search(V.catalogue(spark, sf), metadata(spark, sf), _queries(spark), V.AS_OF).select("query_id", "id", "score", "rank")
 
 
 @query("sr09_basic_only", "SELECT query_id, id, basic_score AS score, CAST(basic_rank AS INTEGER) AS rank FROM top20 WHERE basic_rank <= 10")
 def sr09_basic(spark, sf):
-    found = R.search(V.catalogue(spark, sf), metadata(spark, sf), list(QUERIES), V.AS_OF, results=10, method="basic")
+    found = R.search(V.catalogue(spark, sf), metadata(spark, sf), _queries(spark), V.AS_OF, results=10, method="basic")
+    return found.select("query_id", "id", "score", "rank")
+
+
+_LONG_WORDS = "[a-z]{9,}"
+
+
+@query("sr09_many_queries", f"""
+WITH asked AS (SELECT conv_id * 1000 + turn AS query_id, unnest(list_distinct(regexp_extract_all(text, '{_LONG_WORDS}'))) AS token, len(regexp_extract_all(text, '{_LONG_WORDS}')) AS k,
+       regexp_extract_all(text, '{_LONG_WORDS}') AS tokens FROM conversations),
+     texts AS (SELECT id, position, title, statistics_name || ' ' || main_category || ' ' || sub_category AS names, description FROM catalogue),
+     found AS (SELECT token, id, position, contains(title, token)::INT AS t, contains(names, token)::INT AS c, contains(description, token)::INT AS d
+               FROM (SELECT DISTINCT token FROM asked), texts WHERE contains(title, token) OR contains(names, token) OR contains(description, token)),
+     counted AS (SELECT query_id, id, position, any_value(k) AS k, sum(t * len(list_filter(tokens, lambda x: x = token))) AS t, sum(c * len(list_filter(tokens, lambda x: x = token))) AS c,
+                 sum(d * len(list_filter(tokens, lambda x: x = token))) AS d FROM asked JOIN found USING (token) GROUP BY ALL),
+     scored AS (SELECT query_id, id, position, least(round(0.25::DOUBLE * (t / k) + 0.15::DOUBLE * (c / k) + 0.1::DOUBLE * (d / k) + standing, 9), 1.0::DOUBLE) AS score
+                FROM counted JOIN (SELECT id, any_value(standing) AS standing FROM hits WHERE query_id = 0 GROUP BY id) USING (id))
+SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, position) AS rank FROM scored) WHERE rank <= 10""")
+def sr09_many(spark, sf):
+    """The long words of every turn of every conversation as a query; turns without any have nothing to rank here."""
+    asked = F.array_join(F.regexp_extract_all("text", F.lit(_LONG_WORDS), F.lit(0)), " ")
+    queries = V.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), asked.alias("query"))
+    found = R.search(V.catalogue(spark, sf), metadata(spark, sf), queries.filter("query <> ''"), V.AS_OF, results=10, method="basic")
     return found.select("query_id", "id", "score", "rank")
 
 

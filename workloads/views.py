@@ -258,7 +258,7 @@ def catalogue(spark: SparkSession, sf: str) -> DataFrame:
     opened = F.date_add(F.lit(dt.date(2013, 1, 1)), (F.col("n_chars") % 4000).cast("int")).cast("string")
     return d.select(
         F.col("doc_id").alias("position"), F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("id"),
-        F.substring("text", 1, 40).alias("title"),
+        F.array_join(F.regexp_extract_all("text", F.lit("[a-z]{12,}"), F.lit(0)), " ").alias("title"),
         F.concat(F.lit("Survey "), "lang").alias("statistics_name"), F.col("lang").alias("main_category"),
         F.col("source").alias("sub_category"), F.col("text").alias("description"),
         F.when(F.col("source").isin("src1", "src3", "src7"), "総務省統計局").otherwise(F.col("source")).alias("gov_org"),
@@ -269,7 +269,7 @@ def catalogue(spark: SparkSession, sf: str) -> DataFrame:
 
 
 view("catalogue", """
-SELECT doc_id AS position, lpad(CAST(doc_id AS VARCHAR), 10, '0') AS id, substr(text, 1, 40) AS title,
+SELECT doc_id AS position, lpad(CAST(doc_id AS VARCHAR), 10, '0') AS id, array_to_string(regexp_extract_all(text, '[a-z]{12,}'), ' ') AS title,
        'Survey ' || lang AS statistics_name, lang AS main_category, source AS sub_category, text AS description,
        CASE WHEN source IN ('src1', 'src3', 'src7') THEN '総務省統計局' ELSE source END AS gov_org,
        CASE WHEN lang = 'de' THEN '' WHEN lang = 'es' THEN '2015/01'
