@@ -104,3 +104,11 @@ def test_error_types(rows):
     assert [r[0] for r in df.select(E.error_type(F.col("m"), F.col("c"))).collect()] == list(cases.values())
     kinds = rows("k string", *((k,) for k in ("timeout_error", "network_error", "api_error", "storage_error", "data_error", "validation_error", "unknown_error")))
     assert [r[0] for r in kinds.select(E.is_retryable(F.col("k"))).collect()] == [True] * 4 + [False] * 3
+
+
+def test_changes_against_repeated_old_keys(rows):
+    old = rows("k int, value double, v int", (1, 1.0, 1), (1, 2.0, 2), (2, 5.0, 1), (2, 5.0, 2), (3, None, 1), (None, 4.0, 1))
+    new = rows("k int, value double", (1, 2.0), (2, 5.0), (3, None), (4, 1.0), (None, 4.0))
+    got = lambda **o: sorted((r.k, r.change) for r in I.changes(new, old, ["k"], **o).collect())
+    assert got(latest="v") == [(4, "new")]
+    assert got() == [(1, "changed"), (4, "new")]

@@ -148,12 +148,18 @@ def throughput(log: DataFrame) -> DataFrame:
     return log.withColumn("records_per_second", F.try_divide(F.col("record_count"), F.col("duration_seconds")))
 
 
-def changes(new: DataFrame, old: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """IN-11: rows of ``new`` that are absent from ``old`` or carry another value; one join tells both."""
-    before = old.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(value).alias("_old"), F.lit(True).alias("_known"))
+def changes(new: DataFrame, old: DataFrame, keys: list[str], value: str = "value", latest: str | None = None) -> DataFrame:
+    """IN-11: rows of ``new`` that are absent from ``old`` or carry another value; one join tells both.
+
+    Of a key that repeats in ``old`` the row with the greatest ``latest`` counts; without that column
+    a key with several values differs from any new one.
+    """
+    known = (F.struct(F.max_by(value, latest)) if latest else F.when(
+        (F.count(value) == F.count("*")) & (F.min(value) == F.max(value)) | (F.count(value) == 0), F.struct(F.min(value))))
+    before = old.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(known.alias("_old"), F.lit(True).alias("_known"))
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     joined = new.join(before, on, "left")
-    change = F.when(F.col("_known").isNull(), "new").when(~F.col(value).eqNullSafe(F.col("_old")), "changed")
+    change = F.when(F.col("_known").isNull(), "new").when(~F.struct(value).eqNullSafe(F.col("_old")), "changed")
     return (
         joined.withColumn("change", change).filter(F.col("change").isNotNull())
         .drop("_old", "_known", *(f"_{k}" for k in keys))

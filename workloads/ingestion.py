@@ -160,6 +160,17 @@ def in10_written(spark, sf):
         F.sum("record_count").alias("record_count"), (F.max("storage_bytes") == kept).alias("has_bytes"), (F.min("storage_bytes") == 0).alias("rerun_writes_none"))
 
 
+@query("in06_batch_ingest", """
+SELECT id AS dataset_id, 'completed' AS status, 1::BIGINT AS loaded FROM inventory WHERE status = 'pending' AND priority >= 7 ORDER BY priority DESC, added_pos LIMIT 2""")
+def in06_ingest(spark, sf):
+    """The next two datasets of the inventory, each with the cells of its customer, and what the load log says of them."""
+    root, cells = scratch(spark, "in06"), V.cells_customer(spark, sf)
+    outcome = P.ingest_batch(
+        spark, V.inventory(spark, sf), lambda dataset: cells.filter(F.col("`@tab`") == dataset), root, n=2, threshold=7, updated_at=V.STAMP)
+    log = spark.read.schema(P.LOAD_LOG).parquet(f"{root}/logs/loads")
+    return outcome.join(log.select("dataset_id", F.col("record_count").alias("loaded")), "dataset_id", "left").select("dataset_id", "status", "loaded")
+
+
 @query("in12_rejected_documents", """
 SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'status 100: quota' WHEN '2-HIGH' THEN 'damaged rows' ELSE 'unreadable' END AS reason
 FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')""")

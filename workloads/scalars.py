@@ -68,11 +68,9 @@ SELECT ym, month, dashed, day, n FROM (
 def pr06(spark, sf):
     t = F.col("`@time`")
     dashed = F.concat(F.substring(t, 1, 4), F.lit("-"), F.substring(t, 5, 2))
-    # Rows are reduced to the distinct codes first; the parsing then runs once per code.
-    codes = V.cells_lineitem(spark, sf).groupBy(t.alias("ym")).agg(F.count(F.lit(1)).alias("n"))
-    y = F.col("ym")
-    dashed = F.concat(F.substring(y, 1, 4), F.lit("-"), F.substring(y, 5, 2))
-    return codes.select("ym", S.month(y).alias("month"), S.month(dashed).alias("dashed"), S.month(F.concat(y, F.lit("15"))).alias("day"), "n")
+    parsed = V.cells_lineitem(spark, sf).select(
+        t.alias("ym"), S.month(t).alias("month"), S.month(dashed).alias("dashed"), S.month(F.concat(t, F.lit("15"))).alias("day"))
+    return parsed.groupBy("ym", "month", "dashed", "day").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("pr07_legacy_year", f"""

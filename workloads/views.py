@@ -106,14 +106,14 @@ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""")
 def cells_customer(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select(
         F.lit("CUS").alias("@id"), F.col("c_custkey").cast("string").alias("@tab"), F.col("c_mktsegment").alias("@cat01"),
-        F.substring("c_name", 1, 8).alias("@cat02"), F.lit("balance").alias("@cat03"),
+        F.col("c_nationkey").cast("string").alias("@cat02"), F.lit("balance").alias("@cat03"),
         area("c_nationkey").alias("@area"), (F.lit(1995) + F.col("c_custkey") % 7).cast("string").alias("@time"),
         F.lit("yen").alias("@unit"), money("c_acctbal").alias("$"), F.col("c_custkey").alias("seq"),
     )
 
 
 view("cells_customer", f"""
-SELECT 'CUS' AS "@id", CAST(c_custkey AS VARCHAR) AS "@tab", c_mktsegment AS "@cat01", substr(c_name, 1, 8) AS "@cat02", 'balance' AS "@cat03",
+SELECT 'CUS' AS "@id", CAST(c_custkey AS VARCHAR) AS "@tab", c_mktsegment AS "@cat01", CAST(c_nationkey AS VARCHAR) AS "@cat02", 'balance' AS "@cat03",
        {sql_area('c_nationkey')} AS "@area", CAST(1995 + c_custkey % 7 AS VARCHAR) AS "@time", 'yen' AS "@unit",
        {sql_money('c_acctbal')} AS "$", c_custkey AS seq
 FROM customer""")
