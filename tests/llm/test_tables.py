@@ -89,6 +89,20 @@ def test_mixture(spark):
     assert mixture.mix(docs).columns == docs.columns and mixture.mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("big, small, size", [(100, 10, 1000), (0, 40_000, 3), (5, 40_000, 70)])
+def test_small_and_many_sources_come_near_their_targets(spark, big, small, size):
+    """Sources below half a block, and more sources than blocks."""
+    rows = spark.range(big).selectExpr("id as doc_id", "'big' as source", "50000000L as __size").union(
+        spark.range(5 * small).selectExpr("id + 1000", f"concat('t', id % {small})", f"{size}L")).withColumn("__order", mixture.F.md5(mixture.F.col("doc_id").cast("string")))
+    got = mixture.mixed(rows).groupBy("source").agg(mixture.F.sum("__taken").alias("taken"), mixture.F.max("__target").alias("target"), mixture.F.sum("__size").alias("size")).collect()
+    total = sum(r["size"] for r in got)
+    assert len(got) == small + (big > 0)
+    for r in got:
+        assert abs(r.taken - r.target) <= (total / (mixture.SHARDS * mixture.BLOCKS) if r.source == "big" else 1) and r.taken <= 3 * r["size"]
+        assert r.taken > 0 or r.target < 1
+    assert abs(sum(r.taken for r in got) - total) <= 1 + total * (big > 0) / (mixture.SHARDS * mixture.BLOCKS)
+
+
 def test_apportionment_gives_highest_quotients(spark):
     sizes = spark.createDataFrame([("a", 1000), ("b", 300), ("c", 7), ("d", 0), (None, 55)], "source string, source_size long")
     target = mixture.targets(sizes)

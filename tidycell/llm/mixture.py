@@ -8,7 +8,10 @@ in order of size / weight the level at which the last one stops follows from run
 The words are cut into SHARDS * BLOCKS equal blocks.  A source's k-th block has the
 quotient target / (2k - 1); the highest quotients get the blocks, and the blocks
 so ranked are dealt to the shards in turn, so a shard's quota of every source is
-an integer.  A source's blocks are taken from its documents in a seeded order, whole
+an integer.  A source whose target is below ``SMALL`` blocks, too little for whole blocks to come near it,
+takes no part in that: it gets its target in words, the fractions of a word rounded along the running sum of
+such targets, and the blocks are cut from the words left.  So no source of a word or more goes without for its
+size, however large the input or many the sources.  A source's blocks are taken from its documents in a seeded order, whole
 passes first; a block may end within a document, of which then only the first words count as taken.
 
 Positions in the seeded order take two levels: documents are dealt to buckets by the
@@ -28,6 +31,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 SHARDS = 8
 BLOCKS = 4096
+#: Blocks below which a target is settled in words; a source of that many is off by some half of one.
+SMALL = 64
 SEED = "mix-1"
 
 
@@ -77,11 +82,19 @@ def quotas(target: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> Dat
 def shares(rows: DataFrame) -> DataFrame:
     """(source, source_size, target, passes, rest) from rows with source and __size: whole passes over
     the source and the words to take after them."""
-    target = targets(rows.groupBy("source").agg(F.sum("__size").alias("source_size")))
-    won = quotas(target).groupBy("rank").agg(F.sum("blocks").alias("blocks"))
     n = SHARDS * BLOCKS
-    words = F.least(F.expr(f"(coalesce(blocks, 0) * total) div {n}"), MOST * F.col("source_size"))
-    got = target.join(won, "rank", "left").withColumn("words", words)
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # One row per source.
+    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    small = F.col("target") * n < SMALL * F.col("total")
+    target = targets(rows.groupBy("source").agg(F.sum("__size").alias("source_size"))).withColumn("small", small)
+    target = target.withColumn("fine", F.when(F.col("small"), F.col("target")).otherwise(0.0)).withColumn("done", F.coalesce(F.sum("fine").over(before), F.lit(0.0)))
+    target = target.withColumn("few", F.floor(F.col("done") + F.col("fine") + 0.5) - F.floor(F.col("done") + 0.5))
+    target = target.withColumn("cut", F.col("total") - F.sum("few").over(everything))
+    large = target.where("not small").withColumn("total", F.sum("target").over(everything))
+    won = quotas(large).groupBy("rank").agg(F.sum("blocks").alias("blocks"))
+    words = F.when(F.col("small"), F.col("few")).otherwise(F.expr(f"(coalesce(blocks, 0) * cut) div {n}"))
+    got = target.join(won, "rank", "left").withColumn("words", F.least(words, MOST * F.col("source_size")))
     passes = F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(F.lit(0).cast("long"))
     return got.withColumn("passes", passes).withColumn("rest", F.col("words") - F.col("passes") * F.col("source_size")).select("source", "source_size", "target", "passes", "rest")
 
