@@ -205,6 +205,31 @@ def test_html_blocks():
     assert [b[0] for b in html_text.blocks("a < b <3 &lt;p&gt; <")] == ["a < b <3 <p> <"]
 
 
+@pytest.mark.parametrize("page, texts", [
+    ("<html><head><title>t</title><body><article><p>one</p><p>two</p></article>", ["one", "two"]),
+    ("<head><meta charset=x><article><p>one", ["one"]),
+    ("<p>one <svg viewBox='0 0 1 1'/> two</p><p>three</p>", ["one two", "three"]),
+    ("<p>one <svg><title>t</title><path d='M0'/><text>two</text></svg> three</p>", ["one two three"]),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", ["so x=2 holds"]),
+    ("<object data=x><p>one</p></object><object data=y>two<p>three</p>", ["one", "two", "three"]),
+    ("<div><button>ok<p>one</p><button>go</button><p>two</p></div><p>three", ["ok", "one", "go", "two", "three"]),
+    ("<form><select><option>a<option>b</form><p>one</p>", ["a", "b", "one"]),
+    ("<noscript>one<p>two", ["one", "two"]),
+])
+def test_html_ends_left_out(page, texts):
+    found = html_text.blocks(page)
+    assert [b[0] for b in found] == texts
+    assert all(("tag:button" in b[1]) == (b[0] == "go") and "tag:select" not in b[1] for b in found)
+
+
+def test_page_without_end_of_head_keeps_its_article(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    whole = [r.html for r in pages.where("html like '%</head>%'").orderBy("page_id").limit(20).collect()]
+    field = html_text.train(pages)
+    for page in whole:
+        assert html_text.text_of(page.replace("</head>", ""), field) == html_text.text_of(page, field) != ""
+
+
 def test_html_extraction_held_out(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     field = html_text.train(pages)

@@ -1,8 +1,8 @@
 """The main text of web pages, by a linear-chain conditional random field over DOM leaf blocks.
 
 A page becomes its leaf blocks in page order: runs of text between the starts and ends of block
-elements.  Scripts, styles, comments and other raw elements give no text; character
-references are decoded, white space inside a block becomes one space.  Each block has
+elements.  Scripts, styles, titles, text fields, templates, frames and comments give no text, all other
+elements do, whatever of their ends is left out; character references are decoded, white space inside a block becomes one space.  Each block has
 features of its ancestors (tags, words of their classes, ids and roles) and of its text (length, links,
 ends, digits).  The field has two labels, text and other; its weights for features
 and for neighbouring labels are fitted on labelled pages, and pages are decoded by Viterbi.
@@ -38,11 +38,16 @@ STEPS = 120
 
 #: Elements as HTML sorts them.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "select", "button", "head"}
+RAW = {"script", "style", "title", "textarea", "template", "iframe"}
+#: Elements of drawings and formulas, part of the line they stand in; these may close themselves.
+FOREIGN = set("svg g path circle rect line polyline polygon ellipse defs use symbol text tspan textpath lineargradient radialgradient stop clippath mask desc "
+              "math mi mo mn ms mtext mspace mrow msup msub msubsup mfrac msqrt mroot mstyle munder mover munderover mpadded mphantom menclose mtable mtr mtd semantics annotation".split())
+#: Controls: one without an end of its own is passed over, so that what follows is not taken for a part of it.
+CONTROLS = {"button", "select"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small",
-          "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+          "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "object", *FOREIGN}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-TAGS = {"article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "table", "blockquote", "figure", "figcaption", "h1", "h2", "h3", "h4", "p", "li", "pre", "dl", "address", "details", "dialog", "menu", "a", "fieldset"}
+TAGS = {"article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "table", "blockquote", "figure", "figcaption", "h1", "h2", "h3", "h4", "p", "li", "pre", "dl", "address", "details", "dialog", "menu", "a", "fieldset", "button", "select"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^'\">]|\"[^\"]*+\"|'[^']*+')*+)>|<(?=[a-zA-Z/])[^<]*+\Z", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -95,7 +100,10 @@ def blocks(page: str | None) -> list[Block]:
                 continue
             if tag not in INLINE:
                 flush()
-            if tag in VOID:
+            # Text that shows ends a head, so a head as such holds none: its end, which may be left out, says nothing.
+            if tag in VOID or tag == "head" or tag in FOREIGN and attributes.endswith("/"):
+                continue
+            if tag in CONTROLS and not ((after := _control(tag).search(page, pos)) and after[1]):
                 continue
             if tag in CLOSES:
                 # The element it ends by rule, with inline ones left open in it.
@@ -136,6 +144,12 @@ def _raw_end(tag: str) -> re.Pattern:
     return re.compile(rf"</{re.escape(tag)}\b[^>]*+>?", re.I)
 
 
+@lru_cache(maxsize=None)
+def _control(tag: str) -> re.Pattern:
+    """The next end or start of the element."""
+    return re.compile(rf"<(/?){tag}\b", re.I)
+
+
 @lru_cache(maxsize=4096)
 def _element(tag: str, attributes: str) -> tuple[frozenset[str], bool]:
     feats = {f"tag:{tag}"} if tag in TAGS else set()
@@ -304,7 +318,7 @@ def compose(rng: random.Random, sentences: list[str]) -> tuple[str, list[int]]:
         return "".join(block(rng.choice(["p", "div", "h3"]), phrase(2, 30), 0) for _ in range(rng.randint(1, 3)))
 
     def form(tag: str) -> str:
-        return block("p", phrase(2, 12), 0) + '<input type="text"><button>ok</button>'
+        return block("p", phrase(2, 12), 0) + '<input type="text">' + f'<select>{block("option", "all", 0)}</select>' + block("button", "ok", 0)
 
     def comments(tag: str) -> str:
         item = "li" if tag in ("ol", "ul") else rng.choice(["div", "p", "article"])
@@ -333,6 +347,8 @@ def compose(rng: random.Random, sentences: list[str]) -> tuple[str, list[int]]:
                 inner.append(block("blockquote", phrase(3, 40), 1))
             else:
                 inner.append(part(rng.choice(["advert", "share", "notice", "form", "sidebar"])))
+            if len(labels) % 5 == 0:
+                inner.append(block("button", "share this", 0))
         if rng.random() < 0.2:
             inner.append(part("comments"))
         return "".join(inner)
@@ -347,7 +363,7 @@ def compose(rng: random.Random, sentences: list[str]) -> tuple[str, list[int]]:
 
 #: Ancestors that say what a block is, for pages of the table.
 INSIDE = {"tag:article", "tag:main"}
-OUTSIDE = {"tag:nav", "tag:aside", "tag:footer", "tag:form", "tag:header", *(f"name:{w}" for k, (_, names) in PARTS.items() for n in names for w in n.split("-") if w not in ("main", "top", "text", "more", "side", "message"))}
+OUTSIDE = {"tag:nav", "tag:aside", "tag:footer", "tag:form", "tag:header", "tag:button", "tag:select", *(f"name:{w}" for k, (_, names) in PARTS.items() for n in names for w in n.split("-") if w not in ("main", "top", "text", "more", "side", "message"))}
 
 
 def own_labels(page: list[Block]) -> list[int] | None:
