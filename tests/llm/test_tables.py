@@ -73,6 +73,18 @@ def test_contexts_learned_from_seeds_find_other_identifiers(spark):
     assert found[50].spans == "context:18:28" and found[50].base == "" and found[51].n_context == 0 and found[52].n_context == 0
 
 
+def test_contexts_shared_only_with_found_identifiers_are_learned(spark):
+    """Phones lead to EMP-..., these to the badges, these to the lockers; rooms share nothing with them."""
+    rows = [(i, f"please call me at +49 30 555{i:04d} today") for i in range(30)]
+    rows += [(100 + i, f"please call me at EMP-10{i:03d} soon") for i in range(20)]
+    rows += [(200 + i, f"badge no EMP-10{i:03d} lost") for i in range(20)] + [(300 + i, f"badge no EMP-70{i:03d} lost") for i in range(12)]
+    rows += [(400 + i, f"locker of EMP-70{i:03d} open") for i in range(12)] + [(500, "locker of EMP-99999 open")] + [(600 + i, f"room with EXT-8000{i} shut") for i in range(8)]
+    found = {r.doc_id: r.spans for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        m = re.search(r"EMP-\d+|\+[\d ]+\d", text)
+        assert found[i] == (f"{'phone' if m[0][0] == '+' else 'context'}:{m.start()}:{m.end()}" if m else "")
+
+
 def test_mixture(spark):
     docs = cases.documents(spark)
     rows = mixture.mixed(docs.withColumns(mixture.features()))

@@ -8,9 +8,12 @@ and without overlap, then checked.  The method: bootstrapped contextual extracti
    digits written as 0.
 2. Patterns and instances (distinct strings) form a graph.  Seeds score 1, candidates 0 at first.
    In each round a pattern's score is the mean over its instances, shrunk towards 0
-   by ``DOUBT`` instances, and a candidate's score the best of its patterns with ``SUPPORT`` seeds or more.
-3. Candidates in a pattern with a final score of ``SURE`` or more, of ``SHORTEST`` characters or more
-   with ``DIGITS`` digits, are found as kind ``context``.
+   by ``DOUBT`` instances, and a candidate's score the best of its patterns with ``SUPPORT`` held instances
+   or more; held are the seeds at first.
+3. Candidates in a pattern with a score of ``SURE`` or more after ``ROUNDS`` rounds, of ``SHORTEST`` characters
+   or more with ``DIGITS`` digits, are found as kind ``context``.
+4. They are held from then on, starting at their pattern's score, and the rounds begin anew, until no pattern is
+   added.  What is not held starts at 0 each time, so that a pattern does not become sure by its own candidates.
 
 Everything is in column expressions and joins.  A text is marked with a control
 character round each match and split there, so its parts are gaps and matches in
@@ -141,22 +144,37 @@ def _occurrences(found: DataFrame) -> DataFrame:
     return each.withColumn("pattern", F.explode(F.array("p1", "p2"))).drop("p1", "p2").where("pattern is not null")
 
 
-def patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, score) of the patterns that are sure after some rounds over the graph."""
-    edges = stage(_occurrences(found).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
-    known = edges.withColumn("score", F.col("seed").cast("double"))
+def _scored(start: DataFrame, rounds: int) -> DataFrame:
+    """(pattern, score) of the patterns that are sure after some rounds over the graph, from edges with the
+    score ``known`` that their instance starts with and whether it is ``held``."""
+    now = start.withColumn("score", F.col("known"))
     for k in range(rounds):
-        scored = known.groupBy("pattern").agg(
-            (F.sum("score") / (F.count("*") + DOUBT)).alias("p_score"), F.sum(F.col("seed").cast("long")).alias("support"))
+        scored = now.groupBy("pattern").agg(
+            (F.sum("score") / (F.count("*") + DOUBT)).alias("p_score"), F.sum(F.col("held").cast("long")).alias("support"))
         if k == rounds - 1:
             return scored.where((F.col("support") >= SUPPORT) & (F.col("p_score") >= SURE)).select("pattern", F.col("p_score").alias("score"))
         scored = stage(scored, "patterns")
         good = scored.where(F.col("support") >= SUPPORT).select("pattern", "p_score")
-        best = edges.join(good, "pattern").groupBy("instance").agg(F.max("p_score").alias("i_score"))
-        known = stage(edges.join(best, "instance", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("i_score", F.lit(0.0)))).drop("i_score"), "instances")
+        best = start.join(good, "pattern").groupBy("instance").agg(F.max("p_score").alias("i_score"))
+        now = stage(start.join(best, "instance", "left").withColumn("score", F.greatest("known", F.coalesce("i_score", F.lit(0.0)))).drop("i_score"), "instances")
     raise ValueError("at least one round")
 
 
+def patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(pattern, score) of the patterns that are sure, with what they find held in turn until none is added."""
+    edges = stage(_occurrences(found).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.max("fit").alias("fit")), "edges")
+    start, n = edges.withColumns({"known": F.col("seed").cast("double"), "held": F.col("seed")}), 0
+    while True:
+        sure = stage(_scored(start, rounds), "sure")
+        if (now := sure.count()) <= n:  # scores only rise, so the patterns of a pass are among those of the next
+            return sure
+        n = now
+        taken = edges.where("fit and not seed").join(sure, "pattern").groupBy("instance").agg(F.max("score").alias("taken"))
+        start = stage(edges.join(taken, "instance", "left").select(
+            "pattern", "instance", "seed", "fit", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("taken", F.lit(0.0))).alias("known"),
+            (F.col("seed") | F.col("taken").isNotNull()).alias("held")), "held")
+
+
 def extract(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, n_context, base, spans): base and spans as
     ``kind:start:end`` in order of kind and start, joined by commas."""
