@@ -85,6 +85,26 @@ def test_contexts_shared_only_with_found_identifiers_are_learned(spark):
         assert found[i] == (f"{'phone' if m[0][0] == '+' else 'context'}:{m.start()}:{m.end()}" if m else "")
 
 
+def test_contexts_are_the_two_words_before_whatever_they_are(spark):
+    texts = ["ids: A123456 B234567", "Room 12 EXT-445566 a.b@c.de,x.y@z.de", "mail " + "w" * 100 + " C345678", "D456789", "+49 30 5550001 E567890", " ".join(f"k{i}" for i in range(600))]
+    found = pii.base(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    words = {w: {r[0] for r in spark.createDataFrame([(w,)], "w string").select(pii.F.xxhash64(pii.F.lit(len(w.split())), "w")).collect()}.pop()
+             for w in ("ids:", "a000000", "ids: a000000", "room", "00", "room 00", "ext-000000", "00 ext-000000", ",", "a.b@c.de ,", "w" * 100, "mail " + "w" * 100, "0000000", "00 0000000", "k0", "k00", "k000", "k0 k0", "k0 k00", "k00 k00", "k00 k000", "k000 k000")}
+    names = {h: w for w, h in words.items()} | {None: None}
+    got = {r.doc_id: [(names[o.p1], names[o.p2]) for o in r["__any"]] for r in found.collect()}
+    assert got[0] == [("ids:", None), ("a000000", "ids: a000000")]
+    assert got[1] == [("room", None), ("00", "room 00"), ("ext-000000", "00 ext-000000"), (",", "a.b@c.de ,")]
+    assert got[2] == [("w" * 100, "mail " + "w" * 100)] and got[3] == [(None, None)] and got[4] == [(None, None), ("0000000", "00 0000000")]
+    ks = ["k" + "0" * len(str(i)) for i in range(600)]
+    assert got[5] == [(None, None), ("k0", None)] + [(b, f"{a} {b}") for a, b in zip(ks, ks[1:])][:598]
+
+
+def test_identifiers_that_follow_one_another_are_found(spark):
+    rows = [(i, f"staff A{i:05d} +49 30 555{i:04d} in") for i in range(12)] + [(50, "staff A77777 EXT-445566 in"), (51, "staff EXT-445577 in")]
+    found = {r.doc_id: r.spans for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[50] == "context:13:23" and found[51] == "" and found[3] == "phone:13:27"
+
+
 def test_mixture(spark):
     docs = cases.documents(spark)
     rows = mixture.mixed(docs.withColumns(mixture.features()))

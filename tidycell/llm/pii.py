@@ -5,7 +5,7 @@ and without overlap, then checked.  The method: bootstrapped contextual extracti
 
 1. Seeds are the base finds.  Candidates are the other words with a digit.  Each
    occurrence has patterns: the word before it, and the two words before it, lower-cased and with
-   digits written as 0.
+   digits written as 0.  Words of finds and candidates before it count; a word ends where one of these does.
 2. Patterns and instances (distinct strings) form a graph.  Seeds score 1, candidates 0 at first.
    In each round a pattern's score is the mean over its instances, shrunk towards 0
    by ``DOUBT`` instances, and a candidate's score the best of its patterns with ``SUPPORT`` held instances
@@ -52,8 +52,6 @@ SURE = 0.6
 ROUNDS = 3
 SHORTEST = 6
 DIGITS = 3
-#: Characters before an occurrence in which its context is looked for.
-CONTEXT = 80
 LEVEL = 256
 
 
@@ -73,11 +71,15 @@ def _running(lengths: str) -> Column:
             (s, x) -> named_struct('t', s.t + x, 'a', concat(s.a, array(s.t)))).a))""")
 
 
-def _matches(parts: str, starts: str) -> Column:
-    """(start, end, match, gap before it) of every match."""
+def _matches(parts: str, starts: str, before: bool) -> Column:
+    """(start, end, match, and if asked for the text before it back to the last match but one) of every match.
+
+    A match has a word or more, so that text has the two words before if there are any; every part is
+    in two of these texts at most."""
+    context = f", 'before', array_join(slice({parts}, greatest(1, 2 * i - 4), least(2 * i - 1, 4)), ' ')" if before else ""
     return F.expr(f"""transform(sequence(1, cast((size({parts}) - 1) div 2 as int)), i -> named_struct(
         'start', element_at({starts}, 2 * i), 'end', element_at({starts}, 2 * i) + length(element_at({parts}, 2 * i)),
-        'match', element_at({parts}, 2 * i), 'gap', element_at({parts}, 2 * i - 1)))""")
+        'match', element_at({parts}, 2 * i){context}))""")
 
 
 def _digits(c: Column) -> Column:
@@ -99,12 +101,12 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _find(rows: DataFrame, name: str, pattern: str, maybe: Column) -> DataFrame:
+def _find(rows: DataFrame, name: str, pattern: str, maybe: Column, before: bool = False) -> DataFrame:
     """``rows`` with the matches of a pattern as an array column; empty where ``maybe`` is false."""
     rows = rows.withColumn("__parts", F.when(maybe, _parts(F.col("__clean"), pattern)))
     rows = rows.withColumn("__parts", F.when(F.size("__parts") > 1, F.col("__parts")))
     rows = rows.withColumn("__lengths", F.transform("__parts", F.length)).withColumn("__starts", _running("__lengths"))
-    found = F.when(F.col("__parts").isNotNull(), _matches("__parts", "__starts")).otherwise(F.expr("cast(array() as array<struct<start: bigint, end: bigint, match: string, gap: string>>)"))
+    found = F.when(F.col("__parts").isNotNull(), _matches("__parts", "__starts", before)).otherwise(F.expr(f"cast(array() as array<struct<start: bigint, end: bigint, match: string{', before: string' if before else ''}>>)"))
     return rows.withColumn(name, found).drop("__parts", "__lengths", "__starts")
 
 
@@ -123,13 +125,13 @@ def base(docs: DataFrame) -> DataFrame:
         rows = _find(rows, f"__{kind}", pattern, maybe)
         rows = rows.withColumn(f"__{kind}", F.transform(F.filter(f"__{kind}", lambda s: valid(kind, s["match"])), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
     likely = f"{EMAIL}|{IP}|{_LONG_CARD}|{PHONE}"
-    rows = _find(rows, "__any", f"{likely}|{_WORD}", digit | (F.instr(clean, "@") > 0)).drop("__clean")
+    rows = _find(rows, "__any", f"{likely}|{_WORD}", digit | (F.instr(clean, "@") > 0), before=True).drop("__clean")
 
     def described(s: Column) -> Column:
-        before = F.regexp_replace(F.lower(F.substring(s["gap"], -CONTEXT, CONTEXT)), "[0-9]", "0")
-        words = F.filter(F.split(before, f"[{_S}]+"), lambda w: w != "")
+        words = F.filter(F.split(s["before"], f"[{_S}]+"), lambda w: w != "")
+        words = F.transform(F.slice(words, F.greatest(F.lit(1), F.size(words) - 1), 2), lambda w: F.regexp_replace(F.lower(w), "[0-9]", "0"))
         one = F.element_at(words, F.when(F.size(words) > 0, F.lit(-1)))
-        two = F.array_join(F.slice(words, -2, 2), " ")
+        two = F.array_join(words, " ")
         m = s["match"]
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(m).alias("instance"), m.rlike(f"^(?:{likely})$").alias("seed"),
                         ((F.length(m) >= SHORTEST) & (F.length(_digits(m)) >= DIGITS)).alias("fit"),
