@@ -1,22 +1,23 @@
 """Documents whose sets of word n-grams have a Jaccard similarity of ``threshold`` or more.
 
-MinHash LSH forest, then exact verification:
+Banded MinHash, then exact verification.  The method it was dealt is an LSH forest; fixed bands
+take its place: no trie is built, and no prefix is shortened by what the data hold.
 
 1. Every document becomes the set of digests of its ``n``-word shingles (a text
    of fewer words, but not none, is one shingle).  Documents with one set form a
    class; a class is compared once, however many copies it has.
-2. The forest has ``trees`` prefix tries.  A class' path in a trie is a sequence
-   of min-hashes, up to ``DEEPEST`` long.  Two classes are candidates in a trie
-   if their paths agree on a prefix; the prefix is shortened from the deepest
-   level until pairs at the threshold meet in some trie with probability
-   ``recall`` (see ``depth``).
+2. There are ``trees`` bands.  A class' path in a band is a sequence of min-hashes,
+   as many in all bands: the most, up to ``DEEPEST``, at which pairs at the
+   threshold meet in some band with probability ``recall`` (see ``depth``; 7 for
+   0.8 and 0.999).  Two classes are candidates if their whole paths in a band agree.
+   A lone pair at exactly 0.8 is missed with probability (1 - 0.8**7)**32 = 0.0005.
 3. Classes that meet, directly or over others, form a neighbourhood.  Each
    neighbourhood is verified as a whole: its shingle sets travel once, and
    intersections of all its pairs are counted exactly, in blocks.  A large
    neighbourhood is cut by set size (similar sets have similar sizes) and
    then into blocks of bounded bytes, and every pair of blocks is a task of its
    own, so no group is gathered and no pair is written.  Pairs that the
-   forest itself would have missed are found here too.
+   bands missed are found here too if other classes led to one neighbourhood.
 4. Links lead to connected components, found by star contraction.
 
 Defined results: null texts and texts without words have no shingles, link to nothing and are their
