@@ -1,4 +1,9 @@
-"""Removal of passages that occur earlier, by suffix trees that are partitioned by prefix.
+"""Removal of passages that occur earlier, by fingerprints of windows that are dealt by minimizers.
+
+The method it was dealt is suffix trees partitioned by prefix; no tree is built here.  Window
+fingerprints (``width`` words, fixed) take its place, dealt by the smallest ``SHORT``-word digest inside a
+window; there are no inner nodes and nothing deeper than ``width``.  Below, tree, prefix, leaf and node are
+named as the parts of the tree that these stand for.
 
 A suffix of a document is the word sequence from one position on.  Two suffixes
 that agree for ``width`` words meet in a node of depth ``width`` or more of the
