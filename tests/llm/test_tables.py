@@ -222,6 +222,14 @@ def test_url_filter_both_ways(spark):
     assert url_filter.judge(pages.limit(0), known).count() == 0
 
 
+def test_url_rules_of_equal_length_both_ways(spark):
+    """The one with the longer host holds."""
+    pages = spark.createDataFrame([(1, "http://a.net/ab", "x")], "page_id long, url string, rule string")
+    known = url_filter.entries(spark, [("a.net/", "block"), ("net/ab", "allow")], [])
+    for most in (10, 1):
+        assert [(r["__rule"], r["__verdict"]) for r in url_filter.judge(pages, known, max_entries=most).collect()] == [("a.net/", "block")]
+
+
 def test_equal_digests_are_told_apart(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda x: 7)
     rows = [("a.org/", False, "block"), ("b.org/", True, "block"), ("c.org/", False, "allow")]

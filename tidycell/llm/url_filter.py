@@ -148,7 +148,7 @@ def _joined(pages: DataFrame, known: DataFrame, lengths: Sequence[int]) -> DataF
     probes = pages.select("__host", "__path").distinct().select("__host", "__path", F.explode(F.array_distinct(keys)).alias("entry"))
     hits = probes.join(known, "entry")
     best = hits.groupBy("__host", "__path").agg(
-        F.max(F.when(~F.col("listed"), F.struct(F.length("entry").alias("n"), "entry", "verdict"))).alias("r"), F.max((F.col("listed")) & (F.col("verdict") == "block")).alias("b"))
+        F.max(F.when(~F.col("listed"), F.struct(F.length("entry").alias("n"), F.instr("entry", "/").alias("host"), "entry", "verdict"))).alias("r"), F.max((F.col("listed")) & (F.col("verdict") == "block")).alias("b"))
     return pages.join(best, ["__host", "__path"], "left").withColumns({
         "__rule": F.col("r.entry"), "__verdict": F.coalesce("r.verdict", F.when(F.col("b"), "block"), F.lit("allow"))}).drop("r", "b")
 
