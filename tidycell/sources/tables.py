@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,6 +151,73 @@ def _overwrite(df: DataFrame, path: str, domain: str) -> None:
     df.hint("rebalance", *columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
 
 
+@dataclass(frozen=True)
+class Judged:
+    """The cells of a batch against what a table has: ``(keys, _n, _status)``, staged, with counts by status."""
+
+    cells: DataFrame
+    keys: list[str]
+    counts: dict[str, int]
+
+    def keys_of(self, *statuses: str) -> DataFrame:
+        return self.cells.where(F.col("_status").isin(*statuses)).select(*(F.col(k).alias(f"_{k}") for k in self.keys), "_n")
+
+    def rows(self, df: DataFrame, *statuses: str) -> DataFrame:
+        """One row of the batch for each cell of these statuses; of equal copies the one with the least columns."""
+        names = [c for c in df.columns if c != "updated_at"]
+        found = df.join(self.keys_of(*statuses), _same(self.keys, [f"_{k}" for k in self.keys]))
+        one = found.where("_n = 1").select(*df.columns)
+        if not self.counts["copied"]:
+            return one
+        copies = found.where("_n > 1").groupBy(*self.keys).agg(F.min(F.struct("updated_at", *names)).alias("_r"))
+        return one.unionByName(copies.select("_r.*"))
+
+
+def identity(df: DataFrame, domain: str) -> list[str]:
+    """The columns that name a cell: dataset and ``cell_key``, or without that column the dimensions of the table."""
+    return ["dataset_id", CELL_KEY] if CELL_KEY in df.columns else schemas.dimension_names(domain)
+
+
+def judge(spark: SparkSession, df: DataFrame, present: DataFrame | None, keys: list[str], name: str) -> Judged:
+    """Compare the cells of a batch with those of a table by key and value alone.
+
+    Whole rows do not travel: each side is first reduced to counts and extremes by key in every task.
+    A cell with several values in the batch is a conflict; else it is new, present or revised.
+    The verdicts are written once, and their counts are observed by that write.
+    """
+    cells = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.count("value").alias("_v"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    status = F.when((F.col("_v") != 0) & ((F.col("_v") != F.col("_n")) | (F.col("_lo") != F.col("_hi"))), "conflict")
+    if present is None:
+        cells = cells.select(*keys, "_n", status.otherwise("new").alias("_status"))
+    else:
+        known = [f"_{k}" for k in keys]
+        there = present.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("value").alias("_value"))
+        there = there.join(df.select(*keys), _same(keys, known), "left_semi").groupBy(*known).agg(
+            F.count("*").alias("_rows"), F.count("_value").alias("_valued"), F.min("_value").alias("_least"), F.max("_value").alias("_most"))
+        equal = F.when(F.col("_lo").isNull(), F.col("_valued") == 0).otherwise(
+            (F.col("_valued") == F.col("_rows")) & (F.col("_least") == F.col("_lo")) & (F.col("_most") == F.col("_lo")))
+        cells = cells.join(there, _same(keys, known), "left").select(
+            *keys, "_n", status.when(F.col("_rows").isNull(), "new").when(equal, "present").otherwise("revised").alias("_status"))
+    seen = Observation()
+    of = {s: F.col("_status") == s for s in ("new", "present", "revised", "conflict")}
+    copies = F.when(of["conflict"], 0).otherwise(F.col("_n") - 1)
+    counted = [F.count_if(c).alias(s) for s, c in of.items()]
+    counted += [F.coalesce(F.sum(copies), F.lit(0)).alias("copies"), F.coalesce(F.sum(F.when(of["conflict"], F.col("_n"))), F.lit(0)).alias("conflicting")]
+    counted += [F.count_if((F.col("_n") > 1) & (of["new"] | of["revised"])).alias("copied")]
+    staged = stage(spark, cells.observe(seen, *counted), name)
+    return Judged(staged, keys, seen.get)
+
+
+def years(df: DataFrame):
+    """The first and last year of a batch."""
+    return df.agg(F.min("year").alias("a"), F.max("year").alias("b")).first()
+
+
+def within(df: DataFrame, span) -> DataFrame:
+    """Rows of the years a batch reaches over, which removes partitions from the scan."""
+    return df if span.a is None else df.filter(F.col("year").between(span.a, span.b) | F.col("year").isNull())
+
+
 def load_new(spark: SparkSession, df: DataFrame, path: str, domain: str, keys: list[str] | None = None) -> Load:
     """SK-12: load what the table does not have; running it again changes nothing.
 
@@ -162,57 +229,30 @@ def load_new(spark: SparkSession, df: DataFrame, path: str, domain: str, keys: l
     and other datasets.  All else is appended.
 
     Of the table only the years within the batch's range are read, and of those only keys and values of
-    cells the batch also has.  The batch is judged once and staged, so the counts, the
-    rewrite and the append see the same rows.  Two loads of one table must not run at once.
+    cells the batch also has.  The batch is judged once (see ``judge``), so the counts, the
+    rewrite and the append agree.  Two loads of one plain table must not run at once; ``snapshots.load`` may.
     """
     df = check_schema(df, domain)
-    keys = keys or (["dataset_id", CELL_KEY] if CELL_KEY in df.columns else schemas.dimension_names(domain))
-    each = df.groupBy(*keys).agg(
-        F.min(F.struct("updated_at", *(c for c in df.columns if c != "updated_at"))).alias("r"),
-        F.count("*").alias("_n"), F.count("value").alias("_v"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    conflict = ~F.col("_v").isin(0) & ((F.col("_v") != F.col("_n")) | (F.col("_lo") != F.col("_hi")))
-    batch = each.select("r.*", "_n", conflict.alias("_conflict"))
-    span = df.agg(F.min("year").alias("a"), F.max("year").alias("b")).first()
-
-    def touched():
-        table = read_existing(spark, path, domain, CELL_KEY in df.columns)
-        if table is None or span.a is None:
-            return table
-        return table.filter(F.col("year").between(span.a, span.b) | F.col("year").isNull())
-
-    present = touched()
-    status = F.when(F.col("_conflict"), "conflict")
-    if present is None:
-        batch = batch.withColumn("_status", status.otherwise("new"))
-    else:
-        known = [f"_{k}" for k in keys]
-        there = present.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("value").alias("_value"))
-        there = there.join(df.select(*keys), _same(keys, known), "left_semi").groupBy(*known).agg(
-            F.count("*").alias("_rows"), F.count("_value").alias("_valued"), F.min("_value").alias("_least"), F.max("_value").alias("_most"))
-        equal = F.when(F.col("value").isNull(), F.col("_valued") == 0).otherwise(
-            (F.col("_valued") == F.col("_rows")) & (F.col("_least") == F.col("value")) & (F.col("_most") == F.col("value")))
-        batch = batch.join(there, _same(keys, known), "left").withColumn(
-            "_status", status.when(F.col("_rows").isNull(), "new").when(equal, "present").otherwise("revised"))
-        batch = batch.drop(*known, "_rows", "_valued", "_least", "_most")
-    batch = stage(spark, batch, f"load-{schemas.resolve(domain)}")
-    found = {r._status: r for r in batch.groupBy("_status").agg(F.count("*").alias("cells"), F.sum("_n").alias("rows")).collect()}
-    cells = {k: found[k].cells if k in found else 0 for k in ("new", "present", "revised")}
-    if cells["revised"]:
+    keys = keys or identity(df, domain)
+    present = read_existing(spark, path, domain, CELL_KEY in df.columns)
+    if present is not None:
+        span = years(df)
+        present = within(present, span)
+    kind = schemas.resolve(domain)
+    judged = judge(spark, df, present, keys, f"load-{kind}")
+    n = judged.counts
+    if n["revised"]:
         parts = schemas.partition_columns(domain)
-        revised = batch.where("_status = 'revised'").drop("_n", "_conflict", "_status")
+        revised = judged.rows(df, "revised")
         where = revised.select(*(F.col(p).alias(f"_{p}") for p in parts)).distinct()
-        gone = revised.select(*(F.col(k).alias(f"_{k}") for k in keys))
-        stay = touched().join(where, _same(parts, [f"_{p}" for p in parts]), "left_semi").join(gone, _same(keys, [f"_{k}" for k in keys]), "left_anti")
-        _overwrite(stage(spark, stay.unionByName(revised), f"revise-{schemas.resolve(domain)}"), path, domain)
-    append(spark, batch.where("_status = 'new'").drop("_n", "_conflict", "_status"), path, domain)
-    size = written_since(spark, batch, path, domain)
-    conflicts = found["conflict"].rows if "conflict" in found else 0
-    conflicting = None
-    if conflicts:
-        keys_of = batch.where("_conflict").select(*(F.col(k).alias(f"_{k}") for k in keys))
-        conflicting = df.join(keys_of, _same(keys, [f"_{k}" for k in keys]), "left_semi")
-    copies = sum(r["rows"] - r.cells for k, r in found.items() if k != "conflict")
-    return Load(cells["new"], cells["revised"], cells["present"], copies, conflicts, conflicting, size)
+        stay = present.join(where, _same(parts, [f"_{p}" for p in parts]), "left_semi").join(
+            judged.keys_of("revised"), _same(keys, [f"_{k}" for k in keys]), "left_anti")
+        _overwrite(stage(spark, stay.unionByName(revised), f"revise-{kind}"), path, domain)
+    if n["new"] or present is None:
+        append(spark, judged.rows(df, "new"), path, domain)
+    size = written_since(spark, judged.cells, path, domain) if n["new"] or n["revised"] else 0
+    conflicting = df.join(judged.keys_of("conflict").drop("_n"), _same(keys, [f"_{k}" for k in keys]), "left_semi") if n["conflict"] else None
+    return Load(n["new"], n["revised"], n["present"], n["copies"], n["conflicting"], conflicting, size)
 
 
 def written_since(spark: SparkSession, staged: DataFrame, path: str, domain: str) -> int:

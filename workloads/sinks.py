@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from tidycell import schemas
 from tidycell.operators import domains
 
 from tidycell.session import scratch
-from tidycell.sources import files, tables, wire
+from tidycell.sources import files, snapshots, tables, wire
 from workloads import scalars, views as V
 from workloads.registry import query
 
@@ -230,6 +231,67 @@ def sk15(spark, sf):
         F.sum("record_count").alias("record_count"), (F.min("file_size") > 0).alias("has_size"))
 
 
+def _sales(spark, sf):
+    return domains.to_domain(domains.with_identity(V.cells_sales(spark, sf)), "generic", "S1", on_bad="null", updated_at=V.STAMP, keep=("cell_key",))
+
+
+def _three_loads(spark, sf, name):
+    """A table of all sales after two loads that overlap and a revision."""
+    path = scratch(spark, name)
+    rows = _sales(spark, sf)
+    snapshots.load(spark, rows.filter("category != '1-URGENT'"), path, "generic")
+    snapshots.load(spark, rows.filter("category in ('1-URGENT', '5-LOW')"), path, "generic")
+    snapshots.load(spark, rows.filter("category = '2-HIGH'").withColumn("value", F.col("value") + 1), path, "generic")
+    return path
+
+
+@query("sk15_snapshots", """
+WITH s AS (SELECT 1 AS version, 'append' AS operation, count(*) AS net_rows FROM sales WHERE category != '1-URGENT' UNION ALL
+ SELECT 2, 'append', count(*) FROM sales WHERE category = '1-URGENT' UNION ALL SELECT 3, 'revise', 0)
+SELECT version, operation, net_rows, CAST(sum(net_rows) OVER (ORDER BY version) AS BIGINT) AS rows_after FROM s""")
+def sk15_snapshots(spark, sf):
+    path = _three_loads(spark, sf, "sk15s")
+    log = snapshots.history(spark, path)
+    after = None
+    for r in log.select("version").collect():
+        one = snapshots.partition_summary(spark, path, r.version).agg(F.lit(r.version).alias("version"), F.sum("record_count").alias("rows_after"))
+        after = one if after is None else after.unionByName(one)
+    return log.select(F.col("version").cast("int").alias("version"), "operation", (F.col("added_rows") - F.col("removed_rows")).alias("net_rows")).join(after, "version")
+
+
+@query("sk15_manifests", "SELECT 'year=' || COALESCE(CAST(year AS VARCHAR), '__HIVE_DEFAULT_PARTITION__') AS partition, count(*) AS record_count, TRUE AS has_files FROM sales GROUP BY year")
+def sk15_manifests(spark, sf):
+    found = snapshots.partition_summary(spark, _three_loads(spark, sf, "sk15m"))
+    return found.select("partition", "record_count", ((F.col("files") > 0) & (F.col("file_size") > 0)).alias("has_files"))
+
+
+@query("sk15_as_of", "SELECT dataset_id, stats_data_id, year, region_code, category, value, unit FROM sales WHERE category != '1-URGENT'")
+def sk15_as_of(spark, sf):
+    return V.bare(snapshots.read(spark, _three_loads(spark, sf, "sk15v"), "generic", 1))
+
+
+@query("sk12_loads_at_once", "SELECT dataset_id, stats_data_id, year, region_code, category, value, unit FROM sales")
+def sk12_loads_at_once(spark, sf):
+    """Three loads that overlap run at once, beside the files of one that died."""
+    path, rows = scratch(spark, "sk12c"), _sales(spark, sf)
+    snapshots._write(spark, rows, path, uuid.uuid4().hex, "generic", None)
+    batches = [rows.filter("category != '1-URGENT'"), rows.filter("category in ('1-URGENT', '5-LOW')"), rows.filter("category != '2-HIGH'")]
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda b: snapshots.load(spark, b, path, "generic"), batches))
+    return V.bare(snapshots.read(spark, path, "generic"))
+
+
+@query("sk11_swap", "SELECT state, stats_data_id, count(*) AS n FROM (SELECT 'old' AS state, * FROM economy WHERE stats_data_id = 'ORDF' UNION ALL SELECT 'new', * FROM economy) GROUP BY ALL")
+def sk11_swap(spark, sf):
+    """A table rebuilt from files in one commit; the state before stays readable."""
+    path, eco = scratch(spark, "sk11s"), V.economy(spark, sf)
+    old = snapshots.replace(spark, eco.filter("stats_data_id = 'ORDF'"), path, "economy")
+    eco.write.parquet(f"{path}-raw")
+    new = snapshots.rebuild(spark, spark.read.parquet(f"{path}-raw").inputFiles(), path, "economy")
+    both = snapshots.read(spark, path, "economy", old).withColumn("state", F.lit("old")).unionByName(snapshots.read(spark, path, "economy", new).withColumn("state", F.lit("new")))
+    return both.groupBy("state", "stats_data_id").agg(F.count("*").alias("n"))
+
+
 @query("sk16_replace_load", "SELECT stats_data_id, count(*) AS n, count(value) AS filled FROM economy GROUP BY ALL")
 def sk16(spark, sf):
     return _rebuilt(spark, sf, 2).groupBy("stats_data_id").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("filled"))
