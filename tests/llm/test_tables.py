@@ -240,7 +240,7 @@ def test_equal_digests_are_told_apart(tmp_path, monkeypatch):
 
 def test_html_blocks():
     page = "<head><title>t</title></head><body><script>var a='<p>no</p>'</script><div>a<b>b</b>&amp;\n c<br>d<p>e<p hidden>f</p><!-- <p>x</p> --><td>g<a href='>'>h</a></body><p"
-    assert [b[0] for b in html_text.blocks(page)] == ["ab& c", "d", "e", "gh"]
+    assert [b[0] for b in html_text.blocks(page)] == ["ab& c", "d", "e", "f", "gh"]
     assert html_text.blocks(None) == html_text.blocks("") == html_text.blocks("<div></div>") == []
     assert [b[0] for b in html_text.blocks("a < b <3 &lt;p&gt; <")] == ["a < b <3 <p> <"]
 

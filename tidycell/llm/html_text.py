@@ -3,8 +3,8 @@
 A page becomes its leaf blocks in page order: runs of text between the starts and ends of block
 elements.  Scripts, styles, titles, text fields, templates, frames and comments give no text, all other
 elements do, whatever of their ends is left out; character references are decoded, white space inside a block becomes one space.  Each block has
-features of its ancestors (tags, words of their classes, ids and roles) and of its text (length, links,
-ends, digits).  The field has two labels, text and other; its weights for features
+features of its ancestors (tags, words of their classes, ids and roles, and which of these are the innermost) and of its text (length, links,
+ends, digits); whether an element says that it is hidden is one of them.  The field has two labels, text and other; its weights for features
 and for neighbouring labels are fitted on labelled pages, and pages are decoded by Viterbi.
 
 Labelled pages come from two places.  ``TRAIN_PAGES`` pages of the table, chosen
@@ -15,7 +15,7 @@ forms, comments, footers), under changing tags and class names and also without
 bound on the training rows is a parameter; every page of the table is decoded in full.
 
 Defined results: a null or empty page has no text; markup that is cut off or nested wrongly is read as far as
-it goes; pages are read one by one, repeated or not; with no page to learn from the composed ones use filler
+it goes; very long pages are read whole, in time in proportion to their length whatever their markup; pages are read one by one, repeated or not; with no page to learn from the composed ones use filler
 words; extra columns stay.
 """
 
@@ -47,22 +47,104 @@ CONTROLS = {"button", "select"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small",
           "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "object", *FOREIGN}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements whose start ends a paragraph.
+CLOSES |= {t: {"p"} for t in "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split()}
 TAGS = {"article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "table", "blockquote", "figure", "figcaption", "h1", "h2", "h3", "h4", "p", "li", "pre", "dl", "address", "details", "dialog", "menu", "a", "fieldset", "button", "select"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^'\">]|\"[^\"]*+\"|'[^']*+')*+)>|<(?=[a-zA-Z/])[^<]*+\Z", re.S)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+SECTIONS = {"article", "main", "section", "nav", "header", "footer", "aside", "form", "figure", "table", "dialog", "menu", "details"}
+
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+_STOP = re.compile("[>\"']")
+_ATTR = re.compile(r"(?<![^\s\"'/])([^\s\"'=<>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
 _WORD = re.compile(r"[a-z]+")
 
+
+class Path:
+    """The features of a block's ancestors: those that one element adds, and the path above it."""
+
+    __slots__ = ("above", "own", "section", "named", "scores")
+
+    def __init__(self, above: Path | None, own: tuple[str, ...], section: str = "", named: tuple[str, ...] = ()):
+        self.above, self.own, self.scores = above, own, None
+        self.section, self.named = section, named
+
+    def inner(self) -> list[str]:
+        """What the innermost section and the innermost named element say."""
+        return [f"in:{self.section}", *(f"last:{n[5:]}" for n in self.named)]
+
+    def below(self, tag: str, feats: tuple[str, ...], fresh: tuple[str, ...]) -> Path:
+        """The path within an element, some of whose features are new to it."""
+        section = tag if tag in SECTIONS else self.section
+        named = tuple(f for f in feats if f.startswith("name:")) or self.named
+        return Path(self, fresh, section, named) if fresh or section != self.section or named != self.named else self
+
+    def __iter__(self) -> Iterator[str]:
+        at = self
+        while at is not None:
+            yield from at.own
+            at = at.above
+
+
 #: Text, features of the ancestors, features of the text.
-Block = tuple[str, frozenset[str], list[str]]
-NOTHING: frozenset[str] = frozenset()
+Block = tuple[str, Path, list[str]]
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str | None, str | None, str]]:
+    """(start, end, "/" or "", name, attributes) of every tag; no name for comments and declarations.
+
+    A quotation mark that is never closed counts as a character.  A tag that closed quotations leave open to the page's
+    end stops at its first ``>``, as do all tags after it; without any ``>`` a last piece of a tag is no text.
+    Each of these is found out once, so the time is in proportion to the page.
+    """
+    last = {c: page.rfind(c) for c in "\"'>"}
+    quotes = True
+    pos = yielded = 0
+    while m := _OPEN.search(page, pos):
+        start = m.start()
+        if m[1]:
+            end = page.find("-->", m.end())
+            end = end + 3 if end >= 0 else len(page)
+        elif m[2]:
+            end = page.find(">", m.end()) + 1 or len(page)
+        elif start > last[">"]:
+            break
+        else:
+            at = m.end()
+            while quotes and (q := _STOP.search(page, at)) and q[0] != ">":
+                at = page.index(q[0], q.end()) + 1 if q.start() < last[q[0]] else q.end()
+            if quotes and not q:
+                quotes = False
+            at = q.start() if quotes else page.index(">", m.end())
+            end = at + 1
+            took = yield start, end, m[3], m[4].lower(), page[m.end() : at]
+            pos = yielded = max(end, took or 0)
+            continue
+        took = yield start, end, None, None, ""
+        pos = yielded = max(end, took or 0)
+    tail = page.rfind("<")
+    if tail >= yielded and tail > last[">"] and re.match("[a-zA-Z/]", page[tail + 1 : tail + 2]):
+        yield tail, len(page), None, None, ""
+
+
+class _Element:
+    """An open element; ``marks`` are the places of the inline elements open in it, by tag."""
+
+    __slots__ = ("tag", "path", "own", "links", "marks")
+
+    def __init__(self, tag: str, path: Path, own: tuple[str, ...], links: int):
+        self.tag, self.path, self.own, self.links, self.marks = tag, path, own, links, None
 
 
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str], bool]] = [("", NOTHING, False)]  # tag, features and visibility up to here
+    root = _Element("", Path(None, ()), (), 0)
+    stack: list[_Element | None] = [root]  # None: an inline element that ended below others
+    nearest = [0]  # places of the elements that are not inline
+    places: dict[str, list[int]] = {}  # of these by tag
+    root.marks = {}
+    on: dict[str, int] = {}  # how many open elements give a feature to the path
     text: list[str] = []
     links = open_links = pos = 0
 
@@ -71,9 +153,9 @@ def blocks(page: str | None) -> list[Block]:
         if text:
             clean = " ".join("".join(text).split())
             text.clear()
-            _, path, hidden = next(e for e in reversed(stack) if e[0] not in INLINE)
-            if clean and not hidden:
-                out.append((clean, path, _features(clean, links)))
+            if clean:
+                path = stack[nearest[-1]].path
+                out.append((clean, path, _features(clean, links) + path.inner()))
             links = 0
 
     def take(piece: str) -> None:
@@ -84,56 +166,76 @@ def blocks(page: str | None) -> list[Block]:
             if open_links:
                 links += len(piece)
 
-    for m in _TOKEN.finditer(page):
-        if m.start() < pos:  # within a raw element
-            continue
-        take(page[pos : m.start()])
-        pos = m.end()
-        end, tag, attributes = m.groups()
+    def leave(element: _Element) -> None:
+        for f in element.own:
+            on[f] -= 1
+
+    def end_from(place: int) -> None:
+        """End the elements from a place on, which holds one that is not inline."""
+        nonlocal open_links
+        open_links = stack[place].links
+        while len(stack) > place:
+            gone = stack.pop()
+            if gone is not None:
+                leave(gone)
+                if gone.marks is not None:
+                    nearest.pop()
+                    places[gone.tag].pop()
+
+    walk = _tags(page)
+    found = next(walk, None)
+    while found:
+        start, end, slash, tag, attributes = found
+        jump = end
+        take(page[pos:start])
+        pos = end
         if not tag:
-            continue
-        tag = tag.lower()
-        if not end:
-            if tag in RAW:
-                close = _raw_end(tag).search(page, pos)
-                pos = close.end() if close else len(page)
-                continue
+            pass
+        elif not slash and tag in RAW:
+            close = _raw_end(tag).search(page, pos)
+            pos = jump = close.end() if close else len(page)
+        elif not slash:
             if tag not in INLINE:
                 flush()
             # Text that shows ends a head, so a head as such holds none: its end, which may be left out, says nothing.
-            if tag in VOID or tag == "head" or tag in FOREIGN and attributes.endswith("/"):
-                continue
-            if tag in CONTROLS and not ((after := _control(tag).search(page, pos)) and after[1]):
-                continue
-            if tag in CLOSES:
-                # The element it ends by rule, with inline ones left open in it.
-                k = len(stack) - 1
-                while stack[k][0] in INLINE:
-                    k -= 1
-                if stack[k][0] in CLOSES[tag]:
-                    del stack[k:]
-                    if tag == "tr" and stack[-1][0] == "tr":
-                        stack.pop()
-                    open_links = sum(t == "a" for t, _, _ in stack)
-            feats, hidden = _element(tag, attributes)
-            _, path, above = stack[-1]
-            stack.append((tag, path | feats if feats else path, above or hidden))
-            open_links += tag == "a"
+            void = tag in VOID or tag == "head" or tag in FOREIGN and attributes.endswith("/")
+            if not void and not (tag in CONTROLS and not ((after := _control(tag).search(page, pos)) and after[1])):
+                if tag in CLOSES and stack[nearest[-1]].tag in CLOSES[tag]:
+                    # The element it ends by rule, with inline ones left open in it.
+                    end_from(nearest[-1])
+                    if tag == "tr" and stack[nearest[-1]].tag == "tr":
+                        end_from(nearest[-1])
+                own = _element(tag, attributes)
+                above = stack[-1].path
+                fresh = tuple(f for f in own if not on.get(f))
+                for f in own:
+                    on[f] = on.get(f, 0) + 1
+                element = _Element(tag, above.below(tag, own, fresh), own, open_links)
+                if tag in INLINE:
+                    stack[nearest[-1]].marks.setdefault(tag, []).append(len(stack))
+                    open_links += tag == "a"
+                else:
+                    element.marks = {}
+                    nearest.append(len(stack))
+                    places.setdefault(tag, []).append(len(stack))
+                stack.append(element)
         elif tag in INLINE:
-            for i in range(len(stack) - 1, 0, -1):  # an inline end closes its own element only
-                if stack[i][0] == tag:
-                    del stack[i]
-                    open_links -= tag == "a"
-                    break
-                if stack[i][0] not in INLINE:
-                    break
+            marks = stack[nearest[-1]].marks.get(tag)
+            if marks:  # an inline end closes its own element only
+                place = marks.pop()
+                leave(stack[place])
+                stack[place] = None
+                open_links -= tag == "a"
+                while stack[-1] is None:
+                    stack.pop()
         else:
             flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    open_links = sum(t == "a" for t, _, _ in stack)
-                    break
+            if places.get(tag):
+                end_from(places[tag][-1])
+        try:
+            found = walk.send(jump)
+        except StopIteration:
+            found = None
     take(page[pos:])
     flush()
     return out
@@ -150,21 +252,24 @@ def _control(tag: str) -> re.Pattern:
     return re.compile(rf"<(/?){tag}\b", re.I)
 
 
-@lru_cache(maxsize=4096)
-def _element(tag: str, attributes: str) -> tuple[frozenset[str], bool]:
+def _element(tag: str, attributes: str) -> tuple[str, ...]:
+    return _known_element(tag, attributes) if len(attributes) < 500 else _features_of(tag, attributes)
+
+
+def _features_of(tag: str, attributes: str) -> tuple[str, ...]:
+    """What an element says by its tag, the words of its class, id and role, and whether it says that it is hidden."""
     feats = {f"tag:{tag}"} if tag in TAGS else set()
-    hidden = False
-    if attributes and attributes.strip():
-        for m in _ATTR.finditer(attributes):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if name in ("class", "id", "role"):
-                feats |= {f"name:{w}" for w in _WORD.findall(value)}
-            elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                hidden = True
-            elif name == "aria-hidden" and value == "true":
-                hidden = True
-        hidden |= re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) is not None
-    return frozenset(feats), hidden
+    for m in _ATTR.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name in ("class", "id", "role"):
+            feats |= {f"name:{w}" for w in _WORD.findall(value)}
+        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _UNSEEN.search(value):
+            feats.add("hidden")
+    return tuple(sorted(feats))
+
+
+_UNSEEN = re.compile(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden")
+_known_element = lru_cache(maxsize=4096)(_features_of)
 
 
 def _features(text: str, links: int) -> list[str]:
@@ -187,7 +292,13 @@ class Field:
         self.chain = chain
         self.bias = tuple(weights[0].tolist())
         self.weights = {f: tuple(weights[i].tolist()) for f, i in names.items()}
-        self._paths: dict[frozenset[str], tuple[float, float]] = {}
+        self.key = object()  # marks the scores that paths keep
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "key"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state, key=object())
 
     def _sum(self, features) -> tuple[float, float]:
         known = [self.weights[f] for f in features if f in self.weights]
@@ -196,15 +307,25 @@ class Field:
     def scores(self, page: list[Block]) -> list[tuple[float, float]]:
         out = []
         for _, path, own in page:
-            above = self._paths.get(path)
-            if above is None:
-                if len(self._paths) > 10_000:
-                    self._paths.clear()
-                above = self._paths[path] = self._sum(sorted(path))
+            above = self._above(path)
             text = self._sum(own)
             out.append((self.bias[0] + above[0] + text[0], self.bias[1] + above[1] + text[1]))
         return out
 
+    def _above(self, path: Path) -> tuple[float, float]:
+        """The sum over a path, kept at each of its elements."""
+        todo = []
+        at: Path | None = path
+        while at is not None and (at.scores is None or at.scores[0] is not self.key):
+            todo.append(at)
+            at = at.above
+        a, b = at.scores[1] if at is not None else (0.0, 0.0)
+        for at in reversed(todo):
+            x, y = self._sum(at.own)
+            a, b = a + x, b + y
+            at.scores = (self.key, (a, b))
+        return a, b
+
     def decode(self, page: list[Block]) -> list[int]:
         """The most probable labels (Viterbi)."""
         if not page:
@@ -304,6 +425,8 @@ def compose(rng: random.Random, sentences: list[str]) -> tuple[str, list[int]]:
         tags, names = kind
         tag, name = rng.choice(tags), rng.choice(names)
         attribute = rng.choice([f' class="{name}"', f' id="{name}"', f' class="box {name}"']) if name else ""
+        if kind is not ARTICLE and rng.random() < 0.1:
+            attribute += rng.choice([" hidden", ' aria-hidden="true"', ' style="display:none"'])
         return f"<{tag}{attribute}>{inner(tag)}</{tag}>"
 
     def links(tag: str) -> str:
@@ -368,7 +491,10 @@ OUTSIDE = {"tag:nav", "tag:aside", "tag:footer", "tag:form", "tag:header", "tag:
 
 def own_labels(page: list[Block]) -> list[int] | None:
     """Labels by a page's own markup; None if it doesn't say."""
-    labels = [int(bool(INSIDE & f) and not OUTSIDE & f) for _, f, _ in page]
+    labels = []
+    for _, path, _ in page:
+        f = set(path)
+        labels.append(int(bool(INSIDE & f) and not OUTSIDE & f))
     return labels if any(labels) else None
 
 
