@@ -28,7 +28,6 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +41,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Fixed value: the code points with the property White_Space.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LONG_SPACE = re.compile(f"[{WHITE}]{{1000,}}")
+#: What every 250th character of a text with such a run must hold.
+SPARSE = re.compile(f"[{WHITE}]{{4}}")
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -75,7 +76,7 @@ class ByteLevel:
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         at = 0
-        for m in LONG_SPACE.finditer(text):
+        for m in LONG_SPACE.finditer(text) if SPARSE.search(text[::250]) else ():
             out += self._encoding.encode_ordinary(text[at : m.start()])
             at = m.end() - (m.end() < len(text))  # the last one may belong to the word behind
             out += self._encoding._encode_single_piece(text[m.start() : at])
@@ -115,52 +116,82 @@ def pair_bound(byte_path: str = BYTE_VOCABULARY, piece_path: str = PIECE_VOCABUL
 
 def align(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> Iterator[tuple[list[int], list[int]]]:
     """The groups of two encodings of the same bytes, in order."""
-    a_at = {end: i for i, end in enumerate(accumulate(len(a_bytes[x]) for x in a), 1)}
-    b_at = {end: i for i, end in enumerate(accumulate(len(b_bytes[x]) for x in b), 1)}
     i = j = 0
-    for end in sorted(a_at.keys() & b_at.keys()):
-        i, k = a_at[end], i
-        j, m = b_at[end], j
-        yield a[k:i], b[m:j]
+    for k, m in zip(*_common(np.cumsum([len(a_bytes[x]) for x in a]), np.cumsum([len(b_bytes[x]) for x in b]))):
+        yield a[i:k], b[j:m]
+        i, j = k, m
+
+
+def _common(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[list[int], list[int]]:
+    """How many tokens of each side lie before every common end."""
+    a_at = dict(zip(a_ends.tolist(), range(1, len(a_ends) + 1)))
+    b_at = dict(zip(b_ends.tolist(), range(1, len(b_ends) + 1)))
+    common = sorted(a_at.keys() & b_at.keys())
+    return list(map(a_at.__getitem__, common)), list(map(b_at.__getitem__, common))
+
+
+def _digits(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Decimal digits of the numbers below size, from the left, and how many there are; one place is left free."""
+    width = len(str(size - 1))
+    text = np.array([str(i) for i in range(size)], f"S{width + 1}")
+    return text.view(np.uint8).reshape(size, width + 1), np.char.str_len(text)
+
+
+def _written(a: np.ndarray, b: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray, last: np.ndarray, digits: np.ndarray, length: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """All groups as text, and where each group's text ends; ``last`` marks a document's last groups, which no ``;`` follows."""
+    ids = np.empty(len(a) + len(b), np.int64)
+    a_run, b_run = np.diff(a_cut, prepend=0), np.diff(b_cut, prepend=0)
+    ids[np.arange(len(a)) + np.repeat(b_cut - b_run, a_run)] = a
+    ids[np.arange(len(b)) + np.repeat(a_cut, b_run)] = b
+    ends = a_cut + b_cut
+    mark = np.full(len(ids), ord(","), np.uint8)
+    mark[ends - b_run - 1] = ord("|")
+    mark[ends - 1] = ord(";")
+    size = length[ids]
+    shown = digits[ids]
+    shown[np.arange(len(ids)), size] = mark
+    size[ends[last] - 1] -= 1
+    text = shown[np.arange(digits.shape[1]) <= size[:, None]]
+    return text.tobytes(), np.cumsum(size + 1)[ends - 1]
 
 
 def _groups(byte_path: str, piece_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = _tokenizer(ByteLevel, byte_path), _tokenizer(Pieces, piece_path)
-        a_len, b_len = ([len(x) for x in t.bytes] for t in (first, second))
-        a_name, b_name = ([str(i) for i in range(len(t.bytes))] for t in (first, second))
+        a_len, b_len = (np.array([len(x) for x in t.bytes]) for t in (first, second))
         width = len(second.bytes)
-
-        def one(text: str) -> tuple[int, int, str, np.ndarray] | None:
-            a, b = first.encode(" " + text), second.encode(text)
+        digits, length = _digits(max(len(first.bytes), width))
+
+        def one(text: str | None) -> tuple[np.ndarray, ...]:
+            """Ids of both sides and the cuts, or nothing."""
+            none = (np.zeros(0, np.int64),) * 4
+            if not text:
+                return none
+            ids = second.encode(text)
             given = b" " + text.encode("utf-8", "surrogatepass")
-            if b"".join(map(first.bytes.__getitem__, a)) != given or b"".join(map(second.bytes.__getitem__, b)) != given:
-                return None
-            a_at = dict(zip(accumulate(map(a_len.__getitem__, a)), range(1, len(a) + 1)))
-            b_at = dict(zip(accumulate(map(b_len.__getitem__, b)), range(1, len(b) + 1)))
-            common = sorted(a_at.keys() & b_at.keys())
-            a_cut, b_cut = list(map(a_at.__getitem__, common)), list(map(b_at.__getitem__, common))
-            a_says, b_says = list(map(a_name.__getitem__, a)), list(map(b_name.__getitem__, b))
-            said, i, j = [], 0, 0
-            for k, m in zip(a_cut, b_cut):
-                if k == i + 1 and m == j + 1:
-                    said.append(f"{a_says[i]}|{b_says[j]}")
-                else:
-                    said.append(f"{','.join(a_says[i:k])}|{','.join(b_says[j:m])}")
-                i, j = k, m
-            links = np.array(a, np.int64)[np.array(a_cut) - 1] * width + np.array(b, np.int64)[np.array(b_cut) - 1]
-            return len(a), len(b), ";".join(said), links
+            if b"".join(map(second.bytes.__getitem__, ids)) != given:
+                return none
+            a, b = np.array(first.encode(" " + text), np.int64), np.array(ids, np.int64)
+            a_ends, b_ends = np.cumsum(a_len[a]), np.cumsum(b_len[b])
+            if a_ends[-1] != len(given):  # a byte-level vocabulary gives the bytes back, if it has them all
+                return none
+            return a, b, *(np.array(c, np.int64) for c in _common(a_ends, b_ends))
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [one(text) if text else None for text in part.column(1).to_pylist()]
-                links = [r[3] if r else np.zeros(0, np.int64) for r in rows]
-                ends = np.cumsum([0, *map(len, links)])
+                rows = list(zip(*map(one, part.column(1).to_pylist())))
+                a, b, a_cut, b_cut = (np.concatenate(r) for r in rows)
+                n_a, n_b, n = (np.array([len(x) for x in r]) for r in rows[:3])
+                group_ends = np.cumsum(n)
+                a_cut += np.repeat(np.cumsum(n_a) - n_a, n)
+                b_cut += np.repeat(np.cumsum(n_b) - n_b, n)
+                text, text_ends = _written(a, b, a_cut, b_cut, group_ends[n > 0] - 1, digits, length)
+                offsets = np.concatenate([[0], text_ends])[np.concatenate([[0], group_ends])]
+                said = pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(text))
+                links = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], group_ends]), pa.int32()), pa.array(a[a_cut - 1] * width + b[b_cut - 1]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array([r[i] if r else 0 for r in rows], pa.int64()) for i in (0, 1)), pa.array(np.diff(ends), pa.int64()),
-                     pa.array([r[2] if r else "" for r in rows], pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(links)))],
-                    names=["doc_id", "n_a", "n_b", "n_groups", "groups", "links"])
+                    [part.column(0), pa.array(n_a), pa.array(n_b), pa.array(n), said.cast(pa.string()), links], names=["doc_id", "n_a", "n_b", "n_groups", "groups", "links"])
 
     return run
 
