@@ -134,6 +134,41 @@ def test_token_counts_equal_full_encoding(spark):
             assert new == want and tree.total == len(encode(want))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_a_tree_takes_one_edit_after_another(monkeypatch, seed):
+    monkeypatch.setattr(token_counts, "cuts", lambda text, size=20, real=token_counts.cuts: real(text, size))
+    monkeypatch.setattr(token_counts, "LEAF_CHARS", 20)
+    encode, rng = token_counts.encoder(), random.Random(seed)
+    tree = token_counts.Tree("some words to begin with, " * 30, encode)
+    text, fewer = tree.text, 0
+    for _ in range(150):
+        places = sorted(rng.randrange(len(text) + 1) for _ in range(2 * rng.randrange(1, 4)))
+        edits = [(a, min(b, a + rng.choice([0, 3, 200])), rng.choice(["", " ", "new", " long words " * 9, "\n", "'s", "x" * 60])) for a, b in zip(places[0::2], places[1::2])]
+        edits = [e for k, e in enumerate(edits) if not k or e[0] > edits[k - 1][1]]
+        want, at = "", 0
+        for a, b, put in edits:
+            want, at = want + text[at:a] + put, b
+        want += text[at:]
+        new, again = tree.apply(edits)
+        assert new == tree.text == want and tree.total == len(encode(want)) and tree.ends[-1] == len(want)
+        fewer += again < len(want) / 2
+        text = want
+    assert fewer > 20
+    tree.apply([(0, len(text), "")])
+    assert tree.total == 0
+    tree.apply([(0, 0, "back again")])
+    assert tree.total == len(encode("back again"))
+
+
+@pytest.mark.parametrize("piece", [" ", "\n", "x", "ab ", " \t\u3000", "1"])
+def test_token_counts_of_very_long_texts(piece):
+    encode = token_counts.encoder()
+    tree = token_counts.Tree(piece * (2_000_000 // len(piece)) + " end", encode)
+    assert tree.total == len(encode(tree.text))
+    tree.apply([(0, 0, "start "), (1_000_000, 1_000_003, "middle")])
+    assert tree.total == len(encode(tree.text))
+
+
 def test_token_counts_of_edited_documents(spark):
     encode = token_counts.encoding().encode_ordinary
     lines = "first line\nmail me@host.org now\nfirst line\n\n\nfirst line"
