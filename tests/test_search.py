@@ -135,3 +135,27 @@ def test_accepted_words_per_query(rows):
     queries = rows("query_id int, query string", (1, "a b a"), (2, "a b"), (3, " "))
     accepted = rows("query_id int, term string, suggested string", (1, "a", "z"), (1, "a", "y"), (2, "b", "c"), (2, "q", "r"))
     assert values(R.apply_accepted(queries, accepted), "query_id", "query") == [(1, "y b y"), (2, "a c"), (3, "")]
+
+
+def test_index_gives_what_the_scan_gives(spark, catalogue, tmp_path, monkeypatch):
+    asked = spark.createDataFrame(list(enumerate([*QUERIES, "推計 a 推計", "査", "世帯 調査 労働"])), "query_id int, query string")
+    path = str(tmp_path / "index")
+    R.build_index(catalogue, path)
+    scanned = values(R.basic_scores(catalogue, asked, AS_OF))
+    assert values(R.indexed_scores(spark, path, asked, AS_OF)) == scanned and len(scanned) > 10
+    monkeypatch.setattr(R, "FEW", 0)  # the words of the catalogue, as for many tokens
+    assert values(R.basic_scores(catalogue, asked, AS_OF)) == scanned
+    assert R.indexed_scores(spark, path, asked.limit(0), AS_OF).count() == 0
+    none = asked.where("query_id = 5")
+    assert R.indexed_scores(spark, path, none, AS_OF).count() == R.basic_scores(catalogue, none, AS_OF).count() == 0
+
+
+def test_a_search_reads_only_its_tokens_postings(spark, catalogue, tmp_path):
+    path = str(tmp_path / "index")
+    R.build_index(catalogue, path)
+    asked = spark.createDataFrame([(1, "世帯")], "query_id int, query string")
+    found = R.postings(spark, path, asked)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert any("bucket" in x.split("]")[0] for x in plan.split("PartitionFilters: [")[1:])
+    folders = spark.read.parquet(f"{path}/postings").select("bucket").distinct().count()
+    assert folders > 10 and values(found, "token", "id", "field") == values(R.matches(catalogue, asked), "token", "id", "field") != []

@@ -29,6 +29,23 @@ def total(c, digits: int | None = DIGITS) -> Column:
     return s if digits is None else F.round(s, digits)
 
 
+def partial(c) -> Column:
+    """The state of a sum, for a first step over groups: the exact sum, whether it holds all values, and the plain one."""
+    c = _col(c)
+    exact = c.try_cast(f"decimal(38,{SCALE})")
+    fits = F.bool_and(c.isNull() | F.coalesce(exact.cast("double") == c, F.lit(False)))
+    plain, n = F.sum(c), F.count(c)
+    # A sum beyond 38 digits is NULL although there are values.
+    return F.struct(F.try_sum(exact).alias("exact"), (fits & (F.try_sum(exact).isNotNull() | (n == 0))).alias("fits"), plain.alias("plain"))
+
+
+def merged(state, digits: int | None = DIGITS) -> Column:
+    """The total of the states of ``partial``: the same as ``total`` over all values at once."""
+    state = _col(state)
+    s = F.coalesce(F.when(F.bool_and(state["fits"]), F.try_sum(state["exact"]).cast("double")), F.sum(state["plain"]))
+    return s if digits is None else F.round(s, digits)
+
+
 def mean(c, digits: int | None = DIGITS) -> Column:
     return F.try_divide(total(c, digits), F.count(_col(c)))
 

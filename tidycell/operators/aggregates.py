@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidycell.functions import scalars as S
 
-from tidycell.functions.stats import DIGITS, mean, spread, total
+from tidycell.functions.stats import DIGITS, mean, merged, partial, spread, total
 
 VALUE = "value"
 
@@ -58,7 +58,7 @@ def overview(df: DataFrame, digits=DIGITS) -> DataFrame:
     of the input.
     """
     cells = df.groupBy("dataset_id", "year", "region_code").agg(
-        _rows("n"), F.count(VALUE).alias("nv"), F.sum(VALUE).alias("s"),
+        _rows("n"), F.count(VALUE).alias("nv"), partial(VALUE).alias("s"),
         F.min(VALUE).alias("lo"), F.max(VALUE).alias("hi"),
     )
     return cells.agg(
@@ -66,8 +66,8 @@ def overview(df: DataFrame, digits=DIGITS) -> DataFrame:
         F.countDistinct("dataset_id").alias("unique_datasets"),
         F.countDistinct("year").alias("unique_years"),
         F.countDistinct("region_code").alias("unique_regions"),
-        total("s", digits).alias("total_value"),
-        F.try_divide(total("s", digits), F.sum("nv")).alias("avg_value"),
+        merged("s", digits).alias("total_value"),
+        F.try_divide(merged("s", digits), F.sum("nv")).alias("avg_value"),
         F.min("lo").alias("min_value"), F.max("hi").alias("max_value"),
         F.min("year").alias("earliest_year"), F.max("year").alias("latest_year"),
     )
@@ -164,12 +164,12 @@ def dataset_profile(df: DataFrame, digits=DIGITS) -> DataFrame:
     Years are collapsed first, so a dataset that holds a third of the rows
     reaches the second step as one row per year.
     """
-    years = df.groupBy("stats_data_id", "year").agg(_rows("n"), F.count(VALUE).alias("nv"), F.sum(VALUE).alias("s"))
+    years = df.groupBy("stats_data_id", "year").agg(_rows("n"), F.count(VALUE).alias("nv"), partial(VALUE).alias("s"))
     return years.groupBy("stats_data_id").agg(
         F.sum("n").alias("record_count"), F.count("year").alias("unique_years"),
         F.min("year").alias("min_year"), F.max("year").alias("max_year"),
         F.sum("nv").alias("non_null_values"),
-        F.try_divide(total("s", digits), F.sum("nv")).alias("avg_value"),
+        F.try_divide(merged("s", digits), F.sum("nv")).alias("avg_value"),
     ).orderBy(*_asc("stats_data_id"))
 
 

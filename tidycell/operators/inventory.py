@@ -50,8 +50,18 @@ def refused(df: DataFrame) -> DataFrame:
 
 
 def status_events(df: DataFrame) -> DataFrame:
-    """IN-02: status changes ready to append; unknown states are dropped."""
-    return df.filter(F.col("status").isin(*STATUSES))
+    """IN-02: status changes ready to append; the others are ``refused_events``."""
+    return df.filter(_known_status())
+
+
+def refused_events(df: DataFrame) -> DataFrame:
+    """IN-02: status changes to an unknown or missing state, with the reason."""
+    reason = F.when(F.col("status").isNull(), "no status").otherwise(F.concat(F.lit("unknown status "), "status"))
+    return df.filter(~_known_status()).withColumn("reason", reason)
+
+
+def _known_status() -> Column:
+    return F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))
 
 
 def latest(log: DataFrame, key: str, order: list) -> DataFrame:

@@ -3,7 +3,8 @@
 Queries are a table ``(query_id, query)``, so planning takes the same time for one and for a million.
 Their distinct tokens meet the catalogue's distinct words by an equi-join on fragments (a word that
 contains a token contains its first ``GRAM`` characters) and are checked with ``contains``; the rows with
-such words are then counted per query, and top lists are cut per task before their shuffle.
+such words are then counted per query, and top lists are cut per task before their shuffle.  A few tokens are looked
+for in the scan itself, and a catalogue that is searched again and again is given an index of posting lists.
 
 The catalogue has ``position, id, title, statistics_name, main_category,
 sub_category, description, gov_org, open_date, title_spec``; ``(id, position)`` names a row.
@@ -14,7 +15,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidycell.session import scratch
@@ -30,6 +31,12 @@ SIZE_SMALLEST, SIZE_UNKNOWN = 0.3, 0.5
 STAGE_ONE, RESULTS, LISTED, SAMPLE = 20, 5, 10, 5
 
 GRAM = 4
+#: So many different tokens are looked for in the scan of the catalogue itself.
+FEW = 256
+#: Folders of an index; a search reads those its tokens' fragments and words fall into.
+BUCKETS = 256
+#: What postings keep of a row for its score.
+KEPT = ("open_date", "trusted", "complete")
 SPACES = r"[\s　]+"
 DIGITS = 9
 
@@ -95,18 +102,23 @@ def _text(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def standing_score(as_of: dt.date) -> Column:
-    """The parts of the basic score that do not depend on the query."""
+def _merits() -> tuple[Column, Column]:
+    """What a row's publisher and its filled fields are worth."""
     trusted = reduce(lambda a, b: a | b, (_text("gov_org").contains(org) for org in TRUSTED))
     filled = reduce(
         lambda a, b: a + b,
         (F.when(_text(c) != "", 1).otherwise(0) for c in ("statistics_name", "description", "title_spec")),
     )
-    return (
-        freshness_score(F.col("open_date"), as_of)
-        + F.when(trusted, W_TRUSTED).otherwise(0.0)
-        + W_COMPLETE * (filled / 3)
-    )
+    return F.when(trusted, W_TRUSTED).otherwise(0.0), W_COMPLETE * (filled / 3)
+
+
+def _standing(open_date: Column, trusted: Column, complete: Column, as_of: dt.date) -> Column:
+    return freshness_score(open_date, as_of) + trusted + complete
+
+
+def standing_score(as_of: dt.date) -> Column:
+    """The parts of the basic score that do not depend on the query."""
+    return _standing(F.col("open_date"), *_merits(), as_of)
 
 
 def _texts() -> dict[str, Column]:
@@ -128,24 +140,95 @@ def basic_score(query: Column, as_of: dt.date) -> Column:
     return _basic(*map(hits, _texts().values()), F.size(toks), standing_score(as_of))
 
 
+def _held(catalogue: DataFrame, *more: Column) -> DataFrame:
+    """(id, position, ..., field, word): the distinct words of every text."""
+    fields = [
+        catalogue.select("id", "position", *more, F.lit(n).alias("field"), F.explode(F.array_distinct(F.split(c, SPACES))).alias("word"))
+        for n, c in _texts().items()]
+    return reduce(lambda a, b: a.union(b), fields)
+
+
+def _fragments(words: DataFrame) -> DataFrame:
+    """(word, fragment): the runs of 2 to ``GRAM`` characters of every word."""
+    runs = [F.regexp_extract_all("word", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(2, GRAM + 1)]
+    return words.select("word", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("fragment"))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    asked = queries.select(F.explode(tokens(F.col("query"))).alias("token")).distinct()
+    return asked.withColumn("fragment", F.substring("token", 1, GRAM))
+
+
 def matches(catalogue: DataFrame, queries: DataFrame) -> DataFrame:
     """(token, id, position, field): where in the catalogue the tokens of the queries occur.
 
-    A token has no white space, so it lies within one word of a text.  Tokens are therefore looked for in the
+    Up to ``FEW`` different tokens are looked for in the texts as these are read; nothing but the hits is shuffled.
+    Beyond that, as a token has no white space and so lies within one word of a text, tokens are looked for in the
     distinct words of the catalogue, and only the rows of the words that have one are read off.
     """
-    fields = [
-        catalogue.select("id", "position", F.lit(n).alias("field"), F.explode(F.array_distinct(F.split(c, SPACES))).alias("word"))
-        for n, c in _texts().items()]
-    held = reduce(lambda a, b: a.union(b), fields)
-    asked = queries.select(F.explode(tokens(F.col("query"))).alias("token")).distinct()
-    asked = asked.withColumn("fragment", F.substring("token", 1, GRAM))
-    runs = [F.regexp_extract_all("word", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(2, GRAM + 1)]
-    parts = held.select("word").distinct().select("word", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("fragment"))
-    fit = parts.join(asked, "fragment").filter(F.contains("word", "token")).select("token", "word")
+    asked = _asked(queries)
+    few = [r.token for r in asked.select("token").limit(FEW + 1).collect()]
+    if len(few) <= FEW:
+        known = F.array(*map(F.lit, sorted(few))).cast("array<string>")
+
+        def hits_in(name: str, text: Column) -> Column:
+            return F.transform(F.filter(known, lambda t: F.contains(text, t)), lambda t: F.struct(F.lit(name).alias("field"), t.alias("token")))
+
+        hits = [hits_in(n, c) for n, c in _texts().items()]
+        found = catalogue.select("id", "position", F.explode(F.flatten(F.array(*hits))).alias("h"))
+        return found.select("h.token", "id", "position", "h.field").distinct()
+    held = _held(catalogue)
+    fit = _fragments(held.select("word").distinct()).join(asked, "fragment").filter(F.contains("word", "token")).select("token", "word")
     return held.join(fit, "word").select("token", "id", "position", "field").distinct()
 
 
+def _bucket(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+
+
+def build_index(catalogue: DataFrame, path: str) -> None:
+    """SR-04: posting lists of a catalogue, kept as two tables below ``path``.
+
+    ``words`` has the distinct words by their fragments, ``postings`` the places of every word with all
+    that scoring needs of a row; both lie in folders by digest, sorted within.
+    """
+    trusted, complete = _merits()
+    held = _held(catalogue, F.col("open_date"), trusted.alias("trusted"), complete.alias("complete"))
+    postings = held.withColumn("bucket", _bucket("word")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "word")
+    postings.write.partitionBy("bucket").parquet(f"{path.rstrip('/')}/postings")
+    words = _fragments(held.select("word").distinct()).withColumn("bucket", _bucket("fragment"))
+    words.hint("rebalance", "bucket").sortWithinPartitions("bucket", "fragment").write.partitionBy("bucket").parquet(f"{path.rstrip('/')}/words")
+
+
+def _in_buckets(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The folders of a table that some keys fall into; their list is as long as there are folders, at most."""
+    found = [r.b for r in keys.select(_bucket(key).alias("b")).distinct().collect()]
+    return table.where(F.col("bucket").isin(found))
+
+
+def postings(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
+    """(token, id, position, field, open_date, trusted, complete): where the tokens of the queries occur, read from an index."""
+    root = path.rstrip("/")
+    asked = _asked(queries)
+    held = _in_buckets(spark.read.parquet(f"{root}/words"), asked, "fragment")
+    fit = scratch(spark, "search-words")
+    held.join(asked, "fragment").filter(F.contains("word", "token")).select("token", "word").distinct().write.parquet(fit)
+    fit = spark.read.schema("token string, word string").parquet(fit)
+    found = _in_buckets(spark.read.parquet(f"{root}/postings"), fit, "word").join(fit, "word")
+    return found.select("token", "id", "position", "field", *KEPT).distinct()
+
+
+def indexed_scores(spark: SparkSession, path: str, queries: DataFrame, as_of: dt.date) -> DataFrame:
+    """SR-04 from an index: what :func:`basic_scores` gives, without reading the catalogue."""
+    each = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    counts = postings(spark, path, queries).join(each, "token").groupBy("query_id", "id", "position", *KEPT).agg(
+        *(F.sum(F.when(F.col("field") == n, F.col("times")).otherwise(0)).alias(n) for n in _texts()))
+    known = queries.select("query_id", "query", F.size(tokens(F.col("query"))).alias("_k"))
+    standing = _standing(*(F.col(c) for c in KEPT), as_of)
+    return counts.join(known, "query_id").select(
+        "query_id", "query", "id", "position", _basic(*(F.col(c) for c in ("_t", "_c", "_d", "_k")), standing).alias("basic_score"))
+
+
 def basic_scores(catalogue: DataFrame, queries: DataFrame, as_of: dt.date) -> DataFrame:
     """SR-04 for a table of queries: ``(query_id, query, id, position, basic_score)`` of every query and every row it matches.
 
@@ -215,17 +298,20 @@ def enriched(categories: Column) -> Column:
 
 def search(
     catalogue: DataFrame, metadata: DataFrame, queries: DataFrame, as_of: dt.date,
-    results: int = RESULTS, method: str = "enhanced",
+    results: int = RESULTS, method: str = "enhanced", index: str | None = None,
 ) -> DataFrame:
     """SR-09: for each of the queries ``(query_id, query)`` the best rows by basic score, re-ranked with their metadata.
 
     ``metadata`` is ``(id, total_records, categories)``.  The first stage is written to the scratch
     folder: STAGE_ONE rows per query at most.  The catalogue is thus searched once, and
-    titles and metadata are cut to those rows by semi-joins before they are joined.
+    titles and metadata are cut to those rows by semi-joins before they are joined.  With an ``index`` (the folder
+    :func:`build_index` wrote for this catalogue) the matches are read from its posting lists.
     """
     spark = catalogue.sparkSession
     path = scratch(spark, "search")
-    scored = basic_scores(catalogue, queries, as_of).unionByName(standing_list(catalogue, queries, as_of))
+    scored = basic_scores(catalogue, queries, as_of) if index is None else indexed_scores(spark, index, queries, as_of)
+    if not queries.filter(F.size(tokens(F.col("query"))) == 0).isEmpty():
+        scored = scored.unionByName(standing_list(catalogue, queries, as_of))
     top_per_query(scored, STAGE_ONE, "basic_score", "basic_rank").write.parquet(path)
     first = spark.read.parquet(path)
     titles = catalogue.select("id", "position", _text("title").alias("title")).join(first.select("id", "position"), ["id", "position"], "left_semi")

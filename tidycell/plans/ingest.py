@@ -123,7 +123,9 @@ def log_load(spark: SparkSession, report: Report, path: str, at: dt.datetime) ->
 
 
 def log_status(spark: SparkSession, dataset_id: str, status: str, path: str, at: dt.datetime, error: str | None = None) -> None:
-    """IN-02: append one status event."""
+    """IN-02: append one status event; an unknown status is an error."""
+    if status not in inventory.STATUSES:
+        raise ValueError(f"unknown status {status!r}; known are {', '.join(inventory.STATUSES)}")
     event = spark.createDataFrame([(dataset_id, status, at, error)], STATUS_LOG)
     inventory.status_events(event).write.mode("append").parquet(path)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +41,64 @@ def parquet_profile(df: DataFrame) -> DataFrame:
     return one.select(F.explode(rows).alias("c"), F.col("_rows").alias("row_count")).select("c.*", "row_count")
 
 
+ROW_GROUPS = "file_path string, row_group int, rows bigint, bytes bigint, stored_bytes bigint, columns int, codec string"
+FIRST_ROWS = "file_path string, position int, row string"
+
+
+def _parquet_files(spark: SparkSession, path: str, tasks: int | None) -> DataFrame:
+    """The Parquet files at or below a path, a listing that opens none of them, dealt to tasks one by one."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("path like '%.parquet'").select("path")
+    return found.repartition(tasks or spark.sparkContext.defaultParallelism)
+
+
+def _opened(uri: str):
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    return pq.ParquetFile(store.open_input_file(path))
+
+
+def row_groups(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
+    """SC-08: one row per row group of every file: rows, bytes before and after compression, columns, codec.
+
+    Tasks read the files' footers only.  The store must be one that pyarrow opens by its URI (local files, HDFS and the usual
+    object stores).
+    """
+    def footers(batches):
+        for batch in batches:
+            rows = []
+            for uri in batch.column(0).to_pylist():
+                with _opened(uri) as f:
+                    meta = f.metadata
+                for i in range(meta.num_row_groups):
+                    group = meta.row_group(i)
+                    chunks = [group.column(k) for k in range(group.num_columns)]
+                    codecs = sorted({c.compression.lower() for c in chunks})
+                    rows.append((uri, i, group.num_rows, group.total_byte_size, sum(c.total_compressed_size for c in chunks), len(chunks), ",".join(codecs)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, _types(ROW_GROUPS))], names=[f.split()[0] for f in ROW_GROUPS.split(", ")])
+
+    return _parquet_files(spark, path, tasks).mapInArrow(footers, ROW_GROUPS)
+
+
+def first_rows(spark: SparkSession, path: str, n: int = 5, tasks: int | None = None) -> DataFrame:
+    """SC-08: the first ``n`` rows of every file as JSON; of a file no more than the pages that hold them are decoded."""
+    def heads(batches):
+        for batch in batches:
+            rows = []
+            for uri in batch.column(0).to_pylist():
+                with _opened(uri) as f:
+                    head = next(f.iter_batches(batch_size=n), None)
+                rows += [(uri, k, json.dumps(r, default=str, ensure_ascii=False)) for k, r in enumerate(head.to_pylist() if head is not None else [])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, _types(FIRST_ROWS))], names=[f.split()[0] for f in FIRST_ROWS.split(", ")])
+
+    return _parquet_files(spark, path, tasks).mapInArrow(heads, FIRST_ROWS)
+
+
+def _types(ddl: str) -> list[pa.DataType]:
+    return [{"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[f.split()[1]] for f in ddl.split(", ")]
+
+
 def read_csv(spark: SparkSession, path, names: list[str]) -> DataFrame:
     """SC-09: every column as text, so codes keep their leading zeros."""
     return (

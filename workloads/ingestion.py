@@ -41,6 +41,13 @@ def in02(spark, sf):
     return I.latest(spark.read.parquet(path), "dataset_id", [F.desc("ts"), F.desc("event_id")]).select("dataset_id", "status", "event_id")
 
 
+@query("in02_refused_events", "SELECT dataset_id, 'unknown status waiting' AS reason, count(*) AS n FROM status_log WHERE status = 'pending' GROUP BY dataset_id")
+def in02_refused(spark, sf):
+    log = V.status_log(spark, sf)
+    events = log.withColumn("status", F.when(F.col("status") == "pending", "waiting").otherwise(F.col("status")))
+    return I.refused_events(events).groupBy("dataset_id", "reason").agg(F.count("*").alias("n"))
+
+
 @query("in03_list_datasets", "SELECT id, name, priority FROM inventory WHERE status = 'pending' AND domain = 'construction'")
 def in03(spark, sf):
     return I.listed(V.inventory(spark, sf), "pending", "construction").select("id", "name", "priority")

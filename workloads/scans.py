@@ -130,6 +130,27 @@ def sc08(spark, sf):
     return files.parquet_profile(files.read_parquet(spark, f"{sf}/orders.parquet"))
 
 
+@query("sc08_row_groups", """
+SELECT o_orderstatus AS status, count(*) AS rows, TRUE AS split, 'zstd' AS codec, CAST(6 AS INTEGER) AS columns FROM orders GROUP BY o_orderstatus""")
+def sc08_groups(spark, sf):
+    """Orders written by status, each file with small row groups."""
+    path = scratch(spark, "sc08")
+    V.table(spark, sf, "orders").withColumn("status", F.col("o_orderstatus")).repartition("status").write.partitionBy("status") \
+        .option("parquet.block.size", 16 << 10).option("compression", "zstd").parquet(path)
+    found = files.row_groups(spark, path).withColumn("status", F.regexp_extract("file_path", "/status=([^/]*)/", 1))
+    return found.groupBy("status").agg(F.sum("rows").alias("rows"), ((F.max("row_group") >= 0) & (F.min("stored_bytes") > 0)).alias("split"), F.max("codec").alias("codec"), F.max("columns").alias("columns"))
+
+
+@query("sc08_first_rows", """
+SELECT CAST(position AS INTEGER) AS position, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders) WHERE position < 5""")
+def sc08_first(spark, sf):
+    """The head of a file that holds all orders in the order of their keys."""
+    path = scratch(spark, "sc08f")
+    V.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus").orderBy("o_orderkey").coalesce(1).write.parquet(path)
+    row = F.from_json("row", "o_orderkey bigint, o_orderstatus string")
+    return files.first_rows(spark, path).select("position", row["o_orderkey"].alias("o_orderkey"), row["o_orderstatus"].alias("o_orderstatus"))
+
+
 @query("sc09_csv_codes_as_text", 'SELECT "@cat01" AS cat01, "@area" AS area, "@time" AS period, "$" AS measure, count(*) AS n FROM cells_customer GROUP BY ALL')
 def sc09(spark, sf):
     path = scratch(spark, "sc09")
