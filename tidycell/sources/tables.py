@@ -354,3 +354,22 @@ def save_metadata(documents: DataFrame, path: str, mode: str = "append") -> None
 
 def load_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("dataset_id string, metadata_json string").parquet(path)
+
+
+def save_documents(documents: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """SK-17: metadata documents as typed values, ``(dataset_id, document)`` with a VARIANT; returns those that are no
+    JSON, ``(dataset_id, metadata_json)``, which are set aside below ``path-rejected``."""
+    parsed = documents.select("dataset_id", "metadata_json", F.try_parse_json("metadata_json").alias("document"))
+    parsed.where("document is not null").select("dataset_id", "document").write.mode(mode).parquet(path)
+    rejected = f"{path.rstrip('/')}-rejected"
+    parsed.where("document is null").select("dataset_id", "metadata_json").write.mode(mode).parquet(rejected)
+    return load_metadata(documents.sparkSession, rejected)
+
+
+def load_documents(spark: SparkSession, path: str, fields: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """SK-17: saved documents; ``fields`` names values to read out of them, ``{column: (path, type)}``, NULL where a
+    document has none of that type."""
+    docs = spark.read.schema("dataset_id string, document variant").parquet(path)
+    if not fields:
+        return docs
+    return docs.select("dataset_id", *(F.try_variant_get("document", p, t).alias(c) for c, (p, t) in fields.items()))

@@ -93,3 +93,19 @@ def jn09(spark, sf):
     codes = V.part_codes(spark, sf)
     counted = labels.children_per_parent(codes).select("code", "children")
     return labels.with_parent(codes).join(counted, "code").select("code", "name", "level", "parent_name", "children")
+
+
+@query("jn09_whole_hierarchy", """
+WITH p AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS code, p_brand, p_size FROM part)
+SELECT 'ALL' AS code, 0::BIGINT AS depth, 'ALL' AS path, count(*) AS n, CAST(sum(p_size) AS DOUBLE) AS total FROM p
+UNION ALL SELECT p_brand, 1, 'ALL > ' || p_brand, count(*), sum(p_size) FROM p GROUP BY p_brand
+UNION ALL SELECT code, 2, 'ALL > ' || p_brand || ' > ' || code, 1, p_size FROM p""")
+def jn09_whole(spark, sf):
+    """Depth and path of every code, and the sizes of all parts below it."""
+    codes = V.part_codes(spark, sf).drop("code_pos", "name", "level")
+    codes = codes.withColumn("parent_code", F.when(F.col("parent_code") == "", "ALL").otherwise(F.col("parent_code")))
+    codes = codes.unionByName(codes.limit(1).select("category_id", F.lit("ALL").alias("code"), F.lit("").alias("parent_code")))
+    sizes = V.table(spark, sf, "part").select(
+        F.lit("item").alias("category_id"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("code"), F.col("p_size").cast("double").alias("value"))
+    totals = labels.rolled_up(codes, sizes).select("code", "n", "total")
+    return labels.hierarchy(codes).where("not circular").select("code", "depth", "path").join(totals, "code")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidycell import schemas
 from tidycell.functions import metadata as M
 from tidycell.functions import scalars as S
-from tidycell.operators import domains, joins, labels
+from tidycell.operators import domains, joins, labels, rules
 from tidycell.sources import wire
 from workloads import views as V
 from workloads.registry import query, view
@@ -160,6 +160,17 @@ def pr14(spark, sf):
     )
 
 
+@query("pr14_rule_table", f"""
+SELECT domain, count(*) AS n, min(seq) AS first_seq FROM (
+  SELECT seq, {_DOMAIN_CASE} AS domain FROM (SELECT o_orderkey AS seq, {_TITLE.replace('{k}', 'o_orderkey')} || ' ' || o_orderpriority AS title FROM orders)) GROUP BY domain""")
+def pr14_rules(spark, sf):
+    """The same domains from a table of rules."""
+    titled = V.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("seq"), F.concat(F.expr(_TITLE.replace("{k}", "o_orderkey")), F.lit(" "), "o_orderpriority").alias("title"))
+    found = rules.categorised(titled, rules.rule_table(spark, domains.DOMAIN_TERMS), "title", "domain", "generic")
+    return found.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
+
+
 @query("pr15_schema_by_domain", """
 SELECT domain, CAST(columns AS INTEGER) AS columns, partitions, count(*) AS datasets FROM (
   SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'construction' WHEN 'AUTOMOBILE' THEN 'transport' WHEN 'HOUSEHOLD' THEN 'population' ELSE 'generic' END AS domain,

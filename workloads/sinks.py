@@ -304,3 +304,17 @@ def sk17(spark, sf):
     tables.save_metadata(scalars.part_metadata(spark, sf).withColumnRenamed("value", "metadata_json"), path)
     back = tables.load_metadata(spark, path)
     return wire.table_info(back, "metadata_json", keep=("dataset_id",)).select("dataset_id", F.col("TITLE").alias("title"), F.col("STAT_NAME").alias("stat_name"))
+
+
+@query("sk17_typed_documents", """
+SELECT lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS dataset_id, CASE WHEN p_size % 7 <> 0 THEN p_name END AS title,
+       CASE WHEN p_size % 7 <> 0 AND p_size > 40 THEN 250000::BIGINT END AS records, p_size % 7 = 0 AS rejected FROM part""")
+def sk17_typed(spark, sf):
+    """Documents kept as typed values; some are cut off and set aside."""
+    path = scratch(spark, "sk17t")
+    docs = scalars.part_metadata(spark, sf).select("dataset_id", F.when(F.col("p_size") % 7 == 0, F.substring("value", 1, 200)).otherwise(F.col("value")).alias("metadata_json"))
+    bad = tables.save_documents(docs, path)
+    info = "$.GET_META_INFO.METADATA_INF.TABLE_INF"
+    good = tables.load_documents(spark, path, {"title": (f"{info}.TITLE['$']", "string"), "records": (f"{info}.OVERALL_TOTAL_NUMBER", "bigint")})
+    none = bad.select("dataset_id", F.lit(None).cast("string").alias("title"), F.lit(None).cast("bigint").alias("records"), F.lit(True).alias("rejected"))
+    return good.withColumn("rejected", F.lit(False)).unionByName(none)

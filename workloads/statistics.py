@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidycell.functions import scalars as S
 from tidycell.operators import aggregates as A
+from tidycell.operators import rules
 from tidycell.operators import domains
 from workloads import views as V
 from workloads.registry import query, view
@@ -220,3 +221,12 @@ SELECT {_TERM_CASE} AS category, count(*) AS term_count FROM (SELECT {_PICK} ||
 def ag26(spark, sf):
     terms = V.table(spark, sf, "part").select(F.concat(F.expr(_PICK), "p_name").alias("suggested"))
     return A.term_statistics(terms)
+
+
+@query("ag26_rule_table", f"""
+SELECT {_TERM_CASE} AS category, count(*) AS term_count FROM (SELECT {_PICK} || p_name AS suggested FROM part) GROUP BY 1""", fine=True)
+def ag26_rules(spark, sf):
+    """The same groups from a table of rules."""
+    terms = V.table(spark, sf, "part").select(F.concat(F.expr(_PICK), "p_name").alias("suggested"))
+    found = rules.categorised(terms, rules.rule_table(spark, A.TERM_GROUPS), "suggested", "category", "その他")
+    return found.groupBy("category").agg(F.count("*").alias("term_count"))
