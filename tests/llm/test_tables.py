@@ -230,6 +230,19 @@ def test_url_rules_of_equal_length_both_ways(spark):
         assert [(r["__rule"], r["__verdict"]) for r in url_filter.judge(pages, known, max_entries=most).collect()] == [("a.net/", "block")]
 
 
+def test_keys_of_a_long_host_are_as_short_as_the_entries(spark):
+    long = "a." * 50_000 + "spam.example.net"
+    keys = url_filter.keys_of(long, "/x/y", [1, 3], 16)
+    assert keys == [b"spam.example.net/", b"spam.example.net/x/", b"example.net/", b"example.net/x/", b"net/", b"net/x/"]
+    assert url_filter.keys_of("net", "/", [1], 3) == [b"net/"] and url_filter.keys_of("anet", "/", [1], 3) == [] and url_filter.keys_of("a.net", "/", [1], 3) == [b"net/"]
+    urls = ["http://" + long + "/x", "http://" + "a" * 200_000 + "/x", "http://" + "." * 100_000 + "/x", "http://" + "b." * 100_000 + "org/fr/", "http://xspam.example.net/", "http://spam.example.net/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    known = url_filter.entries(spark, [("spam.example.net/", "block"), ("org/fr/", "allow")], ["net/"])
+    for most in (10, 1):
+        got = {r.page_id: (r["__rule"], r["__verdict"]) for r in url_filter.judge(pages, known, max_entries=most).collect()}
+        assert got == {0: ("spam.example.net/", "block"), 1: (None, "allow"), 2: (None, "allow"), 3: ("org/fr/", "allow"), 4: (None, "block"), 5: ("spam.example.net/", "block")}
+
+
 def test_equal_digests_are_told_apart(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda x: 7)
     rows = [("a.org/", False, "block"), ("b.org/", True, "block"), ("c.org/", False, "allow")]

@@ -7,8 +7,8 @@ else is allowed.
 
 The entries' 64-bit xxhash digests are kept as one sorted array in a file that
 every task memory-maps, with the entries' text beside it.  For a URL the keys
-are all suffixes of its host joined to those path prefixes that are as long as
-some entry's path; digests of a whole batch of keys are found by one binary
+are the suffixes of its host that are no longer than some entry's, joined to those path prefixes that are as long as
+some entry's path, so their size does not grow with the host; digests of a whole batch of keys are found by one binary
 search of the array, and a hit counts only if the stored text equals the key.
 
 The file goes to the executors only if it has at most ``MAX_ENTRIES`` entries; a
@@ -105,21 +105,22 @@ class Index:
         return self.text[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
-def keys_of(host: str, path: str, lengths: Sequence[int]) -> list[bytes]:
-    """All texts an entry that fits can have: suffixes of the host with prefixes of the path."""
-    starts = [0, *(i + 1 for i, c in enumerate(host) if c == ".")]
+def keys_of(host: str, path: str, lengths: Sequence[int], most: int) -> list[bytes]:
+    """All texts an entry that fits can have: suffixes of the host, no longer than some entry's host (``most``), with prefixes of the path."""
+    low = max(0, len(host) - most)
+    starts = [0] * (not low) + [i + 1 for i in range(max(0, low - 1), len(host)) if host[i] == "."]
     ends = [path[:n] for n in lengths if len(path) >= n]
     return [(host[s:] + e).encode("utf-8", "replace") for s in starts for e in ends]
 
 
-def _probe(name: str, lengths: Sequence[int]):
+def _probe(name: str, lengths: Sequence[int], most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(SparkFiles.get(name))
         for batch in batches:
             hosts, paths = (batch.column(batch.schema.names.index(c)).to_pylist() for c in ("__host", "__path"))
             keys, ends = [], []
             for h, p in zip(hosts, paths):
-                keys += keys_of(h, p, lengths)
+                keys += keys_of(h, p, lengths, most)
                 ends.append(len(keys))
             at = index.find(keys)
             rules, verdicts = [], []
@@ -140,12 +141,15 @@ def _probe(name: str, lengths: Sequence[int]):
     return run
 
 
-def _joined(pages: DataFrame, known: DataFrame, lengths: Sequence[int]) -> DataFrame:
+def _joined(pages: DataFrame, known: DataFrame, lengths: Sequence[int], most: int) -> DataFrame:
     """The same by a join on the keys, for more entries than a task should hold."""
     ends = ", ".join(f"if(length(__path) >= {n}, substring(__path, 1, {n}), null)" for n in lengths) or "cast(null as string)"
-    keys = F.expr(f"""flatten(transform(split(__host, '[.]'), (x, i) -> transform(filter(array({ends}), e -> e is not null),
-        e -> concat(array_join(slice(split(__host, '[.]'), i + 1, 1000000), '.'), e))))""")
-    probes = pages.select("__host", "__path").distinct().select("__host", "__path", F.explode(F.array_distinct(keys)).alias("entry"))
+    # Labels of the host's end that an entry's host can reach; the first piece of a cut host is no whole label.
+    labels = F.expr(f"if(length(__host) <= {most}, split(__host, '[.]'), slice(split(right(__host, {most + 1}), '[.]'), 2, {most + 1}))")
+    keys = F.expr(f"""flatten(transform(__labels, (x, i) -> transform(filter(array({ends}), e -> e is not null),
+        e -> concat(array_join(slice(__labels, i + 1, {most + 1}), '.'), e))))""")
+    probes = pages.select("__host", "__path").distinct().withColumn("__labels", labels)
+    probes = probes.select("__host", "__path", F.explode(F.array_distinct(keys)).alias("entry"))
     hits = probes.join(known, "entry")
     best = hits.groupBy("__host", "__path").agg(
         F.max(F.when(~F.col("listed"), F.struct(F.length("entry").alias("n"), F.instr("entry", "/").alias("host"), "entry", "verdict"))).alias("r"), F.max((F.col("listed")) & (F.col("verdict") == "block")).alias("b"))
@@ -157,10 +161,11 @@ def judge(pages: DataFrame, known: DataFrame, max_entries: int = MAX_ENTRIES) ->
     """``pages`` with __host, __path, __rule and __verdict."""
     spark = pages.sparkSession
     known = _once(known)
-    lengths = sorted(r[0] for r in known.select(F.expr("length(entry) - instr(entry, '/') + 1")).distinct().collect())
+    sizes = known.select(F.expr("length(entry) - instr(entry, '/') + 1").alias("path"), F.expr("instr(entry, '/') - 1").alias("host")).groupBy("path").agg(F.max("host").alias("host")).collect()
+    lengths, most = sorted(r.path for r in sizes), max((r.host for r in sizes), default=0)
     pages = pages.withColumns({"__host": host(), "__path": path()})
     if known.count() > max_entries:
-        return _joined(pages, known, lengths)
+        return _joined(pages, known, lengths, most)
     # Spark's file server hands the driver's file to every executor, also to one that starts later.
     folder = tempfile.mkdtemp(prefix="url-index-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -168,4 +173,4 @@ def judge(pages: DataFrame, known: DataFrame, max_entries: int = MAX_ENTRIES) ->
     write_index([(r.entry, r.listed, r.verdict) for r in known.collect()], os.path.join(folder, name))
     spark.sparkContext.addFile(os.path.join(folder, name))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
-    return pages.mapInArrow(_probe(name, lengths), f"{fields}, __rule string, __verdict string")
+    return pages.mapInArrow(_probe(name, lengths, most), f"{fields}, __rule string, __verdict string")
