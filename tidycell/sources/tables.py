@@ -83,6 +83,9 @@ def read_domain(spark: SparkSession, path, domain: str, identity: bool = False)
 
 def read_existing(spark: SparkSession, path: str, domain: str, identity: bool = False) -> DataFrame | None:
     """The table at a path, or None when nothing was written there yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
     try:
         return read_domain(spark, path, domain, identity)
     except AnalysisException as e:
@@ -151,6 +154,9 @@ def _overwrite(df: DataFrame, path: str, domain: str) -> None:
     df.hint("rebalance", *columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
 
 
+STATUSES = ("new", "present", "revised", "conflict")
+
+
 @dataclass(frozen=True)
 class Judged:
     """The cells of a batch against what a table has: ``(keys, _n, _status)``, staged, with counts by status."""
@@ -164,6 +170,8 @@ class Judged:
 
     def rows(self, df: DataFrame, *statuses: str) -> DataFrame:
         """One row of the batch for each cell of these statuses; of equal copies the one with the least columns."""
+        if not self.counts["copies"] and not any(n for s, n in self.counts.items() if s in STATUSES and s not in statuses):
+            return df  # all of the batch
         names = [c for c in df.columns if c != "updated_at"]
         found = df.join(self.keys_of(*statuses), _same(self.keys, [f"_{k}" for k in self.keys]))
         one = found.where("_n = 1").select(*df.columns)
@@ -199,7 +207,7 @@ def judge(spark: SparkSession, df: DataFrame, present: DataFrame | None, keys: l
         cells = cells.join(there, _same(keys, known), "left").select(
             *keys, "_n", status.when(F.col("_rows").isNull(), "new").when(equal, "present").otherwise("revised").alias("_status"))
     seen = Observation()
-    of = {s: F.col("_status") == s for s in ("new", "present", "revised", "conflict")}
+    of = {s: F.col("_status") == s for s in STATUSES}
     copies = F.when(of["conflict"], 0).otherwise(F.col("_n") - 1)
     counted = [F.count_if(c).alias(s) for s, c in of.items()]
     counted += [F.coalesce(F.sum(copies), F.lit(0)).alias("copies"), F.coalesce(F.sum(F.when(of["conflict"], F.col("_n"))), F.lit(0)).alias("conflicting")]
