@@ -115,7 +115,7 @@ def test_mixture(spark):
     assert abs(sum(targets.values()) - total) < 1e-6 * total
     for s, target in targets.items():
         taken, size = sum(r["__taken"] for r in got if r.source == s), sum(r["__size"] for r in got if r.source == s)
-        assert target <= 3 * size and abs(taken - target) <= total / (mixture.SHARDS * mixture.BLOCKS) + 1
+        assert target <= 3 * size and abs(taken - target) <= 1 + target * len(targets) / total  # blocks of one word
     assert all(0 <= r["__taken"] <= 3 * r["__size"] for r in got)
     assert sorted(map(repr, rows.collect())) == sorted(map(repr, mixture.mixed(docs.repartition(5).withColumns(mixture.features())).select(rows.columns).collect()))
     assert mixture.mix(docs).columns == docs.columns and mixture.mix(docs.limit(0)).count() == 0
@@ -129,10 +129,36 @@ def test_small_and_many_sources_come_near_their_targets(spark, big, small, size)
     got = mixture.mixed(rows).groupBy("source").agg(mixture.F.sum("__taken").alias("taken"), mixture.F.max("__target").alias("target"), mixture.F.sum("__size").alias("size")).collect()
     total = sum(r["size"] for r in got)
     assert len(got) == small + (big > 0)
+    block = max(1, int(min(r.target for r in got) // mixture.FINE))
     for r in got:
-        assert abs(r.taken - r.target) <= (total / (mixture.SHARDS * mixture.BLOCKS) if r.source == "big" else 1) and r.taken <= 3 * r["size"]
+        # Half a block, and the part in what all sources' rounding leaves.
+        assert abs(r.taken - r.target) <= block * (0.5 + r.target * len(got) / (2 * total)) + 1e-6 * r.target and r.taken <= 3 * r["size"]
         assert r.taken > 0 or r.target < 1
-    assert abs(sum(r.taken for r in got) - total) <= 1 + total * (big > 0) / (mixture.SHARDS * mixture.BLOCKS)
+    assert 0 <= total - sum(r.taken for r in got) < block
+
+
+def test_shards_take_their_quotas(spark):
+    """The rows of every source, summed by shard, are the shard's blocks; shards hold the same number of blocks."""
+    rng = random.Random(6)
+    data = [(k, None if k % 17 == 0 else f"s{min(k % 23, 9)}", rng.choice([0, 1, 7, 300, 20_000])) for k in range(3000)]
+    rows = spark.createDataFrame(data, "doc_id long, source string, __size long").withColumn("__order", mixture.F.md5(mixture.F.col("doc_id").cast("string")))
+    got = mixture.mixed(rows).collect()
+    targets = {r.source: r["__target"] for r in got}
+    block = max(1, int(min(targets.values()) // mixture.FINE))
+    n = sum(size for _, _, size in data) // block
+    ranked = sorted(targets, key=lambda s: (s is None, s))
+    claims = sorted(((-targets[s] / (2 * k + 1), i) for i, s in enumerate(ranked) for k in range(int(targets[s] / block) + 9)))[:n]
+    first = 0
+    for i, s in enumerate(ranked):
+        blocks = sum(1 for _, j in claims if j == i)
+        own = [r for r in got if r.source == s]
+        size = sum(r["__size"] for r in own)
+        quota = [sum(1 for b in range(first, first + blocks) if b % 8 == k) * block for k in range(8)]
+        given = [sum(r["__shard_words"][k] for r in own) for k in range(8)]
+        first += blocks
+        assert sum(given) == min(sum(quota), 3 * size) and (given == quota or sum(quota) > 3 * size)
+        assert all(sum(r["__shard_words"]) == r["__taken"] <= 3 * r["__size"] for r in own)
+    assert first == n
 
 
 def test_apportionment_gives_highest_quotients(spark):
@@ -142,7 +168,7 @@ def test_apportionment_gives_highest_quotients(spark):
     # a, b, c weigh 5, 2, 1, then d 5 and the missing source 2.
     level = (1362 - 21 - 0 - 165) / 7
     assert [round(t[k], 6) for k in (1, 2, 3, 4, 5)] == [round(5 * level, 6), round(2 * level, 6), 21, 0, 165]
-    quotas = {(r["rank"], r.shard): r.blocks for r in mixture.quotas(target, 2, 10).collect()}
+    quotas = {(r["rank"], r.shard): r.blocks for r in mixture.quotas(target, 2, 20).collect()}
     order = sorted(((-x / (2 * k + 1), r) for r, x in t.items() for k in range(40) if x))[:20]
     for r in t:
         assert sum(b for (rank, _), b in quotas.items() if rank == r) == sum(1 for _, x in order if x == r)

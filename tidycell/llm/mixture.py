@@ -5,18 +5,21 @@ share all words by weight; a source's target stops at ``MOST`` times its size
 and the excess is shared by the others, until none is above.  With the sources
 in order of size / weight the level at which the last one stops follows from running sums.
 
-The words are cut into SHARDS * BLOCKS equal blocks.  A source's k-th block has the
-quotient target / (2k - 1); the highest quotients get the blocks, and the blocks
-so ranked are dealt to the shards in turn, so a shard's quota of every source is
-an integer.  A source whose target is below ``SMALL`` blocks, too little for whole blocks to come near it,
-takes no part in that: it gets its target in words, the fractions of a word rounded along the running sum of
-such targets, and the blocks are cut from the words left.  So no source of a word or more goes without for its
-size, however large the input or many the sources.  A source's blocks are taken from its documents in a seeded order, whole
-passes first; a block may end within a document, of which then only the first words count as taken.
+The words are cut into equal blocks, ``FINE`` to the smallest target and of one word at least, so a source
+comes near its target whatever its size and however many there are.  A source's k-th block has the quotient
+target / (2k - 1); the highest quotients get the blocks.  Only blocks whose place is not settled by bounds on
+the divisor are ranked, some six a source, so the cost does not grow with the number of blocks.  Laid end to end
+in the order of sources the blocks are dealt to the shards in turn, so a shard's quota of every source
+is an integer, a source's quotas differ by one at most, and so do the shards' sums.
+
+A shard selects its quota from the source's documents in a seeded order, after the shards before it and
+going round if the order ends; a block may end within a document, of which then only the words in the block count
+as taken.  What is taken of a document is what the shards select of it.
 
 Positions in the seeded order take two levels: documents are dealt to buckets by the
 first digits of their seeded digest; bucket sums give each bucket its start, so a
 source with a third of all rows is spread over as many tasks as there are buckets.
+Windows without a partition run over rows by source, not by document.
 
 Defined results: a null or empty text has size 0 and takes 0; a missing source is a source; rows that
 repeat in full count one by one; an empty table gives an empty result; extra columns stay.
@@ -30,9 +33,8 @@ from pyspark.sql import functions as F
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SHARDS = 8
-BLOCKS = 4096
-#: Blocks below which a target is settled in words; a source of that many is off by some half of one.
-SMALL = 64
+#: Blocks in the smallest target, if it has as many words.
+FINE = 4096
 SEED = "mix-1"
 
 
@@ -66,41 +68,50 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> Dat
     return levels.select("source", "source_size", "total", "rank", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def quotas(target: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
-    """(rank, shard, blocks): each shard's blocks of every source, by highest quotients."""
-    n = shards * blocks
-    few = target.where("target > 0").withColumn("sources", F.count("*").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    # More blocks than this a source cannot get: its share, rounded up, at the loosest divisor that sources in all allow.
-    bound = F.ceil(F.col("target") / F.col("total") * (n + F.col("sources") / 2) + 1).cast("long")
-    claims = few.select("rank", F.explode(F.sequence(F.lit(0).cast("long"), bound)).alias("k"), "target").select("rank", (F.col("target") / (2 * F.col("k") + 1)).alias("quotient"))
-    # As many rows as there are blocks, whatever the size of the input.
-    place = F.row_number().over(Window.orderBy(F.desc("quotient"), "rank"))
-    won = claims.withColumn("place", place).where(F.col("place") <= n)
-    return won.groupBy("rank", F.pmod(F.col("place") - 1, F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("blocks"))
+def apportion(target: DataFrame) -> DataFrame:
+    """``target`` with blocks, the source's part of all ``n`` by highest quotients, and first, those of the sources before it."""
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # The divisor that gives n blocks is off the mean by half a block a source at most, which bounds every source's part.
+    few = target.where("target > 0").withColumn("sway", F.count("*").over(everything) / F.col("n") / 2).withColumn("mean", F.col("target") * F.col("n") / F.col("total"))
+    few = few.withColumns({
+        "low": F.greatest(F.floor(F.col("mean") * (1 - F.col("sway")) - 0.5) - 1, F.lit(0)).cast("long"),
+        "high": F.ceil(F.col("mean") * (1 + F.col("sway")) + 0.5).cast("long") + 1,
+    }).withColumn("free", F.col("n") - F.sum("low").over(everything))
+    claims = few.select("rank", "free", "target", F.explode(F.sequence("low", "high")).alias("k")).withColumn("quotient", F.col("target") / (2 * F.col("k") + 1))
+    won = claims.withColumn("place", F.row_number().over(Window.orderBy(F.desc("quotient"), "rank"))).where("place <= free").groupBy("rank").agg(F.count("*").alias("won"))
+    got = target.join(few.select("rank", "low"), "rank", "left").join(won, "rank", "left")
+    blocks = got.withColumn("blocks", F.coalesce("low", F.lit(0)) + F.coalesce("won", F.lit(0))).drop("low", "won")
+    return blocks.withColumn("first", F.coalesce(F.sum("blocks").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+def bounds(shards: int = SHARDS) -> Column:
+    """Blocks of a source (blocks, first) in the shards before each shard, and at last in all."""
+    def below(place: Column, shard: Column) -> Column:
+        return F.floor(place / shards) * shard + F.least(F.pmod(place, F.lit(shards)), shard)
+
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(shards).cast("long")), lambda s: below(F.col("first") + F.col("blocks"), s) - below(F.col("first"), s))
+
+
+def quotas(target: DataFrame, shards: int, n: int) -> DataFrame:
+    """(rank, shard, blocks): each shard's part of n blocks, by source."""
+    dealt = apportion(target.withColumn("n", F.lit(n))).select("rank", F.posexplode(bounds(shards)).alias("shard", "end"))
+    before = F.lag("end").over(Window.partitionBy("rank").orderBy("shard"))
+    return dealt.select("rank", (F.col("shard") - 1).alias("shard"), (F.col("end") - before).alias("blocks")).where("blocks is not null")
 
 
 def shares(rows: DataFrame) -> DataFrame:
-    """(source, source_size, target, passes, rest) from rows with source and __size: whole passes over
-    the source and the words to take after them."""
-    n = SHARDS * BLOCKS
+    """(source, source_size, target, bounds) from rows with source and __size: the words of every source
+    in the shards before each shard, and at last in all."""
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # One row per source.
-    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    small = F.col("target") * n < SMALL * F.col("total")
-    target = targets(rows.groupBy("source").agg(F.sum("__size").alias("source_size"))).withColumn("small", small)
-    target = target.withColumn("fine", F.when(F.col("small"), F.col("target")).otherwise(0.0)).withColumn("done", F.coalesce(F.sum("fine").over(before), F.lit(0.0)))
-    target = target.withColumn("few", F.floor(F.col("done") + F.col("fine") + 0.5) - F.floor(F.col("done") + 0.5))
-    target = target.withColumn("cut", F.col("total") - F.sum("few").over(everything))
-    large = target.where("not small").withColumn("total", F.sum("target").over(everything))
-    won = quotas(large).groupBy("rank").agg(F.sum("blocks").alias("blocks"))
-    words = F.when(F.col("small"), F.col("few")).otherwise(F.expr(f"(coalesce(blocks, 0) * cut) div {n}"))
-    got = target.join(won, "rank", "left").withColumn("words", F.least(words, MOST * F.col("source_size")))
-    passes = F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(F.lit(0).cast("long"))
-    return got.withColumn("passes", passes).withColumn("rest", F.col("words") - F.col("passes") * F.col("source_size")).select("source", "source_size", "target", "passes", "rest")
+    target = targets(rows.groupBy("source").agg(F.sum("__size").alias("source_size")))
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything)
+    target = target.withColumn("block", F.greatest(F.floor(F.coalesce(least, F.lit(0.0)) / FINE), F.lit(1)).cast("long")).withColumn("n", F.expr("total div block"))
+    words = F.transform(bounds(), lambda b: F.least(b * F.col("block"), MOST * F.col("source_size")))
+    return apportion(target).select("source", "source_size", "target", words.alias("bounds"))
 
 
 def mixed(rows: DataFrame, counted: DataFrame | None = None) -> DataFrame:
-    """``rows`` (with __size and __order) with __source_size, __target and __taken.
+    """``rows`` (with __size and __order) with __source_size, __target, __shard_words (words that each shard takes) and __taken.
 
     counted: the same rows if they can be read at less cost for the sums.
     """
@@ -111,12 +122,23 @@ def mixed(rows: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     starts = sums.select("source", "__bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("__start"))
     plan = starts.alias("a").join(shares(counted).alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select(
         F.col("a.source").alias("__of"), F.col("__bucket").alias("__in"), "__start", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
-        F.col("passes").alias("__passes"), F.col("rest").alias("__rest"))
+        F.col("bounds").alias("__bounds"))
     within = Window.partitionBy("source", "__bucket").orderBy("__order", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__bucket", bucket).withColumn("__done", F.coalesce(F.sum("__size").over(within), F.lit(0)))
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("__of")) & (F.col("__bucket") == F.col("__in")))
-    part = F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__rest") - F.col("__start") - F.col("__done")))
-    return rows.withColumn("__taken", F.col("__passes") * F.col("__size") + part).drop("__bucket", "__done", "__of", "__in", "__start", "__passes", "__rest")
+    at = F.col("__start") + F.col("__done")
+
+    def overlap(shard: Column, turn: Column) -> Column:
+        begin = turn * F.col("__source_size") + at
+        return F.greatest(F.least(begin + F.col("__size"), F.get("__bounds", shard + 1)) - F.greatest(begin, F.get("__bounds", shard)), F.lit(0).cast("long"))
+
+    def added(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0).cast("long"), lambda x, y: x + y)
+
+    turns = F.array(*(F.lit(k).cast("long") for k in range(MOST)))
+    by_shard = F.transform(F.sequence(F.lit(0), F.lit(SHARDS - 1)), lambda s: added(F.transform(turns, lambda k: overlap(s, k))))
+    rows = rows.withColumn("__shard_words", by_shard).withColumn("__taken", added(F.col("__shard_words")))
+    return rows.drop("__bucket", "__done", "__of", "__in", "__start", "__bounds")
 
 
 def mix(docs: DataFrame) -> DataFrame:
