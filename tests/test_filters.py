@@ -88,3 +88,15 @@ def test_custom_sql_is_read_only(spark, rows):
 
 def test_selected(rows):
     assert values(X.selected(rows("id int, v string", (1, "a"), (2, "b"), (2, "c")), rows("id int", (2,), (2,)), "id")) == [(2, "b"), (2, "c")]
+
+
+def test_selected_ids_prune_partitions_at_run_time(spark, tmp_path):
+    from tidycell.sources import tables
+
+    tables.write_by(spark.range(3000).selectExpr("id", "id % 30 AS dataset_id"), str(tmp_path / "t"), "dataset_id")
+    spark.range(30).selectExpr("id AS dataset_id", "id % 10 AS kind").write.parquet(str(tmp_path / "ids"))
+    stored = spark.read.schema("id bigint, dataset_id bigint").parquet(str(tmp_path / "t"))
+    got = X.selected(stored, spark.read.parquet(str(tmp_path / "ids")).filter("kind = 3"), "dataset_id")
+    assert sorted({r.dataset_id for r in got.select("dataset_id").collect()}) == [3, 13, 23] and got.count() == 300
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan

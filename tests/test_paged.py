@@ -110,3 +110,33 @@ def test_period_label_forms(rows):
 
 def test_cell_schema_width():
     assert len(cell_schema(15)) == 21
+
+
+def test_a_plan_is_fetched_once_and_failed_pages_again(spark, tmp_path):
+    root, path, calls = str(tmp_path / "raw"), str(tmp_path / "landed"), tmp_path / "calls"
+    calls.mkdir()
+    land(spark, root, "A", 23, 5)
+    land(spark, root, "B", 4, 5)
+    plan = paged.chunk_plan(spark.createDataFrame([("A", 23), ("B", 4), ("C", 0)], "dataset_id string, total_records bigint"), 5)
+
+    def flaky(root, dataset_id, chunk_num, start, limit):
+        name = calls / f"{dataset_id}{chunk_num}"
+        name.write_text(name.read_text() + "x" if name.exists() else "x")
+        if (dataset_id, chunk_num) == ("A", 2) and name.read_text() == "x":
+            raise TimeoutError("no answer")
+        return paged.stored_page(root, dataset_id, chunk_num, start, limit)
+
+    missing = paged.land_pages(plan, path, root, flaky)
+    assert values(missing, "dataset_id", "chunk_num", "error") == [("A", 2, "TimeoutError: no answer")]
+    for _ in range(2):
+        assert paged.land_pages(plan, path, root, flaky).count() == 0
+    assert {f.name: f.read_text() for f in calls.iterdir()} == {"A0": "x", "A1": "x", "A2": "xx", "A3": "x", "A4": "x", "B0": "x"}
+    got = values(wire.cells(paged.landed_pages(spark, path), keep=("dataset_id",)), "dataset_id", F.col("`$`").cast("int"))
+    assert got == sorted([("A", i) for i in range(23)] + [("B", i) for i in range(4)], key=repr)
+
+
+def test_a_page_that_was_never_stored_is_an_error(spark, tmp_path):
+    plan = paged.chunk_plan(spark.createDataFrame([("A", 3)], "dataset_id string, total_records bigint"), 5)
+    missing = paged.land_pages(plan, str(tmp_path / "landed"), str(tmp_path))
+    assert [r.error.split(":")[0] for r in missing.collect()] == ["FileNotFoundError"]
+    assert paged.land_pages(plan.limit(0), str(tmp_path / "landed"), str(tmp_path)).count() == 0

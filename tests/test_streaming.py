@@ -1,6 +1,8 @@
 import datetime as dt
 import json
 
+import pytest
+
 from tests.conftest import values
 from tidycell.sources import tables
 from tidycell.streaming import landing
@@ -66,3 +68,33 @@ def test_labels_and_rejected_documents(spark, tmp_path):
     landing.load_batch(docs, 1, "population", "DS", str(tmp_path / "table"), str(tmp_path / "bad"), NOW, codes=codes, rejects=str(tmp_path / "rejects"))
     assert values(tables.read_domain(spark, str(tmp_path / "table"), "population"), "region_code", "region_name") == [("1", "North")]
     assert values(spark.read.parquet(str(tmp_path / "rejects")), "reason") == [("damaged rows",), ("status 100: quota",), ("unreadable",)]
+
+
+def test_a_batch_that_died_before_its_commit_is_not_loaded_again(spark, tmp_path, monkeypatch):
+    land(tmp_path / "landed", "S_chunk_001.json", [cell("1", "1")])
+    first = pick_up(spark, tmp_path)
+    for name in ("0", ".0.crc"):  # as if the query had died between the load and its commit
+        (tmp_path / "checkpoint" / "commits" / name).unlink(missing_ok=True)
+    loads = []
+    real = tables.load_new
+    monkeypatch.setattr(tables, "load_new", lambda *a, **k: loads.append(a) or real(*a, **k))
+    assert pick_up(spark, tmp_path) == first and not loads
+    land(tmp_path / "landed", "S_chunk_002.json", [cell("1", "5"), cell("2", "2")])  # a revision is no repeat
+    assert pick_up(spark, tmp_path) == [(2020, "1", 5.0), (2020, "2", 2.0)] and len(loads) == 1
+
+
+def test_a_batch_that_died_within_its_load_is_loaded_again(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(json.dumps([cell("1", "1"), cell("2", "2")]),)], "value string")
+    args = (docs, 3, "generic", "DS", str(tmp_path / "table"), str(tmp_path / "bad"), NOW)
+    real = tables.load_new
+
+    def dies(*a, **k):
+        real(*a, **k)
+        raise RuntimeError("gone")
+
+    monkeypatch.setattr(tables, "load_new", dies)
+    with pytest.raises(RuntimeError, match="gone"):
+        landing.load_batch(*args, ledger=str(tmp_path / "ledger"))
+    monkeypatch.setattr(tables, "load_new", real)
+    assert [landing.load_batch(*args, ledger=str(tmp_path / "ledger")) for _ in range(2)] == [True, False]
+    assert tables.read_domain(spark, str(tmp_path / "table"), "generic").count() == 2

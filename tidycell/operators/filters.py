@@ -105,7 +105,11 @@ def selectivity(df: DataFrame, condition: Column) -> DataFrame:
 
 
 def selected(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """FL-11 / JN-08: rows whose id is listed."""
+    """FL-11 / JN-08: rows whose id is listed.
+
+    If ``df`` is read from files partitioned by the column and ``ids`` is the outcome of a filter small enough to be
+    broadcast, Spark lists the ids first and reads the files of no other partition (dynamic partition pruning).
+    """
     return df.join(ids.select(F.col(column)), column, "left_semi")
 
 

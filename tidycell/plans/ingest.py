@@ -8,7 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidycell import schemas
@@ -60,7 +60,7 @@ def ingest(
 ) -> Report:
     """Parse once, annotate once, write twice: good rows to the table, bad ones to quarantine.
 
-    The annotated rows are staged, so both writes and all counts read one copy.
+    The annotated rows are staged, so both writes read one copy; rows and bad rows are observed by the staging write.
     Good rows go through the idempotent load: rerunning an ingest adds nothing.
     The quarantine is kept per dataset and ``batch`` (name a chunk to ingest in chunks): a
     rerun of a batch puts its outcome in the place of the last one, also if nothing is set aside any more.
@@ -68,12 +68,11 @@ def ingest(
     mapped = domains.to_domain(
         domains.with_identity(cells), domain, dataset_id, codes, on_bad=on_bad, updated_at=updated_at, keep=(tables.CELL_KEY,))
     start = time.monotonic()
-    reasoned = tables.stage(
-        spark, quality.with_reasons(mapped, rules if rules is not None else default_rules()), f"ingest-{dataset_id}"
-    )
-    counts = reasoned.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.size("reasons") > 0).alias("bad")
-    ).first()
+    seen = Observation()
+    reasoned = quality.with_reasons(mapped, rules if rules is not None else default_rules()).observe(
+        seen, F.count(F.lit(1)).alias("n"), F.count_if(F.size("reasons") > 0).alias("bad"))
+    reasoned = tables.stage(spark, reasoned, f"ingest-{dataset_id}")
+    counts = seen.get
     table_path = tables.location(root, schemas.resolve(domain))
     quarantine_path = f"{root.rstrip('/')}/quarantine/{schemas.resolve(domain)}"
     load = tables.load_new(spark, reasoned.filter(F.size("reasons") == 0).drop("reasons"), table_path, domain)
@@ -82,7 +81,7 @@ def ingest(
         bad = bad.unionByName(load.conflicting.withColumn("reasons", F.array(F.lit("conflicting_value"))))
     set_aside(bad, quarantine_path, dataset_id, batch)
     report = Report(
-        dataset_id, domain, counts.n, load.loaded, counts.bad + load.conflicts, table_path, quarantine_path,
+        dataset_id, domain, counts["n"], load.loaded, counts["bad"] + load.conflicts, table_path, quarantine_path,
         time.monotonic() - start, load.revised, load.present, load.copies, load.written_bytes,
     )
     if report.rows != report.loaded + report.revised + report.present + report.copies + report.quarantined:

@@ -4,6 +4,9 @@
 partition, so pages are fetched side by side, and a page that fails is retried
 by Spark.  A task only moves the page's text; decoding happens
 in the JVM with :mod:`tidycell.sources.wire`.
+
+``land_pages`` fetches what a plan table (``chunk_plan``) asks for and is not landed yet.  The plan stays a
+table: nothing about datasets or pages passes through the driver.
 """
 
 from __future__ import annotations
@@ -13,7 +16,9 @@ import importlib
 import os
 import sys
 import urllib.request
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -139,6 +144,68 @@ def chunk_plan(datasets: DataFrame, chunk: int = CHUNK, max_records: int | None
     )
 
 
+def stored_page(root: str, dataset_id: str, chunk_num: int, start: int, limit: int) -> str:
+    """``landed_page`` for any store that pyarrow opens by its URI (local files, HDFS and the usual object stores)."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(root)
+    found = store.get_file_info(fs.FileSelector(f"{base}/dataset_id={dataset_id}/chunk={chunk_num}"))
+    lines: list[str] = []
+    for name in sorted(f.path for f in found if f.base_name.startswith("part-")):
+        with store.open_input_stream(name) as part:
+            lines += [line for line in part.read().decode("utf-8").splitlines() if line.strip()]
+    return "[" + ",".join(lines) + "]"
+
+
+FETCHED = "dataset_id string, chunk_num bigint, start_position bigint, page_limit bigint, value string, error string"
+
+
+def fetch(plan: DataFrame, root: str, fetcher: Callable[[str, str, int, int, int], str] = stored_page, tasks: int | None = None) -> DataFrame:
+    """SC-11: the pages of a plan, one row each; a page that cannot be had has an ``error`` and no value.
+
+    Pages are dealt to ``tasks`` (as many as shuffle partitions by default), and a task holds one page at a time.
+    """
+    names = [f.split()[0] for f in FETCHED.split(", ")]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    got = (fetcher(root, *page), None)
+                except Exception as e:  # recorded with the page, which the next run tries again
+                    got = (None, f"{type(e).__name__}: {e}")
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*page, *got), types)], names=names)
+
+    wanted = plan.select(F.col("dataset_id").cast("string"), *(F.col(c).cast("bigint") for c in ("chunk_num", "start_position", "chunk_limit")))
+    dealt = wanted.repartition(*([tasks] if tasks else []), "dataset_id", "chunk_num")
+    return dealt.mapInArrow(run, FETCHED)
+
+
+def landed_pages(spark: SparkSession, path: str) -> DataFrame:
+    """What ``land_pages`` wrote, failed attempts included."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], FETCHED)
+    return spark.read.schema(FETCHED).parquet(path)
+
+
+def land_pages(plan: DataFrame, path: str, root: str, fetcher: Callable[[str, str, int, int, int], str] = stored_page, tasks: int | None = None) -> DataFrame:
+    """SC-11: fetch the pages of a plan that are not landed below ``path`` and append them there.
+
+    A run again fetches only what is missing: pages that failed, or new ones of the plan.  Returns the pages of the plan that
+    are missing still, with their last error (null if they were never tried).  Runs of one folder go one after another.
+    """
+    spark = plan.sparkSession
+    keys = ["dataset_id", "chunk_num"]
+    # Only keys and errors of the landed pages are read here, not their text.
+    there = landed_pages(spark, path).where("error IS NULL").select(*keys)
+    fetch(plan.join(there, keys, "left_anti"), root, fetcher, tasks).write.mode("append").parquet(path)
+    landed = landed_pages(spark, path)
+    errors = landed.where("error IS NOT NULL").groupBy(*keys).agg(F.max("error").alias("error"))
+    return plan.join(landed.where("error IS NULL").select(*keys), keys, "left_anti").join(errors, keys, "left")
+
+
 # The dimensions a fetch is split by, most preferred first.
 SPLIT_ORDER = ("area", "time")
 

@@ -154,6 +154,12 @@ def _overwrite(df: DataFrame, path: str, domain: str) -> None:
     df.hint("rebalance", *columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
 
 
+def write_by(df: DataFrame, path: str, *columns: str) -> None:
+    """FL-11: rows in a folder per value of the columns, for reads that select some of them; a value with many rows is
+    written by many tasks."""
+    df.hint("rebalance", *columns).write.mode("overwrite").partitionBy(*columns).parquet(path)
+
+
 STATUSES = ("new", "present", "revised", "conflict")
 
 

@@ -26,12 +26,15 @@ def documents(spark: SparkSession, path: str, whole: bool = True, files_per_batc
 
 def load_batch(batch: DataFrame, batch_id: int, domain: str, dataset_id: str | None, table: str,
                bad: str | None = None, updated_at=None, on_bad: str = "null",
-               codes: DataFrame | None = None, rejects: str | None = None) -> None:
+               codes: DataFrame | None = None, rejects: str | None = None, ledger: str | None = None) -> bool:
     """One micro-batch: decode, map with the labels of ``codes``, set bad rows aside, load what is new.
 
-    ``rejects`` is where documents that could not be read go, with a reason, a folder per batch.
+    ``rejects`` is where documents that could not be read go, with a reason, a folder per batch.  With a ``ledger`` a
+    batch whose number is noted there is skipped; False says so.
     """
     spark = batch.sparkSession
+    if ledger and loaded(spark, ledger, batch_id):
+        return False
     if rejects:
         wire.rejected_documents(batch).write.mode("overwrite").parquet(f"{rejects.rstrip('/')}/batch={batch_id}")
     cells = wire.cells(wire.accepted_documents(batch))
@@ -46,13 +49,28 @@ def load_batch(batch: DataFrame, batch_id: int, domain: str, dataset_id: str | N
         if load.conflicting is not None:
             rejected = rejected.unionByName(load.conflicting.withColumn("reasons", F.array(F.lit("conflicting_value"))))
         rejected.write.mode("overwrite").parquet(f"{bad.rstrip('/')}/batch={batch_id}")
+    if ledger:
+        store, note = _note(spark, ledger, batch_id)
+        store.create(note, True).close()
+    return True
+
+
+def _note(spark: SparkSession, ledger: str, batch_id: int):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger.rstrip('/')}/batch={batch_id}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def loaded(spark: SparkSession, ledger: str, batch_id: int) -> bool:
+    """ST-02: whether a batch was loaded to its end."""
+    store, note = _note(spark, ledger, batch_id)
+    return store.exists(note)
 
 
 def run(stream: DataFrame, checkpoint: str, domain: str, dataset_id: str | None, table: str, bad: str | None = None,
         updated_at=None, on_bad: str = "null", codes: DataFrame | None = None, rejects: str | None = None):
     """Start the pickup for everything available now; returns the query."""
     def each(batch, batch_id):
-        load_batch(batch, batch_id, domain, dataset_id, table, bad, updated_at, on_bad, codes, rejects)
+        load_batch(batch, batch_id, domain, dataset_id, table, bad, updated_at, on_bad, codes, rejects, f"{checkpoint.rstrip('/')}/loaded")
 
     return (
         stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

@@ -191,6 +191,19 @@ def sc11(spark, sf):
         "chunk_num", F.col("`@id`").alias("id"), F.col("`@area`").alias("area"), F.col("`@time`").alias("period"), F.col("`$`").alias("measure"))
 
 
+@query("sc11_pages_of_a_plan", f"""
+SELECT CAST(seq // {CHUNK} AS BIGINT) AS chunk_num, "@id" AS id, "@area" AS area, "@time" AS period, "$" AS measure FROM cells_sales""")
+def sc11_plan(spark, sf):
+    """The first pages land, then the whole plan; the second run fetches the others only."""
+    root, total = landed_chunks(spark, sf, "sc11-plan")
+    path = scratch(spark, "sc11-landed")
+    plan = paged.chunk_plan(spark.createDataFrame([("ORD", total)], "dataset_id string, total_records bigint"), CHUNK)
+    paged.land_pages(plan.where("chunk_num % 3 = 0"), path, root)
+    paged.land_pages(plan, path, root)
+    return wire.cells(paged.landed_pages(spark, path), keep=("chunk_num",)).select(
+        "chunk_num", F.col("`@id`").alias("id"), F.col("`@area`").alias("area"), F.col("`@time`").alias("period"), F.col("`$`").alias("measure"))
+
+
 @query("sc12_chunk_plan", """
 SELECT dataset_id, i AS chunk_num, i * 100000 + 1 AS start_position, least(100000, wanted - i * 100000) AS chunk_limit FROM (
   SELECT dataset_id, wanted, unnest(range(CAST(ceil(wanted / 100000.0) AS BIGINT))) AS i FROM (

@@ -124,6 +124,19 @@ def fl11(spark, sf):
     return X.selected(_sales(spark, sf), ids, "seq")
 
 
+@query("fl11_selected_partitions", """
+SELECT o_custkey % 40 AS part_id, o_orderstatus, count(*) AS n, max(o_totalprice) AS top FROM orders
+WHERE o_custkey % 40 IN (SELECT c_custkey % 40 FROM customer WHERE c_acctbal > 9900) GROUP BY ALL""")
+def fl11_partitions(spark, sf):
+    """Orders in 40 folders; those of the selected ids are read."""
+    path = scratch(spark, "fl11")
+    orders = V.table(spark, sf, "orders").withColumn("part_id", F.col("o_custkey") % 40)
+    tables.write_by(orders, path, "part_id")
+    ids = V.table(spark, sf, "customer").filter("c_acctbal > 9900").select((F.col("c_custkey") % 40).alias("part_id"))
+    rows = X.selected(spark.read.schema(orders.schema).parquet(path), ids, "part_id")
+    return rows.groupBy("part_id", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("top"))
+
+
 @query("fl12_updated_since", """
 SELECT d.dataset_id, d.updated_at FROM (SELECT o_custkey AS dataset_id, max(o_orderdate) AS updated_at FROM orders GROUP BY 1) d
 LEFT JOIN (SELECT o_custkey AS dataset_id, max(o_orderdate) AS last_ingested_at FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) i ON d.dataset_id = i.dataset_id
