@@ -167,13 +167,14 @@ def in10_written(spark, sf):
         F.sum("record_count").alias("record_count"), (F.max("storage_bytes") == kept).alias("has_bytes"), (F.min("storage_bytes") == 0).alias("rerun_writes_none"))
 
 
-@query("in06_batch_ingest", """
-SELECT id AS dataset_id, 'completed' AS status, 1::BIGINT AS loaded FROM inventory WHERE status = 'pending' AND priority >= 7 ORDER BY priority DESC, added_pos LIMIT 2""")
+@query("in06_batch_ingest", "SELECT c_mktsegment AS dataset_id, 'completed' AS status, count(*) AS loaded FROM customer GROUP BY c_mktsegment")
 def in06_ingest(spark, sf):
-    """The next two datasets of the inventory, each with the cells of its customer, and what the load log says of them."""
+    """An inventory with a dataset per segment, which together hold all customer cells, ingested whole, and what the load log says of them."""
     root, cells = scratch(spark, "in06"), V.cells_customer(spark, sf)
+    datasets = V.inventory(spark, sf).groupBy(F.col("c_mktsegment").alias("id")).agg(F.min("added_pos").alias("added_pos"), F.max("priority").alias("priority")).withColumns(
+        {"domain": F.lit("generic"), "status": F.lit("pending")})
     outcome = P.ingest_batch(
-        spark, V.inventory(spark, sf), lambda dataset: cells.filter(F.col("`@tab`") == dataset), root, n=2, threshold=7, updated_at=V.STAMP)
+        spark, datasets, lambda dataset: cells.filter(F.col("`@cat01`") == dataset), root, n=datasets.count(), updated_at=V.STAMP)
     log = spark.read.schema(P.LOAD_LOG).parquet(f"{root}/logs/loads")
     return outcome.join(log.select("dataset_id", F.col("record_count").alias("loaded")), "dataset_id", "left").select("dataset_id", "status", "loaded")
 
