@@ -100,7 +100,7 @@ def verdicts(counted: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their columns.  Host sums come from a written table of counts;
-    the counts are taken again where the texts are filtered, so no text is shuffled."""
-    known = stage(hosts(counts(docs).select("source", "__n_words", "__word_chars", "__n_symbols", "__n_dup_lines", "__n_repeat_words")), "hosts")
-    return verdicts(counts(docs), known).where("__kept").select(*docs.columns)
+    """The documents that are kept, with their columns.  The counts are taken once and written with the documents, from
+    where the host sums read the counts alone; no text is shuffled."""
+    counted = stage(counts(docs), "counts")
+    return verdicts(counted, stage(hosts(counted), "hosts")).where("__kept").select(*docs.columns)
