@@ -4,6 +4,8 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -231,13 +233,13 @@ URLS = [
 ]
 
 
-def test_url_filter_both_ways(spark):
+def test_url_filter_in_one_block_and_in_many(spark):
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)], "page_id long, url string, rule string")
     known = url_filter.entries(spark)
-    by_index = sorted(map(tuple, url_filter.judge(pages, known).select("page_id", "__host", "__path", "__rule", "__verdict").collect()))
-    by_join = sorted(map(tuple, url_filter.judge(pages, known, max_entries=1).select("page_id", "__host", "__path", "__rule", "__verdict").collect()))
-    assert by_index == by_join and len(by_index) == len(URLS)
-    for i, host, path, rule, verdict in by_index:
+    by_block = sorted(map(tuple, url_filter.judge(pages, known).select("page_id", "__host", "__path", "__rule", "__verdict").collect()))
+    by_blocks = sorted(map(tuple, url_filter.judge(pages, known, block=1).select("page_id", "__host", "__path", "__rule", "__verdict").collect()))
+    assert by_block == by_blocks and len(by_block) == len(URLS)
+    for i, host, path, rule, verdict in by_block:
         url = URLS[i] or ""
         if "://" not in url:
             assert (host, path, rule, verdict) == ("", "", None, "allow")
@@ -248,12 +250,12 @@ def test_url_filter_both_ways(spark):
     assert url_filter.judge(pages.limit(0), known).count() == 0
 
 
-def test_url_rules_of_equal_length_both_ways(spark):
+def test_url_rules_of_equal_length(spark):
     """The one with the longer host holds."""
     pages = spark.createDataFrame([(1, "http://a.net/ab", "x")], "page_id long, url string, rule string")
     known = url_filter.entries(spark, [("a.net/", "block"), ("net/ab", "allow")], [])
     for most in (10, 1):
-        assert [(r["__rule"], r["__verdict"]) for r in url_filter.judge(pages, known, max_entries=most).collect()] == [("a.net/", "block")]
+        assert [(r["__rule"], r["__verdict"]) for r in url_filter.judge(pages, known, block=most).collect()] == [("a.net/", "block")]
 
 
 def test_keys_of_a_long_host_are_as_short_as_the_entries(spark):
@@ -265,16 +267,38 @@ def test_keys_of_a_long_host_are_as_short_as_the_entries(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     known = url_filter.entries(spark, [("spam.example.net/", "block"), ("org/fr/", "allow")], ["net/"])
     for most in (10, 1):
-        got = {r.page_id: (r["__rule"], r["__verdict"]) for r in url_filter.judge(pages, known, max_entries=most).collect()}
+        got = {r.page_id: (r["__rule"], r["__verdict"]) for r in url_filter.judge(pages, known, block=most).collect()}
         assert got == {0: ("spam.example.net/", "block"), 1: (None, "allow"), 2: (None, "allow"), 3: ("org/fr/", "allow"), 4: (None, "block"), 5: ("spam.example.net/", "block")}
 
 
-def test_equal_digests_are_told_apart(tmp_path, monkeypatch):
-    monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda x: 7)
-    rows = [("a.org/", False, "block"), ("b.org/", True, "block"), ("c.org/", False, "allow")]
-    url_filter.write_index(rows, str(tmp_path / "index"))
+def test_equal_digests_are_told_apart(tmp_path):
+    url_filter.write_index(pa.table({"digest": [7, 7, 7], "entry": ["a.org/", "b.org/", "c.org/"], "flag": [1, 3, 0]}), str(tmp_path / "index"))
     index = url_filter.Index(str(tmp_path / "index"))
-    assert [index.entry(i) if i >= 0 else None for i in index.find([b"c.org/", b"d.org/", b"a.org/"]).tolist()] == [b"c.org/", None, b"a.org/"]
+    found = index.find([b"c.org/", b"d.org/", b"a.org/", b"b.org/"], np.array([7, 7, 7, 8]))
+    assert {k: index.entry(i) for k, i in found.items()} == {0: b"c.org/", 2: b"a.org/"}
+    assert {k: int(index.flags[i]) for k, i in found.items()} == {0: 0, 2: 1}
+
+
+@pytest.mark.parametrize("block", [1_000_000, 700])
+def test_url_filter_with_a_long_list(spark, block):
+    """A list of 20,000 hosts, some with paths, made by Spark, against a plain look at all suffixes."""
+    F = url_filter.F
+    listed = spark.range(20_000).select(F.concat(F.lit("h"), F.col("id") * 7, F.when(F.col("id") % 3 == 0, ".example.org/a").when(F.col("id") % 3 == 1, ".net/").otherwise(".ü.net/")).alias("entry"),
+                                        F.lit("block").alias("verdict"), F.lit(True).alias("listed"))
+    known = listed.unionByName(url_filter.entries(spark, [("net/b", "allow"), ("h7.net/", "block")], []))
+    entries = {r.entry for r in listed.collect()}
+    urls = [f"http://{sub}h{k}{end}" for k in range(0, 2100) for sub, end in (("", ".example.org/a"), ("w.", ".net/b/c"), ("x.y.", ".net/c"), ("", ".ü.net"), ("", ".ü.net/"))]
+    got = {r.page_id: (r["__rule"], r["__verdict"]) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3), known, block).collect()}
+    for i, url in enumerate(urls):
+        host, slash, path = url[7:].partition("/")
+        fits = {f"{host[s:]}/{path[:n]}" for s in range(len(host)) if s == 0 or host[s - 1] == "." for n in range(len(path) + 1)} if slash else set()
+        rule = next((r for r in ("h7.net/", "net/b") if r in fits), None)
+        assert got[i] == ((rule, "allow" if rule == "net/b" else "block") if rule else (None, "block" if fits & entries else "allow"))
+
+
+def test_url_filter_without_entries(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/ab"), (2, None)], "page_id long, url string")
+    assert {(r["__rule"], r["__verdict"]) for r in url_filter.judge(pages, url_filter.entries(spark).limit(0)).collect()} == {(None, "allow")}
 
 
 def test_html_blocks():

@@ -5,15 +5,13 @@ starts with ``/path``.  Rules carry a verdict; the longest rule that fits decide
 Where none fits, the block list decides: entries of the same form that block.  All
 else is allowed.
 
-The entries' 64-bit xxhash digests are kept as one sorted array in a file that
-every task memory-maps, with the entries' text beside it.  For a URL the keys
+The entries' 64-bit xxhash digests are dealt by range to blocks of some ``BLOCK`` entries, which tasks sort and write to the
+shared folder.  Spark hands the blocks' files to every executor, also to one that starts later; there each becomes a sorted
+array with the entries' text beside it, which tasks memory-map.  So the list may have any length: the driver
+sees names of files, and an executor needs disk for the list, not memory.  For a URL the keys
 are the suffixes of its host that are no longer than some entry's, joined to those path prefixes that are as long as
 some entry's path, so their size does not grow with the host; digests of a whole batch of keys are found by one binary
-search of the array, and a hit counts only if the stored text equals the key.
-
-The file goes to the executors only if it has at most ``MAX_ENTRIES`` entries; a
-larger set of entries stays a table and is joined on the same keys, with the
-same result.
+search of each array, and a hit counts only if the stored text equals the key.
 
 Defined results: a null URL, or one without ``://``, has empty host and path and is
 allowed; rows are judged one by one, repeated or not; entries without text or ``/`` are refused;
@@ -22,21 +20,23 @@ equal entries count once, a rule before a list entry, block before allow.
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_ENTRIES = 5_000_000
+from tidycell.session import scratch
+
+BLOCK = 1_000_000
+#: That of Spark's xxhash64.
+HASH_SEED = 42
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 BLOCKED = ("cheap-pills.example.com/", "spam-farm.example.org/")
@@ -63,16 +63,41 @@ def _once(table: DataFrame) -> DataFrame:
         "entry", F.col("e.listed").alias("listed"), F.when(F.col("e.soft"), "allow").otherwise("block").alias("verdict"))
 
 
-def write_index(rows: Sequence[tuple[str, bool, str]], name: str) -> None:
-    """Digests, order and text of (entry, listed, verdict) rows in one file: counts, digests, offsets, flags, text."""
-    digests = np.array([xxhash.xxh64_intdigest(e) for e, _, _ in rows], np.uint64)
-    order = np.argsort(digests, kind="stable")
-    texts = [rows[i][0].encode() for i in order]
-    offsets = np.zeros(len(rows) + 1, np.int64)
+def digests(keys: Sequence[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(k, HASH_SEED) for k in keys), np.uint64, len(keys)).view(np.int64)
+
+
+def write_blocks(known: DataFrame, blocks: int) -> list[str]:
+    """The names under which tasks find the files of the index: entries by digest, a range of digests to a file."""
+    spark = known.sparkSession
+    path = scratch(spark, "url-index")
+    flag = (2 * F.col("listed").cast("int") + (F.col("verdict") == "block").cast("int")).cast("byte")
+    rows = known.select(F.xxhash64("entry").alias("digest"), "entry", flag.alias("flag"))
+    rows.repartitionByRange(blocks, "digest").sortWithinPartitions("digest").write.parquet(path)
+    files = spark.read.schema(rows.schema).parquet(path).inputFiles()
+    for file in files:
+        spark.sparkContext.addFile(file)
+    return sorted(os.path.basename(file) for file in files)
+
+
+def write_index(rows: pa.Table, name: str) -> None:
+    """One file of (digest, entry, flag) rows in order of their digests: count, digests, offsets, flags, text."""
+    texts = [e.encode() for e in rows["entry"].to_pylist()]
+    offsets = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=offsets[1:])
-    flags = np.array([2 * rows[i][1] + (rows[i][2] == "block") for i in order], np.uint8)
-    with open(name, "wb") as f:
-        f.write(np.int64(len(rows)).tobytes() + digests[order].tobytes() + offsets.tobytes() + flags.tobytes() + b"".join(texts))
+    columns = [rows["digest"].to_numpy().astype(np.int64), offsets, rows["flag"].to_numpy().astype(np.uint8)]
+    draft = f"{name}.{uuid.uuid4().hex}"
+    with open(draft, "wb") as f:
+        f.write(np.int64(len(texts)).tobytes() + b"".join(c.tobytes() for c in columns) + b"".join(texts))
+    os.replace(draft, name)  # other tasks of the executor may do the same
+
+
+def mapped(name: str) -> Index:
+    """The index of a file that Spark handed to this executor; made beside it once, in Spark's own folder."""
+    file = SparkFiles.get(name)
+    if not os.path.exists(f"{file}.index"):
+        write_index(pq.read_table(file), f"{file}.index")
+    return Index(f"{file}.index")
 
 
 class Index:
@@ -82,19 +107,20 @@ class Index:
         data = np.memmap(name, np.uint8, "r")
         n = int(data[:8].view(np.int64)[0])
         at = 8 + 8 * n
-        self.digests = data[8:at].view(np.uint64)
+        self.digests = data[8:at].view(np.int64)
         self.offsets = data[at : at + 8 * (n + 1)].view(np.int64)
         at += 8 * (n + 1)
         self.flags, self.text = data[at : at + n], data[at + n :]
 
-    def find(self, keys: list[bytes]) -> np.ndarray:
-        """Position of every key's entry, or -1."""
-        want = np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), np.uint64, len(keys))
+    def find(self, keys: list[bytes], want: np.ndarray) -> dict[int, int]:
+        """Position of the entry of every key that has one, by the key's; ``want`` are the keys' digests."""
+        n, out = len(self.digests), {}
+        if not n:
+            return out
         at = np.searchsorted(self.digests, want)
-        out = np.full(len(keys), -1)
-        for k in np.flatnonzero((at < len(self.digests)) & (self.digests[np.minimum(at, len(self.digests) - 1)] == want)) if len(self.digests) else ():
-            i = at[k]
-            while i < len(self.digests) and self.digests[i] == want[k]:  # all entries of one digest
+        for k in np.flatnonzero((at < n) & (self.digests[np.minimum(at, n - 1)] == want)).tolist():
+            i = int(at[k])
+            while i < n and self.digests[i] == want[k]:  # all entries of one digest
                 if self.entry(i) == keys[k]:
                     out[k] = i
                     break
@@ -113,64 +139,45 @@ def keys_of(host: str, path: str, lengths: Sequence[int], most: int) -> list[byt
     return [(host[s:] + e).encode("utf-8", "replace") for s in starts for e in ends]
 
 
-def _probe(name: str, lengths: Sequence[int], most: int):
+def _probe(names: Sequence[str], lengths: Sequence[int], most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(SparkFiles.get(name))
+        blocks = [mapped(n) for n in names]
         for batch in batches:
             hosts, paths = (batch.column(batch.schema.names.index(c)).to_pylist() for c in ("__host", "__path"))
             keys, ends = [], []
             for h, p in zip(hosts, paths):
                 keys += keys_of(h, p, lengths, most)
                 ends.append(len(keys))
-            at = index.find(keys)
+            want, flags = digests(keys), {}
+            for block in blocks:
+                flags.update((k, int(block.flags[i])) for k, i in block.find(keys, want).items())
             rules, verdicts = [], []
             start = 0
             for end in ends:
-                hits = [i for i in at[start:end].tolist() if i >= 0]
+                hits = [k for k in range(start, end) if k in flags]
                 start = end
-                own = [i for i in hits if not index.flags[i] & 2]
+                own = [k for k in hits if not flags[k] & 2]
                 if own:
-                    best = max(own, key=lambda i: len(index.entry(i).decode()))
-                    rules.append(index.entry(best).decode())
-                    verdicts.append("block" if index.flags[best] & 1 else "allow")
+                    # The keys of a URL come by falling length of their hosts: of equally long rules the first holds.
+                    best = max(own, key=lambda k: len(keys[k].decode()))
+                    rules.append(keys[best].decode())
+                    verdicts.append("block" if flags[best] & 1 else "allow")
                 else:
                     rules.append(None)
-                    verdicts.append("block" if any(index.flags[i] & 1 for i in hits) else "allow")
+                    verdicts.append("block" if any(flags[k] & 1 for k in hits) else "allow")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rules, pa.string()), pa.array(verdicts, pa.string())], names=[*batch.schema.names, "__rule", "__verdict"])
 
     return run
 
 
-def _joined(pages: DataFrame, known: DataFrame, lengths: Sequence[int], most: int) -> DataFrame:
-    """The same by a join on the keys, for more entries than a task should hold."""
-    ends = ", ".join(f"if(length(__path) >= {n}, substring(__path, 1, {n}), null)" for n in lengths) or "cast(null as string)"
-    # Labels of the host's end that an entry's host can reach; the first piece of a cut host is no whole label.
-    labels = F.expr(f"if(length(__host) <= {most}, split(__host, '[.]'), slice(split(right(__host, {most + 1}), '[.]'), 2, {most + 1}))")
-    keys = F.expr(f"""flatten(transform(__labels, (x, i) -> transform(filter(array({ends}), e -> e is not null),
-        e -> concat(array_join(slice(__labels, i + 1, {most + 1}), '.'), e))))""")
-    probes = pages.select("__host", "__path").distinct().withColumn("__labels", labels)
-    probes = probes.select("__host", "__path", F.explode(F.array_distinct(keys)).alias("entry"))
-    hits = probes.join(known, "entry")
-    best = hits.groupBy("__host", "__path").agg(
-        F.max(F.when(~F.col("listed"), F.struct(F.length("entry").alias("n"), F.instr("entry", "/").alias("host"), "entry", "verdict"))).alias("r"), F.max((F.col("listed")) & (F.col("verdict") == "block")).alias("b"))
-    return pages.join(best, ["__host", "__path"], "left").withColumns({
-        "__rule": F.col("r.entry"), "__verdict": F.coalesce("r.verdict", F.when(F.col("b"), "block"), F.lit("allow"))}).drop("r", "b")
-
-
-def judge(pages: DataFrame, known: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
+def judge(pages: DataFrame, known: DataFrame, block: int = BLOCK) -> DataFrame:
     """``pages`` with __host, __path, __rule and __verdict."""
-    spark = pages.sparkSession
     known = _once(known)
-    sizes = known.select(F.expr("length(entry) - instr(entry, '/') + 1").alias("path"), F.expr("instr(entry, '/') - 1").alias("host")).groupBy("path").agg(F.max("host").alias("host")).collect()
+    # One row per length of the entries' paths.
+    sizes = known.select(F.expr("length(entry) - instr(entry, '/') + 1").alias("path"), F.expr("instr(entry, '/') - 1").alias("host")).groupBy("path").agg(
+        F.max("host").alias("host"), F.count("*").alias("n")).collect()
     lengths, most = sorted(r.path for r in sizes), max((r.host for r in sizes), default=0)
+    names = write_blocks(known, -(-sum(r.n for r in sizes) // block) or 1)
     pages = pages.withColumns({"__host": host(), "__path": path()})
-    if known.count() > max_entries:
-        return _joined(pages, known, lengths, most)
-    # Spark's file server hands the driver's file to every executor, also to one that starts later.
-    folder = tempfile.mkdtemp(prefix="url-index-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    name = f"url-index-{uuid.uuid4().hex}"
-    write_index([(r.entry, r.listed, r.verdict) for r in known.collect()], os.path.join(folder, name))
-    spark.sparkContext.addFile(os.path.join(folder, name))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
-    return pages.mapInArrow(_probe(name, lengths, most), f"{fields}, __rule string, __verdict string")
+    return pages.mapInArrow(_probe(names, lengths, most), f"{fields}, __rule string, __verdict string")
