@@ -2,7 +2,9 @@
 
 import random
 import re
+import statistics
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,7 @@ import pytest
 import corpus_pipeline
 from tests.compare import check, duck
 from tests.llm import cases
+from tests.llm.test_texts import near
 from tidycell.llm import decontaminate, html_text, mixture, pii, quality, shard, url_filter
 from tidycell.llm.queries import QUERIES, SQL
 
@@ -194,6 +197,8 @@ def test_shards(spark):
     assert places == sorted((p % 8, p // 8) for p in range(len(cases.ROWS)))
     assert sorted(map(repr, rows)) == sorted(map(repr, shard.shard(docs.repartition(7)).collect()))
     assert shard.shard(docs.limit(0)).count() == 0
+    clash = docs.withColumnRenamed("source", "shard_2").withColumnRenamed("n_words", "Slot")
+    assert shard.shard(clash).columns == [*clash.columns, "shard_3", "slot_2"] and shard.shard(clash).count() == len(cases.ROWS)
     assert docs.withColumns(shard.features()).where("doc_id = 9").first()["__crc"] == zlib.crc32(cases.ROWS[11][1].encode())
 
 
@@ -356,3 +361,88 @@ def test_pipeline(spark, sf):
     assert out.columns == [*docs.columns, "shard", "slot"] and rows
     assert sorted((r.shard, r.slot) for r in rows) == sorted((p % 8, p // 8) for p in range(len(rows)))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "benchmark_decontamination", "source_mixture", "sharding"]
+
+
+def quality_by_hand(rows):
+    """The rows that the rules and the hosts' rates keep."""
+    failed, doubt = [], []
+    for r in rows:
+        text = r.text or ""
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
+        seen = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        again = {j for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        n, chars = len(w), sum(map(len, w))
+        failed.append(n < 10 or 100 * len(again) > 20 * n)
+        doubt.append(10 * sum(c in quality.SYMBOLS for c in text) > n or chars < 2 * n or chars > 15 * n or 10 * (len(lines) - len(set(lines))) > n)
+    hosts = {}
+    for r, a, b in zip(rows, failed, doubt):
+        n, bad = hosts.get(r.source, (0, 0))
+        hosts[r.source] = (n + 1, bad + (a or b))
+    rates = [bad / n for n, bad in hosts.values()]
+    mean, var = statistics.mean(rates), statistics.variance(rates)
+    strength = max(mean * (1 - mean) / var - 1, 1e-3)
+    suspect = {h for h, (n, bad) in hosts.items() if (bad + mean * strength) / (n + strength) > quality.SUSPECT}
+    return [r for r, a, b in zip(rows, failed, doubt) if not a and not (b and r.source in suspect)]
+
+
+def hits_by_hand(text, items):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    windows = {}
+    for item in items:
+        m = min(13, len(item))
+        windows.setdefault(m, set()).update(tuple(item[i : i + m]) for i in range(len(item) - m + 1) if m)
+    hit = {j for m, known in windows.items() for i in range(len(words) - m + 1) if tuple(words[i : i + m]) in known for j in range(i, i + m)}
+    return len(words), len(hit)
+
+
+def test_pipeline_stages_by_hand(spark, sf, tmp_path):
+    """Every stage on what its predecessor kept, with odd, repeated and contaminated rows, a spam host and clashing names."""
+    bench = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").where("text is not null").limit(40).collect()]
+    spam = "x # # # # y z u v w q r s t"
+    rows = [*cases.ROWS, *((400 + i, f"{spam} {i}", "en", "spam", 1) for i in range(30)), *((500 + i, f"before it {t} and after", "en", "a", 1) for i, t in enumerate(bench[:5]))]
+    docs = spark.createDataFrame(rows, cases.DDL).unionByName(spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id + 1000 as doc_id", "text", "lang", "source", "1L as n_words"))
+    docs = docs.withColumnRenamed("lang", "Shard").withColumnRenamed("n_words", "slot")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(bench)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    tables, now = [], spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, step in corpus_pipeline.STAGES:
+        now = corpus_pipeline.stage(step(spark, now, str(tmp_path)), name)
+        tables.append(now.collect())
+    given, (kept, single, clean, mixed, sharded) = docs.collect(), tables
+
+    def plain(found):
+        return sorted(map(repr, found))
+
+    assert plain(kept) == plain(quality_by_hand(given)) and 0 < sum(r.source == "spam" for r in given) > sum(r.source == "spam" for r in kept)
+    distinct = sorted({(r.doc_id if r.doc_id is not None else 2**63 - 1, r.text) for r in kept})
+    groups = near(distinct)[1]
+    assert len(distinct) < len(kept) and sorted(r.doc_id if r.doc_id is not None else 2**63 - 1 for r in single) == sorted({g: distinct[g][0] for g in groups}.values())
+    items = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) for t in bench]
+    left = []
+    for r in single:
+        n, hit = hits_by_hand(r.text, items)
+        left += [] if hit and 20 * hit >= n else [r]
+    assert plain(clean) == plain(left) and len(left) < len(single)
+    size = {repr(r): len([w for w in re.split(r"[\x20\x09-\x0D]+", r.text or "") if w]) for r in clean}
+    assert {repr(r) for r in mixed} <= set(size) and max(Counter(map(repr, mixed)).values()) <= 3
+    sources = sorted({r.source for r in clean}, key=lambda x: (x is None, x))
+    sums = {x: sum(size[repr(r)] for r in clean if r.source == x) for x in sources}
+    weight = {x: (5, 2, 1)[i % 3] for i, x in enumerate(sources)}
+    target, open_ = {}, list(sources)
+    while open_:
+        level = (sum(sums.values()) - sum(target.values())) / sum(weight[x] for x in open_)
+        above = [x for x in open_ if level * weight[x] > 3 * sums[x]]
+        target.update({x: 3 * sums[x] if above else level * weight[x] for x in above or open_})
+        open_ = [x for x in open_ if x not in target]
+    for x in sources:
+        longest = max(size[repr(r)] for r in clean if r.source == x)
+        assert abs(sum(size[repr(r)] for r in mixed if r.source == x) - target[x]) <= longest / 2 + 2 + target[x] / 100
+    assert plain(tuple(r)[:-2] for r in sharded) == plain(map(tuple, mixed)) and [*sharded[0].asDict()][-2:] == ["shard_2", "slot_2"]
+    assert sorted((r.shard_2, r.slot_2) for r in sharded) == sorted((p % 8, p // 8) for p in range(len(mixed)))
+
+
+def test_pipeline_without_rows(spark, sf, tmp_path):
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

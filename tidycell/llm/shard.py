@@ -80,8 +80,9 @@ def shuffled(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, counted: D
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """``docs`` with shard and slot (renamed if the table has such columns already)."""
+    """``docs`` with shard and slot; where the table has such a column, in upper or lower case, the first free of shard_2, shard_3 and so on."""
     rows = docs.withColumns(features())
     out = shuffled(rows, shards, seed)
-    names = [c if c not in docs.columns else f"{c}_2" for c in ("shard", "slot")]
+    taken = {c.lower() for c in docs.columns}
+    names = [next(x for x in (c, *(f"{c}_{k}" for k in range(2, len(taken) + 3))) if x not in taken) for c in ("shard", "slot")]
     return out.select(*docs.columns, F.col("__shard").alias(names[0]), F.col("__slot").alias(names[1]))
