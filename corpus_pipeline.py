@@ -1,5 +1,9 @@
 """From raw documents to a sharded training mixture: five stages, each written and read again.
 
+Defined results: a null, empty or short text fails the quality rules; a missing id or source is a value of its own; rows that repeat in
+full are near duplicates, of which one stays; no text is too long for a stage; an empty table gives an empty result; other columns of documents stay, and
+shard and slot are renamed if documents has such columns.  Names that begin with two underscores are the operators' own.
+
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of documents.  ORACLE_SQL is None: shingle similarity over components and the
 seeded shuffle have no plain SQL form; tests hold the stages against brute force.
