@@ -202,14 +202,14 @@ def test_shards(spark):
     assert docs.withColumns(shard.features()).where("doc_id = 9").first()["__crc"] == zlib.crc32(cases.ROWS[11][1].encode())
 
 
-@pytest.mark.parametrize("block_words", [200_000, 5])
-def test_decontamination(spark, block_words):
+@pytest.mark.parametrize("block_words, chunk", [(200_000, 64_000_000), (5, 64_000_000), (5, 1)])
+def test_decontamination(spark, block_words, chunk):
     rng = random.Random(4)
     vocabulary = ["a", "b", "the", "Éa", "x9"]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 2, 5, 13, 14, 30])))) for i in range(12)] + [(50, None), (None, "the a"), (3, "b b b b")]
     rows = [(i, ", ".join(rng.choice(vocabulary) for _ in range(rng.randrange(60)))) for i in range(60)]
     rows += [(100, items[5][1].upper().replace("É", "É")), (101, None), (102, "")]
-    found = decontaminate.scan(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=block_words).collect()
+    found = decontaminate.scan(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=block_words, chunk=chunk).collect()
     split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
     for r in found:
         w, hit, ids = split(r.text), set(), set()

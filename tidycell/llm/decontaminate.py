@@ -10,9 +10,10 @@ these two words and the pattern's first one, names the patterns to compare
 with the document's words directly.
 
 Documents are searched where they are read; nothing is shuffled.  The benchmark
-is dealt to blocks of at most ``BLOCK_WORDS`` words, each of which is sent to the
-tasks and searched for in turn, so a task holds one block's tables whatever the
-benchmark's size.  An item longer than that is a block of its own.
+is dealt to blocks of some ``BLOCK_WORDS`` words, which tasks write to the shared folder and Spark hands to every executor as
+files; the driver sees their names only.  A task searches ``CHUNK`` bytes of documents for one block after the
+other, so it holds one block's tables whatever the benchmark's size, and builds them once per chunk (once, if there is one block).  An
+item longer than a block is in one block.
 
 Defined results: a null text has no words; an item without id or without words
 is no item; rows with one item_id are one item; rows of documents are judged one by one,
@@ -21,14 +22,20 @@ repeated or not; an empty benchmark leaves all documents clean.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidycell.session import scratch
+
 WINDOW = 13
 BLOCK_WORDS = 200_000
+CHUNK = 64_000_000
 #: Bytes as they count in words; the others are spaces.
 _KEEP = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256)).lower()
 
@@ -95,42 +102,59 @@ def covered(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def _scan(blocks: list, window: int, text_at: int):
+def _chunks(batches: Iterator[pa.RecordBatch], text_at: int, chunk: int) -> Iterator[list[pa.RecordBatch]]:
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(text_at).nbytes
+        if size >= chunk:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _scan(names: list[str], window: int, text_at: int, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Patterns(blocks[0].value, window) if len(blocks) == 1 else None
-        for batch in batches:
-            texts = batch.column(text_at).to_pylist()
-            spans, items = [[] for _ in texts], [set() for _ in texts]
-            for block in blocks:
-                patterns = held or Patterns(block.value, window)
-                for k, text in enumerate(texts):
-                    s, i = patterns.search(split(text))
-                    if s:
-                        spans[k] += s
-                        items[k] |= i
-            out = [pa.array([len(split(t)) for t in texts], pa.int64()), pa.array([covered(s) for s in spans], pa.int64()), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, "__n_words", "__n_hit", "__items"])
+        order, at, patterns = list(names), None, None
+        for held in _chunks(batches, text_at, chunk):
+            texts = [batch.column(text_at).to_pylist() for batch in held]
+            spans, items = [[[] for _ in part] for part in texts], [[set() for _ in part] for part in texts]
+            for name in order:
+                if name != at:
+                    table = pq.read_table(SparkFiles.get(name))
+                    at, patterns = name, Patterns(list(zip(*(c.to_pylist() for c in table.columns))), window)
+                for part, found, known in zip(texts, spans, items):
+                    for k, text in enumerate(part):
+                        s, i = patterns.search(split(text))
+                        if s:
+                            found[k] += s
+                            known[k] |= i
+            order.reverse()  # the next chunk begins with the tables at hand
+            for batch, part, found, known in zip(held, texts, spans, items):
+                out = [pa.array([len(split(t)) for t in part], pa.int64()), pa.array([covered(s) for s in found], pa.int64()), pa.array([sorted(i) for i in known], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, "__n_words", "__n_hit", "__items"])
 
     return run
 
 
-def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list:
-    """The benchmark, dealt by item to blocks of bounded size that are sent to the tasks."""
+def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[str]:
+    """The names under which tasks find the benchmark's items, dealt to files of bounded size."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     words = items.agg(F.sum(F.length("text"))).first()[0] or 0  # characters bound the words
-    n = -(-words // (3 * block_words)) or 1
-    out = []
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        out.append(spark.sparkContext.broadcast([tuple(r) for r in part.collect()]))
-    return out
+    path = scratch(spark, "benchmark")
+    items.repartition(-(-words // (3 * block_words)) or 1).write.parquet(path)
+    files = spark.read.schema(items.schema).parquet(path).inputFiles()
+    for file in files:
+        spark.sparkContext.addFile(file)
+    return sorted(os.path.basename(file) for file in files)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, chunk: int = CHUNK) -> DataFrame:
     """``docs`` with __n_words, __n_hit and __items (ids of the items that occur, as strings)."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_scan(blocks_of(benchmark, block_words), window, docs.columns.index("text")), f"{fields}, __n_words long, __n_hit long, __items array<string>")
+    return docs.mapInArrow(_scan(blocks_of(benchmark, block_words), window, docs.columns.index("text"), chunk), f"{fields}, __n_words long, __n_hit long, __items array<string>")
 
 
 def contaminated() -> Column:
