@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +126,27 @@ def test_parquet_profile(spark, tmp_path):
     spark.createDataFrame([(1, None), (2, "x")], "a int, b string").write.parquet(str(tmp_path / "p"))
     got = values(files.parquet_profile(files.read_parquet(spark, str(tmp_path / "p"))))
     assert got == [(0, "a", "int", 2, 2), (1, "b", "string", 1, 2)]
+
+
+def test_metadata_is_parsed_once(spark):
+    """Each text of a document goes through one parser, and no code carries the list of its category."""
+    plan = wire.code_list(docs(spark, META), keep=("n",))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 3
+    assert re.search(r"Generate posexplode\(members#\d+\), \[\d+\], true", plan)
+    sizes = wire.category_sizes(docs(spark, META), keep=("n",))._jdf.queryExecution().optimizedPlan().toString()
+    assert sizes.count("METADATA_INF.CLASS_INF.CLASS_OBJ") == 1
+
+
+def test_odd_class_lists(spark):
+    inf = lambda c: {"GET_META_INFO": {"METADATA_INF": {"CLASS_INF": {"CLASS_OBJ": c}}}}
+    odd = docs(spark, inf([]), inf("text"), inf([{"@id": "x", "CLASS": []}, {"@id": "y", "CLASS": [{}, {"@code": "1"}]}, {"@id": "z", "CLASS": "no"}]), "no json", {"a": 1})
+    assert values(wire.code_list(odd, keep=("n",)), "n", "category_pos", "code_pos", "category_count", "code") == [(2, 1, 0, 2, ""), (2, 1, 1, 2, "1")]
+
+
+def test_documents_are_made_in_many_tasks(spark):
+    from workloads import views as V
+
+    dealt = V.spread(spark.range(0, 95, 1, 1), rows=10)
+    assert dealt.rdd.getNumPartitions() == 10 and dealt.count() == 95
+    assert max(dealt.rdd.glom().map(len).collect()) <= 12
+    assert V.spread(spark.range(0)).count() == 0

@@ -128,10 +128,18 @@ def read_cell_lists(spark: SparkSession, path, categories: int = 5) -> DataFrame
     return spark.read.schema(cell_schema(categories)).option("multiLine", True).json(path)
 
 
+def _metadata_part(df: DataFrame, text: str, keep: tuple[str, ...], part: str) -> DataFrame:
+    """Metadata documents as the kept columns and ``_raw``, the JSON text of one part of them."""
+    info = F.from_json(S.json_text(text), _META_ENVELOPE)["GET_META_INFO"]["METADATA_INF"]
+    return df.select(*keep, (info["CLASS_INF"]["CLASS_OBJ"] if part == "CLASS_OBJ" else info[part]).alias("_raw"))
+
+
 def code_list(df: DataFrame, text: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """SC-06: the classes of a metadata document, one row per code, in document order."""
-    raw = F.from_json(S.json_text(text), _META_ENVELOPE)["GET_META_INFO"]["METADATA_INF"]["CLASS_INF"]["CLASS_OBJ"]
-    objects = df.select(*keep, F.posexplode(F.from_json(as_list(raw), _CLASS_OBJ)).alias("category_pos", "o"))
+    # Every text is parsed once: each is a column of its own, and a plain explode would parse it again for the filter
+    # that Spark infers from it.  The size is taken first, so that no row carries the whole list of its category.
+    objects = _metadata_part(df, text, keep, "CLASS_OBJ").select(
+        *keep, F.posexplode_outer(F.from_json(as_list(F.col("_raw")), _CLASS_OBJ)).alias("category_pos", "o"))
     members = objects.select(
         *keep,
         "category_pos",
@@ -139,12 +147,12 @@ def code_list(df: DataFrame, text: str = "value", keep: tuple[str, ...] = ()) ->
         F.coalesce("o.@name", F.lit("")).alias("category_name"),
         F.from_json(as_list(F.col("o.CLASS")), _CLASS).alias("members"),
     )
-    rows = members.select(
-        *keep, "category_pos", "category_id", "category_name",
-        F.size("members").alias("category_count"),
-        F.posexplode("members").alias("code_pos", "m"),
+    sized = members.select("*", F.size("members").alias("category_count"))
+    rows = sized.select(
+        *keep, "category_pos", "category_id", "category_name", "category_count",
+        F.posexplode_outer("members").alias("code_pos", "m"),
     )
-    return rows.select(
+    return rows.filter("code_pos IS NOT NULL").select(
         *keep, "category_pos", "code_pos", "category_id", "category_name", "category_count",
         *(
             F.coalesce(F.col("m")[field], F.lit("")).alias(name)
@@ -158,8 +166,7 @@ def code_list(df: DataFrame, text: str = "value", keep: tuple[str, ...] = ()) ->
 
 def table_info(df: DataFrame, text: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """PR-17: the flat table description of a metadata document."""
-    raw = F.from_json(S.json_text(text), _META_ENVELOPE)["GET_META_INFO"]["METADATA_INF"]["TABLE_INF"]
-    return df.select(*keep, raw.alias("_raw")).select(*keep, *M.table_info("_raw"))
+    return _metadata_part(df, text, keep, "TABLE_INF").select(*keep, *M.table_info("_raw"))
 
 
 def catalogue(df: DataFrame, text: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -177,8 +184,7 @@ def catalogue(df: DataFrame, text: str = "value", keep: tuple[str, ...] = ()) ->
 
 def category_sizes(df: DataFrame, text: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """For PR-18: the number of codes of every category of a metadata document, within the row."""
-    raw = F.from_json(S.json_text(text), _META_ENVELOPE)["GET_META_INFO"]["METADATA_INF"]["CLASS_INF"]["CLASS_OBJ"]
-    objects = F.from_json(as_list(raw), _CLASS_OBJ)
+    objects = F.from_json(as_list(F.col("_raw")), _CLASS_OBJ)
     codes = lambda o: F.from_json(as_list(o["CLASS"]), "array<string>")
     size = lambda o: F.coalesce(F.size(codes(o)).cast("bigint"), F.lit(0).cast("bigint"))
-    return df.select(*keep, F.coalesce(F.transform(objects, size), F.array().cast("array<bigint>")).alias("sizes"))
+    return _metadata_part(df, text, keep, "CLASS_OBJ").select(*keep, F.coalesce(F.transform(objects, size), F.array().cast("array<bigint>")).alias("sizes"))

@@ -202,7 +202,7 @@ def pr16(spark, sf):
 
 def part_metadata(spark, sf):
     """A metadata document per part: ``cat01`` with p_size codes, ``cat02`` with one (a lone object), ``time`` with twelve."""
-    p = V.table(spark, sf, "part")
+    p = V.spread(V.table(spark, sf, "part"))
     member = lambda code, name, **more: F.struct(code.alias("@code"), name.alias("@name"), *(v.alias(f"@{k}") for k, v in more.items()))
     sizes = F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda i: member(
         F.lpad(i.cast("string"), 3, "0"), F.concat(F.lit("size "), i.cast("string")), level=F.lit("1"), parentCode=F.lit("000")))

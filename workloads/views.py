@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, rows: int = 5000) -> DataFrame:
+    """The rows of a table dealt to tasks of so many rows, for work on rows that grow into whole documents: the files
+    of a narrow table are few, and one task would make and read all documents of a file."""
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
 # --- text of numbers and codes -------------------------------------------------------------
 
 def area(nationkey) -> Column:
