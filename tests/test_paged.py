@@ -89,6 +89,22 @@ def test_split_plan(rows):
     assert values(paged.split_plan(codes), "dataset_id", "filter_category", "filter_value") == [("a", "area", "1"), ("a", "area", "2"), ("b", "time", "t"), ("c", "cat01", "x")]
 
 
+def test_split_plan_without_positions(rows):
+    codes = rows("dataset_id string, category_id string, category_pos int, code string, code_pos int",
+                 ("a", "x", 0, "1", 0), ("a", "y", None, "2", 0), ("a", "y", 5, "3", 1), (None, "x", 0, "4", 0))
+    assert values(paged.split_plan(codes), "dataset_id", "filter_category", "filter_value") == [("a", "y", "2"), ("a", "y", "3")]
+
+
+def test_plans_broadcast_neither_codes_nor_choices(spark):
+    """Both grow with the datasets, whatever the size of the files says."""
+    from tests.test_wire import META, docs
+
+    codes = wire.code_list(docs(spark, META).withColumnRenamed("n", "dataset_id"), keep=("dataset_id",))
+    for plan in (paged.split_plan(codes), paged.period_plan(codes)):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in text and "SortMergeJoin" in text
+
+
 def test_period_plan(rows):
     years = lambda d, cat, name, labels, pos: [(d, cat, name, pos, str(i), label, i) for i, label in enumerate(labels)]
     data = (

@@ -214,15 +214,17 @@ def split_plan(codes: DataFrame) -> DataFrame:
     """SC-13: one fetch per code of the dataset's area dimension, else time, else its first dimension.
 
     ``codes`` is the code list with ``dataset_id``.  The choice is made on one
-    row per dataset and category and joined back.
+    row per dataset and category and joined back, by a shuffle: choices grow with the datasets,
+    and how many codes there are cannot be told from the documents' files when the join is planned.
     """
     rank = F.lit(len(SPLIT_ORDER))
     for i, name in reversed(list(enumerate(SPLIT_ORDER))):
         rank = F.when(F.col("category_id") == name, i).otherwise(rank)
-    choice = codes.groupBy("dataset_id").agg(
+    first = F.when(F.count_if(F.col("category_pos").isNull()) == 0, F.min("category_pos")).alias("category_pos")
+    choice = codes.groupBy("dataset_id", "category_id").agg(first).groupBy("dataset_id").agg(
         F.min_by("category_id", F.struct(rank, "category_pos")).alias("category_id")
     )
-    return codes.join(choice, ["dataset_id", "category_id"]).select(
+    return codes.join(choice.hint("shuffle_merge"), ["dataset_id", "category_id"]).select(
         "dataset_id", F.col("category_id").alias("filter_category"), F.col("code").alias("filter_value"), "code_pos"
     )
 
@@ -249,7 +251,8 @@ def period_plan(codes: DataFrame) -> DataFrame:
         F.max(F.col("category_name").rlike(TIME_WORDS)).alias("named"),
     ).filter("size > 10 AND (year_like >= 5 OR named)")
     chosen = judged.groupBy("dataset_id").agg(F.min_by("category_id", "category_pos").alias("category_id"))
-    periods = marked.join(chosen, ["dataset_id", "category_id"]).filter("period_year IS NOT NULL")
+    # By a shuffle, as in ``split_plan``.
+    periods = marked.join(chosen.hint("shuffle_merge"), ["dataset_id", "category_id"]).filter("period_year IS NOT NULL")
     order = Window.partitionBy("dataset_id").orderBy(F.desc("period_year"), "code_pos")
     return periods.select(
         "dataset_id", "category_id", "period_year", F.col("name").alias("period_label"),
