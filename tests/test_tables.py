@@ -267,3 +267,14 @@ def test_written_bytes_are_those_of_the_load(spark, tmp_path):
     second = tables.load_new(spark, batch(spark, (2021, "01000", "a", 1.0)), path, "generic")
     assert first.written_bytes + second.written_bytes == size()
     assert tables.load_new(spark, batch(spark, (2021, "01000", "a", 1.0)), path, "generic").written_bytes == 0
+
+
+def test_documents_are_parsed_where_they_are_held(spark, tmp_path, monkeypatch):
+    """Both tables are written from one parse, so no filter makes and parses the documents before they are dealt out."""
+    staged, stage = [], tables.stage
+    monkeypatch.setattr(tables, "stage", lambda spark, df, name: staged.append(df) or stage(spark, df, name))
+    docs = spark.createDataFrame([("a", '{"x": 1}'), ("b", "{"), ("c", None), ("d", "null")], "dataset_id string, metadata_json string")
+    bad = tables.save_documents(docs.repartition(3), str(tmp_path / "t"))
+    assert sorted(map(tuple, bad.collect())) == [("b", "{"), ("c", None)]
+    assert sorted(r.dataset_id for r in tables.load_documents(spark, str(tmp_path / "t")).collect()) == ["a", "d"]
+    assert len(staged) == 1 and staged[0]._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 1

@@ -372,8 +372,12 @@ def load_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def save_documents(documents: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """SK-17: metadata documents as typed values, ``(dataset_id, document)`` with a VARIANT; returns those that are no
-    JSON, ``(dataset_id, metadata_json)``, which are set aside below ``path-rejected``."""
+    JSON, ``(dataset_id, metadata_json)``, which are set aside below ``path-rejected``.
+
+    Documents are parsed once, by the tasks that hold them: a condition on the outcome of a parse would be moved to where
+    the documents are read, and parse them there again for each of the two tables."""
     parsed = documents.select("dataset_id", "metadata_json", F.try_parse_json("metadata_json").alias("document"))
+    parsed = stage(documents.sparkSession, parsed.withColumn("metadata_json", F.when(F.col("document").isNull(), F.col("metadata_json"))), "documents")
     parsed.where("document is not null").select("dataset_id", "document").write.mode(mode).parquet(path)
     rejected = f"{path.rstrip('/')}-rejected"
     parsed.where("document is null").select("dataset_id", "metadata_json").write.mode(mode).parquet(rejected)
