@@ -159,3 +159,16 @@ def test_a_search_reads_only_its_tokens_postings(spark, catalogue, tmp_path):
     assert any("bucket" in x.split("]")[0] for x in plan.split("PartitionFilters: [")[1:])
     folders = spark.read.parquet(f"{path}/postings").select("bucket").distinct().count()
     assert folders > 10 and values(found, "token", "id", "field") == values(R.matches(catalogue, asked), "token", "id", "field") != []
+
+
+def test_an_index_has_one_row_for_a_place_in_a_word(spark, catalogue, tmp_path):
+    path = str(tmp_path / "index")
+    R.build_index(catalogue, path)
+    words = spark.read.parquet(f"{path}/words")
+    distinct = [r.word for r in words.select("word").distinct().collect()]
+    assert words.count() == sum(len({w[i:i + R.GRAM] for i in range(len(w) - 1)}) for w in distinct)
+    # Tokens of every length find every word that has them, at its beginning, within and at its end.
+    word = max(distinct, key=len)
+    tokens = sorted({word[i:i + n] for n in range(2, len(word) + 1) for i in range(len(word) - n + 1)})
+    asked = spark.createDataFrame(list(enumerate(tokens)), "query_id int, query string")
+    assert values(R.postings(spark, path, asked), "token", "id", "field") == values(R.matches(catalogue, asked), "token", "id", "field")

@@ -31,6 +31,8 @@ SIZE_SMALLEST, SIZE_UNKNOWN = 0.3, 0.5
 STAGE_ONE, RESULTS, LISTED, SAMPLE = 20, 5, 10, 5
 
 GRAM = 4
+#: Tokens have so many characters at least.
+LEAST = 2
 #: So many different tokens are looked for in the scan of the catalogue itself.
 FEW = 256
 #: Folders of an index; a search reads those its tokens' fragments and words fall into.
@@ -149,8 +151,8 @@ def _held(catalogue: DataFrame, *more: Column) -> DataFrame:
 
 
 def _fragments(words: DataFrame) -> DataFrame:
-    """(word, fragment): the runs of 2 to ``GRAM`` characters of every word."""
-    runs = [F.regexp_extract_all("word", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(2, GRAM + 1)]
+    """(word, fragment): the runs of ``LEAST`` to ``GRAM`` characters of every word."""
+    runs = [F.regexp_extract_all("word", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(LEAST, GRAM + 1)]
     return words.select("word", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("fragment"))
 
 
@@ -182,22 +184,33 @@ def matches(catalogue: DataFrame, queries: DataFrame) -> DataFrame:
     return held.join(fit, "word").select("token", "id", "position", "field").distinct()
 
 
-def _bucket(c: str) -> Column:
+def _runs(words: DataFrame) -> DataFrame:
+    """(word, run): from each character of every word its next ``GRAM`` characters, fewer at the end, ``LEAST`` at least.
+
+    The beginnings of the runs are the fragments, so an index holds one row for a place in a word and not one for each length.
+    """
+    runs = F.regexp_extract_all("word", F.lit(f"(?s)(?=(.{{{LEAST},{GRAM}}}))"), F.lit(1))
+    return words.select("word", F.explode(F.array_distinct(runs)).alias("run"))
+
+
+def _bucket(c: str | Column) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
 
 
 def build_index(catalogue: DataFrame, path: str) -> None:
     """SR-04: posting lists of a catalogue, kept as two tables below ``path``.
 
-    ``words`` has the distinct words by their fragments, ``postings`` the places of every word with all
-    that scoring needs of a row; both lie in folders by digest, sorted within.
+    ``words`` has the distinct words by what follows each of their characters, ``postings`` the places of every word with
+    all that scoring needs of a row; both lie in folders by digest, sorted within.
     """
+    root = path.rstrip("/")
     trusted, complete = _merits()
     held = _held(catalogue, F.col("open_date"), trusted.alias("trusted"), complete.alias("complete"))
     postings = held.withColumn("bucket", _bucket("word")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "word")
-    postings.write.partitionBy("bucket").parquet(f"{path.rstrip('/')}/postings")
-    words = _fragments(held.select("word").distinct()).withColumn("bucket", _bucket("fragment"))
-    words.hint("rebalance", "bucket").sortWithinPartitions("bucket", "fragment").write.partitionBy("bucket").parquet(f"{path.rstrip('/')}/words")
+    postings.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{root}/postings")
+    words = _runs(held.select("word").distinct()).withColumn("bucket", _bucket(F.substring("run", 1, LEAST)))
+    words = words.hint("rebalance", "bucket").sortWithinPartitions("bucket", "run")
+    words.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{root}/words")
 
 
 def _in_buckets(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -210,7 +223,10 @@ def postings(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
     """(token, id, position, field, open_date, trusted, complete): where the tokens of the queries occur, read from an index."""
     root = path.rstrip("/")
     asked = _asked(queries)
-    held = _in_buckets(spark.read.parquet(f"{root}/words"), asked, "fragment")
+    held = _in_buckets(spark.read.parquet(f"{root}/words"), asked.select(F.substring("fragment", 1, LEAST).alias("start")), "start")
+    lengths = sorted(r.n for r in asked.select(F.length("fragment").alias("n")).distinct().collect())  # LEAST to GRAM
+    begun = F.array_distinct(F.array(*(F.substring("run", 1, n) for n in lengths)).cast("array<string>"))
+    held = held.select("word", F.explode(begun).alias("fragment"))
     fit = scratch(spark, "search-words")
     held.join(asked, "fragment").filter(F.contains("word", "token")).select("token", "word").distinct().write.parquet(fit)
     fit = spark.read.schema("token string, word string").parquet(fit)
