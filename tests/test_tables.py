@@ -278,3 +278,29 @@ def test_documents_are_parsed_where_they_are_held(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, bad.collect())) == [("b", "{"), ("c", None)]
     assert sorted(r.dataset_id for r in tables.load_documents(spark, str(tmp_path / "t")).collect()) == ["a", "d"]
     assert len(staged) == 1 and staged[0]._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 1
+
+
+def test_verdicts_keep_digests_as_bytes(spark):
+    """Half the room of their digits; other texts stay what they are, whatever they look like."""
+    digest, near = "ab" * 32, ("AB" * 32, "ab" * 32 + "\n", "\u00ab" * 16, "", None)
+    want = "stats_data_id string, cell_key string, dataset_id string, value double, updated_at int"
+    df = spark.createDataFrame([("s", k, "d", 1.0, 0) for k in (digest, digest, *near)], want)
+    present = spark.createDataFrame([("s", k, "d", v, 0) for k, v in ((digest, 2.0), (None, 1.0), ("\u00ab" * 16, 1.0))], want)
+    judged = tables.judge(spark, df, present, ["dataset_id", "cell_key"], "packed")
+    keys = {bytes(r._cell_key) if r._cell_key is not None else None: r._n for r in judged.keys_of(*tables.STATUSES).collect()}
+    assert len(keys) == 6 and keys[b"\0" + bytes.fromhex(digest)] == 2 and keys[None] == 1
+    assert {s: judged.counts[s] for s in ("new", "revised", "present")} == {"new": 3, "revised": 1, "present": 2}
+    assert values(judged.rows(df, "new"), "cell_key") == [("",), ("AB" * 32,), ("ab" * 32 + "\n",)]
+
+
+def test_batches_of_loads_are_joined_once(spark, sf, monkeypatch):
+    from tidycell.sources import snapshots
+    from workloads import sinks
+
+    given = []
+    monkeypatch.setattr(snapshots, "load", lambda spark, df, *a: given.append(df))
+    monkeypatch.setattr(tables, "load_new", lambda spark, df, *a: given.append(df))
+    monkeypatch.setattr(tables, "read_domain", lambda *a: spark.range(1))
+    sinks._three_loads(spark, sf, "once")
+    sinks.sk12(spark, sf)
+    assert len(given) == 7 and all("Join" not in df._jdf.queryExecution().optimizedPlan().toString() for df in given)

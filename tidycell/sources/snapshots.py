@@ -164,7 +164,7 @@ def _write(spark: SparkSession, rows: DataFrame, path: str, load: str, domain: s
     """A load's files and its manifest."""
     root, parts = path.rstrip("/"), schemas.partition_columns(domain)
     folder = f"{root}/data/load={load}"
-    files.write_parquet(rows, folder, partition_by=parts)
+    files.write_parquet(rows, folder, codec="zstd", partition_by=parts)
     new = spark.read.schema(rows.schema).option("basePath", f"{root}/data").parquet(folder)
     listed = new.select(_relative(path).alias("file"), F.col("_metadata.file_size").alias("file_size")).groupBy("file", "file_size").agg(F.count("*").alias("record_count"))
     listed = listed.select(F.lit("add").alias("action"), "file", F.regexp_extract("file", r"^[^/]*/(.*)/[^/]*$", 1).alias("partition"), "file_size", "record_count")
@@ -221,7 +221,7 @@ def load(
     keys = keys or tables.identity(df, domain)
     identity, kind = tables.CELL_KEY in df.columns, schemas.resolve(domain)
     span = tables.years(df)
-    same = tables._same(keys, [f"_{k}" for k in keys])
+    same = tables._same_cells(keys)
     for _ in range(attempts):
         base = latest(spark, path)
         present = read(spark, path, domain, base, identity, span) if base else None
