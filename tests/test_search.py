@@ -172,3 +172,17 @@ def test_an_index_has_one_row_for_a_place_in_a_word(spark, catalogue, tmp_path):
     tokens = sorted({word[i:i + n] for n in range(2, len(word) + 1) for i in range(len(word) - n + 1)})
     asked = spark.createDataFrame(list(enumerate(tokens)), "query_id int, query string")
     assert values(R.postings(spark, path, asked), "token", "id", "field") == values(R.matches(catalogue, asked), "token", "id", "field")
+
+
+def test_tokens_of_one_beginning_meet_few_words(spark, monkeypatch):
+    """Words with a common fragment do not meet all tokens that begin with it."""
+    words = spark.createDataFrame([(f"pre{i:02d}tionabcd{i:02d}xy",) for i in range(40)], "word string")
+    queries = spark.createDataFrame([(i, f"tionabcd{i:02d}x") for i in range(40)] + [(98, "tion"), (99, "onabcd07xy")], "query_id int, query string")
+    seen, lengths = [], R._lengths
+    monkeypatch.setattr(R, "_lengths", lambda asked: seen.append(asked) or lengths(asked))
+    rows = words.select(F.monotonically_increasing_id().alias("position"), F.col("word").alias("id"), F.col("word").alias("title"), *(F.lit("").alias(f) for f in FIELDS if f not in ("id", "title", "position")))
+    monkeypatch.setattr(R, "FEW", 0)
+    found = values(R.matches(rows, queries), "token", "id")
+    assert found == sorted(((r.query, w.word) for r in queries.collect() for w in words.collect() if r.query in w.word), key=repr)
+    met = R._fragments(words, lengths(seen[0])).join(seen[0], "fragment").count()
+    assert len(found) <= met <= 2 * len(found)

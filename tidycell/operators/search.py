@@ -2,7 +2,7 @@
 
 Queries are a table ``(query_id, query)``, so planning takes the same time for one and for a million.
 Their distinct tokens meet the catalogue's distinct words by an equi-join on fragments (a word that
-contains a token contains its first ``GRAM`` characters) and are checked with ``contains``; the rows with
+contains a token contains its first ``LONG`` characters, or ``GRAM`` in an index) and are checked with ``contains``; the rows with
 such words are then counted per query, and top lists are cut per task before their shuffle.  A few tokens are looked
 for in the scan itself, and a catalogue that is searched again and again is given an index of posting lists.
 
@@ -31,6 +31,9 @@ SIZE_SMALLEST, SIZE_UNKNOWN = 0.3, 0.5
 STAGE_ONE, RESULTS, LISTED, SAMPLE = 20, 5, 10, 5
 
 GRAM = 4
+#: Fragments that are cut from words when they are needed are longer, so that few tokens share one: the words of a common
+#: fragment would meet all tokens that begin with it, and their number grows with the tokens and with the words.
+LONG = 12
 #: Tokens have so many characters at least.
 LEAST = 2
 #: So many different tokens are looked for in the scan of the catalogue itself.
@@ -150,15 +153,20 @@ def _held(catalogue: DataFrame, *more: Column) -> DataFrame:
     return reduce(lambda a, b: a.union(b), fields)
 
 
-def _fragments(words: DataFrame) -> DataFrame:
-    """(word, fragment): the runs of ``LEAST`` to ``GRAM`` characters of every word."""
-    runs = [F.regexp_extract_all("word", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(LEAST, GRAM + 1)]
-    return words.select("word", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("fragment"))
+def _lengths(asked: DataFrame) -> list[int]:
+    """How long the fragments are that are asked for, of ``LEAST`` to ``GRAM`` or ``LONG``."""
+    return sorted(r.n for r in asked.select(F.length("fragment").alias("n")).distinct().collect())
 
 
-def _asked(queries: DataFrame) -> DataFrame:
+def _fragments(words: DataFrame, lengths: list[int]) -> DataFrame:
+    """(word, fragment): the runs of so many characters of every word."""
+    runs = [F.regexp_extract_all("word", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
+    return words.select("word", F.explode(F.array_distinct(F.flatten(F.array(*runs).cast("array<array<string>>")))).alias("fragment"))
+
+
+def _asked(queries: DataFrame, most: int = GRAM) -> DataFrame:
     asked = queries.select(F.explode(tokens(F.col("query"))).alias("token")).distinct()
-    return asked.withColumn("fragment", F.substring("token", 1, GRAM))
+    return asked.withColumn("fragment", F.substring("token", 1, most))
 
 
 def matches(catalogue: DataFrame, queries: DataFrame) -> DataFrame:
@@ -168,7 +176,7 @@ def matches(catalogue: DataFrame, queries: DataFrame) -> DataFrame:
     Beyond that, as a token has no white space and so lies within one word of a text, tokens are looked for in the
     distinct words of the catalogue, and only the rows of the words that have one are read off.
     """
-    asked = _asked(queries)
+    asked = _asked(queries, LONG)
     few = [r.token for r in asked.select("token").limit(FEW + 1).collect()]
     if len(few) <= FEW:
         known = F.array(*map(F.lit, sorted(few))).cast("array<string>")
@@ -180,7 +188,7 @@ def matches(catalogue: DataFrame, queries: DataFrame) -> DataFrame:
         found = catalogue.select("id", "position", F.explode(F.flatten(F.array(*hits))).alias("h"))
         return found.select("h.token", "id", "position", "h.field").distinct()
     held = _held(catalogue)
-    fit = _fragments(held.select("word").distinct()).join(asked, "fragment").filter(F.contains("word", "token")).select("token", "word")
+    fit = _fragments(held.select("word").distinct(), _lengths(asked)).join(asked, "fragment").filter(F.contains("word", "token")).select("token", "word")
     return held.join(fit, "word").select("token", "id", "position", "field").distinct()
 
 
@@ -224,8 +232,7 @@ def postings(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
     root = path.rstrip("/")
     asked = _asked(queries)
     held = _in_buckets(spark.read.parquet(f"{root}/words"), asked.select(F.substring("fragment", 1, LEAST).alias("start")), "start")
-    lengths = sorted(r.n for r in asked.select(F.length("fragment").alias("n")).distinct().collect())  # LEAST to GRAM
-    begun = F.array_distinct(F.array(*(F.substring("run", 1, n) for n in lengths)).cast("array<string>"))
+    begun = F.array_distinct(F.array(*(F.substring("run", 1, n) for n in _lengths(asked))).cast("array<string>"))
     held = held.select("word", F.explode(begun).alias("fragment"))
     fit = scratch(spark, "search-words")
     held.join(asked, "fragment").filter(F.contains("word", "token")).select("token", "word").distinct().write.parquet(fit)
