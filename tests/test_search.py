@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -186,3 +187,44 @@ def test_tokens_of_one_beginning_meet_few_words(spark, monkeypatch):
     assert found == sorted(((r.query, w.word) for r in queries.collect() for w in words.collect() if r.query in w.word), key=repr)
     met = R._fragments(words, lengths(seen[0])).join(seen[0], "fragment").count()
     assert len(found) <= met <= 2 * len(found)
+
+
+@pytest.fixture(scope="module")
+def large(spark):
+    """Rows that share words, some of them twice, and queries of one to six words, some of them under one number."""
+    draw = random.Random(5)
+    known = [f"{a}{b}" for a in ("stat", "popu", "work", "xx") for b in ("istics", "lation", "force", "istical", "ab")]
+    text = lambda n: " ".join(draw.choice(known) for _ in range(draw.randint(0, n)))
+    dates = ["", "2015/01", "2024-01-01", "2021-06-30", "2010-01-01", "2018-02-03"]
+    rows = [(i, str(i), f"common {text(3)}", text(1), "", "", text(9), draw.choice(["総務省", "x"]), draw.choice(dates), draw.choice(["", "s"])) for i in range(400)]
+    rows += rows[:9] + [(i, str(i), "common stat", "", "", "", "xx", "", "2024-06-01", "") for i in range(9)] + [(None, "n", *rows[0][2:]), (500, None, *rows[0][2:]), (None, "0", *rows[1][2:])]
+    asked = [(i, " ".join(draw.choice([*known, "common", "stat", "lati", "none"]) for _ in range(draw.randint(1, 6)))) for i in range(60)]
+    asked += [(3, "common xx"), (3, ""), (4, asked[4][1]), (None, "common"), (70, "x"), (71, "common common stat")]
+    return spark.createDataFrame(rows, "position int, " + ", ".join(f"{f} string" for f in FIELDS)), spark.createDataFrame(asked, "query_id int, query string")
+
+
+def test_bounds_leave_the_best_rows(large, monkeypatch):
+    catalogue, asked = large
+    lists = lambda scored, n: values(R.top_per_query(scored, n, "basic_score"), "query_id", "position", "basic_score", "rank")
+    want = {n: lists(R.basic_scores(catalogue, asked, AS_OF), n) for n in (1, 5, 1000)}
+    monkeypatch.setattr(R, "FEW", 0)
+    for signs in (R.SIGNS, {"_t": 1, "_c": 1, "_d": 1}):
+        monkeypatch.setattr(R, "SIGNS", signs)
+        for n in want if signs is R.SIGNS else (5,):
+            assert lists(R.best_scores(catalogue, asked, AS_OF, n), n) == want[n], n
+
+
+def test_a_search_counts_few_rows_of_common_words(spark, monkeypatch):
+    """The rows a search ranks do not grow with queries times catalogue."""
+    days = [f"{y}-{m:02d}-15" for y in range(2015, 2024) for m in range(1, 13)]
+    rows = spark.createDataFrame(
+        [(i, str(i), f"common word{i % 50}", "s", "m", "c", "d", "", days[i % len(days)], "t") for i in range(1500)], "position int, " + ", ".join(f"{f} string" for f in FIELDS))
+    asked = spark.createDataFrame([(i, f"common word{i}") for i in range(50)], "query_id int, query string")
+    metadata = spark.createDataFrame([], "id string, total_records bigint, categories array<struct<id: string, name: string, values: array<string>>>")
+    found = lambda: values(R.search(rows, metadata, asked, AS_OF, results=10, method="basic"), "query_id", "id", "score", "rank")
+    want, ranked, top = found(), [], R.top_per_query
+    monkeypatch.setattr(R, "FEW", 0)
+    monkeypatch.setattr(R, "top_per_query", lambda scored, *a: ranked.append(scored) or top(scored, *a))
+    assert found() == want and len(want) == 500
+    assert R.basic_scores(rows, asked, AS_OF).count() == 50 * 1500
+    assert ranked[0].count() <= 50 * R.STAGE_ONE

@@ -3,7 +3,8 @@
 Queries are a table ``(query_id, query)``, so planning takes the same time for one and for a million.
 Their distinct tokens meet the catalogue's distinct words by an equi-join on fragments (a word that
 contains a token contains its first ``LONG`` characters, or ``GRAM`` in an index) and are checked with ``contains``; the rows with
-such words are then counted per query, and top lists are cut per task before their shuffle.  A few tokens are looked
+such words are then counted per query, and top lists are cut per task before their shuffle.  A search for many tokens counts
+only rows that can be among a query's best.  A few tokens are looked
 for in the scan itself, and a catalogue that is searched again and again is given an index of posting lists.
 
 The catalogue has ``position, id, title, statistics_name, main_category,
@@ -44,6 +45,10 @@ BUCKETS = 256
 KEPT = ("open_date", "trusted", "complete")
 SPACES = r"[\s　]+"
 DIGITS = 9
+#: Bounds of scores are kept this far from them: more than rounding to ``DIGITS`` places moves a score.
+SLACK = 1e-8
+#: Sets of tokens are compared by their bits in so many numbers of 64, by field.
+SIGNS = {"_t": 4, "_c": 1, "_d": 8}
 
 
 def words(query: Column) -> Column:
@@ -145,10 +150,11 @@ def basic_score(query: Column, as_of: dt.date) -> Column:
     return _basic(*map(hits, _texts().values()), F.size(toks), standing_score(as_of))
 
 
-def _held(catalogue: DataFrame, *more: Column) -> DataFrame:
-    """(id, position, ..., field, word): the distinct words of every text."""
+def _held(catalogue: DataFrame, *more: Column, least: int = 1) -> DataFrame:
+    """(id, position, ..., field, word): the distinct words of every text that have ``least`` characters at least."""
+    runs = lambda text: F.regexp_extract_all(text, F.lit(rf"[^\s　]{{{least},}}"), F.lit(0))
     fields = [
-        catalogue.select("id", "position", *more, F.lit(n).alias("field"), F.explode(F.array_distinct(F.split(c, SPACES))).alias("word"))
+        catalogue.select("id", "position", *more, F.lit(n).alias("field"), F.explode(F.array_distinct(runs(c))).alias("word"))
         for n, c in _texts().items()]
     return reduce(lambda a, b: a.union(b), fields)
 
@@ -169,6 +175,28 @@ def _asked(queries: DataFrame, most: int = GRAM) -> DataFrame:
     return asked.withColumn("fragment", F.substring("token", 1, most))
 
 
+def _few(asked: DataFrame) -> list[str] | None:
+    """The different tokens, if they are ``FEW`` at most."""
+    few = [r.token for r in asked.select("token").limit(FEW + 1).collect()]
+    return sorted(few) if len(few) <= FEW else None
+
+
+def _found(catalogue: DataFrame, asked: DataFrame) -> DataFrame:
+    """(token, id, position, field), also several times: the tokens in the words of the catalogue.
+
+    A word has a token's characters at least, so shorter ones are left out before anything is shuffled. The others are
+    written once, as they are read twice.
+    """
+    spark, lengths = catalogue.sparkSession, _lengths(asked)
+    path = scratch(spark, "search-held")
+    _held(catalogue, least=lengths[0]).write.parquet(path)
+    held = spark.read.parquet(path)
+    digest = F.xxhash64("fragment").alias("fragment")  # shorter than the text, which is compared by contains
+    cut = _fragments(held.select("word").distinct(), lengths).select("word", digest)
+    fit = cut.join(asked.select("token", digest), "fragment").filter(F.contains("word", "token")).select("token", "word")
+    return held.join(fit, "word").select("token", "id", "position", "field")
+
+
 def matches(catalogue: DataFrame, queries: DataFrame) -> DataFrame:
     """(token, id, position, field): where in the catalogue the tokens of the queries occur.
 
@@ -177,19 +205,17 @@ def matches(catalogue: DataFrame, queries: DataFrame) -> DataFrame:
     distinct words of the catalogue, and only the rows of the words that have one are read off.
     """
     asked = _asked(queries, LONG)
-    few = [r.token for r in asked.select("token").limit(FEW + 1).collect()]
-    if len(few) <= FEW:
-        known = F.array(*map(F.lit, sorted(few))).cast("array<string>")
+    few = _few(asked)
+    if few is None:
+        return _found(catalogue, asked).distinct()
+    known = F.array(*map(F.lit, few)).cast("array<string>")
 
-        def hits_in(name: str, text: Column) -> Column:
-            return F.transform(F.filter(known, lambda t: F.contains(text, t)), lambda t: F.struct(F.lit(name).alias("field"), t.alias("token")))
+    def hits_in(name: str, text: Column) -> Column:
+        return F.transform(F.filter(known, lambda t: F.contains(text, t)), lambda t: F.struct(F.lit(name).alias("field"), t.alias("token")))
 
-        hits = [hits_in(n, c) for n, c in _texts().items()]
-        found = catalogue.select("id", "position", F.explode(F.flatten(F.array(*hits))).alias("h"))
-        return found.select("h.token", "id", "position", "h.field").distinct()
-    held = _held(catalogue)
-    fit = _fragments(held.select("word").distinct(), _lengths(asked)).join(asked, "fragment").filter(F.contains("word", "token")).select("token", "word")
-    return held.join(fit, "word").select("token", "id", "position", "field").distinct()
+    hits = [hits_in(n, c) for n, c in _texts().items()]
+    found = catalogue.select("id", "position", F.explode(F.flatten(F.array(*hits))).alias("h"))
+    return found.select("h.token", "id", "position", "h.field").distinct()
 
 
 def _runs(words: DataFrame) -> DataFrame:
@@ -268,6 +294,79 @@ def basic_scores(catalogue: DataFrame, queries: DataFrame, as_of: dt.date) -> Da
     return scored.select("query_id", "query", "id", "position", _basic(*(F.col(c) for c in ("_t", "_c", "_d", "_k", "_standing"))).alias("basic_score"))
 
 
+def _signs(held: dict[str, Column]) -> list[Column]:
+    """The bits of the tokens of a group, per field of those that are ``held`` there."""
+    found = []
+    for f, n in SIGNS.items():
+        at = F.pmod(F.xxhash64("token"), F.lit(64 * n)).cast("int")
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at % 64)
+        found += [F.bit_or(F.when(held[f] & (at >= 64 * i) & (at < 64 * i + 64), bit).otherwise(0)).alias(f"{f}{i}") for i in range(n)]
+    return found
+
+
+def _common(f: str, one: str, other: str) -> Column:
+    """How many tokens of a query can be in a field of a row, from the signs of both; ``kinds`` is how many it has.
+
+    Tokens that share a bit count as if all were there.
+    """
+    count = lambda bits: reduce(lambda a, b: a + b, map(F.bit_count, bits))
+    asked, there = ([F.col(f"{side}.{f}{i}") for i in range(SIGNS[f])] for side in (one, other))
+    both = count([a.bitwiseAND(b) for a, b in zip(asked, there, strict=True)])
+    return F.when(both > 0, both + F.col("kinds") - count(asked)).otherwise(0)
+
+
+def best_scores(catalogue: DataFrame, queries: DataFrame, as_of: dt.date, n: int = STAGE_ONE) -> DataFrame:
+    """Those rows of :func:`basic_scores` that can be among a query's ``n`` best: all of these, and others.
+
+    Up to ``FEW`` different tokens this is every row.  Beyond that their number would grow with queries times catalogue,
+    and bounds tell most rows apart before they are counted.  The best places of each token alone give every query ``n``
+    rows and a score they reach at least, so its best rows reach it too.  A row that cannot reach it by its standing and
+    the tokens it may have in common with the query is left out with all its places; the others are counted in full.
+    """
+    spark, queries = catalogue.sparkSession, queries.where("query_id IS NOT NULL")
+    if _few(_asked(queries, LONG)) is not None:
+        return basic_scores(catalogue, queries, as_of)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(path := scratch(spark, name))
+        return spark.read.parquet(path)
+
+    # Queries of one id are counted together and scored one by one.
+    number = F.monotonically_increasing_id()
+    known = kept(queries.select(number.alias("ask"), "query_id", "query", F.size(tokens(F.col("query"))).alias("k")), "search-queries")
+    each = known.select("query_id", F.explode(tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    each = kept(each.join(known.select("query_id", "ask", "k"), "query_id").drop("query_id"), "search-tokens")
+    rows = catalogue.groupBy("id", "position", standing_score(as_of).alias("_standing")).agg(F.count("*").alias("copies"))
+    rows = kept(rows.select(number.alias("row"), "*"), "search-rows")
+    asked = each.select("token", F.substring("token", 1, LONG).alias("fragment")).distinct()
+    found = _found(catalogue, asked).groupBy("token", "id", "position").agg(*(F.max((F.col("field") == f).cast("tinyint")).alias(f) for f in _texts()))
+    places = kept(found.join(rows.drop("copies"), ["id", "position"]).drop("id"), "search-places")
+
+    def scores(pairs: DataFrame) -> DataFrame:
+        counted = pairs.select("ask", "row", "position", "_standing", "k", "reached", *((F.col(f) * F.col("times")).alias(f) for f in _texts()))
+        same = [F.max(c).alias(c) for c in ("position", "_standing", "k", "reached")]
+        counted = counted.repartition("ask").groupBy("ask", "row").agg(*same, *(F.sum(f).alias(f) for f in _texts()))
+        scored = counted.withColumn("basic_score", _basic(*(F.col(c) for c in ("_t", "_c", "_d", "k", "_standing"))))
+        w = Window.partitionBy("ask").orderBy(F.desc("basic_score"), "position")
+        return scored.where(F.col("basic_score") >= F.col("reached")).withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= n)
+
+    weight = W_TITLE * F.col("_t") + W_CATEGORY * F.col("_c") + W_DESCRIPTION * F.col("_d")
+    w = Window.partitionBy("token").orderBy(F.desc(weight + F.col("_standing")), "position")
+    alone = places.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= n).drop("_at")
+    reached = scores(each.withColumn("reached", F.lit(-1.0)).join(alone, "token")).where(F.col("_at") == n)
+    share = F.coalesce(F.try_divide(F.max("times"), F.max("k")), F.lit(0.0)).alias("share")
+    bounds = each.groupBy("ask").agg(share, F.count("*").alias("kinds"), *_signs(dict.fromkeys(SIGNS, F.lit(True))))
+    bounds = bounds.join(reached.select("ask", F.col("basic_score").alias("reached")), "ask", "left").na.fill(-1.0, ["reached"])
+    bits = places.groupBy("row").agg(*_signs({f: F.col(f) == 1 for f in SIGNS}))
+    most = W_TITLE * _common("_t", "q", "r") + W_CATEGORY * _common("_c", "q", "r") + W_DESCRIPTION * _common("_d", "q", "r")
+    can = F.col("_standing") + F.col("share") * most >= F.col("reached") - SLACK
+    drop = [f"{f}{i}" for f, m in SIGNS.items() for i in range(m)]
+    pairs = each.join(bounds, "ask").alias("q").join(places.join(bits, "row").alias("r"), F.col("q.token") == F.col("r.token")).where(can).drop(*drop)
+    best = scores(pairs).join(known.select("ask", "query_id", "query"), "ask").join(rows.select("row", "id", "copies"), "row")
+    copies = F.explode(F.array_repeat("basic_score", F.col("copies").cast("int"))).alias("basic_score")
+    return best.select("query_id", "query", "id", "position", copies)
+
+
 def standing_list(catalogue: DataFrame, queries: DataFrame, as_of: dt.date, n: int = STAGE_ONE) -> DataFrame:
     """The ``n`` best rows for queries without tokens: those of the highest score no query takes part in, found once for all."""
     none = F.lit(0)
@@ -332,7 +431,7 @@ def search(
     """
     spark = catalogue.sparkSession
     path = scratch(spark, "search")
-    scored = basic_scores(catalogue, queries, as_of) if index is None else indexed_scores(spark, index, queries, as_of)
+    scored = best_scores(catalogue, queries, as_of) if index is None else indexed_scores(spark, index, queries, as_of)
     if not queries.filter(F.size(tokens(F.col("query"))) == 0).isEmpty():
         scored = scored.unionByName(standing_list(catalogue, queries, as_of))
     top_per_query(scored, STAGE_ONE, "basic_score", "basic_rank").write.parquet(path)
