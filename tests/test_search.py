@@ -228,3 +228,33 @@ def test_a_search_counts_few_rows_of_common_words(spark, monkeypatch):
     assert found() == want and len(want) == 500
     assert R.basic_scores(rows, asked, AS_OF).count() == 50 * 1500
     assert ranked[0].count() <= 50 * R.STAGE_ONE
+
+
+def test_an_index_has_one_list_for_a_word(spark, large, tmp_path, monkeypatch):
+    """Rows are named by numbers, and their other columns are not repeated with each of their words."""
+    catalogue = large[0].where("position >= 20")
+    asked = large[1].where("query_id BETWEEN 10 AND 59")
+    want = values(R.basic_scores(catalogue.where("id IS NOT NULL"), asked, AS_OF))
+    seen = catalogue.count()
+    for most in (seen, 50):
+        monkeypatch.setattr(R, "LIST", most)
+        R.build_index(catalogue, path := str(tmp_path / f"index{most}"))
+        lists, held = spark.read.parquet(f"{path}/postings"), R._held(catalogue, least=R.LEAST)
+        kept = lists.selectExpr("word", "field", "size(rows) AS n").groupBy("word", "field").agg(F.count("*").alias("lists"), F.sum("n").alias("n"))
+        assert sorted(r.n for r in kept.collect()) == sorted(r["count"] for r in held.groupBy("word", "field").count().collect())
+        assert kept.agg(F.max("lists")).first()[0] == (1 if most == seen else -(-seen // 50))
+        assert {"id", "position", *R.KEPT}.isdisjoint(lists.columns)
+        for few in (R.FEW, 0):
+            monkeypatch.setattr(R, "FEW", few)
+            got = R.indexed_scores(spark, path, asked, AS_OF)
+            assert values(got.where("id IS NOT NULL")) == want and got.where("id IS NULL").count() > 0
+
+
+def test_an_index_tells_rows_apart_that_share_a_position(spark, tmp_path):
+    same = [(7, "a", "one two", "2024-01-01"), (7, "b", "two", "2024-01-01"), (7, "b", "three", "2010-01-01"), (None, "a", "one", ""), (None, None, "two one", ""), (8, "", "one", None), (8, None, "one", "")]
+    rows = spark.createDataFrame([(p, i, t, "", "", "", "", "", d, "") for p, i, t, d in same], "position int, " + ", ".join(f"{f} string" for f in FIELDS))
+    R.build_index(rows, path := str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "one"), (2, "two three")], "query_id int, query string")
+    got = sorted(((r.query, r.position, r.id, round(r.basic_score, 8)) for r in R.indexed_scores(spark, path, asked, AS_OF).collect()), key=repr)
+    want = [(q, p, i, round(s, 8)) for q in ("one", "two three") for p, i, t, d in same for m, s in [brute(q, ("", t, *[""] * 5, d or "", ""))] if m]
+    assert got == sorted(want, key=repr) and len(got) == 9

@@ -41,8 +41,10 @@ LEAST = 2
 FEW = 256
 #: Folders of an index; a search reads those its tokens' fragments and words fall into.
 BUCKETS = 256
-#: What postings keep of a row for its score.
+#: What an index keeps of a row for its score.
 KEPT = ("open_date", "trusted", "complete")
+#: Lists of an index have so many rows on average, at most; a word that more rows have has several lists.
+LIST = 1_000_000
 SPACES = r"[\s　]+"
 DIGITS = 9
 #: Bounds of scores are kept this far from them: more than rounding to ``DIGITS`` places moves a score.
@@ -219,31 +221,55 @@ def matches(catalogue: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def _runs(words: DataFrame) -> DataFrame:
-    """(word, run): from each character of every word its next ``GRAM`` characters, fewer at the end, ``LEAST`` at least.
+    """(word, at): the places in every word where a run of ``GRAM`` characters begins, fewer at the end, ``LEAST`` at least.
 
-    The beginnings of the runs are the fragments, so an index holds one row for a place in a word and not one for each length.
+    Of equal runs the first counts.  The beginnings of the runs are the fragments, so an index holds one row for a place in
+    a word and not one for each length.
     """
     runs = F.regexp_extract_all("word", F.lit(f"(?s)(?=(.{{{LEAST},{GRAM}}}))"), F.lit(1))
-    return words.select("word", F.explode(F.array_distinct(runs)).alias("run"))
+    places = F.transform(F.array_distinct("runs"), lambda r: F.array_position(F.col("runs"), r).cast("int"))
+    return words.select("word", runs.alias("runs")).select("word", F.explode(places).alias("at"))
 
 
 def _bucket(c: str | Column) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
 
 
+def _row_number(catalogue: DataFrame, whole: list[Column]) -> Column:
+    """A number that no two different rows of a catalogue share: their position, or else a digest of ``whole``."""
+    digests = [F.xxhash64(*whole, *(c.isNull() for c in whole), F.lit(i)) for i in range(9)]
+    plain = [F.col("position").cast("bigint")] if catalogue.schema["position"].dataType.typeName() in ("integer", "long") else []
+    rows = catalogue.select(F.struct(*whole).alias("r"), *(c.alias(f"n{i}") for i, c in enumerate([*plain, *digests]))).distinct()
+    for i, number in enumerate([*plain, *digests]):
+        if rows.groupBy(f"n{i}").count().where(f"count > 1 OR n{i} IS NULL").isEmpty():
+            return number
+    raise ValueError("rows of the catalogue cannot be told apart")
+
+
 def build_index(catalogue: DataFrame, path: str) -> None:
-    """SR-04: posting lists of a catalogue, kept as two tables below ``path``.
+    """SR-04: posting lists of a catalogue, kept as three tables below ``path``.
 
-    ``words`` has the distinct words by what follows each of their characters, ``postings`` the places of every word with
-    all that scoring needs of a row; both lie in folders by digest, sorted within.
+    ``words`` has the distinct words by what follows each of their characters, ``postings`` the numbers of the rows that have a
+    word, by field; both lie in folders by digest, sorted within.  ``rows`` has all that scoring needs of a numbered row.
+    What is shuffled are a row's number with each of its words, and a place with each distinct word.
     """
-    root = path.rstrip("/")
+    spark, root = catalogue.sparkSession, path.rstrip("/")
     trusted, complete = _merits()
-    held = _held(catalogue, F.col("open_date"), trusted.alias("trusted"), complete.alias("complete"))
-    postings = held.withColumn("bucket", _bucket("word")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "word")
-    postings.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{root}/postings")
-    words = _runs(held.select("word").distinct()).withColumn("bucket", _bucket(F.substring("run", 1, LEAST)))
-    words = words.hint("rebalance", "bucket").sortWithinPartitions("bucket", "run")
+    whole = [F.col("id"), F.col("position"), F.col("open_date"), trusted.alias("trusted"), complete.alias("complete")]
+    number = _row_number(catalogue, whole)
+    catalogue.select(number.alias("row"), *whole).distinct().write.option("compression", "zstd").parquet(f"{root}/rows")
+    lists = max(1, -(-spark.read.parquet(f"{root}/rows").count() // LIST))
+    part = F.pmod(F.xxhash64("row"), F.lit(lists)).cast("int") * BUCKETS + _bucket("word")
+    field = F.array_position(F.array(*map(F.lit, _texts())), F.col("field")).cast("tinyint")
+    held = _held(catalogue, number.alias("row"), least=LEAST).select("word", field.alias("field"), "row")
+    # Folders and parts follow from the other columns, and are told after the shuffle.
+    held = held.repartition(part).withColumn("part", part).groupBy("part", "word", "field").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    held = held.select("word", "field", "rows", F.pmod("part", F.lit(BUCKETS)).alias("bucket")).sortWithinPartitions("bucket", "word")
+    held.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{root}/postings")
+    # Words beside similar ones make small shuffle files.
+    words = spark.read.parquet(f"{root}/postings").select("word").distinct().sortWithinPartitions("word")
+    words = _runs(words).withColumn("bucket", _bucket(F.col("word").substr(F.col("at"), F.lit(LEAST)))).hint("rebalance", "bucket")
+    words = words.select("word", F.col("word").substr(F.col("at"), F.lit(GRAM)).alias("run"), "bucket").sortWithinPartitions("bucket", "run", "word")
     words.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{root}/words")
 
 
@@ -253,28 +279,49 @@ def _in_buckets(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.where(F.col("bucket").isin(found))
 
 
-def postings(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
-    """(token, id, position, field, open_date, trusted, complete): where the tokens of the queries occur, read from an index."""
+def _spots(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
+    """(token, row, field): the numbers of the rows in which the tokens of the queries occur, read from an index.
+
+    Up to ``FEW`` different tokens are looked for in the words of the lists as these are read.
+    """
     root = path.rstrip("/")
     asked = _asked(queries)
+    few = _few(asked)
+    if few is not None:  # a table whose size is known, which Spark sends to all tasks
+        known = F.array(*map(F.lit, few)).cast("array<string>")
+        asked = spark.range(1).select(F.explode(known).alias("token")).withColumn("fragment", F.substring("token", 1, GRAM))
     held = _in_buckets(spark.read.parquet(f"{root}/words"), asked.select(F.substring("fragment", 1, LEAST).alias("start")), "start")
     begun = F.array_distinct(F.array(*(F.substring("run", 1, n) for n in _lengths(asked))).cast("array<string>"))
     held = held.select("word", F.explode(begun).alias("fragment"))
-    fit = scratch(spark, "search-words")
-    held.join(asked, "fragment").filter(F.contains("word", "token")).select("token", "word").distinct().write.parquet(fit)
-    fit = spark.read.schema("token string, word string").parquet(fit)
-    found = _in_buckets(spark.read.parquet(f"{root}/postings"), fit, "word").join(fit, "word")
-    return found.select("token", "id", "position", "field", *KEPT).distinct()
+    fit = held.join(asked, "fragment").filter(F.contains("word", "token")).select("token", "word")
+    lists = spark.read.parquet(f"{root}/postings")
+    if few is not None:
+        found = _in_buckets(lists, fit, "word").select(F.explode(F.filter(known, lambda t: F.contains(F.col("word"), t))).alias("token"), "field", "rows")
+    else:
+        fit.distinct().write.parquet(kept := scratch(spark, "search-words"))
+        fit = spark.read.schema("token string, word string").parquet(kept)
+        found = _in_buckets(lists, fit, "word").join(fit, "word")
+    names = F.element_at(F.array(*map(F.lit, _texts())), F.col("field").cast("int"))
+    return found.select("token", F.explode("rows").alias("row"), "field").distinct().withColumn("field", names)
+
+
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path.rstrip('/')}/rows")
+
+
+def postings(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
+    """(token, id, position, field, open_date, trusted, complete): where the tokens of the queries occur, read from an index."""
+    return _spots(spark, path, queries).join(_rows(spark, path), "row").select("token", "id", "position", "field", *KEPT)
 
 
 def indexed_scores(spark: SparkSession, path: str, queries: DataFrame, as_of: dt.date) -> DataFrame:
     """SR-04 from an index: what :func:`basic_scores` gives, without reading the catalogue."""
     each = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    counts = postings(spark, path, queries).join(each, "token").groupBy("query_id", "id", "position", *KEPT).agg(
+    counts = _spots(spark, path, queries).join(each, "token").groupBy("query_id", "row").agg(
         *(F.sum(F.when(F.col("field") == n, F.col("times")).otherwise(0)).alias(n) for n in _texts()))
     known = queries.select("query_id", "query", F.size(tokens(F.col("query"))).alias("_k"))
     standing = _standing(*(F.col(c) for c in KEPT), as_of)
-    return counts.join(known, "query_id").select(
+    return counts.join(known, "query_id").join(_rows(spark, path), "row").select(
         "query_id", "query", "id", "position", _basic(*(F.col(c) for c in ("_t", "_c", "_d", "_k")), standing).alias("basic_score"))
 
 
